@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .packing import op10_pack_powers_of_two
+from .piece_bpe import op4_piece_encoding
 from .quality_rules import op1_quality_rules
 from .secret_scan import op7_secret_scan
 from .sharding import op5_shuffle_shards
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op5_shuffle_shards, op7_secret_scan)}
+    return {f.__name__: f for f in (
+        op1_quality_rules, op4_piece_encoding, op5_shuffle_shards, op7_secret_scan, op10_pack_powers_of_two,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
