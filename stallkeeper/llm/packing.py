@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunkids import ChunkMemory, split_lists
-from .tables import load, small_batches
+from .tables import load, python_ready
 
 MAX_LENGTH = 2048
 END_ID = 1
@@ -109,7 +109,7 @@ def pack(docs: DataFrame, path: str, longest: int = MAX_LENGTH, end_id: int = EN
             yield pa.RecordBatch.from_arrays(columns, names)
 
     names = [x.split()[0] for x in schema.split(", ")] + ["ids"] * with_ids
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, schema + ", ids array<int>" * with_ids)
 
 

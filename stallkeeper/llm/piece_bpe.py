@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunkids import ChunkMemory, split_lists
-from .tables import load, small_batches
+from .tables import load, python_ready
 
 SPACE = "▁"
 #: Between chunks; texts that hold it take the plain way.
@@ -234,7 +234,7 @@ def encode(docs: DataFrame, path: str, keep: str = "doc_id", with_ids: bool = Fa
             yield pa.RecordBatch.from_arrays(columns, names)
 
     names = [keep, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     return docs.select(keep, F.col("text").cast("string")).mapInArrow(run, schema)
 
 
