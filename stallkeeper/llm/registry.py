@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .packing import op10_pack_powers_of_two
+from .bwt_dedup import op2_bwt_dedup
 from .near_dup import op9_circulant_minhash
+from .packing import op10_pack_powers_of_two
 from .piece_bpe import op4_piece_encoding
 from .quality_rules import op1_quality_rules
 from .secret_scan import op7_secret_scan
@@ -12,7 +13,7 @@ from .sharding import op5_shuffle_shards
 
 def queries():
     return {f.__name__: f for f in (
-        op1_quality_rules, op4_piece_encoding, op5_shuffle_shards, op7_secret_scan,
+        op1_quality_rules, op2_bwt_dedup, op4_piece_encoding, op5_shuffle_shards, op7_secret_scan,
         op9_circulant_minhash, op10_pack_powers_of_two,
     )}
 
