@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bwt_dedup import op2_bwt_dedup
+from .multi_index import op8_multi_index
 from .near_dup import op9_circulant_minhash
 from .packing import op10_pack_powers_of_two
 from .piece_bpe import op4_piece_encoding
@@ -14,7 +15,7 @@ from .sharding import op5_shuffle_shards
 def queries():
     return {f.__name__: f for f in (
         op1_quality_rules, op2_bwt_dedup, op4_piece_encoding, op5_shuffle_shards, op7_secret_scan,
-        op9_circulant_minhash, op10_pack_powers_of_two,
+        op8_multi_index, op9_circulant_minhash, op10_pack_powers_of_two,
     )}
 
 
