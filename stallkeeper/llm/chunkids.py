@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that one worker remembers; past it the memory starts anew, which changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 class ChunkMemory:
@@ -32,18 +33,20 @@ class ChunkMemory:
         self.notes: list = []
 
     def _add(self, chunks: list[str]) -> None:
-        for chunk, ids in zip(chunks, self.encode(chunks), strict=True):
-            row = len(self.rows)
-            self.rows[chunk] = row
-            if row == len(self.starts):
-                self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[row], self.sizes[row] = self.used, len(ids)
-            self.used += len(ids)
-            if self.note:
-                self.notes.append(self.note(chunk, ids))
+        found = self.encode(chunks)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        first, total = len(self.rows), int(sizes.sum())
+        self.rows.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        while first + len(chunks) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.sizes[first : first + len(chunks)] = sizes
+        self.starts[first : first + len(chunks)] = self.used + np.cumsum(sizes) - sizes
+        self.used += total
+        if self.note:
+            self.notes += map(self.note, chunks, found)
 
     def look_up(self, chunks: pa.Array) -> np.ndarray:
         """The row of every chunk of a flat string array."""

@@ -8,6 +8,7 @@ bucket needs no padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,11 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunkids import ChunkMemory, split_lists
+from .chunkids import REMEMBERED, ChunkMemory, split_lists
 from .tables import load, python_ready
 
 MAX_LENGTH = 2048
 END_ID = 1
+#: Letters that normalization leaves alone but for their case, and marks that are no apostrophes.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*#$%&|]*)")
 _memories: dict[str, ChunkMemory] = {}
 
 
@@ -39,17 +42,28 @@ def word_memory(path: str) -> ChunkMemory:
 
         tokenizer = Tokenizer.from_file(path)
 
-        def encode(chunks: list[str]) -> list[list[int]]:
-            out = []
-            for at in range(0, len(chunks), 20_000):
-                some = chunks[at : at + 20_000]
+        def library(parts: list[str]) -> Iterator[list[int]]:
+            for at in range(0, len(parts), 20_000):
+                some = parts[at : at + 20_000]
                 found = tokenizer.encode("\n".join(some), add_special_tokens=False)
                 begins = np.cumsum([0, *(len(x) + 1 for x in some)])
                 owner = np.searchsorted(begins, np.array([a for a, _ in found.offsets], np.int64), side="right") - 1
-                bounds = np.searchsorted(owner, np.arange(len(some) + 1))
+                bounds = np.searchsorted(owner, np.arange(len(some) + 1)).tolist()
                 ids = found.ids
-                out += [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            return out
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                    yield ids[a:b]
+
+        known: dict[str, list[int]] = {"": []}
+
+        def encode(chunks: list[str]) -> list[list[int]]:
+            """A plain word with marks after it is cut before the marks, as the tokenizer does, so that few parts are new."""
+            if len(known) > REMEMBERED:
+                known.clear()
+                known[""] = []
+            split = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(x)) else (x, "") for x in chunks]
+            if new := [x for x in dict.fromkeys(y for pair in split for y in pair) if x not in known]:
+                known.update(zip(new, library(new), strict=True))
+            return [known[a] + known[b] for a, b in split]
 
         _memories[path] = ChunkMemory(encode)
     return _memories[path]
