@@ -8,16 +8,23 @@ from .near_dup import op9_circulant_minhash
 from .packing import op10_pack_powers_of_two
 from .piece_bpe import op4_piece_encoding
 from .quality_rules import op1_quality_rules
+from .resampling import op3_importance_resampling
 from .secret_scan import op7_secret_scan
 from .sharding import op5_shuffle_shards
+from .token_rollup import OP6_SQL, op6_token_rollup
 
 
 def queries():
-    return {f.__name__: f for f in (
-        op1_quality_rules, op2_bwt_dedup, op4_piece_encoding, op5_shuffle_shards, op7_secret_scan,
-        op8_multi_index, op9_circulant_minhash, op10_pack_powers_of_two,
-    )}
+    """Each takes (spark, sf_dir) and gives its operator's rows over the whole table."""
+    return {
+        f.__name__: f
+        for f in (
+            op1_quality_rules, op2_bwt_dedup, op3_importance_resampling, op4_piece_encoding, op5_shuffle_shards,
+            op6_token_rollup, op7_secret_scan, op8_multi_index, op9_circulant_minhash, op10_pack_powers_of_two,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for DuckDB that gives the same rows."""
+    return {"op6_token_rollup": OP6_SQL}
