@@ -126,10 +126,10 @@ WITH lines AS (
   SELECT source, lang, string_split(text, chr(10)) AS own FROM documents WHERE text IS NOT NULL
 ), live AS (
   SELECT source, lang, array_to_string(own, chr(10)) AS whole, own, list_distinct(own) AS once
-  FROM lines WHERE len(list_filter(own, x -> length(x) >= 10)) > 0
+  FROM lines WHERE len(list_filter(own, lambda x: length(x) >= 10)) > 0
 ), counted AS (
   SELECT source, lang, v.version,
-    list_sum(list_transform(once, x -> len(regexp_extract_all(x, v.pattern)))) AS tokens
+    list_sum(list_transform(once, lambda x: len(regexp_extract_all(x, v.pattern)))) AS tokens
   FROM live, (VALUES ('words-1', '[^\x20\x09-\x0D]+'), ('parts-1', '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')) AS v(version, pattern)
 )
 SELECT source, lang, version, count(*) AS n_docs, CAST(sum(tokens) AS BIGINT) AS n_tokens
