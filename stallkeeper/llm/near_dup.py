@@ -8,7 +8,7 @@ candidates, and every link is confirmed on the full shingle sets.
 
 Within a band's bucket, candidates are compared with pivots, never all with all: what is
 already in one component needs no further link. Buckets in which components differ get more
-pivots, from the rarest components first, until no untested pair could join two components.
+pivots, from the largest components first, until no untested pair could join two components.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from .textkit import LOWER, Rolling, buffer_of, mix, shingles, word_bounds
 WORDS = 5
 #: Percent of the union that the intersection must reach.
 PERCENT = 75
-#: Bands and coordinates in a band: two documents at the threshold share none of the bands once in four million times.
-BANDS, ROWS = 40, 4
+#: Bands and coordinates in a band: two documents at the threshold share no band three times in a million.
+#: Long bands keep apart documents that only share a passage, which shorter ones would bring together in large buckets.
+BANDS, ROWS = 64, 6
 #: Places on the circle, and the seed of both permutations.
 CIRCLE, SEED = 1 << 20, 77
 #: Bytes of text that are hashed together.
@@ -157,7 +158,10 @@ def find_groups(docs: DataFrame, stash: Stash) -> DataFrame:
         .select(F.monotonically_increasing_id().alias("node"), "d1", "d2", F.col("n_shingles").alias("n"), "least", "bands"),
     )
     banded = nodes.select(F.explode("bands").alias("key"), "node", "n")
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1").select("key", "pivot")
+    # Three pivots for each bucket, by orders that hold in all buckets: members of a group meet the same few pivots.
+    drawn = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"]
+    pivots = F.array(F.min("node"), F.max("node"), drawn)
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), pivots.alias("pivots")).where("size > 1").select("key", "pivots")
     members = stash.put("members", banded.join(shared, "key"))
     touched = members.select("node").distinct()
     wanted = stash.put("wanted", nodes.join(touched, "node").select("node", "d1", "d2", "least"))
@@ -166,12 +170,14 @@ def find_groups(docs: DataFrame, stash: Stash) -> DataFrame:
     sets = stash.put("sets", again.mapInArrow(_sets, "d1 long, d2 long, shingles array<long>").join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).groupBy("node").agg(F.first("shingles").alias("shingles")))
 
     fits = f"100 * least(n, m) >= {PERCENT} * greatest(n, m)"
-    sizes = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("m"))
-    first = members.where("node <> pivot").join(sizes, "pivot").where(fits).select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
+    ordered = lambda pivot: members.select(F.least(pivot, "node").alias("u"), F.greatest(pivot, "node").alias("v"))
+    first = ordered(F.col("pivots")[0]).union(ordered(F.col("pivots")[1])).union(ordered(F.col("pivots")[2])).where("u <> v").distinct()
+    size_of = lambda end, n: nodes.select(F.col("node").alias(end), F.col("n").alias(n))
+    first = first.join(size_of("u", "n"), "u").join(size_of("v", "m"), "v").where(fits).select("u", "v")
     links = stash.put("links-0", _confirm(first, sets))
     labels = components(links, stash, "labels-0")
-    open_ = members.where("node <> pivot").select("key", "node", "n")
-    step, pivots = 0, 4
+    open_ = members.where("NOT array_contains(pivots, node)").select("key", "node", "n")
+    step, count = 0, 4
     while True:
         step += 1
         named = _labelled(open_, labels)
@@ -181,8 +187,8 @@ def find_groups(docs: DataFrame, stash: Stash) -> DataFrame:
         left = stash.put(f"open-{step}", left.join(rare, ["key", "label"]))
         if left.isEmpty():
             break
-        order = Window.partitionBy("key").orderBy("share", "node")
-        chosen = stash.put(f"pivots-{step}", left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).select("key", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("label").alias("own")))
+        order = Window.partitionBy("key").orderBy(F.desc("share"), "node")
+        chosen = stash.put(f"pivots-{step}", left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).select("key", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("label").alias("own")))
         pairs = (
             left.join(chosen, "key").where("label <> own AND node <> pivot").where(fits)
             .select(F.least("pivot", "node").alias("u"), F.greatest("pivot", "node").alias("v")).distinct()
@@ -191,7 +197,7 @@ def find_groups(docs: DataFrame, stash: Stash) -> DataFrame:
         if not links.isEmpty():
             labels = components(links.union(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))), stash, f"labels-{step}")
         open_ = left.select("key", "node", "n").join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
-        pivots *= 4
+        count *= 4
     stash.drop("sets")
 
     placed = nodes.join(labels, "node", "left").select("node", "d1", "d2", "n", "least", F.coalesce("label", "node").alias("label"))
