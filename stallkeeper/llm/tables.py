@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import ready
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -57,13 +58,7 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def python_ready(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, so that long texts don't fill a worker, and lets workers import this package.
-
-    A cluster gets the package with --py-files; where driver and workers share the code's
-    folder, its path is enough.
-    """
+    """Bounds the rows and bytes of an Arrow batch, so that long texts don't fill a worker, and lets workers import this package."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    home = str(Path(__file__).resolve().parents[2])
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if home not in known.split(":"):
-        spark.sparkContext.environment["PYTHONPATH"] = f"{home}:{known}".strip(":")
+    ready(spark)
