@@ -26,6 +26,8 @@ CENTROIDS, SAMPLE, ROUNDS = 64, 20_000, 10
 TRIALS, RECALL = 200, 0.96
 #: Entries that a task holds at once; a cell with more is dealt to several parts.
 PART_ENTRIES = 4096
+#: Parts whose lists are merged first.
+MERGED_PARTS = 64
 #: Distinct vectors that a query keeps for the final ranking, which sums in a fixed order.
 SPARE = 12
 SEED = 9
@@ -230,11 +232,15 @@ def search(vectors: DataFrame, is_query: Column, stash: Stash, k: int = NEAREST,
                     row = np.repeat(np.arange(len(some)), top.shape[1])
                     value, entry = scores[row, top.ravel()], ids[0][top.ravel()]
                     ok = value > -np.inf
-                    yield pa.RecordBatch.from_arrays([pa.array(some.column(2).to_numpy()[row[ok]]), pa.array(entry[ok]), pa.array(value[ok])], ["query", "entry", "near"])
-
-    near = rows_in.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(rerank, "query long, entry long, near double")
-    order = Window.partitionBy("query").orderBy(F.desc("near"), "entry")
-    top = stash.put("top", near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep).select("query", "entry"))
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(row[ok], minlength=len(some)))])
+                    best = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(value[ok]), pa.array(entry[ok])], ["near", "entry"]))
+                    yield pa.RecordBatch.from_arrays([some.column(2), pa.array(np.full(len(some), of[a] // MERGED_PARTS, np.int32)), best], ["query", "parts", "best"])
+
+    near = rows_in.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(rerank, "query long, parts int, best array<struct<near:double,entry:long>>")
+    # A query's lists are merged in two steps, so that each gathers few.
+    for keys in (("query", "parts"), ("query",)):
+        near = near.groupBy(*keys).agg(F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, keep).alias("best"))
+    top = stash.put("top", near.select("query", F.explode("best.entry").alias("entry")))
     scored = (
         top.join(placed.select("entry", "vector", "ids"), "entry")
         .join(placed.select(F.col("entry").alias("query"), F.col("vector").alias("asked")), "query")
