@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bwt_dedup import op2_bwt_dedup
 from .multi_index import op8_multi_index
 from .near_dup import op9_circulant_minhash
+from .oracles import OP1_SQL, OP7_SQL, OP9_SQL
 from .packing import op10_pack_powers_of_two
 from .piece_bpe import op4_piece_encoding
 from .quality_rules import op1_quality_rules
@@ -27,4 +28,4 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     """SQL for DuckDB that gives the same rows."""
-    return {"op6_token_rollup": OP6_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op6_token_rollup": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_circulant_minhash": OP9_SQL}

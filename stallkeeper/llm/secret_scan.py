@@ -20,7 +20,7 @@ KINDS = {
     "hex": (r"([0-9a-f]{16,})", 1, 16),
 }
 #: A long run of key characters with a digit and a letter of each case: a candidate, not yet a span.
-OWNED = r"(?<![A-Za-z0-9+/_-])(?=[a-z+/_-]{0,64}[0-9A-Z])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])([A-Za-z0-9+/_-]{20,})"
+OWNED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])([A-Za-z0-9+/_-]{20,})"
 #: From so many owners on, a candidate is a copied example; up to so many repositories, an owner's own looks live.
 COPIED_OWNERS, LIVE_REPOSITORIES = 3, 4
 
