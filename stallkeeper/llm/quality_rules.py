@@ -133,7 +133,8 @@ def choose_cutoffs(good: DataFrame, stratum: str, alpha: float = ALPHA, delta: f
     above = [F.count_if(value_of(rule) > c).alias(f"k{j}") for j, (rule, c) in enumerate(tests)]
     counts = good.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *above)
     rows = F.explode(F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k{j}").alias("k")) for j, (rule, c) in enumerate(tests))))
-    tested = counts.select("stratum", "n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("strata"), rows.alias("one"))
+    strata = counts.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # before rows multiply
+    tested = strata.select("stratum", "n", "strata", rows.alias("one"))
     level = F.lit(delta) / (F.col("strata") * len(tests))
     passing = tested.where(binomial_tail(F.col("n"), F.col("one.k"), alpha / len(RULES)) <= level)
     strictest = [F.min(F.when(F.col("one.rule") == rule, F.col("one.cutoff"))).alias(f"cut_{rule}") for rule in RULES]

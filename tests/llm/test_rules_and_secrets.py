@@ -55,6 +55,10 @@ def test_cutoffs_control_false_rejections(spark):
     cut = quality_rules.choose_cutoffs(good, "lang").first()
     assert cut["cut_symbols"] == 0.1  # at 0.07 a fifth of the good ones would go
     assert quality_rules.choose_cutoffs(good.limit(50), "lang").count() == 0  # too few labels to guarantee anything
+    # 1,750 labels without a rejection are enough for one stratum (1,674 are), but not where two share the level (1,847 are).
+    clean = good.where("n_symbols = 0").limit(1750)
+    assert quality_rules.choose_cutoffs(clean, "lang").first()["cut_symbols"] == 0.02
+    assert quality_rules.choose_cutoffs(clean.unionByName(clean.withColumn("lang", F.lit("fr")).limit(100)), "lang").count() == 0
 
 
 def test_quality_rules_edge_cases(spark, docs):
