@@ -27,8 +27,10 @@ def normalize_listings(raw: DataFrame, url_rules: DataFrame, marketplaces: tuple
     """
     ready(raw.sparkSession)
     joined = raw.join(F.broadcast(url_rules.limit(10_000)), "provider", "left")
+    # In columns of their own, as Python functions can't stand inside array expressions.
+    joined = joined.withColumns({"_url": join_url(F.col("base"), F.col("product_url")), "_image": join_url(F.col("base"), F.col("image_url"))})
     name = collapse(F.col("name"))
-    url, why_url = canonical_url(join_url(F.col("base"), F.col("product_url")), F.col("hosts"), F.col("host"), F.col("path_rule"), F.col("kept"))
+    url, why_url = canonical_url(F.col("_url"), F.col("hosts"), F.col("host"), F.col("path_rule"), F.col("kept"))
     number = parse_number(F.col("price"))
     price, status = price_state(number.try_cast("decimal(38,2)"), F.col("price_status"))
     state = condition(name, F.col("condition"))
@@ -44,7 +46,7 @@ def normalize_listings(raw: DataFrame, url_rules: DataFrame, marketplaces: tuple
     return joined.select(
         "provider", name.alias("name"), refined_category(name, F.col("category")).alias("category"), normalize_brand(F.col("brand")).alias("brand"),
         price.try_cast(MONEY).alias("price"), status.alias("price_status"), parse_price(F.col("old_price")).alias("old_price"), F.lit("EGP").alias("currency"),
-        parse_stock(F.col("in_stock")).alias("in_stock"), state.alias("condition"), url.alias("product_url"), absolute_image(join_url(F.col("base"), F.col("image_url"))).alias("image_url"),
+        parse_stock(F.col("in_stock")).alias("in_stock"), state.alias("condition"), url.alias("product_url"), absolute_image(F.col("_image")).alias("image_url"),
         F.coalesce("depth", F.lit(0)).alias("depth"), blank("sku").alias("sku"), blank("model_number").alias("model_number"), blank("manufacturer_part_number").alias("mpn"),
         F.coalesce(blank("gtin"), F.when(gtin_is_valid(F.trim("sku")), F.trim("sku"))).alias("gtin"), F.nullif("seller_id", F.lit("")).alias("seller_id"), "warranty",
         F.col("provider_product_id"), F.col("provider_variant_id"), "variant", "specifications", key.alias("source_key"),
