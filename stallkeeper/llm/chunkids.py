@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from itertools import chain
 
 import numpy as np
@@ -16,11 +16,11 @@ REMEMBERED = 1_000_000
 class ChunkMemory:
     """Remembers for each distinct chunk a row number and its ids.
 
-    ``encode`` turns a list of new chunks into a list of id lists, and must give for each
+    ``encode`` turns a list of new chunks into a list of id sequences, and must give for each
     chunk what it has inside any text.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], note: Callable[[str, list[int]], object] | None = None):
+    def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], note: Callable[[str, Sequence[int]], object] | None = None):
         self.encode, self.note = encode, note
         self._clear()
 

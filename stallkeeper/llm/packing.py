@@ -8,7 +8,6 @@ bucket needs no padding.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,8 +23,8 @@ from .tables import load, python_ready
 
 MAX_LENGTH = 2048
 END_ID = 1
-#: Letters that normalization leaves alone but for their case, and marks that are no apostrophes.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*#$%&|]*)")
+#: Marks that may follow a word and are no apostrophes.
+MARKS = ".,!?;:*#$%&|"
 _memories: dict[str, ChunkMemory] = {}
 
 
@@ -35,6 +34,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, others from 256 on in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 def word_memory(path: str) -> ChunkMemory:
     """This tokenizer drops white space, so the ids of a text are those of its white-space-free chunks in turn."""
     if path not in _memories:
@@ -42,25 +48,28 @@ def word_memory(path: str) -> ChunkMemory:
 
         tokenizer = Tokenizer.from_file(path)
 
-        def library(parts: list[str]) -> Iterator[list[int]]:
-            for at in range(0, len(parts), 20_000):
-                some = parts[at : at + 20_000]
-                found = tokenizer.encode("\n".join(some), add_special_tokens=False)
-                begins = np.cumsum([0, *(len(x) + 1 for x in some)])
-                owner = np.searchsorted(begins, np.array([a for a, _ in found.offsets], np.int64), side="right") - 1
-                bounds = np.searchsorted(owner, np.arange(len(some) + 1)).tolist()
-                ids = found.ids
-                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    yield ids[a:b]
+        spelled = byte_letters()
+
+        def library(parts: list[str]) -> Iterator[tuple[int, ...]]:
+            for part in parts:
+                if part.isalpha() and part.islower() and max(part) < "Ā":
+                    # One run of letters that normalization leaves alone: the model's own part of the work.
+                    yield tuple([t.id for t in tokenizer.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(spelled))])
+                else:
+                    yield tuple(tokenizer.encode(part, add_special_tokens=False).ids)
 
-        known: dict[str, list[int]] = {"": []}
+        known: dict[str, tuple[int, ...]] = {"": ()}
 
-        def encode(chunks: list[str]) -> list[list[int]]:
+        def encode(chunks: list[str]) -> list[tuple[int, ...]]:
             """A plain word with marks after it is cut before the marks, as the tokenizer does, so that few parts are new."""
             if len(known) > REMEMBERED:
                 known.clear()
-                known[""] = []
-            split = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(x)) else (x, "") for x in chunks]
+                known[""] = ()
+            split = []
+            for x in chunks:
+                core = x.rstrip(MARKS)
+                plain = core.isalpha() and (core.isascii() or max(core) < "Ā")
+                split.append((core.lower(), x[len(core) :]) if plain else (x, ""))
             if new := [x for x in dict.fromkeys(y for pair in split for y in pair) if x not in known]:
                 known.update(zip(new, library(new), strict=True))
             return [known[a] + known[b] for a, b in split]
@@ -123,7 +132,7 @@ def pack(docs: DataFrame, path: str, longest: int = MAX_LENGTH, end_id: int = EN
             yield pa.RecordBatch.from_arrays(columns, names)
 
     names = [x.split()[0] for x in schema.split(", ")] + ["ids"] * with_ids
-    python_ready(docs.sparkSession)
+    python_ready(docs.sparkSession, 4000)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, schema + ", ids array<int>" * with_ids)
 
 
