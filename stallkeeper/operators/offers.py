@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,12 +82,11 @@ def offers_of(trusted: DataFrame, product_ids: list[int] | None = None, tie_brea
 
 
 def displayed_offer(offers: DataFrame) -> DataFrame:
-    """The offer shown for each variant: the first (by position) that meets the earliest of four wishes."""
-    current, stocked, known = F.col("is_current"), F.coalesce("in_stock", F.lit(False)), is_known()
-    wishes = [current & stocked & known, current & known, current, F.lit(True)]
-    wish = reduce(lambda rest, i: F.when(wishes[i], F.lit(i)).otherwise(rest), reversed(range(len(wishes) - 1)), F.lit(len(wishes) - 1))
-    first = Window.partitionBy("variant_id").orderBy(wish, "position")
-    return offers.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
+    """The offer shown for each variant: the first (by position) that meets the earliest of four wishes; none without a known price."""
+    current, known, new = F.col("is_current"), is_known(), F.coalesce(F.col("condition") == "new", F.lit(False))
+    wish = F.when(current & is_buyable(), 0).when(current & known & new, 1).when(current & known, 2).when(known, 3)
+    first = Window.partitionBy("variant_id").orderBy("_wish", "position")
+    return offers.withColumn("_wish", wish).where("_wish IS NOT NULL").withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank", "_wish")
 
 
 def facet_providers(providers: DataFrame) -> DataFrame:

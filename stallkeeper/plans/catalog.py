@@ -43,9 +43,9 @@ def offers_for_product(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {A.SQL}, shown AS (SELECT *, row_number() OVER (PARTITION BY product_id {SHOWN}) AS position FROM trusted), wish AS (
-  SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY CASE WHEN is_current AND coalesce(in_stock, false) AND price_status = 'known' THEN 0
-    WHEN is_current AND price_status = 'known' THEN 1 WHEN is_current THEN 2 ELSE 3 END, position) AS rn FROM shown)
-SELECT product_id, variant_id, offer_id, position FROM wish WHERE rn = 1""")
+  SELECT *, CASE WHEN is_current AND coalesce(in_stock, false) AND price_status = 'known' AND condition = 'new' THEN 0 WHEN is_current AND price_status = 'known' AND condition = 'new' THEN 1
+    WHEN is_current AND price_status = 'known' THEN 2 WHEN price_status = 'known' THEN 3 END AS w FROM shown), r AS (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY w, position) AS rn FROM wish WHERE w IS NOT NULL)
+SELECT product_id, variant_id, offer_id, position FROM r WHERE rn = 1""")
 def displayed_offers(spark: SparkSession, sf: str) -> DataFrame:
     shown = O.offers_of(A.trusted(spark, sf), tie_break=[F.col("tie")])
     return O.displayed_offer(shown).select("product_id", "variant_id", "offer_id", "position")
@@ -327,3 +327,36 @@ SELECT source_key, coalesce(product_id, donor) AS family_product_id, family_lead
 def family_grouping(spark: SparkSession, sf: str) -> DataFrame:
     staged = table(spark, sf, "part").select(F.col("p_partkey").alias("source_key"), "p_brand", "p_type", "p_name", F.when(F.col("p_size") > 25, F.col("p_partkey") + 100000).alias("product_id"))
     return Y.group_families(staged, ["p_brand", "p_type", "p_name"], F.col("source_key")).select("source_key", "family_product_id", "family_lead")
+
+
+@query(f"""{DOCS} SELECT id, CASE WHEN price_status = 'stale' THEN 'Last seen at ' || provider_name WHEN len(coalesce(provider_ids, [])) > 1 THEN len(provider_ids) || ' verified retailers' ELSE provider_name END AS store,
+  CASE WHEN price_status = 'stale' THEN 'Price unverified' WHEN in_stock THEN 'In stock' WHEN NOT in_stock THEN 'Out of stock' ELSE 'Stock unknown' END AS stock,
+  CASE WHEN price_status = 'stale' THEN 'Last seen price · not verified now' WHEN price_status <> 'known' THEN 'Price unavailable' WHEN variant_count > 1 THEN 'From · lowest available configuration' WHEN condition <> 'new' THEN condition || ' listed price'
+    WHEN in_stock THEN 'Lowest in-stock price' WHEN NOT in_stock THEN 'Listed price · out of stock' ELSE 'Listed price · stock unconfirmed' END AS price_note,
+  coalesce(printf('%.2f EGP', CASE WHEN price_status = 'stale' THEN last_seen_price ELSE price END), 'Price not found') AS shown FROM docs""")
+def card_labels(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions import labels as B
+
+    docs = _docs(spark, sf)
+    price = F.when(F.col("price_status") == "stale", F.col("last_seen_price")).otherwise(F.col("price"))
+    return docs.select("id", B.card_store().alias("store"), B.card_stock().alias("stock"), B.card_price_note().alias("price_note"), B.shown_price(price, F.lit("EGP")).alias("shown"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Red · 64GB' WHEN 1 THEN p_type WHEN 2 THEN p_brand ELSE 'Variant ' || p_partkey END AS label FROM part""")
+def variant_labels(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions import labels as B
+
+    kind = F.col("p_size") % 4
+    options = F.when(kind == 0, F.map_from_arrays(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.array(F.lit("Red"), F.lit(""), F.lit("64GB"))))
+    title = F.when(kind == 1, F.concat(F.lit(" "), F.upper("p_name"), F.lit(" - | "), "p_type"))
+    label = B.variant_label(options, title, F.col("p_name"), F.when(kind == 2, F.col("p_brand")), F.col("p_partkey"))
+    return table(spark, sf, "part").select("p_partkey", label.alias("label"))
+
+
+@query("SELECT CAST(key AS BIGINT) AS id, action FROM (SELECT coalesce(o_custkey, c_custkey) AS key, CASE WHEN o_custkey IS NULL THEN 'add' WHEN c_custkey IS NULL THEN 'prune' ELSE 'write' END AS action FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F') FULL JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey)")
+def index_changes(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import index as X
+
+    indexed = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")).distinct()
+    docs = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
+    return X.index_changes(indexed, docs)

@@ -246,3 +246,30 @@ def test_payloads(spark):
 def test_category_tree(spark):
     nodes = spark.createDataFrame([(1, None, "Root"), (2, 1, "Parts"), (3, 2, "CPU")], "id int, parent int, name string")
     assert {r["id"]: r["path"] for r in pages.category_tree(nodes).collect()} == {1: ["Root"], 2: ["Root", "Parts"], 3: ["Root", "Parts", "CPU"]}
+
+
+def test_categories_by_path(spark):
+    from stallkeeper.functions import category as C
+
+    shops = [("maximum", "/monitors/lg/", "monitor"), ("maximum", "/x/keyboard-mouse", "accessories"), ("elbadr", "/accessories/headphones", "headphones"), ("elbadr", "/pc/VGA", "gpu"), ("elnekhely", "/a/processors", "cpu"), ("else", "/cpu", None)]
+    got = spark.createDataFrame(shops, "p string, path string, want string").select(C.by_path(F.col("p"), F.col("path")).alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in got)
+    trees = [(["Laptops"], "laptops"), (["Laptops", "HP"], None), (["Accessories", "Headphone"], "headphones"), (["Storage", "Internal SSD"], "ssd"), (["Hardware Components", "X"], None), ([], None), (["Monitor", "LG"], None)]
+    got = spark.createDataFrame(trees, "path array<string>, want string").select(C.by_tree(F.col("path")).alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
+def test_index_is_checked_and_published(spark, tmp_path):
+    from pyspark.sql import types as Y
+
+    from stallkeeper.functions import labels
+    from stallkeeper.operators import index
+
+    a, b = Y.StructField("id", Y.LongType()), Y.StructField("name", Y.StringType())
+    assert index.missing_fields(Y.StructType([a]), Y.StructType([a, b])).names == ["name"]
+    with pytest.raises(index.IncompatibleSchema):
+        index.missing_fields(Y.StructType([Y.StructField("id", Y.StringType())]), Y.StructType([a]))
+    store = sync.SnapshotStore(spark, f"{tmp_path}/index")
+    assert index.publish(spark.range(5), store) == {"version": 1, "documents": 5, "without_id": 0}
+    assert index.publish(spark.range(3), store)["version"] == 2 and store.read().count() == 3
+    assert labels.query_string({"q": " a b ", "sort": ""}, 2, 10) == "page=2&limit=10&q=a+b"
