@@ -101,3 +101,15 @@ def search_document(model: DataFrame) -> DataFrame:
         F.round(F.col("price").cast("double"), 2).alias("price"), F.round(F.col("last_seen_price").cast("double"), 2).alias("last_seen_price"), "price_status",
         F.when(F.col("stock_known"), F.col("in_stock")).alias("in_stock"), "condition", F.unix_timestamp("last_seen_at").alias("last_seen_at"), text.alias("semantic_text"),
     )
+
+
+def api_product(documents: DataFrame) -> DataFrame:
+    """Documents as readers of the API get them: nested names, prices as text, times as timestamps."""
+    money = lambda c: F.format_string("%.2f", c)
+    status = F.coalesce("price_status", F.when(F.col("price").isNotNull(), "known").otherwise("not_found"))
+    return documents.select(
+        "id", "name", F.struct(F.col("category").alias("slug")).alias("category"), F.when(F.col("brand").isNotNull(), F.struct(F.col("brand").alias("name"))).alias("brand"),
+        F.struct(F.col("provider_id").alias("id"), F.col("provider_name").alias("name")).alias("provider"), F.size("provider_ids").alias("provider_count"), "variant_count", "offer_count",
+        money(F.col("price")).alias("price"), money(F.col("last_seen_price")).alias("last_seen_price"), status.alias("price_status"), "in_stock", "condition",
+        F.when(F.col("last_seen_at") > 0, F.timestamp_seconds("last_seen_at")).alias("last_seen_at"),
+    )

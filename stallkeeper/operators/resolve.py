@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.identity import EXACT, VARIANT, candidate_score, conflicts, jaccard, pair_key, verdict
+from ..functions.identity import EXACT, REVIEWER, VARIANT, candidate_score, conflicts, jaccard, pair_key, verdict
 from ..schemas import ALIAS_TITLES, BLOCK_CAP, RULE_VERSION, SCORE_FLOOR, TOP_CANDIDATES
 
 # The budget rule for adjudication costs.
@@ -196,3 +196,20 @@ def collect_answers(requests: DataFrame, answers: DataFrame) -> DataFrame:
     how = F.when(F.col("response").isNull(), "unanswered").when(known.isNull(), "malformed").otherwise("answered")
     joined = requests.join(last, "pair_key", "left")
     return joined.select(*requests.columns, F.coalesce(known, F.lit("uncertain")).alias("verdict"), how.alias("answer"), read["input_tokens"].alias("input_tokens"), read["output_tokens"].alias("output_tokens"))
+
+
+def stale_requests(requests: DataFrame, current: DataFrame) -> DataFrame:
+    """Submitted requests that no longer equal what the current evidence would ask (both: pair_key, body)."""
+    now = current.select("pair_key", F.col("body").alias("_now"))
+    return requests.join(now, "pair_key", "left").where(~F.col("body").eqNullSafe(F.col("_now"))).drop("_now")
+
+
+def decide_by_hand(decisions: DataFrame, pair: str, said: str, current: DataFrame) -> DataFrame:
+    """Decisions with a reviewer's word on a pair whose evidence is still current; an exact match must be free of conflicts.
+
+    ``current`` has pair_key, both signatures and conflicts. A stale pair keeps its decision.
+    """
+    live = current.where((F.col("pair_key") == pair) & (F.lit(said != EXACT) | (F.size("conflicts") == 0))).select("pair_key", "left_signature", "right_signature", F.lit(True).alias("_live"))
+    joined = decisions.join(live, ["pair_key", "left_signature", "right_signature"], "left")
+    hit = F.coalesce("_live", F.lit(False))
+    return joined.withColumn("verdict", F.when(hit, said).otherwise(F.col("verdict"))).withColumn("method", F.when(hit, REVIEWER).otherwise(F.col("method"))).withColumn("reviewed", F.col("reviewed") | hit).drop("_live")

@@ -176,3 +176,20 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     """Each provider's last finished crawl; unfinished runs that a later one overtook count as failed."""
     order = Window.partitionBy("provider_id").orderBy(F.col("finished_at").desc(), F.col("run_id").desc())
     return runs.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+
+
+def split_conflicts(matched: DataFrame, conflict: Column, alone: DataFrame, taken: DataFrame) -> DataFrame:
+    """Matched offers whose evidence conflicts with their variant: rewritten in place if the variant is isolated and
+    theirs, else given a variant of their own, whose key gets a suffix if it is taken."""
+    marked = matched.join(alone.select("variant_id", F.lit(True).alias("_alone")), "variant_id", "left").join(taken.select("identity_key", F.lit(True).alias("_taken")), "identity_key", "left")
+    mine = F.coalesce(F.col("_alone"), F.lit(False)) & (F.col("decided_by") == "source")
+    action = F.when(~F.coalesce(conflict, F.lit(False)), "keep").when(mine, "rewrite").otherwise("split")
+    key = F.when((action == "split") & F.col("_taken"), F.concat_ws(":", "identity_key", F.lit("split"), "source_key")).otherwise(F.col("identity_key"))
+    moved = F.when(action != "split", F.col("variant_id"))
+    return marked.withColumn("action", action).withColumn("identity_key", key).withColumn("variant_id", moved).drop("_alone", "_taken")
+
+
+def run_summary(runs: DataFrame) -> DataFrame:
+    """Whether all providers' runs succeeded, and each one's outcome; there is a row for each provider."""
+    outcome = F.map_from_entries(F.array_sort(F.collect_list(F.struct("provider", "status"))))
+    return runs.agg(F.when(F.coalesce(F.every(F.col("status") == "succeeded"), F.lit(False)), 0).otherwise(1).alias("exit_code"), outcome.alias("outcomes"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -255,5 +257,53 @@ def category_tree(nodes: DataFrame) -> DataFrame:
     return out
 
 
+#: A script's push of one piece: a string literal.
+PUSHED = re.compile(r'push\(\[1,\s*("(?:[^"\\]|\\.)*")\]\)')
+
+
+def hydrated_tree(pages: DataFrame, key: str) -> DataFrame:
+    """(page_id, id, parent, name) of the category tree that a page's scripts push in pieces under a JSON key.
+
+    The pieces are string literals; put together they hold nodes with id, name and children.
+    """
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found: list[tuple] = []
+            for page_id, page in frame.itertuples(index=False):
+                text = "".join(json.loads(p) for p in PUSHED.findall(page or ""))
+                at = text.find(f'"{key}":')
+                if at >= 0:
+                    value, _ = json.JSONDecoder().raw_decode(text[at + len(key) + 3 :].lstrip())
+                    level = [(None, node) for node in value]
+                    while level:
+                        found += [(page_id, str(n["id"]), parent, n["name"]) for parent, n in level]
+                        level = [(str(n["id"]), child) for _, n in level for child in n.get("children") or []]
+            yield pd.DataFrame(found, columns=["page_id", "id", "parent", "name"])
+
+    ready(pages.sparkSession)
+    return pages.select("page_id", "html").mapInPandas(rows, "page_id long, id string, parent string, name string")
+
+
+def unfinished(discovered: DataFrame, finished: DataFrame, key: str = "category") -> DataFrame:
+    """Categories that were found and not crawled to their end, or the other way round."""
+    a, b = discovered.select(key).distinct(), finished.select(key).distinct()
+    return a.exceptAll(b).union(b.exceptAll(a))
+
+
+ITEM = "struct<id:string,title:string,category:string,price:string,discount_price:string,options:array<struct<name:string,values:array<string>>>,in_stock:boolean>"
+
+
+def api_items(payloads: DataFrame, wanted: str, unwanted: str) -> DataFrame:
+    """Items of a detail API (``body``) whose title fits: a discount is the price and the price the old one; an option's first value holds."""
+    each = payloads.select(F.explode(F.from_json("body", f"struct<items:array<{ITEM}>>")["items"]).alias("i")).where(F.col("i.title").rlike(wanted) & ~F.col("i.title").rlike(unwanted))
+    options = F.map_from_entries(F.transform(F.coalesce("i.options", F.array().cast("array<struct<name:string,values:array<string>>>")), lambda o: F.struct(o["name"].alias("key"), F.get(o["values"], F.lit(0)).alias("value"))))
+    cut = parse_number(F.col("i.discount_price")).isNotNull()
+    return each.select(
+        F.col("i.id").alias("provider_product_id"), F.col("i.title").alias("name"), F.col("i.category").alias("category"), F.when(cut, F.col("i.discount_price")).otherwise(F.col("i.price")).alias("price"),
+        F.when(cut, F.col("i.price")).alias("old_price"), F.col("i.in_stock").cast("string").alias("in_stock"), options.alias("variant"),
+    )
+
+
 #: Readers by name; a new source is one function from payloads or pages to raw listings.
 READERS = {"collection": collection_products, "collection-variants": collection_variants, "store": store_products, "embedded": embedded_products}

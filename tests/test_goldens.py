@@ -273,3 +273,46 @@ def test_index_is_checked_and_published(spark, tmp_path):
     assert index.publish(spark.range(5), store) == {"version": 1, "documents": 5, "without_id": 0}
     assert index.publish(spark.range(3), store)["version"] == 2 and store.read().count() == 3
     assert labels.query_string({"q": " a b ", "sort": ""}, 2, 10) == "page=2&limit=10&q=a+b"
+
+
+def test_trees_items_and_completeness(spark):
+    page = 'x.push([1,"{\\"tree\\":[{\\"id\\":1,\\"name\\":\\"Storage\\",\\"children\\":"]) y.push([1,"[{\\"id\\":2,\\"name\\":\\"SSD\\"}]}]}"])'
+    nodes = pages.hydrated_tree(spark.createDataFrame([(5, page), (6, None)], "page_id long, html string"), "tree")
+    assert sorted(map(tuple, nodes.collect())) == [(5, "1", None, "Storage"), (5, "2", "1", "SSD")]
+    body = '{"items":[{"id":"1","title":"iPhone 17","price":"100","discount_price":"90","options":[{"name":"Color","values":["Red","Blue"]}]},{"id":"2","title":"iPhone case","price":"5"}]}'
+    item = pages.api_items(spark.createDataFrame([(body,)], "body string"), "(?i)iphone", "(?i)case").collect()
+    assert [(i["price"], i["old_price"], i["variant"]) for i in item] == [("90", "100", {"Color": "Red"})]
+    found = lambda *c: spark.createDataFrame([(x,) for x in c], "category string")
+    assert {r[0] for r in pages.unfinished(found("a", "b"), found("b", "c")).collect()} == {"a", "c"}
+
+
+def test_conflicts_split_or_rewrite(spark):
+    rows = [(1, "k1", "s1", "source", False), (2, "k2", "s2", "source", True), (3, "k3", "s3", "source", True), (4, "k4", "s4", "key", True)]
+    matched = spark.createDataFrame(rows, "variant_id int, identity_key string, source_key string, decided_by string, clash boolean")
+    alone, taken = spark.createDataFrame([(2,), (4,)], "variant_id int"), spark.createDataFrame([("k3",)], "identity_key string")
+    got = {r["source_key"]: (r["action"], r["variant_id"], r["identity_key"]) for r in sync.split_conflicts(matched, F.col("clash"), alone, taken).collect()}
+    assert got == {"s1": ("keep", 1, "k1"), "s2": ("rewrite", 2, "k2"), "s3": ("split", None, "k3:split:s3"), "s4": ("split", None, "k4")}
+    runs = spark.createDataFrame([("a", "succeeded"), ("b", "failed")], "provider string, status string")
+    assert tuple(sync.run_summary(runs).first()) == (1, {"a": "succeeded", "b": "failed"})
+
+
+def test_requests_and_reviews(spark):
+    asked = spark.createDataFrame([("1:2", "x"), ("1:3", "y"), ("1:4", "z")], "pair_key string, body string")
+    now = spark.createDataFrame([("1:2", "x"), ("1:3", "other")], "pair_key string, body string")
+    assert {r["pair_key"] for r in resolve.stale_requests(asked, now).collect()} == {"1:3", "1:4"}
+    stored = spark.createDataFrame([("1:2", "a", "b", "uncertain", "rule", False), ("1:3", "a", "c", "uncertain", "rule", False)], "pair_key string, left_signature string, right_signature string, verdict string, method string, reviewed boolean")
+    current = spark.createDataFrame([("1:2", "a", "b", []), ("1:3", "a", "c", ["mpn"])], "pair_key string, left_signature string, right_signature string, conflicts array<string>")
+    said = lambda pair: {r["pair_key"]: (r["verdict"], r["reviewed"]) for r in resolve.decide_by_hand(stored, pair, I.EXACT, current).collect()}[pair]
+    assert said("1:2") == (I.EXACT, True) and said("1:3") == ("uncertain", False)
+
+
+def test_search_facade(spark):
+    rows = [(1, "RTX 4060 Ti", "gpu", "MSI", "Shop", 5.0), (2, "RTX 4070", "gpu", "Gigabyte", "Shop", None), (3, "Mouse", "accessories", "MSI", "Shop", 2.0)]
+    docs = spark.createDataFrame(rows, "id long, name string, category string, brand string, provider string, price double")
+    ids = lambda df: [r["id"] for r in df.collect()]
+    assert ids(search.find(docs, "gigabyt rtx", search.Filters())) == [2]
+    assert ids(search.find(docs, "rtx 4061", search.Filters())) == [1]
+    assert ids(search.listing(docs, search.Filters(sort="price_desc"))) == [1, 3, 2]
+    assert ids(search.listing(docs, search.Filters(page=9))) == []
+    with pytest.raises(search.InvalidFilter):
+        search.find(docs, "*", search.Filters())
