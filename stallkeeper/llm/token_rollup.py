@@ -38,7 +38,8 @@ class Rollup:
     where there is none. Of several changes of one key in a batch the one with the largest
     seq holds, then the largest tokens. Rows without a doc_id can't be found again: their
     inserts only add to totals. A null source, language or version is a group of its own; a
-    null count is 0. An empty batch publishes no change. Other columns are ignored.
+    null count is 0. An empty batch publishes no change. Other columns are ignored. One writer
+    commits at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str):
