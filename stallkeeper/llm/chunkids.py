@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that one worker remembers; past it the memory starts anew, which changes no result.
-REMEMBERED = 1_000_000
+#: Chunks that one task remembers by default; past it the memory starts anew, which changes no result.
+REMEMBERED = 600_000
 
 
 class ChunkMemory:
@@ -20,8 +20,8 @@ class ChunkMemory:
     chunk what it has inside any text.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], note: Callable[[str, Sequence[int]], object] | None = None):
-        self.encode, self.note = encode, note
+    def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], note: Callable[[str, Sequence[int]], object] | None = None, remember: int = REMEMBERED):
+        self.encode, self.note, self.remember = encode, note, remember
         self._clear()
 
     def _clear(self) -> None:
@@ -52,7 +52,7 @@ class ChunkMemory:
         """The row of every chunk of a flat string array."""
         coded = chunks.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        if len(self.rows) > REMEMBERED:
+        if len(self.rows) > self.remember:
             self._clear()
         if new := [x for x in names if x not in self.rows]:
             self._add(new)

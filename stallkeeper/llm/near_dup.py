@@ -6,18 +6,20 @@ by k places, has on them. As turned copies lie side by side, all coordinates of
 are one slice of one array. Signatures are banded; documents that share a band are
 candidates, and every link is confirmed on the full shingle sets.
 
-Within a band's bucket, candidates are compared with pivots, never all with all: what is
-already in one component needs no further link. Buckets in which components differ get more
-pivots, from the largest components first, until no untested pair could join two components.
+Within a band's bucket, candidates are compared with three pivots first, never all with all:
+what is in one component needs no further link. Where components still differ, those outside
+the bucket's largest one are compared with the rest, but only where one-bit sketches of the
+signatures leave it open that a pair is similar enough.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import Stash, load, python_ready
@@ -29,19 +31,26 @@ PERCENT = 75
 #: Bands and coordinates in a band: two documents at the threshold share no band three times in a million.
 #: Long bands keep apart documents that only share a passage, which shorter ones would bring together in large buckets.
 BANDS, ROWS = 64, 6
+#: Coordinates whose single bits sketch a candidate, as 64-bit words; similar pairs differ in more of the bits three times in ten million.
+SKETCH = 2048
+DIFFERENT, WORDS_OF_SKETCH = 331, SKETCH // 64
+#: Sets up to this size are compared whatever their sketches.
+SMALL_SET = 16
+#: Pivots that every member meets first: the least by number, so that members of a group meet the same ones.
+FIRST_PIVOTS = 4
 #: Places on the circle, and the seed of both permutations.
 CIRCLE, SEED = 1 << 20, 77
 #: Bytes of text that are hashed together.
 BLOCK = 2 << 20
+SKETCHES = [f"s{i}" for i in range(WORDS_OF_SKETCH)]
 _held: dict = {}
 
 
 def _tools() -> tuple[Rolling, np.ndarray]:
-    """The word hash (whose mixing with the circle's size is the first permutation) and the second permutation, extended by one turn of coordinates."""
+    """The word hash (whose mixing with the circle's size is the first permutation) and the second permutation, extended by the most turns."""
     if not _held:
         second = np.random.Generator(np.random.PCG64(SEED)).permutation(CIRCLE).astype(np.int32)
-        turned = np.concatenate([second, second[: BANDS * ROWS]])
-        _held["tools"] = Rolling(SEED), np.lib.stride_tricks.sliding_window_view(turned, BANDS * ROWS)
+        _held["tools"] = Rolling(SEED), np.concatenate([second, second[:SKETCH]])
     return _held["tools"]
 
 
@@ -62,47 +71,51 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
         first = last
 
 
+def coordinates(own: np.ndarray, count: int) -> np.ndarray:
+    """The first ``count`` coordinates of a non-empty set's signature."""
+    turned = np.lib.stride_tricks.sliding_window_view(_tools()[1], count)
+    places = (mix(own + np.uint64(SEED)) & np.uint64(CIRCLE - 1)).astype(np.int64)
+    least = np.full(count, CIRCLE, np.int32)
+    step = max(1, 800_000 // count)
+    for at in range(0, len(places), step):
+        least = np.minimum(least, turned[places[at : at + step]].min(axis=0))
+    return least
+
+
 def signature_bands(own: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band of a non-empty set."""
-    _, turned = _tools()
-    places = (mix(own + np.uint64(SEED)) & np.uint64(CIRCLE - 1)).astype(np.int64)
-    least = np.full(BANDS * ROWS, CIRCLE, np.int32)
-    for at in range(0, len(places), 2048):
-        least = np.minimum(least, turned[places[at : at + 2048]].min(axis=0))
-    values = least.astype(np.uint64).reshape(BANDS, ROWS)
+    values = coordinates(own, BANDS * ROWS).astype(np.uint64).reshape(BANDS, ROWS)
     key = np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, r])
     return key.view(np.int64)
 
 
+def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two digests of each set that don't depend on order."""
+    one = [int(np.bitwise_xor.reduce(mix(x + np.uint64(1)))) if len(x) else 0 for x in sets]
+    two = [int(np.sum(mix(x + np.uint64(2)), dtype=np.uint64)) if len(x) else 0 for x in sets]
+    return [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(values) if values else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in values])]), pa.int32()), pa.array(flat.view(np.int64)))
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        count, one, two, bands = [], [], [], []
-        for own in shingle_sets(batch.column(1)):
-            count.append(len(own))
-            one.append(int(np.bitwise_xor.reduce(mix(own + np.uint64(1)))) if len(own) else 0)
-            two.append(int(np.sum(mix(own + np.uint64(2)), dtype=np.uint64)) if len(own) else 0)
-            bands.append(signature_bands(own) if len(own) else np.zeros(0, np.int64))
-        sizes = np.concatenate([[0], np.cumsum([len(x) for x in bands])])
-        flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(count, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))],
-            ["doc_id", "n_shingles", "d1", "d2", "bands"],
-        )
+        found = list(shingle_sets(batch.column(1)))
+        bands = [signature_bands(x) if len(x) else np.zeros(0, np.int64) for x in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), *_digests(found), _lists(bands)], ["doc_id", "n_shingles", "d1", "d2", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = list(shingle_sets(batch.column(0)))
-        one = [int(np.bitwise_xor.reduce(mix(x + np.uint64(1)))) if len(x) else 0 for x in found]
-        two = [int(np.sum(mix(x + np.uint64(2)), dtype=np.uint64)) if len(x) else 0 for x in found]
-        sizes = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat.view(np.int64)))],
-            ["d1", "d2", "shingles"],
-        )
+        found = [x for x in shingle_sets(batch.column(0)) if len(x)]
+        bits = np.array([np.packbits(coordinates(x, SKETCH).astype(np.uint8) & 1).view(np.int64) for x in found], np.int64).reshape(-1, WORDS_OF_SKETCH)
+        columns = [*_digests(found), _lists(found), *(pa.array(bits[:, i].copy()) for i in range(WORDS_OF_SKETCH))]
+        yield pa.RecordBatch.from_arrays(columns, ["d1", "d2", "shingles", *SKETCHES])
 
 
 def components(links: DataFrame, stash: Stash, name: str) -> DataFrame:
@@ -135,8 +148,34 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(100 * both >= PERCENT * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+def _open(a: str, b: str) -> Column:
+    """Whether sizes and sketches leave it open that two sides (columns behind the prefixes) are similar enough."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    bits = reduce(Column.__add__, (F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in SKETCHES))
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((bits <= DIFFERENT) | (F.least(n, m) <= SMALL_SET))
+
+
+def _side(rows: DataFrame, prefix: str, *more: str) -> DataFrame:
+    return rows.select(*more, *(F.col(c).alias(f"{prefix}{c}") for c in ("node", "n", *SKETCHES)))
+
+
+def _open_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of nodes and pivots that may be similar enough."""
+    ends = pairs.select(F.least("node", "pivot").alias("a_node"), F.greatest("node", "pivot").alias("b_node")).distinct()
+    both = ends.join(_side(sketches, "a_"), "a_node").join(_side(sketches, "b_"), "b_node").where(_open("a_", "b_"))
+    return both.select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
+
+
+def _outside(members: DataFrame, labels: DataFrame, stash: Stash, step: str) -> DataFrame:
+    """Members of buckets that are outside their bucket's largest component.
+
+    Stashes the members with their labels as named-<step>.
+    """
+    named = stash.put(f"named-{step}", members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    shares = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("share"))
+    major = F.max(F.struct("share", "label"))["label"].alias("major")
+    mixed = stash.put(f"mixed-{step}", shares.groupBy("key").agg(major, F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "major"))
+    return stash.put(f"others-{step}", named.join(mixed, "key").where("label <> major").drop("major"))
 
 
 def find_groups(docs: DataFrame, stash: Stash) -> DataFrame:
@@ -157,7 +196,7 @@ def find_groups(docs: DataFrame, stash: Stash) -> DataFrame:
         usable.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
         .select(F.monotonically_increasing_id().alias("node"), "d1", "d2", F.col("n_shingles").alias("n"), "least", "bands"),
     )
-    banded = nodes.select(F.explode("bands").alias("key"), "node", "n")
+    banded = nodes.select(F.explode("bands").alias("key"), "node")
     # Three pivots for each bucket, by orders that hold in all buckets: members of a group meet the same few pivots.
     drawn = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"]
     pivots = F.array(F.min("node"), F.max("node"), drawn)
@@ -167,37 +206,31 @@ def find_groups(docs: DataFrame, stash: Stash) -> DataFrame:
     wanted = stash.put("wanted", nodes.join(touched, "node").select("node", "d1", "d2", "least"))
     # Sets are made again from the texts of candidates alone: to keep all of them would take more room than the texts.
     again = texts.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
-    sets = stash.put("sets", again.mapInArrow(_sets, "d1 long, d2 long, shingles array<long>").join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).groupBy("node").agg(F.first("shingles").alias("shingles")))
-
-    fits = f"100 * least(n, m) >= {PERCENT} * greatest(n, m)"
-    ordered = lambda pivot: members.select(F.least(pivot, "node").alias("u"), F.greatest(pivot, "node").alias("v"))
-    first = ordered(F.col("pivots")[0]).union(ordered(F.col("pivots")[1])).union(ordered(F.col("pivots")[2])).where("u <> v").distinct()
-    size_of = lambda end, n: nodes.select(F.col("node").alias(end), F.col("n").alias(n))
-    first = first.join(size_of("u", "n"), "u").join(size_of("v", "m"), "v").where(fits).select("u", "v")
-    links = stash.put("links-0", _confirm(first, sets))
-    labels = components(links, stash, "labels-0")
-    open_ = members.where("NOT array_contains(pivots, node)").select("key", "node", "n")
-    step, count = 0, 4
-    while True:
-        step += 1
-        named = _labelled(open_, labels)
-        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        left = named.join(mixed, "key", "left_semi")
-        rare = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("share"))
-        left = stash.put(f"open-{step}", left.join(rare, ["key", "label"]))
-        if left.isEmpty():
-            break
-        order = Window.partitionBy("key").orderBy(F.desc("share"), "node")
-        chosen = stash.put(f"pivots-{step}", left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).select("key", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("label").alias("own")))
-        pairs = (
-            left.join(chosen, "key").where("label <> own AND node <> pivot").where(fits)
-            .select(F.least("pivot", "node").alias("u"), F.greatest("pivot", "node").alias("v")).distinct()
-        )
-        links = stash.put(f"links-{step}", _confirm(pairs, sets))
-        if not links.isEmpty():
-            labels = components(links.union(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))), stash, f"labels-{step}")
-        open_ = left.select("key", "node", "n").join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
-        count *= 4
+    made = again.mapInArrow(_sets, "d1 long, d2 long, shingles array<long>, " + ", ".join(f"{c} long" for c in SKETCHES))
+    each = [F.first(c).alias(c) for c in ("shingles", *SKETCHES)]
+    sets = stash.put("sets", made.join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).groupBy("node").agg(*each))
+    sketches = sets.select("node", F.size("shingles").alias("n"), *SKETCHES)
+
+    met = [members.select("node", F.col("pivots")[i].alias("pivot")) for i in range(3)]
+    met = stash.put("met", met[0].union(met[1]).union(met[2]).where("node <> pivot").distinct())
+    few = Window.partitionBy("node").orderBy("pivot")
+    first = met.withColumn("rank", F.row_number().over(few)).where(F.col("rank") <= FIRST_PIVOTS)
+    links = stash.put("links-1", _confirm(_open_pairs(first, sketches), sets))
+    labels = components(links, stash, "labels-1")
+    # Those still outside meet all their pivots, and if that doesn't take them in, all members that their sketches leave open.
+    outside = _outside(members, labels, stash, "1").select("node").distinct()
+    links = stash.put("links-2", links.union(_confirm(_open_pairs(met.join(outside, "node", "left_semi"), sketches), sets)))
+    labels = components(links, stash, "labels-2")
+    others = _outside(members, labels, stash, "2")
+    rest = stash.get("named-2").join(stash.get("mixed-2").select("key"), "key")
+    sketched = lambda rows, prefix: _side(rows.join(sketches, "node").withColumnRenamed("label", f"{prefix}label"), prefix, "key", f"{prefix}label")
+    differ = F.col("a_label") != F.col("b_label")
+    pairs = sketched(others, "a_").join(sketched(rest, "b_"), "key").where(differ & _open("a_", "b_"))
+    pairs = stash.put("pairs", pairs.select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).distinct())
+    more = stash.put("links-3", _confirm(pairs, sets))
+    if not more.isEmpty():
+        labels = components(links.union(more), stash, "labels-3")
+    stash.drop("met", "pairs", *(f"{name}-{i}" for i in (1, 2) for name in ("named", "mixed", "others")))
     stash.drop("sets")
 
     placed = nodes.join(labels, "node", "left").select("node", "d1", "d2", "n", "least", F.coalesce("label", "node").alias("label"))
@@ -211,6 +244,7 @@ def find_groups(docs: DataFrame, stash: Stash) -> DataFrame:
 def keep_first(docs: DataFrame, stash: Stash) -> DataFrame:
     """The documents of which each group keeps the one with the least doc_id; all columns stay."""
     gone = stash.put("gone", find_groups(docs, stash).where("NOT kept").select("doc_id").distinct())
+    stash.drop("marks", "nodes", "members", "wanted")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

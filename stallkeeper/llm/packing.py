@@ -25,7 +25,7 @@ MAX_LENGTH = 2048
 END_ID = 1
 #: Marks that may follow a word and are no apostrophes.
 MARKS = ".,!?;:*#$%&|"
-_memories: dict[str, ChunkMemory] = {}
+_tokenizers: dict = {}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -42,45 +42,45 @@ def byte_letters() -> dict[int, int]:
 
 
 def word_memory(path: str) -> ChunkMemory:
-    """This tokenizer drops white space, so the ids of a text are those of its white-space-free chunks in turn."""
-    if path not in _memories:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-
-        spelled = byte_letters()
-
-        def library(parts: list[str]) -> Iterator[tuple[int, ...]]:
-            for part in parts:
-                if part.isalpha() and part.islower() and max(part) < "Ā":
-                    # One run of letters that normalization leaves alone: the model's own part of the work.
-                    yield tuple([t.id for t in tokenizer.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(spelled))])
-                else:
-                    yield tuple(tokenizer.encode(part, add_special_tokens=False).ids)
-
-        known: dict[str, tuple[int, ...]] = {"": ()}
-
-        def encode(chunks: list[str]) -> list[tuple[int, ...]]:
-            """A plain word with marks after it is cut before the marks, as the tokenizer does, so that few parts are new."""
-            if len(known) > REMEMBERED:
-                known.clear()
-                known[""] = ()
-            split = []
-            for x in chunks:
-                core = x.rstrip(MARKS)
-                plain = core.isalpha() and (core.isascii() or max(core) < "Ā")
-                split.append((core.lower(), x[len(core) :]) if plain else (x, ""))
-            if new := [x for x in dict.fromkeys(y for pair in split for y in pair) if x not in known]:
-                known.update(zip(new, library(new), strict=True))
-            return [known[a] + known[b] for a, b in split]
-
-        _memories[path] = ChunkMemory(encode)
-    return _memories[path]
+    """A fresh memory of what chunks become; tasks don't hand theirs on, so that later stages find the room free.
 
+    This tokenizer drops white space, so the ids of a text are those of its white-space-free chunks in turn.
+    """
+    if path not in _tokenizers:
+        from tokenizers import Tokenizer
 
-def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+        _tokenizers[path] = Tokenizer.from_file(path)
+    tokenizer, spelled = _tokenizers[path], byte_letters()
+
+    def library(parts: list[str]) -> Iterator[tuple[int, ...]]:
+        for part in parts:
+            if part.isalpha() and part.islower() and max(part) < "Ā":
+                # One run of letters that normalization leaves alone: the model's own part of the work.
+                yield tuple([t.id for t in tokenizer.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(spelled))])
+            else:
+                yield tuple(tokenizer.encode(part, add_special_tokens=False).ids)
+
+    known: dict[str, tuple[int, ...]] = {"": ()}
+
+    def encode(chunks: list[str]) -> list[tuple[int, ...]]:
+        """A plain word with marks after it is cut before the marks, as the tokenizer does, so that few parts are new."""
+        if len(known) > REMEMBERED:
+            known.clear()
+            known[""] = ()
+        split = []
+        for x in chunks:
+            core = x.rstrip(MARKS)
+            plain = core.isalpha() and (core.isascii() or max(core) < "Ā")
+            split.append((core.lower(), x[len(core) :]) if plain else (x, ""))
+        if new := [x for x in dict.fromkeys(y for pair in split for y in pair) if x not in known]:
+            known.update(zip(new, library(new), strict=True))
+        return [known[a] + known[b] for a, b in split]
+
+    return ChunkMemory(encode)
+
+
+def token_ids(texts: pa.Array, memory: ChunkMemory) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts end to end, and each text's number of ids."""
-    memory = word_memory(path)
     spaced = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
     chunks, bounds = split_lists(spaced, " ")
     rows = memory.look_up(chunks)
@@ -104,9 +104,9 @@ def pack(docs: DataFrame, path: str, longest: int = MAX_LENGTH, end_id: int = EN
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence = TaskContext.get().partitionId() << 40
+        sequence, memory = TaskContext.get().partitionId() << 40, word_memory(path)
         for batch in batches:
-            ids, counts = token_ids(batch.column(1), path)
+            ids, counts = token_ids(batch.column(1), memory)
             ends = np.cumsum(counts)
             # The end id follows every document's own.
             ids = np.insert(ids.astype("<u4"), ends, end_id)

@@ -118,7 +118,7 @@ class PieceBpe:
                 key = (before, piece)
                 fits = may.get(key)
                 if fits is None:
-                    if len(may) > 1_000_000:
+                    if len(may) > 300_000:
                         may.clear()
                     fits = may[key] = self._compatible(before, piece)
                 if fits:
@@ -171,13 +171,14 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 def memory_of(path: str) -> ChunkMemory:
+    """A fresh memory of what chunks become; the model is read once a worker."""
     if path not in _models:
-        model = PieceBpe(path)
-        _models[path] = ChunkMemory(
-            lambda chunks: [model.encode_chunk(x) for x in chunks],
-            lambda _, ids: (",".join(map(str, ids)), model.decode_pieces(ids)),
-        )
-    return _models[path]
+        _models[path] = PieceBpe(path)
+    model = _models[path]
+    return ChunkMemory(
+        lambda chunks: [model.encode_chunk(x) for x in chunks],
+        lambda _, ids: (",".join(map(str, ids)), model.decode_pieces(ids)),
+    )
 
 
 def chunks_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -234,7 +235,7 @@ def encode(docs: DataFrame, path: str, keep: str = "doc_id", with_ids: bool = Fa
             yield pa.RecordBatch.from_arrays(columns, names)
 
     names = [keep, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
-    python_ready(docs.sparkSession)
+    python_ready(docs.sparkSession, 4000)
     return docs.select(keep, F.col("text").cast("string")).mapInArrow(run, schema)
 
 

@@ -33,16 +33,22 @@ class Stash:
     def __init__(self, spark: SparkSession, owner: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{owner}-{uuid.uuid4().hex[:12]}"
+        self.schemas: dict = {}
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.schemas[name] = df.schema
+        return self.get(name)
 
-    def drop(self, name: str) -> None:
+    def get(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows up to which a table may be broadcast; counted before the hint is given.

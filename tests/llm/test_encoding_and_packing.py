@@ -61,7 +61,7 @@ def test_word_ids_equal_the_library(texts):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(packing.tokenizer_path())
-    ids, counts = packing.token_ids(pa.array([*texts, None]), packing.tokenizer_path())
+    ids, counts = packing.token_ids(pa.array([*texts, None]), packing.word_memory(packing.tokenizer_path()))
     at = 0
     for text, n in zip([*texts, ""], counts.tolist(), strict=True):
         assert ids[at : at + n].tolist() == library.encode(text, add_special_tokens=False).ids, text
