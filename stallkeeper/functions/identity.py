@@ -67,7 +67,7 @@ SPEC_FIELDS = (
 PHONE_VARIANT, PHONE_GATE = ("storage", "color", "mpn", "gtin"), ("storage", "color", "mpn", "gtin", "model_number")
 CPU_VARIANT, CPU_GATE = ("package", "mpn", "gtin"), ("package", "mpn", "gtin", "model_number")
 EXACT, VARIANT, DIFFERENT, UNCERTAIN = "same_exact_variant", "same_product_different_variant", "different_product", "uncertain"
-REVIEWER, MODEL = "human", "luna_medium"
+REVIEWER, MODEL = "human", "model"
 
 
 def _compact(found: Column) -> Column:
