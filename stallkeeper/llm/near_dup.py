@@ -9,7 +9,8 @@ candidates, and every link is confirmed on the full shingle sets.
 Within a band's bucket, candidates are compared with three pivots first, never all with all:
 what is in one component needs no further link. Where components still differ, those outside
 the bucket's largest one are compared with the rest, but only where one-bit sketches of the
-signatures leave it open that a pair is similar enough.
+signatures leave it open that a pair is similar enough, and only in the least bucket that a
+pair shares.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ SMALL_SET = 16
 FIRST_PIVOTS = 4
 #: Places on the circle, and the seed of both permutations.
 CIRCLE, SEED = 1 << 20, 77
+#: Bits of the table of wanted ids that is broadcast, and bits in one of its rows: 4 MB at most, whatever the number of ids.
+ID_BITS, ROW_BITS = 1 << 25, 1 << 15
 #: Bytes of text that are hashed together.
 BLOCK = 2 << 20
 SKETCHES = [f"s{i}" for i in range(WORDS_OF_SKETCH)]
@@ -155,7 +158,7 @@ def _open(a: str, b: str) -> Column:
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((bits <= DIFFERENT) | (F.least(n, m) <= SMALL_SET))
 
 
-def _side(rows: DataFrame, prefix: str, *more: str) -> DataFrame:
+def _side(rows: DataFrame, prefix: str, *more: str | Column) -> DataFrame:
     return rows.select(*more, *(F.col(c).alias(f"{prefix}{c}") for c in ("node", "n", *SKETCHES)))
 
 
@@ -166,16 +169,44 @@ def _open_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
 
 
-def _outside(members: DataFrame, labels: DataFrame, stash: Stash, step: str) -> DataFrame:
-    """Members of buckets that are outside their bucket's largest component.
-
-    Stashes the members with their labels as named-<step>.
-    """
+def _mixed(members: DataFrame, labels: DataFrame, stash: Stash, step: str) -> DataFrame:
+    """Members of buckets with several components, and whether they are outside their bucket's largest one."""
     named = stash.put(f"named-{step}", members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
     shares = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("share"))
     major = F.max(F.struct("share", "label"))["label"].alias("major")
-    mixed = stash.put(f"mixed-{step}", shares.groupBy("key").agg(major, F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "major"))
-    return stash.put(f"others-{step}", named.join(mixed, "key").where("label <> major").drop("major"))
+    mixed = shares.groupBy("key").agg(major, F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "major")
+    return stash.put(f"mixed-{step}", named.join(mixed, "key").select("key", "node", "label", (F.col("label") != F.col("major")).alias("outside")))
+
+
+def _open_within(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of different components that share a bucket and may be similar enough.
+
+    A pair is looked at in the least bucket that it shares, where one of the two at least is
+    outside the largest component.
+    """
+    each = mixed.groupBy("node", "label").agg(F.collect_list("key").alias("keys")).join(sketches, "node")
+    rows = mixed.select("key", "node", "outside").join(each, "node")
+    left = _side(rows.where("outside"), "a_", "key", F.col("label").alias("a_label"), F.col("keys").alias("a_keys"))
+    right = _side(rows, "b_", "key", F.col("label").alias("b_label"), F.col("keys").alias("b_keys"), "outside")
+    once = (F.col("a_label") != F.col("b_label")) & (~F.col("outside") | (F.col("a_node") < F.col("b_node")))
+    least = F.col("key") == F.array_min(F.array_intersect("a_keys", "b_keys"))
+    pairs = left.join(right, "key").where(once & _open("a_", "b_") & least)
+    return pairs.select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).distinct()
+
+
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of wanted ids.
+
+    A bit table of bounded size leaves out most others before the exact join shuffles texts.
+    When there are so many ids that it fills up, it lets more through and the join still decides.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
+    row, bit = F.floor(place / ROW_BITS).cast("int").alias("row"), F.pmod(place, F.lit(ROW_BITS)).alias("bit")
+    table = wanted.select(row, bit).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.floor(byte / F.pow(F.lit(2), F.pmod("bit", F.lit(8)))) % 2 == 1
+    near = texts.select("doc_id", "text", row, bit).join(F.broadcast(table), "row").where(is_set)
+    return near.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text")
 
 
 def find_groups(docs: DataFrame, stash: Stash) -> DataFrame:
@@ -197,40 +228,35 @@ def find_groups(docs: DataFrame, stash: Stash) -> DataFrame:
         .select(F.monotonically_increasing_id().alias("node"), "d1", "d2", F.col("n_shingles").alias("n"), "least", "bands"),
     )
     banded = nodes.select(F.explode("bands").alias("key"), "node")
+    # Most buckets hold one node: only counts are made for them.
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    members = stash.put("members", banded.join(shared, "key"))
     # Three pivots for each bucket, by orders that hold in all buckets: members of a group meet the same few pivots.
     drawn = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"]
-    pivots = F.array(F.min("node"), F.max("node"), drawn)
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), pivots.alias("pivots")).where("size > 1").select("key", "pivots")
-    members = stash.put("members", banded.join(shared, "key"))
+    pivots = members.groupBy("key").agg(F.array(F.min("node"), F.max("node"), drawn).alias("pivots"))
     touched = members.select("node").distinct()
     wanted = stash.put("wanted", nodes.join(touched, "node").select("node", "d1", "d2", "least"))
     # Sets are made again from the texts of candidates alone: to keep all of them would take more room than the texts.
-    again = texts.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    again = _texts_of(texts, wanted.select(F.col("least").alias("doc_id")))
     made = again.mapInArrow(_sets, "d1 long, d2 long, shingles array<long>, " + ", ".join(f"{c} long" for c in SKETCHES))
     each = [F.first(c).alias(c) for c in ("shingles", *SKETCHES)]
     sets = stash.put("sets", made.join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).groupBy("node").agg(*each))
     sketches = sets.select("node", F.size("shingles").alias("n"), *SKETCHES)
 
-    met = [members.select("node", F.col("pivots")[i].alias("pivot")) for i in range(3)]
-    met = stash.put("met", met[0].union(met[1]).union(met[2]).where("node <> pivot").distinct())
+    met = stash.put("met", members.join(pivots, "key").select("node", F.explode("pivots").alias("pivot")).where("node <> pivot").distinct())
     few = Window.partitionBy("node").orderBy("pivot")
     first = met.withColumn("rank", F.row_number().over(few)).where(F.col("rank") <= FIRST_PIVOTS)
     links = stash.put("links-1", _confirm(_open_pairs(first, sketches), sets))
     labels = components(links, stash, "labels-1")
     # Those still outside meet all their pivots, and if that doesn't take them in, all members that their sketches leave open.
-    outside = _outside(members, labels, stash, "1").select("node").distinct()
+    outside = _mixed(members, labels, stash, "1").where("outside").select("node").distinct()
     links = stash.put("links-2", links.union(_confirm(_open_pairs(met.join(outside, "node", "left_semi"), sketches), sets)))
     labels = components(links, stash, "labels-2")
-    others = _outside(members, labels, stash, "2")
-    rest = stash.get("named-2").join(stash.get("mixed-2").select("key"), "key")
-    sketched = lambda rows, prefix: _side(rows.join(sketches, "node").withColumnRenamed("label", f"{prefix}label"), prefix, "key", f"{prefix}label")
-    differ = F.col("a_label") != F.col("b_label")
-    pairs = sketched(others, "a_").join(sketched(rest, "b_"), "key").where(differ & _open("a_", "b_"))
-    pairs = stash.put("pairs", pairs.select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).distinct())
+    pairs = stash.put("pairs", _open_within(_mixed(members, labels, stash, "2"), sketches))
     more = stash.put("links-3", _confirm(pairs, sets))
     if not more.isEmpty():
         labels = components(links.union(more), stash, "labels-3")
-    stash.drop("met", "pairs", *(f"{name}-{i}" for i in (1, 2) for name in ("named", "mixed", "others")))
+    stash.drop("met", "pairs", *(f"{name}-{i}" for i in (1, 2) for name in ("named", "mixed")))
     stash.drop("sets")
 
     placed = nodes.join(labels, "node", "left").select("node", "d1", "d2", "n", "least", F.coalesce("label", "node").alias("label"))
