@@ -206,7 +206,8 @@ def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     is_set = F.floor(byte / F.pow(F.lit(2), F.pmod("bit", F.lit(8)))) % 2 == 1
     near = texts.select("doc_id", "text", row, bit).join(F.broadcast(table), "row").where(is_set)
-    return near.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text")
+    # A semi join would be moved below the bit table and shuffle all texts again.
+    return near.select("doc_id", "text").join(wanted.distinct(), "doc_id").select("text")
 
 
 def find_groups(docs: DataFrame, stash: Stash) -> DataFrame:
