@@ -89,6 +89,18 @@ def test_resampling_drops_bad_and_keeps_good(spark):
     assert resampling.resample(docs.limit(0), marks, Stash(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize(("table", "toxic_kept", "good_kept"), [("sf0.01", 0.05, 0.98), ("sf0.1", 0.05, 0.98)])
+def test_resampling_drops_unseen_toxic_documents_of_small_inputs(spark, table, toxic_kept, good_kept):
+    docs, labels = (load(spark, f"/root/testdata/{table}", name) for name in ("documents", "labels"))
+    # One in four toxic documents with a word of abuse gives no label, so what is said of it comes from the others.
+    unseen = (F.col("toxic") == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
+    kept = resampling.resample(docs, labels.where(~unseen), Stash(spark, "t")).select("doc_id", "kept").join(labels, "doc_id").join(docs, "doc_id")
+    abuse = F.col("text").rlike(r"(?i)\b(trash|idiot|scum|clown|moron|stupid|worthless|pathetic|disgusting|loser)\b")
+    share = lambda rows: rows.agg(F.avg(F.col("kept").cast("int"))).first()[0]
+    assert share(kept.where(unseen & abuse)) <= toxic_kept
+    assert share(kept.where("quality = 1 AND toxic = 0")) >= good_kept
+
+
 def test_kth_largest(spark):
     draw = random.Random(1)
     values = [round(draw.gauss(0, 1), 2) for _ in range(3000)] + [-500.0, 12.5, 12.5]
