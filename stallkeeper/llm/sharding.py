@@ -9,6 +9,8 @@ row counts differ by one at most.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,49 +32,57 @@ def record_size(text: Column) -> Column:
 
 def shuffle_into_shards(
     records: DataFrame, size: Column, stash: Stash, shards: int = SHARDS, seed: int = SEED,
-    bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS,
+    bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS, key: Sequence[str] = ("doc_id", "text"),
 ) -> DataFrame:
     """Adds ``shard`` (int, 0 to shards - 1) and ``slot`` (long, gapless from 0 in each shard).
 
     ``records`` may hold any columns that can be grouped; ``size`` is a record's bytes. Row
     counts of shards differ by one at most. The order depends only on the records and the
-    parameters, not on files or partitions.
+    parameters, not on files or partitions. A record's draw takes the columns of ``key`` that
+    are there (all, if none is) and its number among rows that are equal in them, so other
+    columns only order those rows.
 
-    Nulls are values like others. Equal rows are counted first and numbered, so that any
-    number of copies of one row scatters over all buckets. An empty table gives an empty
-    result. Input columns named shard or slot are replaced.
+    Nulls are values like others. Rows with equal keys are numbered, so that any number of
+    copies of one row scatters over all buckets. An empty table gives an empty result. Input
+    columns named shard or slot are replaced.
     """
     records = records.drop("shard", "slot")
     names = records.columns
     one = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
-    counted = records.select(one.alias("rec"), size.alias("bytes")).groupBy("rec", "bytes").agg(F.count(F.lit(1)).alias("copies"))
-    whole = stash.put("records", counted)
-    total = whole.agg(F.sum("copies").alias("rows"), F.sum(F.col("copies") * F.col("bytes")).alias("bytes")).first()
+    own = [c for c in key if c in names] or names
+    keyed = records.select(F.xxhash64(*(F.col(f"`{c}`") for c in own)).alias("own"), one.alias("rec"), size.alias("bytes"))
+    keys = stash.put("keys", keyed.groupBy("own").agg(F.count(F.lit(1)).alias("copies"), F.sum("bytes").alias("bytes")))
+    total = keys.agg(F.sum("copies").alias("rows"), F.sum("bytes").alias("bytes")).first()
     buckets = max(1, -(-(total["bytes"] or 0) // bucket_bytes), -(-(total["rows"] or 0) // bucket_rows))
 
-    draw = F.xxhash64(F.lit(seed), F.col("rec"), F.col("copy"))
-    scattered = (
-        whole.select("rec", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
-        .withColumn("draw", draw)
-        .withColumn("bucket", F.pmod(F.shiftrightunsigned("draw", 16), F.lit(buckets)).cast("int"))
-    )
+    draw = F.xxhash64(F.lit(seed), F.col("own"), F.col("copy"))
+    bucket = F.pmod(F.shiftrightunsigned("draw", 16), F.lit(buckets)).cast("int")
+    numbers = lambda before: F.explode(F.sequence(before + 1, before + F.col("copies"))).alias("copy")
+    # Keys alone tell how many rows each bucket gets. One row for each bucket: bounded by corpus bytes over bucket_bytes.
+    held = keys.select("own", numbers(F.lit(0).cast("long"))).select(draw.alias("draw")).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = broadcast_if_small(stash.put("offsets", held.select("bucket", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset"))))
+
+    repeated = stash.put("repeated", keys.where("copies > 1").select("own"))
+    rows = keyed.select("own", "rec", F.lit(1).cast("long").alias("copy"))
+    if not repeated.isEmpty():
+        repeated = broadcast_if_small(repeated)
+        among = Window.partitionBy("own").orderBy("rec").rowsBetween(Window.unboundedPreceding, -1)
+        equal = keyed.join(repeated, "own", "left_semi").groupBy("own", "rec").agg(F.count(F.lit(1)).alias("copies"))
+        equal = equal.withColumn("before", F.coalesce(F.sum("copies").over(among), F.lit(0)))
+        rows = rows.join(repeated, "own", "left_anti").union(equal.select("own", "rec", numbers(F.col("before"))))
     permuted = (
-        scattered.groupBy("bucket")
-        .agg(F.sort_array(F.collect_list(F.struct("draw", "copy", "rec"))).alias("held"))
+        rows.withColumn("draw", draw).withColumn("bucket", bucket)
         .repartition(buckets, "bucket")
+        .groupBy("bucket")
+        .agg(F.sort_array(F.collect_list(F.struct("draw", "copy", "rec"))).alias("held"))
         .sortWithinPartitions("bucket")
         .select("bucket", F.shuffle("held", F.lit(seed)).alias("held"))
     )
-    permuted = stash.put("permuted", permuted.select("bucket", F.size("held").cast("long").alias("rows"), "held"))
-    stash.drop("records")
-    # One row for each bucket: bounded by corpus bytes over bucket_bytes.
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = permuted.select("bucket", "rows").select("bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
-    offsets = broadcast_if_small(stash.put("offsets", offsets))
     place = F.col("offset") + F.col("at")
     return (
-        permuted.select("bucket", F.posexplode("held").alias("at", "one"))
-        .join(offsets, "bucket")
+        permuted.join(offsets, "bucket")
+        .select("offset", F.posexplode("held").alias("at", "one"))
         .select(
             *(F.col(f"one.rec.c{i}").alias(c) for i, c in enumerate(names)),
             F.pmod(place, F.lit(shards)).cast("int").alias("shard"),
@@ -81,18 +91,21 @@ def shuffle_into_shards(
     )
 
 
-def write_shards(documents: DataFrame, path: str, spark: SparkSession, shards: int = SHARDS, seed: int = SEED) -> None:
-    """Writes whole records, in slot order, as one folder ``shard=N`` for each shard."""
+def write_shards(documents: DataFrame, path: str, spark: SparkSession, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """Writes whole records as one folder ``shard=N`` for each shard, and returns what was written.
+
+    Each bucket appends one file in slot order to every shard, so texts are moved once.
+    """
     stash = Stash(spark, "shards")
     dealt = shuffle_into_shards(documents, record_size(F.col("text")), stash, shards, seed)
-    dealt.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return spark.read.schema(dealt.schema).parquet(path)
 
 
 def op5_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Law ``rows``: every document's shard and slot, with its size and checksum."""
-    docs = load(spark, sf_dir, "documents")
-    digests = docs.select("doc_id", record_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
-    dealt = shuffle_into_shards(digests, F.col("size"), Stash(spark, "op5"))
-    return dealt.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    """Law ``rows``: every document's shard and slot, with its size and checksum, from the shards as written."""
+    written = write_shards(load(spark, sf_dir, "documents"), f"{Stash(spark, 'op5').root}/shards", spark)
+    return written.select(
+        "doc_id", record_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )

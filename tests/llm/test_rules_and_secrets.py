@@ -94,6 +94,20 @@ def test_op5_digests(spark, tmp_path, docs):
     assert sorted((r["size"], r["text_crc32"]) for r in rows) == want
 
 
+def test_op5_shuffles_and_writes_whole_documents(spark, tmp_path, docs):
+    docs = docs.unionByName(docs.withColumn("lang", F.lit("xx")))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    written = sharding.write_shards(docs, f"{tmp_path}/shards", spark)
+    assert sorted(written.select(*docs.columns).collect(), key=str) == sorted(docs.collect(), key=str)
+    place = lambda rows: sorted(((r["doc_id"], r["size"], r["shard"], r["slot"]) for r in rows), key=str)
+    op5 = place(sharding.op5_shuffle_shards(spark, str(tmp_path)).collect())
+    assert op5 == place(written.withColumn("size", sharding.record_size(F.col("text"))).collect())
+    narrow = docs.select("doc_id", "text")
+    dealt = sharding.shuffle_into_shards(narrow, sharding.record_size(F.col("text")), Stash(spark, "t"))
+    assert op5 == place(dealt.withColumn("size", sharding.record_size(F.col("text"))).collect())
+    assert sharding.write_shards(docs.limit(0), f"{tmp_path}/none", spark).count() == 0
+
+
 KINDS = [
     ("assign", r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 12),
     ("access", r"(AKIA[A-Z0-9]+)", 1, 18),
