@@ -18,6 +18,11 @@ def category_priority(spark) -> DataFrame:
     return spark.createDataFrame([(c, i) for i, c in enumerate(CATEGORIES)], "category string, rank int")
 
 
+def broadcast_if_few(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """Hints a broadcast only for a table whose rows were counted and are few; otherwise the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def normalize_listings(raw: DataFrame, url_rules: DataFrame, marketplaces: tuple[str, ...] = ()) -> DataFrame:
     """Typed listings with ``reject_reason``: null for valid rows, else the first rule that failed.
 
@@ -26,7 +31,7 @@ def normalize_listings(raw: DataFrame, url_rules: DataFrame, marketplaces: tuple
     ``marketplaces`` may name a seller.
     """
     ready(raw.sparkSession)
-    joined = raw.join(F.broadcast(url_rules.limit(10_000)), "provider", "left")
+    joined = raw.join(broadcast_if_few(url_rules), "provider", "left")
     # In columns of their own, as Python functions can't stand inside array expressions.
     joined = joined.withColumns({"_url": join_url(F.col("base"), F.col("product_url")), "_image": join_url(F.col("base"), F.col("image_url"))})
     name = collapse(F.col("name"))
@@ -69,7 +74,7 @@ def reject_report(listings: DataFrame, examples: int = 20) -> DataFrame:
 
 def dedup_by_priority(listings: DataFrame, priority: DataFrame, key: str, depth: Column, ties: list[Column]) -> DataFrame:
     """One row for each key: deepest path, then first category in priority, then known price and stock, then name and brand."""
-    ranked = listings.join(F.broadcast(priority.limit(10_000)), "category")
+    ranked = listings.join(broadcast_if_few(priority), "category")
     order = Window.partitionBy(key).orderBy(
         depth.desc(), F.col("rank").asc(), F.col("price").isNull().asc(), F.col("in_stock").isNull().asc(), F.col("name").asc(), F.coalesce("brand", F.lit("")).asc(), *ties
     )

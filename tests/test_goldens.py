@@ -145,6 +145,16 @@ def best(spark, offer_rows, provider_rows):
     return [r.asDict() for r in offers.best_offers(trusted).collect()]
 
 
+def test_large_dimensions_lose_no_listings(spark):
+    many = spark.range(10_050)
+    known = rules(spark)
+    more = many.crossJoin(known.limit(1)).withColumn("provider", F.concat(F.lit("other"), "id")).drop("id").select(*known.columns).union(known)
+    assert staging.normalize_listings(raw(spark, LISTING), more).first()["reject_reason"] is None
+    listings = many.select(F.concat(F.lit("c"), "id").alias("category"), F.col("id").alias("key"), *(F.lit(1).alias(c) for c in ("price", "in_stock", "name", "brand")))
+    priority = many.select(F.concat(F.lit("c"), "id").alias("category"), F.col("id").alias("rank"))
+    assert staging.dedup_by_priority(listings, priority, "key", F.lit(0), []).count() == 10_050
+
+
 def test_failed_crawl_makes_prices_stale(spark):
     stale = best(spark, [(1, 1, "550", "known", True, None)], [(1, "a", DIRECT, [], "failed")])[0]
     assert (stale["price"], stale["price_status"], stale["last_seen_price"], stale["in_stock"], stale["stock_known"]) == (None, "stale", Decimal("550.00"), False, False)
