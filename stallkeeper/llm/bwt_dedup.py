@@ -2,23 +2,31 @@
 
 A byte goes if a string of ``length`` bytes that covers it also starts anywhere else. Such a
 string always has its winnowing anchor (the least hash among its k-grams) in the same place,
-so suffixes are dealt to tasks by anchor and no repeat is split. A task cuts its texts into
-shards, builds the transform of each, and merges the transforms two by two: starting from
-the first symbols it refines the interleave, doubling the compared prefix each time by
-composing the transforms' own successor maps. Within a shard the order is already right, so
-a refinement only merges two sorted runs and never sorts suffixes again. A block that is
-still whole at depth ``length`` is a repeated interval: its members share that long a prefix.
+so suffixes are dealt to tasks by anchor and no repeat is split. Runs of windows with one
+anchor are contexts; equal contexts are one entry that weighs as much as it has copies, so
+copies cost nothing. Every context whose anchor occurs again enters the transforms; anchors
+with very many contexts are cut finer by the bytes beside the anchor first.
+
+A task cuts its entries into shards, builds the transform of each, and merges the transforms
+two by two: starting from the first symbols it refines the interleave, doubling the compared
+prefix each time by composing the transforms' own successor maps. Within a shard the order
+is already right, so a refinement only merges two sorted runs and never sorts suffixes
+again. The depths at which neighbours part are their common prefixes (rounded down to the
+depths of the refinement), and where they reach ``length`` lies a repeated interval, whose
+members repeat each other if together they weigh more than one.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import Stash, load, python_ready
 from .textkit import Rolling, buffer_of, mix
@@ -28,10 +36,12 @@ LENGTH = 200
 GRAM = 24
 #: Contexts that a task merges on average, and bytes of the shards it begins with.
 BUCKET_CONTEXTS, SHARD_BYTES = 3000, 400_000
-#: Anchors with more distinct contexts than this are settled window by window over the cluster, so that none fills a task.
+#: Anchors with more distinct contexts than this are cut finer, so that none fills a task.
 HOT_CONTEXTS = 4000
-#: Bytes of text that are hashed together.
-BLOCK = 2 << 20
+#: Contexts that may each be more than one in so many of all; they are known to every task, so that no key of a join is hot.
+FREQUENT = 20_000
+#: Bytes of text that are hashed together (longer texts by overlapping parts), and bits that tell its places apart.
+BLOCK, PLACE_BITS = 2 << 20, np.uint64(22)
 #: Symbols in a first comparison: nine bits each.
 SYMBOLS = 7
 _held: dict = {}
@@ -53,22 +63,21 @@ def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts_of(raw: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Maximal runs of windows that have the same anchor.
+    """Maximal runs of windows that have the same anchor, for texts of a block of at most BLOCK + length bytes.
 
     For each run: the text's index, the start of its first window in the block, how many
     windows, where in the first one the anchor lies, the anchor's hash and two digests of the
-    bytes that the windows cover.
+    bytes that the windows cover. Of equal anchors in a window the leftmost counts.
     """
-    empty = dict.fromkeys(("text", "at", "windows", "inset"), np.zeros(0, np.int64)) | dict.fromkeys(("anchor", "d1", "d2"), np.zeros(0, np.uint64))
+    empty = dict.fromkeys(("text", "at", "windows", "inset"), np.zeros(0, np.int64)) | dict.fromkeys(("key", "d1", "d2"), np.zeros(0, np.uint64))
     if len(raw) < length:
         return empty
     one, two = _rollings()
     sums, other = one.sums(raw), two.sums(raw)
     at = np.arange(len(raw) - gram + 1)
     grams = mix(one.between(sums, at, at + gram))
-    bits = np.uint64(max(1, int(len(raw)).bit_length()))
-    least = _sliding_least((grams >> bits << bits) | at.astype(np.uint64), length - gram + 1)
-    anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    least = _sliding_least((grams >> PLACE_BITS << PLACE_BITS) | at.astype(np.uint64), length - gram + 1)
+    anchor = (least & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
     # Windows that end in the text in which they start.
     stays = np.zeros(len(raw) + 1, np.int32)
     ok = np.diff(bounds) >= length
@@ -85,22 +94,69 @@ def contexts_of(raw: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram:
     end = begin + count - 1 + length
     return {
         "text": np.searchsorted(bounds, begin, side="right") - 1, "at": begin, "windows": count, "inset": anchor - begin,
-        "anchor": grams[anchor], "d1": mix(one.between(sums, begin, end)), "d2": mix(two.between(other, begin, end)),
+        "key": grams[anchor], "d1": mix(one.between(sums, begin, end)), "d2": mix(two.between(other, begin, end)),
     }
 
 
-def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(bounds: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first text, text after the last, first byte, byte after the last): whole texts together, or overlapping parts of a long one."""
+    first = 0
+    while first < len(bounds) - 1:
+        last = int(np.searchsorted(bounds, bounds[first] + BLOCK, side="right")) - 1
+        if last > first:
+            yield first, last, int(bounds[first]), int(bounds[last])
+        else:
+            last = first + 1
+            for begin in range(int(bounds[first]), int(bounds[last]) - length + 1, BLOCK):
+                yield first, last, begin, min(begin + BLOCK + length - 1, int(bounds[last]))
+        first = last
+
+
+#: What is known of a run of windows: where it is, the part of the anchor's surroundings that its key stands for (bytes before
+#: and after the anchor's start) and two digests.
+RUN = "t1 long, t2 long, at int, windows int, inset int, before int, after int, key long, d1 long, d2 long"
+RUN_NAMES = [x.split()[0] for x in RUN.split(", ")]
+
+
+def _run_batch(t1: pa.Array, t2: pa.Array, small: list[np.ndarray], large: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([t1, t2, *(pa.array(x.astype(np.int32)) for x in small), *(pa.array(x.view(np.int64)) for x in large)], RUN_NAMES)
+
+
+def _context_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, bounds = buffer_of(batch.column(2))
-        first = 0
-        while first < len(bounds) - 1:
-            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + BLOCK, side="right")) - 1)
-            own = bounds[first : last + 1] - bounds[first]
-            x = contexts_of(raw[bounds[first] : bounds[last]], own)
+        for first, last, begin, end in _blocks(bounds, length):
+            own = np.clip(bounds[first : last + 1], begin, end) - begin
+            x = contexts_of(raw[begin:end], own, length)
             rows = pa.array(x["text"] + first)
-            columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((x["at"] - own[x["text"]]).astype(np.int32)), pa.array(x["windows"].astype(np.int32)), pa.array(x["inset"].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x[k].view(np.int64)) for k in ("anchor", "d1", "d2"))], ["doc_id", "text_hash", "at", "windows", "inset", "anchor", "d1", "d2"])
-            first = last
+            at = x["at"] + begin - bounds[x["text"] + first]
+            known = [np.zeros(len(at), np.int32), np.full(len(at), GRAM, np.int32)]
+            yield _run_batch(batch.column(0).take(rows), batch.column(1).take(rows), [at, x["windows"], x["inset"], *known], [x["key"], x["d1"], x["d2"]])
+
+
+def _finer_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Runs cut in two where more of the anchor's surroundings lies inside every window: half of the rest before it or half of it after."""
+    one, two = _rollings()
+    for batch in batches:
+        raw, bounds = buffer_of(batch.column(2))
+        rows, inside = _lists_of(batch.column(3))
+        sums, other = one.sums(raw), two.sums(raw)
+        at, windows, inset, before, after = (inside.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("at", "windows", "inset", "before", "after"))
+        more = (length - before - after + 1) // 2
+        left = np.clip(inset - before - more + 1, 0, windows)
+        for count, skip, b, a in ((left, np.zeros_like(left), before + more, after), (windows - left, left, before, after + more)):
+            some = np.flatnonzero(count)
+            row, place, n, i, b, a = rows[some], (at + skip)[some], count[some], (inset - skip)[some], b[some], a[some]
+            begin = bounds[row] + place
+            end, anchor = begin + n - 1 + length, begin + i
+            key = mix(one.between(sums, anchor - b, anchor + a) + b.astype(np.uint64))
+            take = pa.array(row)
+            yield _run_batch(batch.column(0).take(take), batch.column(1).take(take), [place, n, i, b, a], [key, mix(one.between(sums, begin, end)), mix(two.between(other, begin, end))])
+
+
+def _lists_of(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """The elements of a list column end to end, and the row of each."""
+    return np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False)), column.flatten()
 
 
 class Transform:
@@ -156,38 +212,43 @@ class Transform:
 
 
 def merge(left: Transform, right: Transform, length: int) -> tuple[Transform, np.ndarray]:
-    """The transform of both sets, and for each of its rows the number of its block at ``length``.
+    """The transform of both sets, and for each of its rows the common prefix with the row before.
 
-    Rows of a block share ``length`` symbols, or all symbols to their ends.
+    Common prefixes are rounded down to the depths of the refinement, of which the last is
+    ``length``; rows that are equal to their ends count as sharing ``length`` symbols.
     """
     sides = [left.follow(), right.follow()]
     n, m = len(left.symbols), len(right.symbols)
     firsts = np.concatenate([sides[0][0], sides[1][0]]).astype(np.uint64)
     after = np.concatenate([sides[0][1], sides[1][1] + n])
-    key, step = np.zeros(n + m, np.uint64), np.arange(n + m)
+    key, step, shared = np.zeros(n + m, np.uint64), np.arange(n + m), np.zeros(n + m, np.int16)
     depth = min(SYMBOLS, length)
     for _ in range(depth):
         key = (key << np.uint64(9)) | firsts[step]
         step = after[step]
-    order, block = _interleave(key)
+    order, block, alike = _interleave(key)
+    shared[alike] = depth
     while depth < length:
         # The last refinement overlaps the one before, so that it ends at ``length``.
         ahead = min(depth, length - depth)
         step = step if ahead == depth else _steps(after, ahead)
-        order, block = _interleave(block * (n + m) + block[step])
+        order, block, alike = _interleave(block * (n + m) + block[step])
         depth += ahead
+        shared[alike] = depth
         step = step[step]
     symbols, places = np.concatenate([left.symbols, right.symbols]), np.concatenate([left.places, right.places])
-    return Transform(symbols[order], places[order]), block[order]
+    return Transform(symbols[order], places[order]), shared
 
 
-def _interleave(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How two sides that are each in order lie together, and every row's block of equal keys."""
+def _interleave(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How two sides that are each in order lie together, every row's block of equal keys, and which of the ordered rows equal the one before."""
     order = np.argsort(key, kind="stable")  # of two sorted runs: one merge
     inside = key[order]
+    alike = np.zeros(len(key), bool)
+    alike[1:] = inside[1:] == inside[:-1]
     block = np.empty(len(key), np.int64)
-    block[order] = np.cumsum(np.append(False, inside[1:] != inside[:-1])[: len(key)])
-    return order, block
+    block[order] = np.cumsum(~alike) - 1
+    return order, block, alike
 
 
 def _steps(after: np.ndarray, count: int) -> np.ndarray:
@@ -204,8 +265,8 @@ def _steps(after: np.ndarray, count: int) -> np.ndarray:
 NOTHING = Transform(np.zeros(0, np.uint16), np.zeros(0, np.int64))
 
 
-def repeated_starts(strings: list[np.ndarray], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
-    """Whether the suffix at each place (strings end to end, each with one more place for its end) shares ``length`` bytes with another."""
+def repeated_starts(strings: list[np.ndarray], length: int = LENGTH, shard_bytes: int = SHARD_BYTES, weights: np.ndarray | None = None) -> np.ndarray:
+    """Whether the suffix at each place (strings end to end, each with one more place for its end) lies in an interval that shares ``length`` bytes and weighs more than one."""
     shards, own, size, offset = [], [], 0, 0
     for s in strings:
         own.append(s)
@@ -218,125 +279,154 @@ def repeated_starts(strings: list[np.ndarray], length: int = LENGTH, shard_bytes
         offset += size
     if not shards:
         return np.zeros(0, bool)
-    block = None
-    while len(shards) > 1 or block is None:
+    shared = None
+    while len(shards) > 1 or shared is None:
         pairs = [shards[i : i + 2] for i in range(0, len(shards), 2)]
         shards = []
         for pair in pairs:
             if len(pair) == 1 and len(pairs) > 1:
                 shards += pair
             else:
-                joined, block = merge(pair[0], pair[1] if len(pair) > 1 else NOTHING, length)
+                joined, shared = merge(pair[0], pair[1] if len(pair) > 1 else NOTHING, length)
                 shards.append(joined)
-    edge = np.append(True, block[1:] != block[:-1])
-    sizes = np.diff(np.append(np.flatnonzero(edge), len(block)))
+    begins = np.flatnonzero(shared < length)
+    heavy = np.ones(offset, np.int64) if weights is None else np.repeat(weights, [len(s) + 1 for s in strings])
+    weighs = np.add.reduceat(heavy[shards[0].places], begins)
     many = np.zeros(offset, bool)
-    many[shards[0].places] = np.repeat(sizes > 1, sizes)
+    many[shards[0].places] = np.repeat(weighs > 1, np.diff(np.append(begins, offset)))
     return many
 
 
+ENTRY = "t1 long, t2 long, at int, windows int, key long, copies long, d1 long, d2 long"
+ENTRY_NAMES = [x.split()[0] for x in ENTRY.split(", ")]
+
+
 def _bodies(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Cuts the wanted contexts out of each text."""
+    """Cuts the wanted contexts out of each text; of equal texts in a task once."""
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
+        names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        fresh = []
+        for i, name in enumerate(names):
+            if name not in seen:
+                seen.add(name)
+                fresh.append(i)
+        batch = batch.take(pa.array(fresh, pa.int64())) if len(fresh) < len(batch) else batch
         raw, bounds = buffer_of(batch.column(2))
-        wanted = batch.column(3)
-        per_text = wanted.value_lengths().to_numpy(zero_copy_only=False)
-        inside = wanted.flatten()
-        rows = np.repeat(np.arange(len(batch)), per_text)
+        rows, inside = _lists_of(batch.column(3))
         at, windows = (inside.field(k).to_numpy(zero_copy_only=False) for k in ("at", "windows"))
         begin = bounds[rows] + at
         end = begin + windows - 1 + length
         data = raw.tobytes()
         body = pa.array([data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
         take = pa.array(rows)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(take), batch.column(1).take(take), *(inside.field(k) for k in ("at", "windows", "anchor", "copies", "hot")), body],
-            ["doc_id", "text_hash", "at", "windows", "anchor", "copies", "hot", "body"],
-        )
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(inside.field(k) for k in ENTRY_NAMES[2:]), body], [*ENTRY_NAMES, "body"])
 
 
 def _merge_bucket(table: pa.Table, length: int) -> pa.Table:
-    """Ranges of one bucket's contexts that windows found repeated cover; contexts with copies are ruled on elsewhere."""
+    """Ranges of one bucket's contexts that lie in repeated intervals."""
     table = table.combine_chunks()
+    once = np.unique(np.stack([table[k].to_numpy() for k in ("d1", "d2")]), axis=1, return_index=True)[1]
+    table = table.take(pa.array(once))
     strings = [np.frombuffer(x, np.uint8) for x in table["body"].to_pylist()]
-    many = repeated_starts(strings, length)
-    owner, start, end, place = [], [], [], 0
-    for i, (s, copies, at) in enumerate(zip(strings, table["copies"].to_pylist(), table["at"].to_pylist(), strict=True)):
-        if copies == 1:
-            flags = np.zeros(len(s) - length + 3, np.int8)
-            flags[1:-1] = many[place : place + len(s) - length + 1]
-            change = np.flatnonzero(flags[1:] != flags[:-1])
-            for a, b in zip(change[::2].tolist(), change[1::2].tolist(), strict=True):
-                owner.append(i)
-                start.append(at + a)
-                end.append(at + b - 1 + length)
-        place += len(s) + 1
-    take = pa.array(owner, pa.int64())
-    return pa.table({"doc_id": table["doc_id"].take(take), "text_hash": table["text_hash"].take(take), "start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32())})
-
-
-def _window_digests(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    one, two = _rollings()
+    many = repeated_starts(strings, length, weights=table["copies"].to_numpy())
+    sizes = np.array([len(s) + 1 for s in strings], np.int64)
+    places = np.cumsum(sizes) - sizes
+    # Only places where a whole window begins count; the last ones of each string have none.
+    inner = np.arange(len(many)) - np.repeat(places, sizes)
+    flags = np.zeros(len(many) + 2, np.int8)
+    flags[1:-1] = many & (inner < np.repeat(sizes - length, sizes))
+    change = np.flatnonzero(flags[1:] != flags[:-1])
+    begin, end = change[::2], change[1::2]
+    owner = np.searchsorted(places, begin, side="right") - 1
+    at = table["at"].to_numpy()[owner] + begin - places[owner]
+    rows = pa.array(owner)
+    known = {k: table[k].take(rows) for k in ("t1", "t2", "copies", "d1", "d2")}
+    return pa.table(known | {"start": pa.array(at.astype(np.int32)), "end": pa.array((at + end - begin - 1 + length).astype(np.int32))})
+
+
+def _frequent_ranges(batches: Iterator[pa.RecordBatch], first: np.ndarray, second: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    """Ranges of runs that are among the frequent ones (digests in order of the first), those that touch in one text together."""
     for batch in batches:
-        for part in (batch.slice(i, 2000) for i in range(0, len(batch), 2000)):
-            raw, bounds = buffer_of(part.column(3))
-            count = np.diff(bounds) - length + 1
-            row = np.repeat(np.arange(len(part)), count)
-            inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            begin = bounds[row] + inner
-            w = [mix(r.between(r.sums(raw), begin, begin + length)).view(np.int64) for r in (one, two)]
-            take = pa.array(row)
-            at = part.column(2).to_numpy(zero_copy_only=False)[row] + inner
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(w[0]), pa.array(w[1])], ["doc_id", "text_hash", "start", "w1", "w2"])
+        d1, d2 = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+        place = np.minimum(np.searchsorted(first, d1), len(first) - 1)
+        some = np.flatnonzero((first[place] == d1) & (second[place] == d2))
+        if not len(some):
+            continue
+        t1, t2, at, windows = (batch.column(i).to_numpy()[some] for i in range(4))
+        end = at + windows - 1 + length
+        fresh = np.ones(len(some), bool)
+        fresh[1:] = (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]) | (at[1:] > end[:-1]) | (at[1:] <= at[:-1])
+        begins = np.flatnonzero(fresh)
+        ends = np.append(begins[1:], len(some)) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t1[begins], t2[begins], at[begins], end[ends].astype(np.int32))], ["t1", "t2", "start", "end"])
+
+
+RANGES = "t1 long, t2 long, start int, end int"
 
 
-RANGES = "doc_id long, text_hash long, start int, end int"
+def _with_lists(texts: DataFrame, runs: DataFrame, *fields: str) -> DataFrame:
+    """Texts that own some of the runs, with the list of them; a text's length bounds its list."""
+    lists = runs.groupBy("t1", "t2").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
+    return texts.join(lists, ["t1", "t2"]).select("t1", "t2", "text", "wanted")
+
+
+def _runs(texts: DataFrame, stash: Stash, length: int) -> tuple[DataFrame, DataFrame]:
+    """All runs of windows, and the distinct ones with copies and one of their places. No key has more than HOT_CONTEXTS distinct runs.
+
+    A key with more is cut finer by half of the window's bytes that it doesn't stand for yet,
+    until it stands for all of them; so a few rounds are enough whatever the texts.
+    """
+    runs, level = stash.put("runs-0", texts.mapInArrow(lambda b: _context_rows(b, length), RUN)), 0
+    while True:
+        one = F.min(F.struct("t1", "t2", "at")).alias("one")
+        distinct = stash.put(f"distinct-{level}", runs.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("key"), F.min("windows").alias("windows"), one))
+        hot = stash.put(f"hot-{level}", distinct.groupBy("key").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > HOT_CONTEXTS).select("key"))
+        if hot.isEmpty():
+            return runs, distinct
+        coarse = runs.join(hot, "key", "left_semi").distinct()
+        finer = _with_lists(texts, coarse, "at", "windows", "inset", "before", "after").mapInArrow(lambda b: _finer_rows(b, length), RUN)
+        level += 1
+        runs = stash.put(f"runs-{level}", runs.join(hot, "key", "left_anti").select(*RUN_NAMES).union(finer))
+        stash.drop(*(f"{name}-{level - 1}" for name in ("runs", "distinct", "hot")))
 
 
 def repeated_ranges(texts: DataFrame, stash: Stash, length: int = LENGTH) -> DataFrame:
-    """Byte ranges that repeated strings cover, for the texts' doc_id and text_hash; ranges may overlap."""
-    rows = "doc_id long, text_hash long, at int, windows int, inset int, anchor long, d1 long, d2 long"
-    runs = stash.put("runs", texts.mapInArrow(_context_rows, rows))
-    distinct = stash.put(
-        "distinct",
-        runs.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min("anchor").alias("anchor"), F.min("windows").alias("windows"), F.min(F.struct("doc_id", "text_hash", "at")).alias("one")),
-    )
-    # All windows of a context that occurs again occur again.
-    whole = runs.join(distinct.where("copies > 1").select("d1", "d2"), ["d1", "d2"]).select("doc_id", "text_hash", F.col("at").alias("start"), (F.col("at") + F.col("windows") - 1 + length).alias("end"))
-    ranges = [stash.put("whole", whole)]
-    stash.drop("runs")
-    anchors = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
-    open_ = stash.put("open", distinct.join(anchors, "anchor").select("one.*", "windows", "anchor", "copies", (F.col("contexts") > HOT_CONTEXTS).alias("hot")))
-    stash.drop("distinct")
-    wanted = open_.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "windows", "anchor", "copies", "hot")).alias("wanted"))
-    same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["text_hash"] == wanted["text_hash"])
-    found = texts.join(wanted, same).select(texts["doc_id"], texts["text_hash"], texts["text"], wanted["wanted"])
-    schema = "doc_id long, text_hash long, at int, windows int, anchor long, copies long, hot boolean, body binary"
-    bodies = stash.put("bodies", found.mapInArrow(lambda b: _bodies(b, length), schema))
+    """Distinct byte ranges that repeated strings cover, by the two hashes t1 and t2 of a text; ranges may overlap."""
+    spark = texts.sparkSession
+    runs, distinct = _runs(texts, stash, length)
+    again = distinct.groupBy("key").agg(F.sum("copies").alias("seen")).where("seen > 1").select("key")
+    open_ = stash.put("open", distinct.join(again, "key").select("one.*", *ENTRY_NAMES[3:]))
+    bodies = _with_lists(texts, open_, *ENTRY_NAMES[2:]).mapInArrow(lambda b: _bodies(b, length), f"{ENTRY}, body binary")
     buckets = max(1, -(-open_.count() // BUCKET_CONTEXTS))
-    ranges.append(stash.put("merged", (
-        bodies.where("NOT hot").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("int"))
-        .groupBy("bucket").applyInArrow(lambda t: _merge_bucket(t, length), RANGES)
-    )))
-    hot = bodies.where("hot").select("doc_id", "text_hash", "at", "body")
-    if not hot.isEmpty():
-        digests = stash.put("digests", hot.mapInArrow(lambda b: _window_digests(b, length), "doc_id long, text_hash long, start int, w1 long, w2 long"))
-        again = digests.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("w1", "w2")
-        ranges.append(stash.put("hot", digests.join(again, ["w1", "w2"]).select("doc_id", "text_hash", "start", (F.col("start") + length).alias("end"))))
-        stash.drop("digests")
-    stash.drop("bodies")
+    merged = stash.put("merged", (
+        bodies.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+        .groupBy("bucket").applyInArrow(lambda t: _merge_bucket(t, length), f"{RANGES}, copies long, d1 long, d2 long")
+    ))
     stash.drop("open")
-    out = ranges[0]
-    for more in ranges[1:]:
-        out = out.union(more)
-    return out
-
-
-def _cut(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordBatch]:
+    # What holds for an entry holds for all its copies. Those that are more than one run in FREQUENT are fewer than that.
+    ranges = [merged.where("copies = 1").select("t1", "t2", "start", "end")]
+    copied = stash.put("copied", merged.where("copies > 1").select("d1", "d2", "copies").distinct())
+    often = copied.where(F.col("copies") > runs.count() / FREQUENT).select("d1", "d2").toPandas().sort_values("d1")
+    rest = runs.select("t1", "t2", "at", "windows", "d1", "d2")
+    if len(often):
+        first, second = often["d1"].to_numpy(), often["d2"].to_numpy()
+        python_ready(spark, 20_000)
+        ranges.append(stash.put("frequent", rest.mapInArrow(lambda b: _frequent_ranges(b, first, second, length), RANGES)))
+        python_ready(spark, 500)
+        known = F.broadcast(spark.createDataFrame(often, "d1 long, d2 long"))
+        rest, copied = (x.join(known, ["d1", "d2"], "left_anti") for x in (rest, copied))
+    found = rest.join(copied.select("d1", "d2"), ["d1", "d2"]).select("t1", "t2", F.col("at").alias("start"), (F.col("at") + F.col("windows") - 1 + length).alias("end"))
+    ranges.append(stash.put("rest", found))
+    stash.drop("copied", *(f"{name}-{i}" for name in ("runs", "distinct", "hot") for i in range(10)))
+    return reduce(DataFrame.union, ranges)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Takes the ranges out of every text."""
     for batch in batches:
-        raw, bounds = buffer_of(batch.column(keep))
-        ranges = batch.column(keep + 1)
+        raw, bounds = buffer_of(batch.column(1))
+        ranges = batch.column(2)
         sizes = np.nan_to_num(ranges.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
         inside = ranges.flatten()
         start, end = (inside.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "end"))
@@ -361,45 +451,42 @@ def _cut(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordBatc
             texts.append(data.decode("utf-8", "ignore") if spans else None)
         new = [np.diff(bounds), np.array(n_removed, np.int64), np.array(n_spans, np.int64)]
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:keep], *map(pa.array, new), pa.array(sha, pa.string()), pa.array(texts, pa.string())],
-            [*batch.schema.names[:keep], "_bytes", "_removed", "_spans", "_sha", "_text"],
+            [batch.column(0), *map(pa.array, new), pa.array(sha, pa.string()), pa.array(texts, pa.string())],
+            ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "left"],
         )
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], stash: Stash, length: int = LENGTH) -> DataFrame:
-    """The kept columns with n_bytes, n_removed, n_spans, kept_sha256 and ``left`` for every document.
+    """One row for each document: ``row`` (a struct of the kept columns), n_bytes, n_removed, n_spans, kept_sha256 and ``left``.
 
     ``left`` is the new text where something was removed (bytes of a cut character go too),
     else null. A null text counts as empty. Repeated rows repeat each other's strings, so
-    both lose them. Null or repeated ids are kept: a text is known by id and hash. Texts
-    shorter than ``length`` bytes and empty tables lose nothing.
+    both lose them; equal texts are one entry on the way. Ids are not looked at, so null or
+    repeated ones are kept. Texts shorter than ``length`` bytes and empty tables lose
+    nothing. Kept columns may have any names.
     """
     python_ready(docs.sparkSession, 500)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    ranges = repeated_ranges(hashed, stash, length)
-    lists = ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("_ranges")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_ranges")
-    names = [f"k{i}" for i in range(len(keep))]
-    whole = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col("doc_id").cast("long").alias("_own"), text.alias("_whole"), F.xxhash64(text).alias("_own_hash"))
-    joined = whole.join(lists, whole["_own"].eqNullSafe(lists["_id"]) & (F.col("_own_hash") == F.col("_hash")), "left").select(*names, "_whole", "_ranges")
-    kinds = ", ".join(f"{n} {joined.schema[n].dataType.simpleString()}" for n in names)
-    cut = joined.mapInArrow(lambda b: _cut(b, len(names)), f"{kinds}, _bytes long, _removed long, _spans long, _sha string, _text string")
-    return cut.select(
-        *(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"),
-        F.col("_spans").alias("n_spans"), F.col("_sha").alias("kept_sha256"), F.col("_text").alias("left"),
-    )
+    hashes = F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")
+    ranges = repeated_ranges(docs.select(*hashes, text.alias("text")).where(F.octet_length("text") >= length), stash, length)
+    # Equal texts have equal ranges: a set of them, folded before it is shuffled, is bounded by the text.
+    lists = ranges.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), text.alias("whole"), *hashes)
+    joined = whole.join(lists, ["t1", "t2"], "left").select("row", "whole", "ranges")
+    kinds = T.StructType([joined.schema["row"]])
+    for name in ("n_bytes", "n_removed", "n_spans"):
+        kinds.add(name, "long")
+    return joined.mapInArrow(_cut, kinds.add("kept_sha256", "string").add("left", "string"))
 
 
 def without_repeats(docs: DataFrame, stash: Stash, length: int = LENGTH) -> DataFrame:
     """The documents with repeated strings removed from text and n_chars set anew; all rows and columns stay."""
     cut = remove_repeats(docs, docs.columns, stash, length)
-    changed = cut.withColumn("text", F.coalesce("left", "text"))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("left").isNotNull(), F.length("left").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+    changed = {"text": F.coalesce("left", "row.text"), "n_chars": F.when(F.col("left").isNotNull(), F.length("left").cast("long")).otherwise(F.col("row.n_chars"))}
+    return cut.select(*(changed[c].alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op2_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses when bytes under repeated strings of 200 bytes go."""
     cut = remove_repeats(load(spark, sf_dir, "documents"), ["doc_id"], Stash(spark, "op2"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -37,7 +37,11 @@ def test_merging_gives_the_transform_of_both():
     texts = [np.frombuffer(t, np.uint8) for t in (b"banana", b"bandana", b"", b"ananas")]
     a, b = bwt_dedup.Transform.build(texts[:2], 0), bwt_dedup.Transform.build(texts[2:], 15)
     both = bwt_dedup.Transform.build(texts, 0)
-    merged, _ = bwt_dedup.merge(a, b, 64)
+    merged, shared = bwt_dedup.merge(a, b, 64)
+    suffixes = sorted(t[i:].tobytes() + b"\0" for t in texts for i in range(len(t) + 1))
+    common = [0] + [next((k for k in range(70) if x[k : k + 1] != y[k : k + 1] or x[k] == 0), 0) for x, y in zip(suffixes, suffixes[1:], strict=False)]
+    for x, y, length, got in zip(suffixes[1:], suffixes[:-1], common[1:], shared.tolist()[1:], strict=True):
+        assert got == (64 if x == y else length // 7 * 7)
     assert merged.symbols.tolist() == both.symbols.tolist() and merged.places.tolist() == both.places.tolist()
 
 
@@ -72,12 +76,46 @@ def test_repeats_match_brute_force(spark, monkeypatch, hot):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = bwt_dedup.remove_repeats(docs, ["doc_id", "text"], Stash(spark, "t")).collect()
     want = Counter((t, *w) for t, w in zip(texts, removed([(t or "").encode() for t in texts], 200), strict=True))
-    assert Counter((r["text"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+    assert Counter((r["row"]["text"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
     cleaned = bwt_dedup.without_repeats(docs, Stash(spark, "t"))
     assert cleaned.columns == docs.columns and cleaned.count() == docs.count()
     assert bwt_dedup.remove_repeats(docs.limit(0), ["doc_id"], Stash(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [20_000, 2])
+def test_repeated_rows_and_clashing_names(spark, monkeypatch, frequent):
+    monkeypatch.setattr(bwt_dedup, "FREQUENT", frequent)
+    draw = random.Random(8)
+    prose = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 7))) for _ in range(n))
+    twin, other = prose(150), prose(300)
+    texts = [twin] * 1000 + [other, prose(20) + other[300:800] + twin[100:400], prose(90)]
+    names = ["left", "ranges", "whole", "row", "n_bytes", "kept_sha256", "t1", "t2", "wanted", "d1", "at", "copies", "odd name.x"]
+    rows = [(None, t, *["z"] * len(names)) for t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    stash = Stash(spark, "t")
+    got = bwt_dedup.remove_repeats(docs, docs.columns, stash).collect()
+    want = Counter((t, *w) for t, w in zip(texts, removed([t.encode() for t in texts], 200), strict=True))
+    assert Counter((r["row"]["text"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+    lists = bwt_dedup.repeated_ranges(docs.selectExpr("1L AS t1", "xxhash64(text) AS t2", "text"), Stash(spark, "t")).distinct().groupBy("t2").count().collect()
+    assert max(r["count"] for r in lists) <= 40  # bounded by the text, not by its copies
+    cleaned = bwt_dedup.without_repeats(docs, Stash(spark, "t"))
+    assert cleaned.columns == docs.columns and cleaned.where("`odd name.x` = 'z' AND left = 'z'").count() == len(rows)
+
+
+def test_a_text_longer_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(bwt_dedup, "BLOCK", 1000)
+    monkeypatch.setattr(bwt_dedup, "HOT_CONTEXTS", 6)
+    draw = random.Random(5)
+    unit = bytes(draw.choice(b"abcdefghij ") for _ in range(700)).decode()
+    phrase = "a phrase that many passages share "
+    texts = [unit + "".join(draw.choice("abcdefghij ") for _ in range(7000)) + unit[:450], "ab" * 4000]
+    texts += ["".join(draw.choice("klmnop ") for _ in range(150)) + phrase + "".join(draw.choice("klmnop ") for _ in range(150)) for _ in range(60)]
+    texts += [t[20:270] for t in texts[5:30]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["row"]["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in bwt_dedup.remove_repeats(docs, ["doc_id"], Stash(spark, "t")).collect()}
+    assert got == dict(enumerate(removed([t.encode() for t in texts], 200)))
+
+
 def shingle_set(text):
     words = re.findall("[^\x20\x09-\x0d]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
