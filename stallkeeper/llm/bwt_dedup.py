@@ -41,7 +41,7 @@ HOT_CONTEXTS = 4000
 #: Contexts that may each be more than one in so many of all; they are known to every task, so that no key of a join is hot.
 FREQUENT = 20_000
 #: Bytes of text that are hashed together (longer texts by overlapping parts), and bits that tell its places apart.
-BLOCK, PLACE_BITS = 2 << 20, np.uint64(22)
+BLOCK, PLACE_BITS = 1 << 20, np.uint64(22)
 #: Symbols in a first comparison: nine bits each.
 SYMBOLS = 7
 _held: dict = {}

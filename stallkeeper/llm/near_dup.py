@@ -8,9 +8,10 @@ candidates, and every link is confirmed on the full shingle sets.
 
 Within a band's bucket, candidates are compared with three pivots first, never all with all:
 what is in one component needs no further link. Where components still differ, those outside
-the bucket's largest one are compared with the rest, but only where one-bit sketches of the
-signatures leave it open that a pair is similar enough, and only in the least bucket that a
-pair shares.
+the bucket's largest one are compared with the rest, in the least bucket that a pair shares.
+Bit tables of the sets come before the sets themselves: every bit that only one of two tables
+has stands for a shingle at least that only one set has, so pairs that differ in too many
+bits are surely not similar enough.
 """
 
 from __future__ import annotations
@@ -32,11 +33,9 @@ PERCENT = 75
 #: Bands and coordinates in a band: two documents at the threshold share no band three times in a million.
 #: Long bands keep apart documents that only share a passage, which shorter ones would bring together in large buckets.
 BANDS, ROWS = 64, 6
-#: Coordinates whose single bits sketch a candidate, as 64-bit words; similar pairs differ in more of the bits three times in ten million.
-SKETCH = 2048
-DIFFERENT, WORDS_OF_SKETCH = 331, SKETCH // 64
-#: Sets up to this size are compared whatever their sketches.
-SMALL_SET = 16
+#: Bits of a set's bit table, as 64-bit words.
+TABLE_BITS = 2048
+TABLE = [f"s{i}" for i in range(TABLE_BITS // 64)]
 #: Pivots that every member meets first: the least by number, so that members of a group meet the same ones.
 FIRST_PIVOTS = 4
 #: Places on the circle, and the seed of both permutations.
@@ -44,8 +43,9 @@ CIRCLE, SEED = 1 << 20, 77
 #: Bits of the table of wanted ids that is broadcast, and bits in one of its rows: 4 MB at most, whatever the number of ids.
 ID_BITS, ROW_BITS = 1 << 25, 1 << 15
 #: Bytes of text that are hashed together.
-BLOCK = 2 << 20
-SKETCHES = [f"s{i}" for i in range(WORDS_OF_SKETCH)]
+BLOCK = 1 << 20
+#: Links up to which a graph's tables of nodes are broadcast: two numbers a node.
+SMALL_GRAPH = 200_000
 _held: dict = {}
 
 
@@ -53,7 +53,7 @@ def _tools() -> tuple[Rolling, np.ndarray]:
     """The word hash (whose mixing with the circle's size is the first permutation) and the second permutation, extended by the most turns."""
     if not _held:
         second = np.random.Generator(np.random.PCG64(SEED)).permutation(CIRCLE).astype(np.int32)
-        _held["tools"] = Rolling(SEED), np.concatenate([second, second[:SKETCH]])
+        _held["tools"] = Rolling(SEED), np.concatenate([second, second[: BANDS * ROWS]])
     return _held["tools"]
 
 
@@ -108,36 +108,47 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = list(shingle_sets(batch.column(1)))
+        found = list(shingle_sets(batch.column(2)))
         bands = [signature_bands(x) if len(x) else np.zeros(0, np.int64) for x in found]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), *_digests(found), _lists(bands)], ["doc_id", "n_shingles", "d1", "d2", "bands"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(x) for x in found], pa.int64()), *_digests(found), _lists(bands)], ["doc_id", "text_hash", "n_shingles", "d1", "d2", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [x for x in shingle_sets(batch.column(0)) if len(x)]
-        bits = np.array([np.packbits(coordinates(x, SKETCH).astype(np.uint8) & 1).view(np.int64) for x in found], np.int64).reshape(-1, WORDS_OF_SKETCH)
-        columns = [*_digests(found), _lists(found), *(pa.array(bits[:, i].copy()) for i in range(WORDS_OF_SKETCH))]
-        yield pa.RecordBatch.from_arrays(columns, ["d1", "d2", "shingles", *SKETCHES])
+        bits = np.zeros((len(found), TABLE_BITS), bool)
+        for row, x in zip(bits, found, strict=True):
+            row[(x >> np.uint64(32)).astype(np.int64) % TABLE_BITS] = True
+        tables = np.packbits(bits, axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*_digests(found), _lists(found), *(pa.array(tables[:, i].copy()) for i in range(len(TABLE)))], ["d1", "d2", "shingles", *TABLE])
 
 
-def components(links: DataFrame, stash: Stash, name: str) -> DataFrame:
+def components(links: DataFrame, stash: Stash, name: str, small_graph: int = SMALL_GRAPH) -> DataFrame:
     """(node, label): the least node that each linked node reaches. Alternates large and small stars until nothing changes.
 
-    Nodes without a link have no row. Each step is a written table; only two totals come to the driver.
+    Nodes without a link have no row. Each step is a written table; only two totals come to
+    the driver. What a star's nodes need to know of it is a row for each node: broadcast while
+    the links are few, else written, so that the join with it is a plain one whose hot keys
+    (centres of large stars) Spark can split.
     """
     edges = stash.put(f"{name}-0", links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    state, step = None, 0
+    count, state, step = edges.count(), None, 0
+
+    def beside(rows: DataFrame, what: str) -> DataFrame:
+        return F.broadcast(rows) if count <= small_graph else stash.put(f"{name}-{what}-{step}", rows)
+
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = beside(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        own = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = large if count <= small_graph else stash.put(f"{name}-large-{step}", large)
+        own = beside(large.groupBy("u").agg(F.min("v").alias("m")), "own")
         small = large.join(own, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(own.select("u", F.col("m").alias("v"))).distinct()
+        edges = stash.put(f"{name}-{step + 1}", small)
+        stash.drop(*(f"{name}-{what}{step}" for what in ("", "least-", "large-", "own-")))
         step += 1
-        edges = stash.put(f"{name}-{step}", small)
-        stash.drop(f"{name}-{step - 1}")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        count = now[0]
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
         state = now
@@ -152,20 +163,24 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _open(a: str, b: str) -> Column:
-    """Whether sizes and sketches leave it open that two sides (columns behind the prefixes) are similar enough."""
+    """Whether sizes and bit tables leave it open that two sides (columns behind the prefixes) are similar enough.
+
+    Sets of n and m with d elements in one of them only have a similarity of (n + m - d) / (n + m + d), and d is no less
+    than the bits in one table only.
+    """
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    bits = reduce(Column.__add__, (F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in SKETCHES))
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((bits <= DIFFERENT) | (F.least(n, m) <= SMALL_SET))
+    bits = reduce(Column.__add__, (F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in TABLE))
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * bits <= (100 - PERCENT) * (n + m))
 
 
 def _side(rows: DataFrame, prefix: str, *more: str | Column) -> DataFrame:
-    return rows.select(*more, *(F.col(c).alias(f"{prefix}{c}") for c in ("node", "n", *SKETCHES)))
+    return rows.select(*more, *(F.col(c).alias(f"{prefix}{c}") for c in ("node", "n", *TABLE)))
 
 
-def _open_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _open_pairs(pairs: DataFrame, tables: DataFrame) -> DataFrame:
     """Distinct pairs (u, v) of nodes and pivots that may be similar enough."""
     ends = pairs.select(F.least("node", "pivot").alias("a_node"), F.greatest("node", "pivot").alias("b_node")).distinct()
-    both = ends.join(_side(sketches, "a_"), "a_node").join(_side(sketches, "b_"), "b_node").where(_open("a_", "b_"))
+    both = ends.join(_side(tables, "a_"), "a_node").join(_side(tables, "b_"), "b_node").where(_open("a_", "b_"))
     return both.select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
 
 
@@ -178,13 +193,13 @@ def _mixed(members: DataFrame, labels: DataFrame, stash: Stash, step: str) -> Da
     return stash.put(f"mixed-{step}", named.join(mixed, "key").select("key", "node", "label", (F.col("label") != F.col("major")).alias("outside")))
 
 
-def _open_within(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
+def _open_within(mixed: DataFrame, tables: DataFrame) -> DataFrame:
     """Distinct pairs (u, v) of different components that share a bucket and may be similar enough.
 
     A pair is looked at in the least bucket that it shares, where one of the two at least is
     outside the largest component.
     """
-    each = mixed.groupBy("node", "label").agg(F.collect_list("key").alias("keys")).join(sketches, "node")
+    each = mixed.groupBy("node", "label").agg(F.collect_list("key").alias("keys")).join(tables, "node")
     rows = mixed.select("key", "node", "outside").join(each, "node")
     left = _side(rows.where("outside"), "a_", "key", F.col("label").alias("a_label"), F.col("keys").alias("a_keys"))
     right = _side(rows, "b_", "key", F.col("label").alias("b_label"), F.col("keys").alias("b_keys"), "outside")
@@ -211,7 +226,7 @@ def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def find_groups(docs: DataFrame, stash: Stash) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id and kept.
+    """One row for each document: doc_id, text_hash, n_shingles, component_id and kept.
 
     Documents without words (null or empty text) have no shingles and are linked with
     nothing. Rows with a null doc_id are linked with nothing either and kept, with a null
@@ -219,8 +234,8 @@ def find_groups(docs: DataFrame, stash: Stash) -> DataFrame:
     them. An empty table gives no rows. Other columns are not read.
     """
     python_ready(docs.sparkSession, 500)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    marks = stash.put("marks", texts.mapInArrow(_signatures, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
+    texts = docs.select(F.col("doc_id").cast("long"), _text_hash().alias("text_hash"), F.col("text").cast("string"))
+    marks = stash.put("marks", texts.mapInArrow(_signatures, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, bands array<long>"))
     usable = marks.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # Equal sets are one node, so no number of exact copies makes a bucket large.
     nodes = stash.put(
@@ -239,21 +254,21 @@ def find_groups(docs: DataFrame, stash: Stash) -> DataFrame:
     wanted = stash.put("wanted", nodes.join(touched, "node").select("node", "d1", "d2", "least"))
     # Sets are made again from the texts of candidates alone: to keep all of them would take more room than the texts.
     again = _texts_of(texts, wanted.select(F.col("least").alias("doc_id")))
-    made = again.mapInArrow(_sets, "d1 long, d2 long, shingles array<long>, " + ", ".join(f"{c} long" for c in SKETCHES))
-    each = [F.first(c).alias(c) for c in ("shingles", *SKETCHES)]
+    made = again.mapInArrow(_sets, "d1 long, d2 long, shingles array<long>, " + ", ".join(f"{c} long" for c in TABLE))
+    each = [F.first(c).alias(c) for c in ("shingles", *TABLE)]
     sets = stash.put("sets", made.join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).groupBy("node").agg(*each))
-    sketches = sets.select("node", F.size("shingles").alias("n"), *SKETCHES)
+    tables = sets.select("node", F.size("shingles").alias("n"), *TABLE)
 
     met = stash.put("met", members.join(pivots, "key").select("node", F.explode("pivots").alias("pivot")).where("node <> pivot").distinct())
     few = Window.partitionBy("node").orderBy("pivot")
     first = met.withColumn("rank", F.row_number().over(few)).where(F.col("rank") <= FIRST_PIVOTS)
-    links = stash.put("links-1", _confirm(_open_pairs(first, sketches), sets))
+    links = stash.put("links-1", _confirm(_open_pairs(first, tables), sets))
     labels = components(links, stash, "labels-1")
-    # Those still outside meet all their pivots, and if that doesn't take them in, all members that their sketches leave open.
+    # Those still outside meet all their pivots, and if that doesn't take them in, all members that their tables leave open.
     outside = _mixed(members, labels, stash, "1").where("outside").select("node").distinct()
-    links = stash.put("links-2", links.union(_confirm(_open_pairs(met.join(outside, "node", "left_semi"), sketches), sets)))
+    links = stash.put("links-2", links.union(_confirm(_open_pairs(met.join(outside, "node", "left_semi"), tables), sets)))
     labels = components(links, stash, "labels-2")
-    pairs = stash.put("pairs", _open_within(_mixed(members, labels, stash, "2"), sketches))
+    pairs = stash.put("pairs", _open_within(_mixed(members, labels, stash, "2"), tables))
     more = stash.put("links-3", _confirm(pairs, sets))
     if not more.isEmpty():
         labels = components(links.union(more), stash, "labels-3")
@@ -263,18 +278,38 @@ def find_groups(docs: DataFrame, stash: Stash) -> DataFrame:
     placed = nodes.join(labels, "node", "left").select("node", "d1", "d2", "n", "least", F.coalesce("label", "node").alias("label"))
     named = placed.groupBy("label").agg(F.min("least").alias("component_id"))
     by_set = placed.join(named, "label").select("d1", "d2", F.col("n").alias("n_shingles"), "component_id")
-    linked = usable.select("doc_id", "n_shingles", "d1", "d2").join(by_set, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
-    alone = marks.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = usable.select("doc_id", "text_hash", "n_shingles", "d1", "d2").join(by_set, ["d1", "d2", "n_shingles"]).select("doc_id", "text_hash", "n_shingles", "component_id")
+    alone = marks.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def keep_first(docs: DataFrame, stash: Stash) -> DataFrame:
-    """The documents of which each group keeps the one with the least doc_id; all columns stay."""
-    gone = stash.put("gone", find_groups(docs, stash).where("NOT kept").select("doc_id").distinct())
+    """One document of each group, with all its columns.
+
+    It is the one with the least doc_id; of several texts under that id the one with the
+    least hash; of rows that are equal in id and text any one. Rows that are linked with
+    nothing because they have no words or no doc_id all stay. A row goes by its own text, so
+    a text that is found nowhere else stays, whatever other rows share its id.
+    """
+    linked = stash.put("linked", find_groups(docs, stash).where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("component_id", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")))
     stash.drop("marks", "nodes", "members", "wanted")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    first = linked.where("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("least"))
+    # A few ids, one row each: those of equal texts under one id and those that lead a group.
+    judged = stash.put("judged", linked.join(first, "component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), ((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("least"))).alias("_first"), (F.col("rows") > 1).alias("_again")))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("_id"), _text_hash().alias("_hash"))
+    gone = judged.where("NOT _first OR _again").select("_id", "_hash")
+    kept = whole.join(gone, ["_id", "_hash"], "left_anti").select("row.*")
+    again = judged.where("_first AND _again").select("_id", "_hash")
+    if again.isEmpty():
+        return kept
+    one = whole.join(again, ["_id", "_hash"]).groupBy("_id", "_hash").agg(F.first("row").alias("row"))
+    return kept.union(one.select("row.*"))
 
 
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its set size, component and whether it is the one to keep."""
-    return find_groups(load(spark, sf_dir, "documents"), Stash(spark, "op9"))
+    return find_groups(load(spark, sf_dir, "documents"), Stash(spark, "op9")).drop("text_hash")

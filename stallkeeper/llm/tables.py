@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,25 +18,36 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where that is unset, one process that runs everything (local mode, as in tests) takes a
+    folder of its own; a cluster is refused, as its machines don't see each other's folders.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+
+
+#: Folders of this process that are still there, with the sessions that made them.
+_open: dict[str, SparkSession] = {}
 
 
 class Stash:
     """Tables written once to the shared folder and read back.
 
-    A written table survives the loss of any executor and is computed once however
-    often it is read. ``drop`` removes one that no later plan reads.
+    A written table survives the loss of any executor and is computed once however often it
+    is read. ``drop`` removes one that no later plan reads, ``close`` all of them, once the
+    results made from them are written. What is open when the process ends is removed then.
     """
 
     def __init__(self, spark: SparkSession, owner: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{owner}-{uuid.uuid4().hex[:12]}"
         self.schemas: dict = {}
+        _open[self.root] = spark
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -45,10 +59,27 @@ class Stash:
         return self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}")
+
+    def close(self) -> None:
+        _delete(self.spark, self.root)
+        _open.pop(self.root, None)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _sweep() -> None:
+    """Runs before Spark's own hook, which was registered earlier, ends the JVM; a session that was stopped already leaves its folders."""
+    for root, spark in list(_open.items()):
+        if getattr(spark.sparkContext, "_jsc", None) is not None:
+            with contextlib.suppress(Exception):  # the JVM may be gone by now
+                _delete(spark, root)
+    _open.clear()
 
 
 #: Rows up to which a table may be broadcast; counted before the hint is given.
@@ -65,6 +96,9 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def python_ready(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the rows and bytes of an Arrow batch, so that long texts don't fill a worker, and lets workers import this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    # Memory that a batch took goes back to the system once it is done, as workers live on.
+    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "2")):
+        spark.sparkContext.environment.setdefault(name, value)
     ready(spark)

@@ -11,6 +11,8 @@ WHITE = np.zeros(256, bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Powers that a hash keeps between texts at most.
+KEPT = 1 << 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,7 +37,8 @@ class Rolling:
         self.powers = self.inverses = np.ones(1, np.uint64)
 
     def grow(self, n: int) -> None:
-        if len(self.powers) < n:
+        """Powers for n bytes; those made for a very long text are let go with the next one that is not."""
+        if len(self.powers) < n or n <= KEPT < len(self.powers):
             n = max(n, 1 << 16)
             self.powers, self.inverses = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, x, np.uint64)]), dtype=np.uint64) for x in (self.base, self.back))
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stallkeeper.llm import bwt_dedup, near_dup
@@ -174,11 +175,45 @@ def test_near_duplicate_edge_cases(spark):
     assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(None, True)]
     assert {r["component_id"] for r in got if r["doc_id"] == 3} == {3}
     kept = near_dup.keep_first(docs, Stash(spark, "t"))
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {None, 3, 4}
+    # The text that only shares an id with a copy stays.
+    assert kept.columns == docs.columns and sorted(kept.select("doc_id", "text").collect(), key=str) == sorted([(None, text), (3, text), (4, None), rows[5]], key=str)
     assert near_dup.find_groups(docs.limit(0), Stash(spark, "t")).count() == 0
 
 
-def test_components_of_a_long_chain(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
-    got = {r["node"]: r["label"] for r in near_dup.components(links, Stash(spark, "t"), "c").collect()}
-    assert got == {i: 0 for i in range(1, 61)} | {101: 100}
+def test_one_of_equal_rows_stays(spark):
+    text, other = "these are seven words of a text", "a text of its own with other words in it"
+    rows = [(5, text, "x"), (5, text, "x"), (5, text, "x"), (5, other, "x"), (9, text, "x"), (2, other + " too", "x"), (8, None, "x"), (8, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hash string").selectExpr("*", "1 AS row", "2 AS _first")
+    kept = near_dup.keep_first(docs, Stash(spark, "t"))
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(5, text), (2, other + " too"), (8, None), (8, None)], key=str)
+
+
+def test_bit_tables_never_rule_out_a_similar_pair(spark):
+    draw = random.Random(6)
+    texts = []
+    for n in (3, 8, 40, 400, 3000):
+        base = [f"w{draw.randrange(10**6)}" for _ in range(n)]
+        for changes in (0, 1, n // 60, n // 30, n // 10):
+            copy = list(base)
+            for at in draw.sample(range(n), changes if n > 1 else 0):
+                copy[at] = f"v{draw.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    table = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    rows = next(near_dup._sets(iter([table]))).to_pylist()
+    sides = [(i, len(r["shingles"]), *(r[c] for c in near_dup.TABLE)) for i, r in enumerate(rows)]
+    made = spark.createDataFrame(sides, "node long, n long, " + ", ".join(f"{c} long" for c in near_dup.TABLE))
+    open_ = {(r[0], r[1]) for r in near_dup._side(made, "a_").crossJoin(near_dup._side(made, "b_")).where(near_dup._open("a_", "b_")).select("a_node", "b_node").collect()}
+    sets = [set(r["shingles"]) for r in rows]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if 100 * len(a & b) >= 75 * len(a | b):
+                assert (i, j) in open_
+    assert len(open_) < len(sets) ** 2 / 2
+
+
+@pytest.mark.parametrize("small_graph", [200_000, 0])
+def test_components_of_a_long_chain(spark, small_graph):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)] + [(200, 200 + i) for i in range(1, 40)], "u long, v long")
+    got = {r["node"]: r["label"] for r in near_dup.components(links, Stash(spark, "t"), "c", small_graph).collect()}
+    assert got == {i: 0 for i in range(1, 61)} | {101: 100} | {200 + i: 200 for i in range(1, 40)}
