@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import Stash, load, python_ready
+from .tables import Stash, broadcast_if_small, load, python_ready
 from .textkit import Rolling, buffer_of, mix
 
 LENGTH = 200
 #: Bytes of an anchor.
 GRAM = 24
 #: Contexts that a task merges on average, and bytes of the shards it begins with.
-BUCKET_CONTEXTS, SHARD_BYTES = 3000, 400_000
+BUCKET_CONTEXTS, SHARD_BYTES = 1000, 200_000
 #: Anchors with more distinct contexts than this are cut finer, so that none fills a task.
 HOT_CONTEXTS = 4000
 #: Contexts that may each be more than one in so many of all; they are known to every task, so that no key of a join is hot.
@@ -159,15 +159,44 @@ def _lists_of(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
     return np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False)), column.flatten()
 
 
+class Order:
+    """Rows in order of a key that is refined step by step; only rows of blocks that are still equal are looked at again."""
+
+    def __init__(self, key: np.ndarray, stable: bool = True):
+        self.rows, self.rank, self.open = np.zeros(len(key), np.int32), np.zeros(len(key), np.int32), np.arange(len(key))
+        self._place(np.arange(len(key)), key, stable)
+
+    def _place(self, rows: np.ndarray, key: np.ndarray, stable: bool) -> None:
+        """Sorts the open rows by key; a row's rank is the place where its block begins. ``alike`` are places whose row equals the one before."""
+        order = np.argsort(key, kind="stable" if stable else None)
+        key, rows = key[order], rows[order]
+        fresh = np.ones(len(key) + 1, bool)
+        fresh[1:-1] = key[1:] != key[:-1]
+        self.rows[self.open] = rows
+        begins = np.flatnonzero(fresh[:-1])
+        self.rank[rows] = np.repeat(self.open[begins], np.diff(np.append(begins, len(key))))
+        self.alike = self.open[~fresh[:-1]]
+        self.open = self.open[~(fresh[:-1] & fresh[1:])]
+
+    def refine(self, more: np.ndarray, stable: bool = True) -> None:
+        """Splits the blocks of the open rows by one more number for each of them, below their count plus two."""
+        rows = self.rows[self.open]
+        self._place(rows, self.rank[rows].astype(np.int64) * (len(self.rank) + 2) + more, stable)
+
+    def settle(self) -> None:
+        """Brings rows that stayed equal in order of their numbers."""
+        self.refine(self.rows[self.open])
+
+
 class Transform:
-    """The Burrows-Wheeler transform of a set of strings, with the text position of every suffix.
+    """The Burrows-Wheeler transform of a set of strings, with the text position and the first SYMBOLS symbols of every suffix.
 
     Symbols are bytes plus one; 0 ends a string. Strings end apart, so suffixes that are
     equal to their ends keep the order of their strings.
     """
 
-    def __init__(self, symbols: np.ndarray, places: np.ndarray):
-        self.symbols, self.places = symbols, places
+    def __init__(self, symbols: np.ndarray, places: np.ndarray, heads: np.ndarray):
+        self.symbols, self.places, self.heads = symbols, places, heads
 
     @classmethod
     def build(cls, strings: list[np.ndarray], offset: int) -> Transform:
@@ -185,30 +214,22 @@ class Transform:
         for k in range(SYMBOLS):
             key <<= np.uint64(9)
             key[: max(n - k, 0)] |= np.where(room[: max(n - k, 0)] > k, text[k:], 0).astype(np.uint64)
-        depth = SYMBOLS
-        order = np.argsort(key)
-        while True:
-            inside = key[order]
-            rank = np.empty(n, np.int64)
-            split = np.append(0, np.cumsum(inside[1:] != inside[:-1]))
-            rank[order] = split
-            if depth > room.max() or split[-1] == n - 1:
-                break
-            ahead = np.where(room >= depth, rank[np.minimum(np.arange(n) + depth, n - 1)] + 1, 0)
-            key = rank * (n + 1) + ahead
-            order = np.argsort(key)
+        order, depth = Order(key, stable=False), SYMBOLS
+        while len(order.open) and depth <= room.max():
+            rows = order.rows[order.open]
+            order.refine(np.where(room[rows] >= depth, order.rank[np.minimum(rows + depth, n - 1)] + 1, 0), stable=False)
             depth *= 2
-        order = np.argsort(rank * n + np.arange(n))
-        before = text[np.maximum(order, 1) - 1]
-        before[order == 0] = 0
-        return cls(before, order + offset)
+        order.settle()
+        before = text[np.maximum(order.rows, 1) - 1]
+        before[order.rows == 0] = 0
+        return cls(before, order.rows + offset, key[order.rows])
 
-    def follow(self) -> tuple[np.ndarray, np.ndarray]:
-        """First symbols of all suffixes, and the row of the suffix one symbol on; an ended string stays where it is."""
+    def follow(self) -> np.ndarray:
+        """The row of the suffix one symbol on, for every row; an ended string stays where it is."""
         after = np.argsort(self.symbols, kind="stable")
         ended = int((self.symbols == 0).sum())
         after[:ended] = np.arange(ended)
-        return np.sort(self.symbols, kind="stable"), after
+        return after
 
 
 def merge(left: Transform, right: Transform, length: int) -> tuple[Transform, np.ndarray]:
@@ -217,52 +238,49 @@ def merge(left: Transform, right: Transform, length: int) -> tuple[Transform, np
     Common prefixes are rounded down to the depths of the refinement, of which the last is
     ``length``; rows that are equal to their ends count as sharing ``length`` symbols.
     """
-    sides = [left.follow(), right.follow()]
-    n, m = len(left.symbols), len(right.symbols)
-    firsts = np.concatenate([sides[0][0], sides[1][0]]).astype(np.uint64)
-    after = np.concatenate([sides[0][1], sides[1][1] + n])
-    key, step, shared = np.zeros(n + m, np.uint64), np.arange(n + m), np.zeros(n + m, np.int16)
-    depth = min(SYMBOLS, length)
-    for _ in range(depth):
-        key = (key << np.uint64(9)) | firsts[step]
-        step = after[step]
-    order, block, alike = _interleave(key)
-    shared[alike] = depth
-    while depth < length:
+    n, m, depth = len(left.symbols), len(right.symbols), min(SYMBOLS, length)
+    after = np.concatenate([left.follow(), right.follow() + n]).astype(np.int32)
+    heads, shared = np.concatenate([left.heads, right.heads]), np.zeros(n + m, np.int16)
+    key = heads >> np.uint64(9 * (SYMBOLS - depth))
+    step = _power(after, depth)
+    order = Order(key)  # of two sorted runs: one merge
+    shared[order.alike] = depth
+    steps = [(depth, step)]
+    while depth < length and len(order.open):
         # The last refinement overlaps the one before, so that it ends at ``length``.
         ahead = min(depth, length - depth)
-        step = step if ahead == depth else _steps(after, ahead)
-        order, block, alike = _interleave(block * (n + m) + block[step])
+        order.refine(order.rank[_ahead(order.rows[order.open], ahead, steps, after)])
         depth += ahead
-        shared[alike] = depth
-        step = step[step]
+        shared[order.alike] = depth
+        if depth < length:
+            step = step[step]
+            steps.append((depth, step))
     symbols, places = np.concatenate([left.symbols, right.symbols]), np.concatenate([left.places, right.places])
-    return Transform(symbols[order], places[order]), shared
-
-
-def _interleave(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How two sides that are each in order lie together, every row's block of equal keys, and which of the ordered rows equal the one before."""
-    order = np.argsort(key, kind="stable")  # of two sorted runs: one merge
-    inside = key[order]
-    alike = np.zeros(len(key), bool)
-    alike[1:] = inside[1:] == inside[:-1]
-    block = np.empty(len(key), np.int64)
-    block[order] = np.cumsum(~alike) - 1
-    return order, block, alike
+    return Transform(symbols[order.rows], places[order.rows], heads[order.rows]), shared
 
 
-def _steps(after: np.ndarray, count: int) -> np.ndarray:
-    """The row ``count`` symbols on."""
-    out, power = np.arange(len(after)), after
+def _power(after: np.ndarray, count: int) -> np.ndarray:
+    """The rows ``count`` symbols on, for all rows."""
+    out = None
     while count:
         if count & 1:
-            out = power[out]
-        power = power[power]
+            out = after if out is None else after[out]
         count >>= 1
+        after = after[after] if count else after
     return out
 
 
-NOTHING = Transform(np.zeros(0, np.uint16), np.zeros(0, np.int64))
+def _ahead(rows: np.ndarray, count: int, steps: list[tuple[int, np.ndarray]], after: np.ndarray) -> np.ndarray:
+    """The rows ``count`` symbols on, by the longest steps that are known."""
+    for size, step in reversed(steps):
+        if size <= count:
+            rows, count = step[rows], count - size
+    for _ in range(count):
+        rows = after[rows]
+    return rows
+
+
+NOTHING = Transform(np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
 def repeated_starts(strings: list[np.ndarray], length: int = LENGTH, shard_bytes: int = SHARD_BYTES, weights: np.ndarray | None = None) -> np.ndarray:
@@ -372,23 +390,26 @@ def _with_lists(texts: DataFrame, runs: DataFrame, *fields: str) -> DataFrame:
 
 
 def _runs(texts: DataFrame, stash: Stash, length: int) -> tuple[DataFrame, DataFrame]:
-    """All runs of windows, and the distinct ones with copies and one of their places. No key has more than HOT_CONTEXTS distinct runs.
+    """Runs of windows, and distinct ones with copies and one of their places. No key has more than HOT_CONTEXTS distinct runs.
 
-    A key with more is cut finer by half of the window's bytes that it doesn't stand for yet,
-    until it stands for all of them; so a few rounds are enough whatever the texts.
+    Those of a key with more are cut finer by half of the window's bytes that it doesn't stand
+    for yet, until it stands for all of them; so a few rounds are enough whatever the texts.
+    What was cut stays among the runs but not among the distinct ones, so nothing is said of it.
     """
-    runs, level = stash.put("runs-0", texts.mapInArrow(lambda b: _context_rows(b, length), RUN)), 0
+    now, runs, kept = stash.put("runs-0", texts.mapInArrow(lambda b: _context_rows(b, length), RUN)), [], []
     while True:
+        level = len(runs)
+        runs.append(now)
         one = F.min(F.struct("t1", "t2", "at")).alias("one")
-        distinct = stash.put(f"distinct-{level}", runs.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("key"), F.min("windows").alias("windows"), one))
+        distinct = stash.put(f"distinct-{level}", now.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("key"), F.min("windows").alias("windows"), one))
         hot = stash.put(f"hot-{level}", distinct.groupBy("key").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > HOT_CONTEXTS).select("key"))
         if hot.isEmpty():
-            return runs, distinct
-        coarse = runs.join(hot, "key", "left_semi").distinct()
+            return reduce(DataFrame.union, runs), reduce(DataFrame.union, [*kept, distinct])
+        hot = broadcast_if_small(hot)
+        kept.append(distinct.join(hot, "key", "left_anti").select(*distinct.columns))
+        coarse = now.join(hot, "key", "left_semi").distinct()
         finer = _with_lists(texts, coarse, "at", "windows", "inset", "before", "after").mapInArrow(lambda b: _finer_rows(b, length), RUN)
-        level += 1
-        runs = stash.put(f"runs-{level}", runs.join(hot, "key", "left_anti").select(*RUN_NAMES).union(finer))
-        stash.drop(*(f"{name}-{level - 1}" for name in ("runs", "distinct", "hot")))
+        now = stash.put(f"runs-{level + 1}", finer)
 
 
 def repeated_ranges(texts: DataFrame, stash: Stash, length: int = LENGTH) -> DataFrame:
