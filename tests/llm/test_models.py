@@ -1,9 +1,13 @@
 """Resampling, neighbours, rollups and the pipeline."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -13,7 +17,7 @@ from stallkeeper.llm.tables import Stash, load
 
 def test_walk_takes_cells_by_summed_distance():
     draw = np.random.default_rng(1)
-    books = draw.normal(size=(5, 4)), draw.normal(size=(6, 4))
+    books = draw.normal(size=(5, 5)), draw.normal(size=(6, 5))
     sizes, query = draw.integers(0, 4, 30), draw.normal(size=8)
     one, two = multi_index.distances(query, books)
     order = np.argsort((one[:, None] + two[None, :]).ravel(), kind="stable")
@@ -50,6 +54,33 @@ def test_search_reaches_its_recall(spark, n, copies):
     assert hits >= 0.9 * total
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_ties_among_distinct_vectors_go_to_the_smaller_id(spark, kind, monkeypatch):
+    monkeypatch.setattr(multi_index, "_enough", lambda *_: 1 << 60)  # all cells
+    draw = random.Random(3)
+    # All have the same inner product with the query, as only its first component isn't 0.
+    rows = [(0, [2.0] + [0.0] * 5)] + [(i, [0.1] + [draw.gauss(0, 1) for _ in range(5)]) for i in range(1, 191)]
+    draw.shuffle(rows)
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    got = multi_index.search(table, F.col("vec_id") == 0, Stash(spark, "t")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == list(range(1, 21))
+    assert {r["score"] for r in got} == {2.0 * (0.1 if kind == "double" else float(np.float32(0.1)))}
+
+
+@pytest.mark.parametrize("dimension", [1, 3, 32])
+def test_the_dimension_comes_from_the_data(spark, dimension):
+    draw = np.random.default_rng(dimension)
+    rows = [(i, draw.normal(size=dimension).tolist()) for i in range(100)] + [(i, [1.0] * (dimension + 1)) for i in range(100, 130)]
+    got = multi_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 10, Stash(spark, "t"), k=5, recall=1.0).collect()
+    assert len(got) == 50 and all(r["vec_id"] < 100 for r in got)
+    for r in got:
+        own, other = rows[r["query_id"]][1], rows[r["vec_id"]][1]
+        total = 0.0
+        for x, y in zip(own, other, strict=True):
+            total += x * y
+        assert r["score"] == total
+
+
 def test_search_of_nothing(spark):
     table, _ = vectors(spark, 0)
     assert multi_index.search(table.where("vec_id >= 9000"), F.lit(True), Stash(spark, "t"), dimension=8).count() == 0
@@ -89,6 +120,87 @@ def test_resampling_drops_bad_and_keeps_good(spark):
     assert resampling.resample(docs.limit(0), marks, Stash(spark, "t")).count() == 0
 
 
+def by_hand(rows, labels):
+    """Ratio, draw and verdict of every row in plain Python."""
+    marks = {}
+    for i, quality, toxic in labels:
+        marks.setdefault(i, []).append((quality, toxic))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def spark_hash(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64(v, seed=seed).intdigest()
+        return signed(seed)
+
+    def grams(text):
+        words = [m.group().lower() for m in re.finditer(r"[a-zA-Z0-9]+|[^a-zA-Z0-9\s]+", text or "")]
+        found = {("word", w) for w in words}
+        for w, n in Counter(words).items():
+            found |= {("often", w, k) for k in range(2, 12) if n >= 2**k}
+        twice = sum(a == b for a, b in zip(words, words[1:], strict=False))
+        return found | {("twice", k) for k in range(12) if twice >= 2**k}
+
+    kinds = {}
+    for i, own in marks.items():
+        if all(q == 1 for q, _ in own) and not any(t for _, t in own):
+            held = spark_hash((resampling.SEED).to_bytes(4, "little"), i.to_bytes(8, "little")) % resampling.HELD_OUT == 0
+            kinds[i] = "held" if held else "good"
+        else:
+            kinds[i] = "bad"
+    raw, good, bad, n = Counter(), Counter(), Counter(), Counter()
+    for i, text in rows:
+        n.update(["raw", kinds.get(i, "raw only")])
+        for g in grams(text):
+            raw[g] += 1
+            good[g] += kinds.get(i) == "good"
+            bad[g] += kinds.get(i) == "bad"
+
+    def ratio(seen, target, share):
+        odds = 1e-4 * math.exp(min(500, target * math.log(0.1) + (seen - target) * math.log((1 - 0.1 * share) / (1 - share))))
+        return odds / (1 + odds) * min(0, math.log((target + 0.5) / (seen * share + 0.5)))
+
+    of = lambda g: min(ratio(raw[g], good[g], n["good"] / n["raw"]), ratio(good[g] + bad[g], good[g], n["good"] / (n["good"] + n["bad"])))
+    out = []
+    for i, text in rows:
+        weight = sum(round(of(g), 6) for g in grams(text))
+        text_hash = spark_hash((text or "").encode())
+        parts = [resampling.SEED.to_bytes(4, "little"), *([] if i is None else [i.to_bytes(8, "little")]), text_hash.to_bytes(8, "little", signed=True)]
+        u = ((spark_hash(*parts) % (1 << 64) >> 11) + 0.5) / 2**53
+        out.append([i, text_hash, weight, weight - math.log(-math.log(u)), kinds.get(i)])
+    return out
+
+
+@pytest.mark.parametrize("wanted", [None, 300])
+def test_resampling_matches_brute_force(spark, wanted):
+    draw = random.Random(12)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(120)]
+    rows, labels = [], []
+    for i in range(900):
+        text = prose(draw, draw.randint(0, 40), words) + (" vile scum" if i % 10 == 3 else " ##" * 5 if i % 10 == 6 else " odd" if i % 40 == 8 else "")
+        rows.append((i, text))
+        if i % 2:
+            labels.append((i, int(i % 10 != 6), int(i % 10 == 3)))
+    rows += [(None, None), (None, ""), (1, rows[1][1])]
+    labels += [(2, 1, 0), (2, 0, 0)]
+    want = by_hand(rows, labels)
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = resampling.resample(docs, marks, Stash(spark, "t"), wanted).collect()
+    got, want = sorted(((r["doc_id"], r["text_hash"], r["log_ratio"], r["draw"], r["kept"]) for r in got), key=lambda x: (x[0] or -1, x[1])), sorted(want, key=lambda x: (x[0] or -1, x[1]))
+    size = wanted
+    if size is None:
+        held = sorted(w[2] for w in want if w[4] == "held")
+        reference = min(-2.0, held[max(0, math.ceil(0.005 * len(held)) - 1)])
+        size = round(sum(math.exp(min(0, w[2] - reference)) for w in want))
+    least = sorted((w[3] for w in want), reverse=True)[size - 1]
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == tuple(w[:2]) and g[2] == pytest.approx(w[2], abs=1e-4) and g[3] == pytest.approx(w[3], abs=1e-4)
+        assert g[4] == (w[3] >= least) or abs(w[3] - least) < 1e-3
+    # The draw decides: the kept ones are not just those with the largest ratios.
+    cut = sorted((w[2] for w in want), reverse=True)[size - 1]
+    assert wanted is None or any(g[4] and g[2] < cut for g in got)
+
+
 @pytest.mark.parametrize(("table", "toxic_kept", "good_kept"), [("sf0.01", 0.05, 0.98), ("sf0.1", 0.05, 0.98)])
 def test_resampling_drops_unseen_toxic_documents_of_small_inputs(spark, table, toxic_kept, good_kept):
     docs, labels = (load(spark, f"/root/testdata/{table}", name) for name in ("documents", "labels"))
