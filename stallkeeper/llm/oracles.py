@@ -54,12 +54,12 @@ def _spans(kind: str, order: int, pattern: str, group: int, least: int) -> str:
 
 
 OP7_SQL = rf"""
-WITH parts AS (SELECT row_number() OVER () AS rid, doc_id, source, lang, coalesce(text, '') AS text FROM documents),
+WITH parts AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(doc_id & 63, -1) AS repository, coalesce(text, '') AS text FROM documents),
 base AS ({_spans("assign", 0, _ASSIGN, 1, 12)} UNION ALL {_spans("access", 1, "(AKIA[A-Z0-9]+)", 1, 18)} UNION ALL {_spans("hex", 2, "([0-9a-f]+)", 1, 16)}),
 runs AS (SELECT * FROM ({_spans("owned", 3, "([A-Za-z0-9+/_-]{20,})", 1, 20)}) WHERE regexp_matches(secret, '[0-9]') AND regexp_matches(secret, '[a-z]') AND regexp_matches(secret, '[A-Z]')),
 other AS (SELECT * FROM runs r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = r.rid AND b.s < r.s + r.n AND r.s < b.s + b.n)),
 found AS (SELECT *, true AS is_base FROM base UNION ALL SELECT *, false FROM other),
-owners AS (SELECT secret, count(DISTINCT coalesce(source, chr(1))) AS owners, count(DISTINCT coalesce(source, chr(1)) || chr(2) || coalesce(lang, chr(1))) AS repositories FROM found JOIN parts USING (rid) GROUP BY 1),
+owners AS (SELECT secret, count(DISTINCT coalesce(source, chr(1))) AS owners, count(DISTINCT coalesce(source, chr(1)) || chr(2) || repository) AS repositories FROM found JOIN parts USING (rid) GROUP BY 1),
 weighed AS (SELECT f.*, owners, owners = 1 AND repositories <= 4 AS own FROM found f JOIN owners USING (secret)),
 shown AS (
   SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,

@@ -148,21 +148,23 @@ def judge(docs: DataFrame, labels: DataFrame, stash: Stash, stratum: str = "lang
     the least of them is 1; null ids and null labels don't count. Documents of a stratum
     without labels, null included, are judged by the base rule alone. Repeated rows are
     judged one by one and alike. Columns of docs other than doc_id, text and the stratum
-    are not read.
+    are not read; the stratum may have any name that no measure has.
     """
-    measured = stash.put("measures", measures(docs, ["doc_id", stratum]).withColumn("base_failed", base_failed()))
+    docs = docs.select("doc_id", F.col(f"`{stratum}`").alias("_stratum"), "text")
+    measured = stash.put("measures", measures(docs, ["doc_id", "_stratum"]).withColumn("base_failed", base_failed()))
     good = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
     )
-    cutoffs = stash.put("cutoffs", choose_cutoffs(measured.where("NOT base_failed").join(good.select("doc_id"), "doc_id", "left_semi"), stratum))
+    cutoffs = stash.put("cutoffs", choose_cutoffs(measured.where("NOT base_failed").join(good.select("doc_id"), "doc_id", "left_semi"), "_stratum"))
     fires = [F.coalesce(value_of(rule) > F.col(f"cut_{rule}"), F.lit(False)) for rule in RULES]
     rejected = fires[0]
     for one in fires[1:]:
         rejected = rejected | one
     return (
-        measured.join(broadcast_if_small(cutoffs), F.col(stratum).eqNullSafe(F.col("stratum")), "left")
+        measured.join(broadcast_if_small(cutoffs), F.col("_stratum").eqNullSafe(F.col("stratum")), "left")
         .withColumn("kept", ~F.col("base_failed") & ~rejected)
         .drop("stratum", "n", *(f"cut_{rule}" for rule in RULES))
+        .withColumnRenamed("_stratum", stratum)
     )
 
 

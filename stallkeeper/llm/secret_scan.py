@@ -23,6 +23,8 @@ KINDS = {
 OWNED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])([A-Za-z0-9+/_-]{20,})"
 #: From so many owners on, a candidate is a copied example; up to so many repositories, an owner's own looks live.
 COPIED_OWNERS, LIVE_REPOSITORIES = 3, 4
+#: The tables name no repositories, so an owner's documents are dealt to this many (a power of two) by the low bits of their ids.
+REPOSITORIES = 64
 
 SPAN = "struct<start:int,end:int,ord:int,kind:string,secret:string>"
 
@@ -53,22 +55,22 @@ def digest(spans: Column) -> Column:
 
 
 def find(docs: DataFrame, keep: list[str], stash: Stash, owner: Column, repository: Column) -> DataFrame:
-    """Candidates of every text: the kept columns, ``rid``, ``base`` and ``other`` spans in order.
+    """Candidates of every text: ``row`` (the kept columns), ``owner``, ``repository``, ``rid``, ``base`` and ``other`` spans in order.
 
     ``rid`` numbers the rows once written, so that repeated or null ids stay apart.
     """
-    text = F.coalesce("text", F.lit(""))
-    made = docs.select(*keep, text.alias("_text"), owner.alias("owner"), repository.alias("repository"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
+    made = docs.select(whole, F.coalesce("text", F.lit("")).alias("_text"), owner.alias("owner"), repository.alias("repository"))
     made = made.select(
-        *keep, "owner", "repository", F.monotonically_increasing_id().alias("rid"),
+        "row", "owner", "repository", F.monotonically_increasing_id().alias("rid"),
         *(spans_of(F.col("_text"), kind, i, *rule).alias(f"_{kind}") for i, (kind, rule) in enumerate(KINDS.items())),
         spans_of(F.col("_text"), "owned", len(KINDS), OWNED, 1, 20).alias("_owned"),
     )
     base = F.array_sort(F.concat(*(f"_{kind}" for kind in KINDS)))
-    made = made.select(*keep, "owner", "repository", "rid", base.alias("base"), "_owned")
+    made = made.select("row", "owner", "repository", "rid", base.alias("base"), "_owned")
     # A token inside a base span is that span's.
     free = F.filter("_owned", lambda o: ~F.exists("base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
-    return stash.put("found", made.select(*keep, "owner", "repository", "rid", "base", free.alias("other")))
+    return stash.put("found", made.select("row", "owner", "repository", "rid", "base", free.alias("other")))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -85,7 +87,7 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, keep: list[str], stash: Stash, owner: Column | None = None, repository: Column | None = None) -> DataFrame:
-    """The kept columns with ``base`` (all pattern spans), ``owned`` (spans that the method adds), ``copied`` and ``live``.
+    """``row`` (the kept columns), ``base`` (all pattern spans), ``owned`` (spans that the method adds), ``copied`` and ``live``.
 
     Spans are arrays of (start, end, ord, kind, secret) by start, in code points. ``copied``
     holds base spans whose secret at least COPIED_OWNERS owners have; ``live`` holds those
@@ -93,10 +95,11 @@ def scan(docs: DataFrame, keep: list[str], stash: Stash, owner: Column | None =
 
     A null text is empty; a null owner or repository counts as one more. Rows with equal or
     null ids are scanned one by one. A document without candidates has four empty arrays.
-    By default the owner is the source, a repository the pair of source and language.
+    By default the owner is the source, and a repository one of REPOSITORIES shares of its
+    documents. Other columns may have any names.
     """
     owner = F.col("source") if owner is None else owner
-    repository = F.struct("source", "lang") if repository is None else repository
+    repository = F.col("doc_id").bitwiseAND(F.lit(REPOSITORIES - 1)) if repository is None else repository
     found = find(docs, keep, stash, owner, repository)
     owners = stash.put("owners", ownership(found))
     some = found.where((F.size("base") > 0) | (F.size("other") > 0)).select(
@@ -110,28 +113,27 @@ def scan(docs: DataFrame, keep: list[str], stash: Stash, owner: Column | None =
         picked(~F.col("base") & own).alias("owned"), picked(F.col("base") & (F.col("owners") >= COPIED_OWNERS)).alias("copied"), picked(own).alias("live")
     )
     none = F.array().cast(f"array<{SPAN}>")
-    return found.join(by_row, "rid", "left").select(*keep, "base", *(F.coalesce(c, none).alias(c) for c in ("owned", "copied", "live")))
+    return found.join(by_row, "rid", "left").select("row", "base", *(F.coalesce(c, none).alias(c) for c in ("owned", "copied", "live")))
 
 
 def redact(docs: DataFrame, stash: Stash, mark: str = "[secret]") -> DataFrame:
     """The documents with every candidate but copied examples replaced by ``mark`` and n_chars set anew.
 
-    Takes and returns the columns of docs; a null text stays null. Overlapping spans are
-    covered once.
+    Takes and returns the columns of docs, whatever their names; a null text stays null.
+    Overlapping spans are covered once.
     """
     scanned = scan(docs, docs.columns, stash)
-    hide = F.array_sort(F.concat(F.array_except("base", "copied"), "owned"))
+    hide, text = F.array_sort(F.concat(F.array_except("base", "copied"), "owned")), F.col("row.text")
 
     def step(state: Column, span: Column) -> Column:
-        gap = F.when(span["start"] >= state["at"], F.concat(F.substring(F.col("text"), state["at"] + 1, span["start"] - state["at"]), F.lit(mark))).otherwise(F.lit(""))
+        gap = F.when(span["start"] >= state["at"], F.concat(F.substring(text, state["at"] + 1, span["start"] - state["at"]), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.concat(state["text"], gap).alias("text"))
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    whole = F.aggregate(hide, begin, step, lambda s: F.concat(s["text"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    changed = scanned.withColumn("text", F.when(F.size(hide) > 0, whole).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.size(hide) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+    whole = F.aggregate(hide, begin, step, lambda s: F.concat(s["text"], F.substring(text, s["at"] + 1, F.length(text))))
+    made = scanned.select("row", F.when(F.size(hide) > 0, whole).alias("new"))
+    changed = {"text": F.coalesce("new", "row.text"), "n_chars": F.when(F.col("new").isNotNull(), F.length("new").cast("long")).otherwise(F.col("row.n_chars"))}
+    return made.select(*(changed[c].alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +141,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = scan(load(spark, sf_dir, "documents"), ["doc_id"], Stash(spark, "op7"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return scanned.select(
-        "doc_id", *(count(kind) for kind in KINDS), F.sha2(digest(F.col("base")), 256).alias("base_sha256"),
+        "row.doc_id", *(count(kind) for kind in KINDS), F.sha2(digest(F.col("base")), 256).alias("base_sha256"),
         digest(F.array_sort(F.concat("base", "owned"))).alias("spans"),
         F.size("copied").cast("long").alias("n_copied"), F.size("live").cast("long").alias("n_live"), F.size("owned").cast("long").alias("n_owned"),
     )

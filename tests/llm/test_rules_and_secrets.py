@@ -2,14 +2,17 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from stallkeeper.llm import quality_rules, secret_scan, sharding
+from stallkeeper.llm.oracles import OP1_SQL, OP7_SQL
 from stallkeeper.llm.tables import Stash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -129,7 +132,7 @@ SECRETS = [
 def test_base_spans_match_brute_force(spark):
     rows = [(i, t, "en", f"s{i}") for i, t in enumerate(SECRETS * 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = secret_scan.scan(docs, ["doc_id", "text"], Stash(spark, "t")).select("text", secret_scan.digest(F.col("base")).alias("base")).collect()
+    got = secret_scan.scan(docs, ["text"], Stash(spark, "t")).select("row.text", secret_scan.digest(F.col("base")).alias("base")).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r["base"] == spans(r["text"])
@@ -139,7 +142,7 @@ def test_ownership_tells_copies_from_live_ones(spark):
     own, copied = "Zx9" + "Ab1" * 9, "0123456789abcdef" * 2
     rows = [(i, f"x {copied} y", "en", f"s{i}") for i in range(5)] + [(9, f"my {own} key", "en", "s9"), (9, f"my {own} key", "en", "s9"), (None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = {r["doc_id"]: r for r in secret_scan.scan(docs, ["doc_id"], Stash(spark, "t")).collect()}
+    got = {r["row"]["doc_id"]: r for r in secret_scan.scan(docs, ["doc_id"], Stash(spark, "t")).collect()}
     assert len(got[0]["copied"]) == 1 and not got[0]["live"]
     assert [s["secret"] for s in got[9]["owned"]] == [own] and len(got[9]["live"]) == 1
     clean = {(r["doc_id"], r["text"]) for r in secret_scan.redact(docs, Stash(spark, "t")).collect()}
@@ -147,6 +150,66 @@ def test_ownership_tells_copies_from_live_ones(spark):
     assert secret_scan.scan(docs.limit(0), ["doc_id"], Stash(spark, "t")).count() == 0
 
 
+def test_what_an_owner_has_in_many_repositories_is_not_live(spark):
+    spread, few = "Zx9" + "Ab1" * 9, "Yw8" + "Cd2" * 9
+    rows = [(i, f"my {spread} key", "s") for i in range(5)] + [(i * secret_scan.REPOSITORIES, f"my {few} key", "s") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secret_scan.scan(docs, ["text"], Stash(spark, "t")).collect()
+    assert {(r["row"]["text"], len(r["owned"]), len(r["live"])) for r in got} == {(f"my {spread} key", 0, 0), (f"my {few} key", 1, 1)}
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    names = ["owner", "repository", "rid", "base", "other", "owned", "live", "copied", "row", "new", "odd name.x"]
+    docs = spark.createDataFrame([(1, "my Zx9Ab1Ab1Ab1Ab1Ab1Ab1Ab1 key", "s", 31, *"abcdefghijk")], "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    assert secret_scan.redact(docs, Stash(spark, "t")).collect() == [(1, "my [secret] key", "s", 15, *"abcdefghijk")]
+
+
+def on_tables(sql, path, *names):
+    """What DuckDB makes of the tables in a folder."""
+    with duckdb.connect() as db:
+        for name in names:
+            db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}/{name}.parquet/*.parquet')")
+        return db.execute(sql).fetchall()
+
+
+def test_rules_fire_alike_in_sql(spark, tmp_path):
+    """With enough labels in a stratum cutoffs are found, and they change verdicts."""
+    draw = random.Random(4)
+    rows, labels = [], []
+    for i in range(6500):
+        words = ["".join(draw.choice("abcdefghijkl") for _ in range(draw.randint(3, 8))) for _ in range(14)]
+        if i % 13 == 5:
+            words = [f"{w}$$$" for w in words]
+        if i % 13 == 7:
+            words = [f"{w}!!!" for w in words]
+        text = " ".join(words)
+        rows.append((i, "\n".join([text] + ["one line of it"] * 5) if i % 13 == 9 else text, "en" if i % 60 else "fr", "s", None))
+        labels.append((i, int(i % 13 not in (5, 7, 9) or i == 5), 0))
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = quality_rules.op1_quality_rules(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(on_tables(OP1_SQL, tmp_path, "documents", "labels"))
+    fired = {r["doc_id"] % 13 for r in got if not r["kept"] and not r["base_failed"]}
+    assert fired == {5, 7}  # lines that repeat fail the base rule
+    assert all(r["kept"] for r in got if r["doc_id"] % 60 == 0 and not r["base_failed"])  # too few labels there
+
+
+def test_ownership_alike_in_sql(spark, tmp_path):
+    spread, few = "Zx9" + "Ab1" * 9, "Yw8" + "Cd2" * 9
+    rows = [(i, f"é {spread} and {few if i % 64 < 2 else ''} token = {'ab' * (8 + i % 4)}", "en", f"s{i % 2}" if i % 7 else None, None) for i in range(200)]
+    rows += [(1000 + i, f"password: only-{i % 3}-of-this-owner", None, "s9", None) for i in range(20)] + [(None, few + "x", None, None, None), (None, None, None, None, None)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = secret_scan.op7_secret_scan(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(on_tables(OP7_SQL, tmp_path, "documents"), key=str)
+    assert any(r["n_owned"] for r in got) and any(r["n_copied"] for r in got) and any(r["n_live"] for r in got)
+
+
+def test_a_stratum_of_any_name(spark, docs):
+    named = docs.withColumnRenamed("lang", "n").withColumn("stratum", F.lit(1))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert quality_rules.judge(named, labels, Stash(spark, "t"), stratum="n").count() == docs.count()
+
+
 def test_op7_digests(spark, tmp_path):
     rows = [(i, t, "en", "s", None) for i, t in enumerate(SECRETS)]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
