@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that one task remembers by default; past it the memory starts anew, which changes no result.
-REMEMBERED = 600_000
+#: Chunks, and characters of them, that one task remembers by default; past either the memory starts anew, which changes no result.
+REMEMBERED, REMEMBERED_CHARS = 600_000, 16 << 20
 
 
 class ChunkMemory:
@@ -27,13 +27,14 @@ class ChunkMemory:
     def _clear(self) -> None:
         self.rows: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.used = self.chars = 0
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
         self.notes: list = []
 
     def _add(self, chunks: list[str]) -> None:
         found = self.encode(chunks)
+        self.chars += sum(map(len, chunks))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         first, total = len(self.rows), int(sizes.sum())
         self.rows.update(zip(chunks, range(first, first + len(chunks)), strict=True))
@@ -52,7 +53,7 @@ class ChunkMemory:
         """The row of every chunk of a flat string array."""
         coded = chunks.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        if len(self.rows) > self.remember:
+        if len(self.rows) > self.remember or self.chars > REMEMBERED_CHARS:
             self._clear()
         if new := [x for x in names if x not in self.rows]:
             self._add(new)
@@ -60,6 +61,10 @@ class ChunkMemory:
         own = np.fromiter((rows[x] for x in names), np.int64, len(names))
         return own[coded.indices.to_numpy(zero_copy_only=False)]
 
+    def sizes_of(self, chunks: pa.Array) -> np.ndarray:
+        """The number of ids of every chunk of a flat string array."""
+        return self.sizes[self.look_up(chunks)]
+
     def ids(self, rows: np.ndarray) -> np.ndarray:
         """The ids of the chunks in ``rows``, end to end."""
         sizes = self.sizes[rows]

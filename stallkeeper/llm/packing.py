@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunkids import REMEMBERED, ChunkMemory, split_lists
+from .chunkids import REMEMBERED, REMEMBERED_CHARS, ChunkMemory, split_lists
 from .tables import load, python_ready
 
 MAX_LENGTH = 2048
@@ -61,12 +61,14 @@ def word_memory(path: str) -> ChunkMemory:
                 yield tuple(tokenizer.encode(part, add_special_tokens=False).ids)
 
     known: dict[str, tuple[int, ...]] = {"": ()}
+    chars = 0
 
     def encode(chunks: list[str]) -> list[tuple[int, ...]]:
         """A plain word with marks after it is cut before the marks, as the tokenizer does, so that few parts are new."""
-        if len(known) > REMEMBERED:
+        nonlocal chars
+        if len(known) > REMEMBERED or chars > REMEMBERED_CHARS:
             known.clear()
-            known[""] = ()
+            known[""], chars = (), 0
         split = []
         for x in chunks:
             core = x.rstrip(MARKS)
@@ -74,11 +76,18 @@ def word_memory(path: str) -> ChunkMemory:
             split.append((core.lower(), x[len(core) :]) if plain else (x, ""))
         if new := [x for x in dict.fromkeys(y for pair in split for y in pair) if x not in known]:
             known.update(zip(new, library(new), strict=True))
+            chars += sum(map(len, new))
         return [known[a] + known[b] for a, b in split]
 
     return ChunkMemory(encode)
 
 
+def count_of(texts: pa.Array, memory: ChunkMemory) -> np.ndarray:
+    """The number of ids of each text, without an end id; none for a null."""
+    chunks, bounds = split_lists(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+    return np.diff(np.concatenate([[0], np.cumsum(memory.sizes_of(chunks))])[bounds])
+
+
 def token_ids(texts: pa.Array, memory: ChunkMemory) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts end to end, and each text's number of ids."""
     spaced = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")

@@ -133,10 +133,15 @@ class PieceBpe:
         return out[::-1]
 
     def _spaces(self, n: int) -> list[str]:
-        """A run of space marks: all its merges have one rank, so the leftmost that can go does."""
-        run = [SPACE] * n
-        while (at := next((i for i in range(len(run) - 1) if run[i] + run[i + 1] in self.when), None)) is not None:
-            run[at : at + 2] = [run[at] + run[at + 1]]
+        """A run of space marks: all its merges have one rank, so the leftmost that can go does.
+
+        What lies left of a mark has settled before the mark can take part, so one pass is enough.
+        """
+        run: list[str] = []
+        for _ in range(n):
+            run.append(SPACE)
+            while len(run) > 1 and run[-2] + run[-1] in self.when:
+                run[-2:] = [run[-2] + run[-1]]
         return run
 
     def encode_chunk(self, chunk: str) -> list[int]:
@@ -170,14 +175,14 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-def memory_of(path: str) -> ChunkMemory:
-    """A fresh memory of what chunks become; the model is read once a worker."""
+def memory_of(path: str, notes: bool = True) -> ChunkMemory:
+    """A fresh memory of what chunks become, with the texts of ids and decoding if asked; the model is read once a worker."""
     if path not in _models:
         _models[path] = PieceBpe(path)
     model = _models[path]
     return ChunkMemory(
         lambda chunks: [model.encode_chunk(x) for x in chunks],
-        lambda _, ids: (",".join(map(str, ids)), model.decode_pieces(ids)),
+        (lambda _, ids: (",".join(map(str, ids)), model.decode_pieces(ids))) if notes else None,
     )
 
 
@@ -203,6 +208,12 @@ def chunks_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.concat_arrays(parts), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def count_of(texts: pa.Array, memory: ChunkMemory) -> np.ndarray:
+    """The number of ids of each text; none for a null."""
+    chunks, bounds = chunks_of(pc.fill_null(texts, ""))
+    return np.diff(np.concatenate([[0], np.cumsum(memory.sizes_of(chunks))])[bounds])
+
+
 def encode(docs: DataFrame, path: str, keep: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """One row for each document: the key, n_tokens, ids_sha256, decoded_sha256 and, if asked, ids and decoded.
 

@@ -22,6 +22,10 @@ SEED = 20_240_917
 BUCKET_BYTES = 16 << 20
 #: Rows that a bucket holds at most on average, whatever their size.
 BUCKET_ROWS = 8_000
+#: Buckets of a task on average, and tasks at most; a task shuffles its buckets one after the other.
+BUCKETS_A_TASK, MOST_TASKS = 4, 10_000
+#: Buckets whose rows are added up in one window.
+OFFSETS = 4096
 #: Bytes that a record takes besides its text.
 RECORD_OVERHEAD = 16
 
@@ -38,7 +42,7 @@ def shuffle_into_shards(
 
     ``records`` may hold any columns that can be grouped; ``size`` is a record's bytes. Row
     counts of shards differ by one at most. The order depends only on the records and the
-    parameters, not on files or partitions. A record's draw takes the columns of ``key`` that
+    parameters (of which the number of tasks follows), not on the input's files or partitions. A record's draw takes the columns of ``key`` that
     are there (all, if none is) and its number among rows that are equal in them, so other
     columns only order those rows.
 
@@ -60,8 +64,7 @@ def shuffle_into_shards(
     numbers = lambda before: F.explode(F.sequence(before + 1, before + F.col("copies"))).alias("copy")
     # Keys alone tell how many rows each bucket gets. One row for each bucket: bounded by corpus bytes over bucket_bytes.
     held = keys.select("own", numbers(F.lit(0).cast("long"))).select(draw.alias("draw")).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
-    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = broadcast_if_small(stash.put("offsets", held.select("bucket", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset"))))
+    offsets = broadcast_if_small(stash.put("offsets", _offsets(stash.put("held", held))))
 
     repeated = stash.put("repeated", keys.where("copies > 1").select("own"))
     rows = keyed.select("own", "rec", F.lit(1).cast("long").alias("copy"))
@@ -73,7 +76,7 @@ def shuffle_into_shards(
         rows = rows.join(repeated, "own", "left_anti").union(equal.select("own", "rec", numbers(F.col("before"))))
     permuted = (
         rows.withColumn("draw", draw).withColumn("bucket", bucket)
-        .repartition(buckets, "bucket")
+        .repartition(min(MOST_TASKS, -(-buckets // BUCKETS_A_TASK)), "bucket")
         .groupBy("bucket")
         .agg(F.sort_array(F.collect_list(F.struct("draw", "copy", "rec"))).alias("held"))
         .sortWithinPartitions("bucket")
@@ -91,10 +94,19 @@ def shuffle_into_shards(
     )
 
 
+def _offsets(held: DataFrame) -> DataFrame:
+    """Rows in all buckets before each one: within groups of OFFSETS buckets, then over the groups, so that no window holds all buckets."""
+    grouped = held.withColumn("group", F.floor(F.col("bucket") / OFFSETS))
+    before = lambda w, of: F.coalesce(F.sum(of).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = grouped.groupBy("group").agg(F.sum("rows").alias("rows")).select("group", before(Window.orderBy("group"), "rows").alias("first"))
+    inside = grouped.select("group", "bucket", before(Window.partitionBy("group").orderBy("bucket"), "rows").alias("own"))
+    return inside.join(broadcast_if_small(groups), "group").select("bucket", (F.col("first") + F.col("own")).alias("offset"))
+
+
 def write_shards(documents: DataFrame, path: str, spark: SparkSession, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Writes whole records as one folder ``shard=N`` for each shard, and returns what was written.
 
-    Each bucket appends one file in slot order to every shard, so texts are moved once.
+    Each task appends one file in slot order to every shard, so texts are moved once.
     """
     stash = Stash(spark, "shards")
     dealt = shuffle_into_shards(documents, record_size(F.col("text")), stash, shards, seed)

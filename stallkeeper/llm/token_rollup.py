@@ -9,25 +9,56 @@ published deltas; nothing is ever recounted.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import load, shared_dir
+from . import packing, piece_bpe
+from .tables import load, python_ready, shared_dir
 
-WORDS = r"[^\x20\x09-\x0D]+"
-PARTS = r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"
-#: Tokenizer version: the pattern of a token.
-VERSIONS = {"words-1": WORDS, "parts-1": PARTS}
 KEYS = ["source", "lang", "version"]
 CHANGE = "op string, doc_id long, source string, lang string, version string, tokens long, seq long"
+#: Published batches after which they are folded into one base.
+COMPACT = 16
+#: Counts the tokens of ``text``: takes rows of doc_id, source, lang and text, gives doc_id, source, lang and tokens.
+Counter = Callable[[DataFrame], DataFrame]
 
 
-def tokens(text: Column, version: str) -> Column:
-    """Tokens of a text under a version; none for a null text."""
-    return F.coalesce(F.regexp_count(text, F.lit(VERSIONS[version])), F.lit(0)).cast("long")
+def _counter(memory: Callable[[], object], count: Callable[[pa.Array, object], np.ndarray]) -> Counter:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = memory()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(count(batch.column(3), held).astype(np.int64))], ["doc_id", "source", "lang", "tokens"])
+
+    def counted(docs: DataFrame) -> DataFrame:
+        python_ready(docs.sparkSession, 4000)
+        return docs.select(F.col("doc_id").cast("long"), "source", "lang", "text").mapInArrow(run, "doc_id long, source string, lang string, tokens long")
+
+    return counted
+
+
+def versions() -> dict[str, Counter]:
+    """The tokenizer versions of the query: the vocabularies that the encoding and packing operators use."""
+    pieces, words = piece_bpe.model_path(), packing.tokenizer_path()
+    return {
+        "piece_bpe_32k": _counter(lambda: piece_bpe.memory_of(pieces, notes=False), piece_bpe.count_of),
+        "word_bpe_49k": _counter(lambda: packing.word_memory(words), packing.count_of),
+    }
+
+
+def by_pattern(pattern: str) -> Counter:
+    """Counts matches of a pattern, for versions that are no more than that."""
+    return lambda docs: docs.select("doc_id", "source", "lang", F.coalesce(F.regexp_count("text", F.lit(pattern)), F.lit(0)).cast("long").alias("tokens"))
+
+
+STATE = "doc_id long, version string, source string, lang string, tokens long, live boolean, commit long"
+DELTA = "source string, lang string, version string, docs long, tokens long"
 
 
 class Rollup:
@@ -48,27 +79,38 @@ class Rollup:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _published(self) -> list[str]:
+    def _names(self, kind: str) -> dict[int, str]:
+        """Published folders of a kind by number."""
         if not self._fs.exists(self._path(self.path)):
-            return []
-        return sorted(n for s in self._fs.listStatus(self._path(self.path)) if (n := s.getPath().getName()).startswith("batch="))
+            return {}
+        names = (s.getPath().getName() for s in self._fs.listStatus(self._path(self.path)))
+        return {int(n[len(kind) + 1 :].split("~")[0]): n for n in names if n.startswith(f"{kind}=")}
+
+    def _publish(self, staged: str, name: str) -> None:
+        """One rename; a name that is there already is refused, as some stores would move the folder into it."""
+        source, target = self._path(staged), self._path(f"{self.path}/{name}")
+        if self._fs.exists(target) or not self._fs.rename(source, target):
+            self._fs.delete(source, True)
+            raise OSError(f"{name} can't be published")
 
     def _read(self, part: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{b}/{part}" for b in self._published()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        bases, batches = self._names("base"), self._names("batch")
+        last = max(bases, default=0)
+        names = [*([bases[last]] if bases else []), *(n for number, n in sorted(batches.items()) if number > last)]
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{n}/{part}" for n in names)) if names else self.spark.createDataFrame([], schema)
 
     def recorded(self) -> DataFrame:
         """The count on record of each live (doc_id, version)."""
-        state = self._read("state", "doc_id long, version string, source string, lang string, tokens long, live boolean, commit long")
+        state = self._read("state", STATE)
         last = state.groupBy("doc_id", "version").agg(F.max(F.struct("commit", "live", "source", "lang", "tokens")).alias("now"))
         return last.where("now.live").select("doc_id", "version", "now.source", "now.lang", "now.tokens")
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Publishes a batch; False if it was published before."""
-        done = self._published()
-        if any(b.split("=", 1)[1].split("~", 1)[1] == batch_id for b in done):
+        done, digest = self._names("batch"), hashlib.sha256(batch_id.encode()).hexdigest()[:32]
+        if any(name.endswith(f"~{digest}") for name in done.values()):
             return False
-        number = len(done)
+        number = max(done, default=0) + 1
         changes = changes.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in CHANGE.split(", "))).withColumn("tokens", F.coalesce("tokens", F.lit(0)))
         found = changes.where("doc_id IS NOT NULL").groupBy("doc_id", "version").agg(F.max(F.struct("seq", "tokens", "op", "source", "lang")).alias("new"))
         old = self.recorded().select("doc_id", "version", F.struct("source", "lang", "tokens").alias("old"))
@@ -87,42 +129,68 @@ class Rollup:
         ]
         delta = reduce(DataFrame.union, signed).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         delta.where("docs <> 0 OR tokens <> 0").write.parquet(f"{staged}/delta")
-        return bool(self._fs.rename(self._path(staged), self._path(f"{self.path}/batch={number:09d}~{batch_id}")))
+        self._publish(staged, f"batch={number:09d}~{digest}")
+        if number - max(self._names("base"), default=0) >= COMPACT:
+            self.compact()
+        return True
+
+    def compact(self) -> None:
+        """Folds all published batches into a base; their folders stay as marks of what was committed, without their rows."""
+        batches = self._names("batch")
+        number = max(batches, default=0)
+        if number <= max(self._names("base"), default=0):
+            return
+        staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
+        live = self.recorded().select("doc_id", "version", "source", "lang", "tokens", F.lit(True).alias("live"), F.lit(number).cast("long").alias("commit"))
+        live.write.parquet(f"{staged}/state")
+        self.totals().select(*KEYS, F.col("n_docs").alias("docs"), F.col("n_tokens").alias("tokens")).write.parquet(f"{staged}/delta")
+        self._publish(staged, f"base={number:09d}")
+        for name in batches.values():
+            for part in ("state", "delta"):
+                self._fs.delete(self._path(f"{self.path}/{name}/{part}"), True)
 
     def totals(self, *keys: str) -> DataFrame:
         """Documents and tokens by any of source, lang and version (by default all three)."""
         keys = keys or tuple(KEYS)
-        delta = self._read("delta", "source string, lang string, version string, docs long, tokens long")
+        delta = self._read("delta", DELTA)
         return delta.groupBy(*keys).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens")).where("n_docs <> 0 OR n_tokens <> 0")
 
 
-def changes_of(docs: DataFrame, op: str, version: str, text: Column | None = None) -> DataFrame:
-    counted = tokens(F.col("text") if text is None else text, version) if op != "delete" else F.lit(None)
-    return docs.select(F.lit(op).alias("op"), "doc_id", "source", "lang", F.lit(version).alias("version"), counted.cast("long").alias("tokens"), F.lit(0).cast("long").alias("seq"))
+def changes_of(counted: DataFrame, op: str, version: str) -> DataFrame:
+    """Rows of CHANGE for rows of doc_id, source, lang and, but for deletes, tokens."""
+    tokens = F.col("tokens") if op != "delete" else F.lit(None)
+    return counted.select(F.lit(op).alias("op"), "doc_id", "source", "lang", F.lit(version).alias("version"), tokens.cast("long").alias("tokens"), F.lit(0).cast("long").alias("seq"))
 
 
-def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches over all documents.
+def roll_up(docs: DataFrame, counters: Mapping[str, Counter], rollup: Rollup) -> DataFrame:
+    """Totals after a batch for each version and two more.
 
-    All documents come in under words-1, then under parts-1; documents without a line of ten
-    characters leave both versions; those with a repeated line have their counts revised to
+    All documents come in under one version after the other; documents without a line of ten
+    characters leave all versions; those with a repeated line have their counts revised to
     what is left without the repeats. The last two batches are committed twice.
     """
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    rollup = Rollup(spark, f"{shared_dir(spark)}/op6-{uuid.uuid4().hex[:12]}/rollup")
-    for version in VERSIONS:
-        rollup.commit(f"load {version}", changes_of(docs, "insert", version))
+    docs = docs.select("doc_id", "source", "lang", "text")
+    for version, count in counters.items():
+        rollup.commit(f"load {version}", changes_of(count(docs), "insert", version))
     lines = F.split("text", "\n")
     small = docs.where(~F.exists(lines, lambda x: F.length(x) >= 10))
     repeated = docs.where((F.size(F.array_distinct(lines)) < F.size(lines)) & F.exists(lines, lambda x: F.length(x) >= 10))
-    once = F.array_join(F.array_distinct(lines), "\n")
+    once = repeated.withColumn("text", F.array_join(F.array_distinct(lines), "\n"))
     for _ in range(2):
-        rollup.commit("drop small", reduce(DataFrame.union, [changes_of(small, "delete", v) for v in VERSIONS]))
-        rollup.commit("drop repeated lines", reduce(DataFrame.union, [changes_of(repeated, "revise", v, once) for v in VERSIONS]))
+        rollup.commit("drop small", reduce(DataFrame.union, [changes_of(small, "delete", v) for v in counters]))
+        rollup.commit("drop repeated lines", reduce(DataFrame.union, [changes_of(count(once), "revise", v) for v, count in counters.items()]))
     return rollup.totals()
 
 
-OP6_SQL = r"""
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and tokenizer version after the batches of ``roll_up`` over all documents."""
+    rollup = Rollup(spark, f"{shared_dir(spark)}/op6-{uuid.uuid4().hex[:12]}/rollup")
+    return roll_up(load(spark, sf_dir, "documents"), versions(), rollup)
+
+
+#: The same rollup in SQL for two versions that are patterns: words, and letters or digits together and marks alone.
+PATTERNS = {"words-1": r"[^\x20\x09-\x0D]+", "parts-1": r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"}
+PATTERNS_SQL = r"""
 WITH lines AS (
   SELECT source, lang, string_split(text, chr(10)) AS own FROM documents WHERE text IS NOT NULL
 ), live AS (

@@ -12,7 +12,7 @@ from stallkeeper.llm import packing, piece_bpe
 
 TEXTS = [
     "", " ", "  ", "\n", " \n  a", "a b  c            d", "▁▁a ▁", "\x01 a\x01b", "<s> <unk> </s> <0x0A>", "日本語 テキスト 😀👍🏽", "naïve İstanbul ΣΑΣ ς é é ́a", "\t tab\r\n x",
-    " " * 40 + "x" + " " * 17, "\x00a", "<|endoftext|> a<|startoftext|>b", "I'll don't they'RE 12345 ½ Ⅷ", "a　x y", "a" * 90, "=" * 30 + "-" * 20 + "word,.!? word'. word\".", "Straße ÀÉÎõü ÿ ª µ",
+    " " * 40 + "x" + " " * 17, " " * 10_000, "a" + " " * 30_001 + "b", "\x00a", "<|endoftext|> a<|startoftext|>b", "I'll don't they'RE 12345 ½ Ⅷ", "a　x y", "a" * 90, "=" * 30 + "-" * 20 + "word,.!? word'. word\".", "Straße ÀÉÎõü ÿ ª µ",
 ]
 
 

@@ -236,6 +236,67 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     assert rollup.commit("empty", batch(row("insert", 1, 1)).limit(0)) and totals()["c"] == (1, 6)
 
 
+def test_rollup_takes_any_batch_id_and_compacts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_rollup, "COMPACT", 3)
+    rollup = token_rollup.Rollup(spark, f"{tmp_path}/r")
+    draw, held, loose = random.Random(2), {}, 0
+    for n in range(8):
+        rows = []
+        for i in draw.sample(range(12), 5):
+            op, source, tokens = draw.choice(["insert", "revise", "delete"]), draw.choice("ab"), draw.randint(0, 9)
+            rows.append((op, i, source, "en", "w", tokens, 0))
+            held.pop(i, None)
+            if op != "delete":
+                held[i] = (source, tokens)
+        rows.append(("insert", None, "c", "en", "w", n, 0))
+        loose += n
+        batch, name = spark.createDataFrame(rows, token_rollup.CHANGE), f"2024/01/{n} ~ ü?*"
+        assert rollup.commit(name, batch) and not rollup.commit(name, batch)
+    want = {s: (sum(x[0] == s for x in held.values()), sum(x[1] for x in held.values() if x[0] == s)) for s in {x[0] for x in held.values()}} | {"c": (8, loose)}
+    assert {r["source"]: (r["n_docs"], r["n_tokens"]) for r in rollup.totals("source").collect()} == want
+    assert sorted(rollup._names("base")) == [3, 6] and not rollup.commit("2024/01/0 ~ ü?*", batch)
+    with pytest.raises(OSError):
+        (tmp_path / "r" / "staged").mkdir()
+        rollup._publish(f"{tmp_path}/r/staged", "base=000000003")
+
+
+def rolled_up(rows, count):
+    """Totals in plain Python."""
+    out = {}
+    for _, text, lang, source, _ in rows:
+        lines = (text or "").split("\n")
+        if text is None or any(len(x) >= 10 for x in lines):
+            for version, n in count("" if text is None else "\n".join(dict.fromkeys(lines))).items():
+                docs, tokens = out.get((source, lang, version), (0, 0))
+                out[source, lang, version] = docs + 1, tokens + n
+    return out
+
+
+def test_op6_counts_are_those_of_the_tokenizers(spark, tmp_path):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from stallkeeper.llm import packing, piece_bpe
+
+    pieces, words = sentencepiece.SentencePieceProcessor(model_file=piece_bpe.model_path()), Tokenizer.from_file(packing.tokenizer_path())
+    rows = [(i, t, "en" if i % 2 else None, f"s{i % 3}", None) for i, t in enumerate(["", None, "short", "some words, that are long enough", "é  日本語 😀 a line of text\n\nx\na line of text", "twice the line\ntwice the line\n" * 40])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["source"], r["lang"], r["version"]): (r["n_docs"], r["n_tokens"]) for r in token_rollup.op6_token_rollup(spark, str(tmp_path)).collect()}
+    assert got == rolled_up(rows, lambda t: {"piece_bpe_32k": len(pieces.encode(t)), "word_bpe_49k": len(words.encode(t, add_special_tokens=False).ids)})
+
+
+def test_rollup_of_whole_tables_is_that_of_sql(spark, tmp_path):
+    import duckdb
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    counters = {v: token_rollup.by_pattern(p) for v, p in token_rollup.PATTERNS.items()}
+    got = token_rollup.roll_up(spark.read.parquet(path), counters, token_rollup.Rollup(spark, f"{tmp_path}/r"))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}')")
+        want = db.execute(token_rollup.PATTERNS_SQL).fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) > 50
+
+
 SMALL = "/root/testdata/sf0.001"
 
 
