@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import Stash, broadcast_if_small, load, python_ready
+from .tables import Stash, broadcast_if_small, likely_among, load, python_ready
 from .textkit import Rolling, buffer_of, mix
 
 LENGTH = 200
@@ -383,10 +383,14 @@ def _frequent_ranges(batches: Iterator[pa.RecordBatch], first: np.ndarray, secon
 RANGES = "t1 long, t2 long, start int, end int"
 
 
-def _with_lists(texts: DataFrame, runs: DataFrame, *fields: str) -> DataFrame:
-    """Texts that own some of the runs, with the list of them; a text's length bounds its list."""
-    lists = runs.groupBy("t1", "t2").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
-    return texts.join(lists, ["t1", "t2"]).select("t1", "t2", "text", "wanted")
+def _with_lists(texts: DataFrame, runs: DataFrame, stash: Stash, name: str, *fields: str) -> DataFrame:
+    """Texts that own some of the runs, with the list of them; a text's length bounds its list.
+
+    The lists are written, so that the join is a plain one and Spark can split the copies of
+    a very common text.
+    """
+    lists = stash.put(name, runs.groupBy("t1", "t2").agg(F.collect_list(F.struct(*fields)).alias("wanted")))
+    return likely_among(texts, lists, "t1").join(lists, ["t1", "t2"]).select("t1", "t2", "text", "wanted")
 
 
 def _runs(texts: DataFrame, stash: Stash, length: int) -> tuple[DataFrame, DataFrame]:
@@ -408,7 +412,7 @@ def _runs(texts: DataFrame, stash: Stash, length: int) -> tuple[DataFrame, DataF
         hot = broadcast_if_small(hot)
         kept.append(distinct.join(hot, "key", "left_anti").select(*distinct.columns))
         coarse = now.join(hot, "key", "left_semi").distinct()
-        finer = _with_lists(texts, coarse, "at", "windows", "inset", "before", "after").mapInArrow(lambda b: _finer_rows(b, length), RUN)
+        finer = _with_lists(texts, coarse, stash, f"coarse-{level}", "at", "windows", "inset", "before", "after").mapInArrow(lambda b: _finer_rows(b, length), RUN)
         now = stash.put(f"runs-{level + 1}", finer)
 
 
@@ -418,13 +422,13 @@ def repeated_ranges(texts: DataFrame, stash: Stash, length: int = LENGTH) -> Dat
     runs, distinct = _runs(texts, stash, length)
     again = distinct.groupBy("key").agg(F.sum("copies").alias("seen")).where("seen > 1").select("key")
     open_ = stash.put("open", distinct.join(again, "key").select("one.*", *ENTRY_NAMES[3:]))
-    bodies = _with_lists(texts, open_, *ENTRY_NAMES[2:]).mapInArrow(lambda b: _bodies(b, length), f"{ENTRY}, body binary")
+    bodies = _with_lists(texts, open_, stash, "wanted", *ENTRY_NAMES[2:]).mapInArrow(lambda b: _bodies(b, length), f"{ENTRY}, body binary")
     buckets = max(1, -(-open_.count() // BUCKET_CONTEXTS))
     merged = stash.put("merged", (
         bodies.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
         .groupBy("bucket").applyInArrow(lambda t: _merge_bucket(t, length), f"{RANGES}, copies long, d1 long, d2 long")
     ))
-    stash.drop("open")
+    stash.drop("open", "wanted")
     # What holds for an entry holds for all its copies. Those that are more than one run in FREQUENT are fewer than that.
     ranges = [merged.where("copies = 1").select("t1", "t2", "start", "end")]
     copied = stash.put("copied", merged.where("copies > 1").select("d1", "d2", "copies").distinct())
@@ -439,7 +443,7 @@ def repeated_ranges(texts: DataFrame, stash: Stash, length: int = LENGTH) -> Dat
         rest, copied = (x.join(known, ["d1", "d2"], "left_anti") for x in (rest, copied))
     found = rest.join(copied.select("d1", "d2"), ["d1", "d2"]).select("t1", "t2", F.col("at").alias("start"), (F.col("at") + F.col("windows") - 1 + length).alias("end"))
     ranges.append(stash.put("rest", found))
-    stash.drop("copied", *(f"{name}-{i}" for name in ("runs", "distinct", "hot") for i in range(10)))
+    stash.drop("copied", *(f"{name}-{i}" for name in ("runs", "distinct", "hot", "coarse") for i in range(10)))
     return reduce(DataFrame.union, ranges)
 
 
@@ -491,7 +495,8 @@ def remove_repeats(docs: DataFrame, keep: list[str], stash: Stash, length: int =
     hashes = F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")
     ranges = repeated_ranges(docs.select(*hashes, text.alias("text")).where(F.octet_length("text") >= length), stash, length)
     # Equal texts have equal ranges: a set of them, folded before it is shuffled, is bounded by the text.
-    lists = ranges.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    lists = stash.put("lists", ranges.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("ranges")))
+    stash.drop("merged", "frequent", "rest")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), text.alias("whole"), *hashes)
     joined = whole.join(lists, ["t1", "t2"], "left").select("row", "whole", "ranges")
     kinds = T.StructType([joined.schema["row"]])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import Stash, load, python_ready
+from .tables import Stash, likely_among, load, python_ready
 from .textkit import LOWER, Rolling, buffer_of, mix, shingles, word_bounds
 
 WORDS = 5
@@ -40,8 +40,6 @@ TABLE = [f"s{i}" for i in range(TABLE_BITS // 64)]
 FIRST_PIVOTS = 4
 #: Places on the circle, and the seed of both permutations.
 CIRCLE, SEED = 1 << 20, 77
-#: Bits of the table of wanted ids that is broadcast, and bits in one of its rows: 4 MB at most, whatever the number of ids.
-ID_BITS, ROW_BITS = 1 << 25, 1 << 15
 #: Bytes of text that are hashed together.
 BLOCK = 1 << 20
 #: Links up to which a graph's tables of nodes are broadcast: two numbers a node.
@@ -209,22 +207,6 @@ def _open_within(mixed: DataFrame, tables: DataFrame) -> DataFrame:
     return pairs.select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).distinct()
 
 
-def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts of wanted ids.
-
-    A bit table of bounded size leaves out most others before the exact join shuffles texts.
-    When there are so many ids that it fills up, it lets more through and the join still decides.
-    """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
-    row, bit = F.floor(place / ROW_BITS).cast("int").alias("row"), F.pmod(place, F.lit(ROW_BITS)).alias("bit")
-    table = wanted.select(row, bit).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = F.floor(byte / F.pow(F.lit(2), F.pmod("bit", F.lit(8)))) % 2 == 1
-    near = texts.select("doc_id", "text", row, bit).join(F.broadcast(table), "row").where(is_set)
-    # A semi join would be moved below the bit table and shuffle all texts again.
-    return near.select("doc_id", "text").join(wanted.distinct(), "doc_id").select("text")
-
-
 def find_groups(docs: DataFrame, stash: Stash) -> DataFrame:
     """One row for each document: doc_id, text_hash, n_shingles, component_id and kept.
 
@@ -253,7 +235,9 @@ def find_groups(docs: DataFrame, stash: Stash) -> DataFrame:
     touched = members.select("node").distinct()
     wanted = stash.put("wanted", nodes.join(touched, "node").select("node", "d1", "d2", "least"))
     # Sets are made again from the texts of candidates alone: to keep all of them would take more room than the texts.
-    again = _texts_of(texts, wanted.select(F.col("least").alias("doc_id")))
+    ids = wanted.select(F.col("least").alias("doc_id")).distinct()
+    # A semi join would be moved below the bit table and shuffle all texts again.
+    again = likely_among(texts.select("doc_id", "text"), ids, "doc_id").join(ids, "doc_id").select("text")
     made = again.mapInArrow(_sets, "d1 long, d2 long, shingles array<long>, " + ", ".join(f"{c} long" for c in TABLE))
     each = [F.first(c).alias(c) for c in ("shingles", *TABLE)]
     sets = stash.put("sets", made.join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).groupBy("node").agg(*each))

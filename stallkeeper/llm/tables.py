@@ -94,6 +94,24 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Bits of the table of wanted keys that is broadcast, and bits in one of its rows: 4 MB at most, whatever the number of keys.
+KEY_BITS, ROW_BITS = 1 << 25, 1 << 15
+
+
+def likely_among(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
+    """The rows whose key is among the wanted ones, and few others: what an exact join that follows needn't move.
+
+    A bit table of bounded size is broadcast. With so many keys that it fills up it lets more
+    through, and the join still decides.
+    """
+    place = F.pmod(F.xxhash64(*key), F.lit(KEY_BITS))
+    row, bit = F.floor(place / ROW_BITS).cast("int"), F.pmod(place, F.lit(ROW_BITS))
+    table = wanted.select(row.alias("_row"), bit.alias("_bit")).groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.floor(byte / F.pow(F.lit(2), F.pmod("_bit", F.lit(8)))) % 2 == 1
+    return rows.withColumns({"_row": row, "_bit": bit}).join(F.broadcast(table), "_row").where(is_set).select(*rows.columns)
+
+
 def python_ready(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the rows and bytes of an Arrow batch, so that long texts don't fill a worker, and lets workers import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
