@@ -422,6 +422,7 @@ def repeated_ranges(texts: DataFrame, stash: Stash, length: int = LENGTH) -> Dat
     runs, distinct = _runs(texts, stash, length)
     again = distinct.groupBy("key").agg(F.sum("copies").alias("seen")).where("seen > 1").select("key")
     open_ = stash.put("open", distinct.join(again, "key").select("one.*", *ENTRY_NAMES[3:]))
+    stash.drop(*(f"{name}-{i}" for name in ("distinct", "hot", "coarse") for i in range(10)))
     bodies = _with_lists(texts, open_, stash, "wanted", *ENTRY_NAMES[2:]).mapInArrow(lambda b: _bodies(b, length), f"{ENTRY}, body binary")
     buckets = max(1, -(-open_.count() // BUCKET_CONTEXTS))
     merged = stash.put("merged", (
@@ -443,7 +444,7 @@ def repeated_ranges(texts: DataFrame, stash: Stash, length: int = LENGTH) -> Dat
         rest, copied = (x.join(known, ["d1", "d2"], "left_anti") for x in (rest, copied))
     found = rest.join(copied.select("d1", "d2"), ["d1", "d2"]).select("t1", "t2", F.col("at").alias("start"), (F.col("at") + F.col("windows") - 1 + length).alias("end"))
     ranges.append(stash.put("rest", found))
-    stash.drop("copied", *(f"{name}-{i}" for name in ("runs", "distinct", "hot", "coarse") for i in range(10)))
+    stash.drop("copied", *(f"runs-{i}" for i in range(10)))
     return reduce(DataFrame.union, ranges)
 
 
