@@ -1,7 +1,9 @@
 """What two listings say about being the same product, as column expressions.
 
 A listing's evidence is a struct of category, brand, mpn, gtin, model_number (in identifier
-form, brand in normal form), attrs (map) and tokens (array); see ``evidence``.
+form, brand in normal form), attrs (map) and tokens (array); see ``evidence``. Texts come in
+folded (see ``text.fold_fully``), which is done once, before patterns look at them; folding
+what is folded changes nothing.
 """
 
 from __future__ import annotations
@@ -145,6 +147,11 @@ def conflicts(a: Column, b: Column) -> Column:
     return F.when(~a["category"].eqNullSafe(b["category"]), F.array(F.lit("category"))).when(_differ(a["brand"], b["brand"]), F.array(F.lit("brand"))).otherwise(rest)
 
 
+def retitled(e: Column, title: Column) -> Column:
+    """The same evidence under another title, whose attributes and tokens come as a struct."""
+    return F.struct(*(e[f].alias(f) for f in ("category", "brand", "mpn", "gtin", "model_number")), title["attrs"].alias("attrs"), title["tokens"].alias("tokens"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
     return F.when(either > 0, both / either).otherwise(0.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -25,10 +26,23 @@ BRANDS = {
 DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
 
 
+def _compatible(text: str | None) -> str | None:
+    """NFKC, full case folding and ASCII for all decimal digits, which Spark has no function for."""
+    if text is None or text.isascii():
+        return text if text is None else text.lower()
+    folded = unicodedata.normalize("NFKC", text).casefold()
+    return "".join(str(unicodedata.digit(c)) if c.isdecimal() else c for c in folded)
+
+
 @F.pandas_udf(T.StringType())
 def compatibility_form(text: pd.Series) -> pd.Series:
-    """NFKC and full case folding, which Spark has no function for."""
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+    return text.map(_compatible)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def compatibility_forms(texts: pd.Series) -> pd.Series:
+    """All texts of a row at once, so that a row crosses to Python once."""
+    return texts.map(lambda row: None if row is None else [_compatible(x) for x in row])
 
 
 def _anchors(text: Column) -> Column:
@@ -47,6 +61,11 @@ def fold_fully(text: Column) -> Column:
     return _anchors(compatibility_form(F.coalesce(text, F.lit(""))))
 
 
+def fold_all(texts: Column) -> Column:
+    """Like fold_fully for an array; nulls stay null."""
+    return F.transform(compatibility_forms(texts), lambda x: F.when(x.isNotNull(), _anchors(x)))
+
+
 def normalized(folded: Column) -> Column:
     """Words of a-z and 0-9 with one space between them."""
     return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
@@ -75,8 +94,27 @@ def normalize_brand(brand: Column) -> Column:
     return F.coalesce(F.element_at(spelled, low), low)
 
 
+# How compact model numbers are taken apart and CPU suffixes are put back.
+QUERY_RULES = (
+    (r"(?i)\b([a-z]{2,})([0-9]{3,5})(ti|xt)\b", "$1 $2 $3"),
+    (r"(?i)\b([a-z]{2,})([0-9]{3,5}[a-z]{0,5})\b", "$1 $2"),
+    (r"(?i)\b((?:ryzen(?:\s+[3579])?|(?:core\s+)?i[3579])\s+)([0-9]{4,5})\s+(kf|x|f|k)\b", "$1$2$3"),
+)
+
+
 def search_query(query: Column) -> Column:
     """A query with compact model numbers taken apart and CPU suffixes put back."""
-    query = F.regexp_replace(F.trim(query), r"(?i)\b([a-z]{2,})([0-9]{3,5})(ti|xt)\b", "$1 $2 $3")
-    query = F.regexp_replace(query, r"(?i)\b([a-z]{2,})([0-9]{3,5}[a-z]{0,5})\b", "$1 $2")
-    return F.regexp_replace(query, r"(?i)\b((?:ryzen(?:\s+[3579])?|(?:core\s+)?i[3579])\s+)([0-9]{4,5})\s+(kf|x|f|k)\b", "$1$2$3")
+    query = F.trim(query)
+    for pattern, by in QUERY_RULES:
+        query = F.regexp_replace(query, pattern, by)
+    return query
+
+
+def request_words(query: str) -> str:
+    """The words of one request as they are searched for, in normal form; made where the request comes in."""
+    query = _compatible(query.strip())
+    for arabic, latin in ARABIC:
+        query = query.replace(arabic, latin)
+    for pattern, by in QUERY_RULES:
+        query = re.sub(pattern, by.replace("$", "\\"), query, flags=re.ASCII)
+    return re.sub("[^a-z0-9]+", " ", query).strip()

@@ -35,11 +35,12 @@ def is_buyable() -> Column:
 
 
 def offer_rank() -> list[Column]:
-    """Sort keys that put a product's best offer first."""
+    """Keys of which a product's best offer has the least: yes before no, cheap before dear, late before early, known before unknown."""
     known_new = is_known() & F.coalesce(F.col("condition") == "new", F.lit(False))
+    shown = F.when(F.col("is_current"), F.col("price"))
     return [
-        F.col("is_current").desc(), is_buyable().desc(), known_new.desc(), is_known().desc(),
-        F.when(F.col("is_current"), F.col("price")).asc_nulls_last(), F.col("last_seen_at").desc_nulls_last(), F.col("price").asc_nulls_last(), F.col("offer_id").asc(),
+        ~F.col("is_current"), ~is_buyable(), ~known_new, ~is_known(), shown.isNull(), shown,
+        F.col("last_seen_at").isNull(), -F.unix_micros(F.col("last_seen_at").cast("timestamp")), F.col("price").isNull(), F.col("price"), F.col("offer_id"),
     ]
 
 
@@ -48,8 +49,10 @@ def best_offers(trusted: DataFrame, tie_break: list[Column] = ()) -> DataFrame:
 
     A price is shown only while current; a known price that is not is the last one seen.
     """
-    first = Window.partitionBy("product_id").orderBy(*offer_rank(), *tie_break)
-    best = trusted.withColumn("_rank", F.row_number().over(first)).where("_rank = 1")
+    # The least of the rank keys is found by aggregation, so what a popular product's offers add up to is folded before it moves.
+    keys = F.struct(*(k.alias(f"k{i}") for i, k in enumerate([*offer_rank(), *tie_break])))
+    shown = [c for c in trusted.columns if c not in ("product_id", "seller_id")]
+    best = trusted.groupBy("product_id").agg(F.min_by(F.struct(*shown), keys).alias("best")).select("product_id", "best.*")
     current = F.col("is_current")
     return best.select(
         "product_id", "offer_id", "variant_id", "provider_id", "provider_name", "condition", "currency", "last_seen_at",
@@ -96,8 +99,9 @@ def facet_providers(providers: DataFrame) -> DataFrame:
 def search_document(model: DataFrame) -> DataFrame:
     """The read model as documents for search: prices as numbers, unknown stock as null, times in seconds."""
     text = F.concat_ws("\n", "name", "category", "brand")
+    ids = [c for c in ("category_id", "brand_id") if c in model.columns]
     return model.select(
-        F.col("product_id").alias("id"), "name", "category", "brand", "provider_id", "provider_name", "provider_ids", "variant_count", "offer_count",
+        F.col("product_id").alias("id"), "name", "category", "brand", *ids, "provider_id", "provider_name", "provider_ids", "variant_count", "offer_count",
         F.round(F.col("price").cast("double"), 2).alias("price"), F.round(F.col("last_seen_price").cast("double"), 2).alias("last_seen_price"), "price_status",
         F.when(F.col("stock_known"), F.col("in_stock")).alias("in_stock"), "condition", F.unix_timestamp("last_seen_at").alias("last_seen_at"), text.alias("semantic_text"),
     )

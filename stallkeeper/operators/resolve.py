@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.identity import EXACT, REVIEWER, VARIANT, candidate_score, conflicts, jaccard, pair_key, verdict
-from ..schemas import ALIAS_TITLES, BLOCK_CAP, RULE_VERSION, SCORE_FLOOR, TOP_CANDIDATES
+from ..functions.identity import EXACT, REVIEWER, VARIANT, attributes, candidate_score, conflicts, evidence, pair_key, retitled, verdict
+from ..functions.text import fold_all, normalized, title_tokens
+from ..schemas import ALIAS_TITLES, BLOCK_CAP, MATCHED, RULE_VERSION, SCORE_FLOOR, TOP_CANDIDATES
+from ..workers import ready
 
 # The budget rule for adjudication costs.
 COST_MARGIN, COST_FLOOR, MONTHLY_BUDGET = "2", "0.05", "10"
 
 
 def first_evidence(offers: DataFrame) -> DataFrame:
-    """Each variant's first offer by id."""
-    order = Window.partitionBy("variant_id").orderBy("offer_id")
-    return offers.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    """Each variant's first offer by id; found by aggregation, so offers are folded before they move."""
+    rest = [c for c in offers.columns if c != "variant_id"]
+    first = offers.groupBy("variant_id").agg(F.min_by(F.struct(*rest), F.struct("offer_id", *(c for c in rest if c != "offer_id"))).alias("_first"))
+    return first.select(*(F.col(c) if c == "variant_id" else F.col(f"_first.{c}").alias(c) for c in offers.columns))
 
 
 def alias_titles(titles: DataFrame, main: DataFrame, most: int = ALIAS_TITLES) -> DataFrame:
@@ -26,18 +32,71 @@ def alias_titles(titles: DataFrame, main: DataFrame, most: int = ALIAS_TITLES) -
     return ranked.groupBy("variant_id").agg(F.array_sort(F.collect_list(F.struct("_rank", "title"))).alias("found")).select("variant_id", F.transform("found", lambda f: f["title"]).alias("aliases"))
 
 
-def block_keys(listings: DataFrame) -> DataFrame:
-    """Rows (block, capped, variant_id) of every listing with a brand: identifiers, models and title words with a digit.
+def listings_of(products: DataFrame, variants: DataFrame, offers: DataFrame) -> DataFrame:
+    """Listings to match, one for each variant that an offer counts for: variant_id, product_id, provider_ids, title, ``e`` and ``others``.
+
+    ``products`` has product_id, category, brand, name, model_number and specifications,
+    ``variants`` variant_id, product_id, mpn, gtin and options, ``offers`` (trusted and
+    current ones) variant_id, offer_id, provider_id and title, which may be null and then is
+    the product's name. The first offer by id gives the main title; up to eight other titles,
+    longest first, are aliases. ``e`` is the evidence under the main title, ``others`` has
+    attributes and tokens under each alias.
+    """
+    named = products.select("product_id", F.col("name").alias("_name"))
+    titled = offers.join(variants.select("variant_id", "product_id"), "variant_id").join(named, "product_id").select("variant_id", "offer_id", "provider_id", F.coalesce("title", "_name").alias("title"))
+    main = first_evidence(titled.select("variant_id", "offer_id", "title"))
+    sellers = titled.groupBy("variant_id").agg(F.array_sort(F.collect_set("provider_id")).alias("provider_ids"))
+    rows = main.join(sellers, "variant_id").join(alias_titles(titled, main), "variant_id", "left").join(variants, "variant_id").join(products, "product_id")
+    return with_evidence(rows)
+
+
+def with_evidence(rows: DataFrame) -> DataFrame:
+    """Adds ``e`` and ``others`` to rows of category, brand, title, mpn, gtin, model_number, options, specifications and aliases.
 
-    ``listings`` has variant_id and evidence ``e`` (see ``functions.identity.evidence``).
+    All texts of a row are folded together, once, before any pattern looks at them.
     """
-    e = F.col("e")
-    models = F.array(*(F.concat(F.lit(f"{f}="), F.element_at(e["attrs"], F.lit(f))) for f in ("cpu_model", "generation", "chip")))
+    ready(rows.sparkSession)
+    texts, maps = ("brand", "title", "mpn", "gtin", "model_number"), ("options", "specifications")
+    none = F.array().cast("array<string>")
+    parts = [F.array(*texts), *(part for m in maps for part in (F.coalesce(F.map_keys(m), none), F.coalesce(F.map_values(m), none))), F.coalesce("aliases", none)]
+    sizes = [F.size(p) for p in parts]
+    begins = [F.lit(1)]
+    for n in sizes[:-1]:
+        begins.append(begins[-1] + n)
+    # In a column of its own, as Python functions can't stand inside array expressions.
+    folded = rows.withColumn("_all", fold_all(F.concat(*parts)))
+    own = [F.slice("_all", b, n) for b, n in zip(begins, sizes, strict=True)]
+    text = {name: F.get(own[0], i) for i, name in enumerate(texts)}
+    options, specs = (F.map_from_arrays(own[i], own[i + 1]) for i in (1, 3))
+    folded = folded.select(*rows.columns, F.struct(*(c.alias(n) for n, c in text.items()), options.alias("options"), specs.alias("specs"), own[5].alias("aliases")).alias("_f"))
+    f = F.col("_f")
+    e = evidence(F.col("category"), f["brand"], f["title"], f["mpn"], f["gtin"], f["model_number"], f["options"], f["specs"])
+    others = F.transform(f["aliases"], lambda t: F.struct(attributes(F.col("category"), t, f["options"], f["specs"]).alias("attrs"), title_tokens(normalized(t)).alias("tokens")))
+    return folded.select(*rows.columns, e.alias("e"), others.alias("others"))
+
+
+TITLES = "array<struct<attrs:map<string,string>,tokens:array<string>>>"
+
+
+def _titles(listings: DataFrame) -> Column:
+    """Attributes and tokens under the main title, then under each alias if listings have ``others``."""
+    main = F.array(F.struct(F.col("e.attrs").alias("attrs"), F.col("e.tokens").alias("tokens"))).cast(TITLES)
+    return F.concat(main, F.coalesce(F.col("others").cast(TITLES), F.array().cast(TITLES))) if "others" in listings.columns else main
+
+
+def block_keys(listings: DataFrame, categories: tuple[str, ...] | None = MATCHED) -> DataFrame:
+    """Rows (block, capped, variant_id) of every listing with a brand in one of the categories: identifiers, and models and title words with a digit under any of its titles.
+
+    ``listings`` has variant_id, evidence ``e`` (see ``functions.identity.evidence``) and may have ``others``.
+    """
+    e, titles = F.col("e"), _titles(listings)
+    models = F.flatten(F.transform(titles, lambda t: F.array(*(F.concat(F.lit(f"{f}="), F.element_at(t["attrs"], F.lit(f))) for f in ("cpu_model", "generation", "chip")))))
     ids = F.array(F.concat(F.lit("gtin="), e["gtin"]), F.concat(F.lit("mpn="), e["mpn"]))
-    words = F.transform(F.filter(e["tokens"], lambda t: (F.length(t) >= 4) & t.rlike("[0-9]")), lambda t: F.concat(F.lit("word="), t))
+    words = F.transform(F.filter(F.flatten(F.transform(titles, lambda t: t["tokens"])), lambda t: (F.length(t) >= 4) & t.rlike("[0-9]")), lambda t: F.concat(F.lit("word="), t))
     tagged = lambda keys, capped: F.transform(F.array_compact(keys), lambda k: F.struct(k.alias("key"), F.lit(capped).alias("capped")))
     keys = F.explode(F.array_distinct(F.concat(tagged(ids, False), tagged(models, True), tagged(words, True))))
-    found = listings.where(e["brand"].isNotNull()).select("variant_id", e["category"].alias("category"), e["brand"].alias("brand"), keys.alias("k"))
+    matched = e["brand"].isNotNull() & (F.lit(True) if categories is None else e["category"].isin(*categories))
+    found = listings.where(matched).select("variant_id", e["category"].alias("category"), e["brand"].alias("brand"), keys.alias("k"))
     return found.select(F.concat_ws("\u0001", "category", "brand", "k.key").alias("block"), F.col("k.capped").alias("capped"), "variant_id")
 
 
@@ -47,13 +106,14 @@ def within_cap(blocks: DataFrame, cap: int = BLOCK_CAP) -> DataFrame:
     return blocks.join(sizes.where(F.col("size") > 1), "block").where(~F.col("capped") | (F.col("size") <= cap)).select("block", "variant_id")
 
 
-def candidate_pairs(listings: DataFrame, cap: int = BLOCK_CAP) -> DataFrame:
+def candidate_pairs(listings: DataFrame, cap: int = BLOCK_CAP, categories: tuple[str, ...] | None = MATCHED) -> DataFrame:
     """Ordered pairs (left, right) that share a block, of different products and with no provider in common."""
-    blocks = within_cap(block_keys(listings), cap)
-    pairs = blocks.select("block", F.col("variant_id").alias("left")).join(blocks.select("block", F.col("variant_id").alias("right")), "block").where(F.col("left") != F.col("right")).select("left", "right").distinct()
-    side = lambda n: listings.select(F.col("variant_id").alias(n), F.col("product_id").alias(f"{n}_product"), F.col("provider_ids").alias(f"{n}_providers"))
-    apart = (F.col("left_product") != F.col("right_product")) & ~F.arrays_overlap("left_providers", "right_providers")
-    return pairs.join(side("left"), "left").join(side("right"), "right").where(apart).select("left", "right")
+    carried = listings.select(F.struct("variant_id", "product_id", "provider_ids").alias("variant_id"), *(c for c in ("e", "others") if c in listings.columns))
+    blocks = within_cap(block_keys(carried, categories), cap)
+    left, right = (blocks.select("block", F.col("variant_id").alias(n)) for n in ("a", "b"))
+    # Product and providers come along with the block, so pairs that can't be are never made.
+    apart = (F.col("a.product_id") != F.col("b.product_id")) & ~F.arrays_overlap("a.provider_ids", "b.provider_ids")
+    return left.join(right, "block").where(apart).select(F.col("a.variant_id").alias("left"), F.col("b.variant_id").alias("right")).distinct()
 
 
 def top_candidates(scored: DataFrame, k: int = TOP_CANDIDATES, floor: float = SCORE_FLOOR) -> DataFrame:
@@ -65,26 +125,31 @@ def top_candidates(scored: DataFrame, k: int = TOP_CANDIDATES, floor: float = SC
 
 
 def _with_evidence(pairs: DataFrame, listings: DataFrame) -> DataFrame:
-    side = lambda n, e: listings.select(F.col("variant_id").alias(n), F.col("e").alias(e))
+    """Pairs with both sides' evidence (a, b) and that under each of their titles (every_a, every_b)."""
+    side = lambda n, e: listings.select(F.col("variant_id").alias(n), F.col("e").alias(e), _titles(listings).alias(f"every_{e}"))
     return pairs.join(side("left", "a"), "left").join(side("right", "b"), "right")
 
 
+def _over_titles(of: Callable[[Column, Column], Column]) -> Column:
+    """What ``of`` says of each pair of the two sides' titles, as an array."""
+    a, b = F.col("a"), F.col("b")
+    return F.flatten(F.transform("every_a", lambda x: F.transform("every_b", lambda y: of(retitled(a, x), retitled(b, y)))))
+
+
 def score_pairs(pairs: DataFrame, listings: DataFrame) -> DataFrame:
-    """Scores by main titles; with an ``alias_tokens`` column (array of token arrays) the best over all pairs of titles."""
+    """The best score over all pairs of titles, aliases included."""
     scored = _with_evidence(pairs, listings)
-    score = candidate_score(F.col("a"), F.col("b"))
-    if "alias_tokens" in listings.columns:
-        more = lambda n, c: listings.select(F.col("variant_id").alias(n), F.coalesce("alias_tokens", F.array().cast("array<array<string>>")).alias(c))
-        scored = scored.join(more("left", "la"), "left").join(more("right", "lb"), "right")
-        every = lambda c, own: F.concat(F.array(F.col(own)["tokens"]), F.col(c))
-        best = F.array_max(F.flatten(F.transform(every("la", "a"), lambda x: F.transform(every("lb", "b"), lambda y: jaccard(x, y)))))
-        score = F.when(score.isin(0.0, 1.0), score).otherwise(F.greatest(score, best))
+    score = F.array_max(_over_titles(candidate_score)) if "others" in listings.columns else candidate_score(F.col("a"), F.col("b"))
     return scored.select("left", "right", score.alias("score"))
 
 
 def pair_verdicts(pairs: DataFrame, listings: DataFrame) -> DataFrame:
+    """What the main titles' evidence settles; exact matches of which some pair of titles conflicts are uncertain."""
     both = _with_evidence(pairs, listings).withColumn("conflicts", conflicts(F.col("a"), F.col("b")))
-    return both.withColumn("verdict", verdict(F.col("a"), F.col("b"), F.col("conflicts"))).drop("a", "b")
+    both = both.withColumn("verdict", verdict(F.col("a"), F.col("b"), F.col("conflicts")))
+    if "others" in listings.columns:
+        both = downgrade_alias_conflicts(both, F.exists(_over_titles(lambda a, b: F.size(conflicts(a, b))), lambda n: n > 0))
+    return both.select(*pairs.columns, "conflicts", "verdict")
 
 
 def downgrade_alias_conflicts(verdicts: DataFrame, alias_conflict: Column) -> DataFrame:
@@ -115,16 +180,29 @@ def merge_plan(decisions: DataFrame, variants: DataFrame, limit: int = 1000) ->
     """What merging in order does: pair_key, action, and the variant and product that go into others.
 
     ``decisions`` are those that may be applied (see ``safe_to_apply``): pair_key, left,
-    right, verdict, reviewed, created_at. Each may depend on those before it, so they are
-    folded in order on the driver: at most ``limit`` merges of a queue cut to ten times that.
+    right, verdict, reviewed, created_at. Pairs of one product that no queued merge touches are
+    applied as they are. Each other one may depend on those before it, so they are folded in order on the driver: at
+    most ``limit`` merges of a queue cut to ten times that.
     """
-    queue = decisions.where(F.col("verdict").isin(EXACT, VARIANT)).orderBy(F.desc("reviewed"), "created_at", "pair_key").limit(10 * limit)
-    named = queue.select(F.explode(F.array("left", "right")).alias("variant_id")).distinct()
-    product = {r[0]: r[1] for r in variants.join(F.broadcast(named), "variant_id").select("variant_id", "product_id").collect()}
+    # Reviewed decisions first, then the oldest.
+    order = [F.desc("reviewed"), F.asc("created_at"), F.asc("pair_key")]
+    # Decisions on variants that are gone, or in one product that no merge touches, would only fill the queue: Spark tells them apart.
+    known = lambda n: variants.select(F.col("variant_id").alias(n), F.col("product_id").alias(f"{n}_product"))
+    usable = decisions.where(F.col("verdict").isin(EXACT, VARIANT)).join(known("left"), "left").join(known("right"), "right")
+    apart = usable.where("left_product <> right_product").orderBy(*order).limit(10 * limit)
+    touched = apart.select(F.explode(F.array("left", "right")).alias("variant_id")).distinct()
+    together = usable.where("left_product = right_product")
+    near = reduce(DataFrame.union, (together.join(touched.select(F.col("variant_id").alias(n)), n, "left_semi").select(*usable.columns) for n in ("left", "right"))).distinct()
+    queue = apart.select(*usable.columns).union(near).orderBy(*order).limit(10 * limit)
+    settled = together.join(near.select("pair_key"), "pair_key", "left_anti").select("pair_key", F.lit("applied").alias("action"), *(F.lit(None).cast("long").alias(c) for c in ("variant_id", "into_variant", "product_id", "into_product")))
+    product: dict[int, int] = {}
+    rows = queue.collect()
+    for row in rows:
+        product[row["left"]], product[row["right"]] = row["left_product"], row["right_product"]
     steps: list[tuple] = []
-    for row in queue.select("pair_key", "left", "right", "verdict").collect():
-        key, left, right, what = row
-        if len([s for s in steps if s[1] != "applied"]) >= limit:
+    merges = 0
+    for key, left, right, what in ((r["pair_key"], r["left"], r["right"], r["verdict"]) for r in rows):
+        if merges >= limit:
             break
         if left not in product or right not in product:
             continue
@@ -135,12 +213,13 @@ def merge_plan(decisions: DataFrame, variants: DataFrame, limit: int = 1000) ->
         keeps = left if product[left] == target else right
         goes = right if keeps == left else left
         steps.append((key, "merge" if what == EXACT else "group", goes, keeps, product[goes], target))
+        merges += 1
         if what == EXACT:
             del product[goes]
         else:
             product[goes] = target
     schema = "pair_key string, action string, variant_id long, into_variant long, product_id long, into_product long"
-    return decisions.sparkSession.createDataFrame(steps, schema)
+    return settled.union(decisions.sparkSession.createDataFrame(steps, schema))
 
 
 def budget_spent(batches: DataFrame, as_of: Column) -> DataFrame:
@@ -198,6 +277,12 @@ def collect_answers(requests: DataFrame, answers: DataFrame) -> DataFrame:
     return joined.select(*requests.columns, F.coalesce(known, F.lit("uncertain")).alias("verdict"), how.alias("answer"), read["input_tokens"].alias("input_tokens"), read["output_tokens"].alias("output_tokens"))
 
 
+def answer_totals(collected: DataFrame) -> DataFrame:
+    """What the collected answers used in all: input_tokens, output_tokens and answers."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return collected.agg(total("input_tokens"), total("output_tokens"), F.count_if(F.col("answer") == "answered").alias("answers"))
+
+
 def stale_requests(requests: DataFrame, current: DataFrame) -> DataFrame:
     """Submitted requests that no longer equal what the current evidence would ask (both: pair_key, body)."""
     now = current.select("pair_key", F.col("body").alias("_now"))

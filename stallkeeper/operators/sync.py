@@ -173,9 +173,22 @@ def orphans(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
-    """Each provider's last finished crawl; unfinished runs that a later one overtook count as failed."""
-    order = Window.partitionBy("provider_id").orderBy(F.col("finished_at").desc(), F.col("run_id").desc())
-    return runs.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    """Each provider's last crawl that has an end: a finished one, or an unfinished one that a later run overtook, which counts as failed.
+
+    Runs are in order of ``run_id``; the newest run of a provider may still go on and then says nothing.
+    """
+    rest = [c for c in runs.columns if c not in ("provider_id", "status")]
+    newest = runs.groupBy("provider_id").agg(F.max("run_id").alias("_newest"))
+    ended = runs.join(newest, "provider_id").where(F.col("finished_at").isNotNull() | (F.col("run_id") < F.col("_newest")))
+    status = F.when(F.col("finished_at").isNull(), "failed").otherwise(F.col("status")).alias("status")
+    key = F.struct("finished_at", "run_id")
+    last = ended.groupBy("provider_id").agg(F.max_by(F.struct(status, *rest), key).alias("_last"))
+    return last.select(*(F.col(c) if c == "provider_id" else F.col(f"_last.{c}").alias(c) for c in runs.columns))
+
+
+def new_brands(staged: DataFrame, brands: DataFrame) -> DataFrame:
+    """Brands that staged rows name and that are not on record, each once."""
+    return staged.where("brand IS NOT NULL").select("brand").distinct().join(brands.select("brand"), "brand", "left_anti")
 
 
 def split_conflicts(matched: DataFrame, conflict: Column, alone: DataFrame, taken: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ providers AS (
   FROM offers o JOIN providers p USING (provider_id)
   WHERE trust = '{DIRECT}' OR (trust = '{WITH_MARKETPLACE}' AND seller_id IN (0, 1))
 ), products AS (
-  SELECT p_partkey AS product_id, p_name AS name, p_type AS category, p_brand AS brand FROM part
+  SELECT p_partkey AS product_id, p_name AS name, p_type AS category, p_brand AS brand, CAST(ascii(p_type) * 100 + length(p_type) AS BIGINT) AS category_id, CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS brand_id FROM part
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY is_current DESC,
       (coalesce(in_stock, false) AND price_status = 'known' AND condition = 'new') DESC,
@@ -46,7 +46,7 @@ providers AS (
     is_current AND coalesce(in_stock, false) AS in_stock, is_current AND in_stock IS NOT NULL AS stock_known
   FROM ranked WHERE rn = 1
 ), model AS (
-  SELECT p.product_id, p.name, p.category, p.brand, b.* EXCLUDE (product_id), o.provider_ids, o.offer_count, v.variant_count
+  SELECT p.product_id, p.name, p.category, p.brand, p.category_id, p.brand_id, b.* EXCLUDE (product_id), o.provider_ids, o.offer_count, v.variant_count
   FROM products p JOIN best b USING (product_id)
   JOIN (SELECT product_id, list_sort(list(DISTINCT provider_id) FILTER (is_current)) AS provider_ids, count(*) FILTER (is_current) AS offer_count FROM trusted GROUP BY 1) o USING (product_id)
   LEFT JOIN (SELECT product_id, count(DISTINCT variant_id) AS variant_count FROM offers GROUP BY 1) v USING (product_id)
@@ -80,7 +80,11 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.col("p_brand").alias("brand"))
+    category_id, brand_id = F.ascii("p_type") * 100 + F.length("p_type"), F.regexp_extract("p_brand", "[0-9]+", 0)
+    return _table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.col("p_brand").alias("brand"),
+        category_id.cast("long").alias("category_id"), F.nullif(brand_id, F.lit("")).cast("long").alias("brand_id"),
+    )
 
 
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:

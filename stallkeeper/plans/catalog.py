@@ -16,7 +16,7 @@ BEST = "product_id, offer_id, variant_id, provider_id, provider_name, condition,
 DOCS = f"""WITH {A.SQL}, docs AS (
   SELECT product_id AS id, name, category, brand, provider_id, provider_name, provider_ids, variant_count, offer_count, price::DOUBLE AS price,
     last_seen_price::DOUBLE AS last_seen_price, price_status, CASE WHEN stock_known THEN in_stock END AS in_stock, condition, epoch(last_seen_at)::BIGINT AS last_seen_at,
-    concat_ws(chr(10), name, category, brand) AS semantic_text FROM model)"""
+    concat_ws(chr(10), name, category, brand) AS semantic_text, category_id, brand_id FROM model)"""
 
 
 @query(f"WITH {A.SQL} SELECT {BEST} FROM best")
@@ -84,6 +84,23 @@ def search_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).where(S.matches(FILTERED)).select("id", "name", "price")
 
 
+BY_IDS = {"category_ids": ["6907,8005"], "brand_ids": ["2", "17", "4"]}
+
+
+@query(f"{DOCS} SELECT id, category, brand FROM docs WHERE category_id IN (6907, 8005) AND brand_id IN (2, 17, 4)")
+def search_by_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).where(S.matches(S.Filters.parse(BY_IDS))).select("id", "category", "brand")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_size % 3 < 2 ORDER BY 1 LIMIT 100")
+def search_model_number(spark: SparkSession, sf: str) -> DataFrame:
+    """A compact model number finds its spelled-out forms."""
+    kind, none = F.col("p_size") % 3, F.lit("")
+    name = F.when(kind == 0, "Card RTX 4060 Ti").when(kind == 1, "card rtx 4060ti").otherwise("Card RTX 4070 Super")
+    docs = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), name.alias("name"), none.alias("category"), none.alias("brand"), none.alias("provider"))
+    return S.find(docs, "RTX4060Ti", S.Filters(limit=100)).select("id")
+
+
 @query(f"{DOCS} SELECT id, price, row_number() OVER (ORDER BY price ASC NULLS LAST, id) AS position FROM docs ORDER BY price ASC NULLS LAST, id LIMIT 100")
 def search_price_asc(spark: SparkSession, sf: str) -> DataFrame:
     return _numbered(S.page_of(_docs(spark, sf), S.Filters(sort="price_asc", limit=100)), "price_asc")
@@ -271,9 +288,9 @@ def price_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return guard.withColumns({c: F.round(c, 9) for c in ("prior_share", "staged_share")})
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def orphan_variants(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
     return Y.orphans(table(spark, sf, "customer").select("c_custkey", "c_name"), orders, "c_custkey")
 
 
@@ -307,9 +324,27 @@ def identifier_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return Y.identifier_candidates(_identifiers(spark, sf, "listing_id"), _identifiers(spark, sf, "variant_id"))
 
 
-@query(f"WITH {PAIRS} SELECT listing_id, min(variant_id) AS variant_id FROM pairs GROUP BY 1 HAVING count(*) = 1")
+@query(f"WITH {PAIRS} SELECT listing_id, min(variant_id) AS variant_id FROM pairs WHERE variant_id % 7 = 0 GROUP BY 1 HAVING count(*) = 1")
 def single_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return Y.single_candidate(identifier_candidates(spark, sf))
+    variants = _identifiers(spark, sf, "variant_id").where("variant_id % 7 = 0")
+    return Y.single_candidate(Y.identifier_candidates(_identifiers(spark, sf, "listing_id"), variants))
+
+
+@query("SELECT DISTINCT p_brand AS brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 7)")
+def new_brands(spark: SparkSession, sf: str) -> DataFrame:
+    parts = table(spark, sf, "part").select(F.col("p_brand").alias("brand"), "p_size")
+    return Y.new_brands(parts.select("brand"), parts.where("p_size = 7").select("brand").distinct())
+
+
+@query("""WITH r AS (SELECT *, event_type = 'view' AS running, max(event_id) OVER (PARTITION BY user_id) AS newest FROM events),
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN running THEN NULL ELSE ts END DESC NULLS LAST, event_id DESC) AS rn FROM r WHERE NOT running OR event_id < newest)
+SELECT user_id AS provider_id, event_id AS run_id, CASE WHEN running OR event_type = 'error' THEN 'failed' ELSE 'succeeded' END AS status FROM e WHERE rn = 1""")
+def abandoned_crawls(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.col("event_type")
+    runs = table(spark, sf, "events").select(
+        F.col("user_id").alias("provider_id"), F.col("event_id").alias("run_id"), F.when(kind != "view", F.col("ts")).alias("finished_at"), F.when(kind == "error", "failed").when(kind == "view", "running").otherwise("succeeded").alias("status"),
+    )
+    return Y.latest_runs(runs).drop("finished_at")
 
 
 @query("""SELECT c_name AS identity_key, coalesce(s.s_suppkey, n.k) AS variant_id FROM customer

@@ -35,12 +35,12 @@ def _listings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f'WITH {PAIRED} SELECT "left", "right" FROM pairs')
 def blocking_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return R.candidate_pairs(_listings(spark, sf))
+    return R.candidate_pairs(_listings(spark, sf), categories=None)
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     listings = _listings(spark, sf)
-    return R.score_pairs(R.candidate_pairs(listings), listings)
+    return R.score_pairs(R.candidate_pairs(listings, categories=None), listings)
 
 
 @query(f'WITH {PAIRED} SELECT "left", "right", round(score, 6) AS score FROM scored')
@@ -57,7 +57,55 @@ def top4_candidates(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {PAIRED} SELECT "left", "right", CASE WHEN apart THEN 'mpn' ELSE '' END AS conflicts, CASE WHEN apart THEN 'different_product' ELSE 'same_exact_variant' END AS verdict FROM scored""")
 def pair_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     listings = _listings(spark, sf)
-    return R.pair_verdicts(R.candidate_pairs(listings), listings).withColumn("conflicts", F.array_join("conflicts", ","))
+    return R.pair_verdicts(R.candidate_pairs(listings, categories=None), listings).withColumn("conflicts", F.array_join("conflicts", ","))
+
+
+# Pairs of titles by kind with what they settle (category, left, right, conflicts, verdict).
+CASES = (
+    ("gpu", "Card RTX 4060 Eagle", "RTX 4060 Eagle card", "", "same_exact_variant"),
+    ("gpu", "Card RTX 4060 Eagle", "Card RTX 4060 Windforce", "board_family", "different_product"),
+    ("mobile_phones", "iPhone 18 Pro 256GB", "ＩＰＨＯＮＥ 18 Pro 512GB", "storage", "same_product_different_variant"),
+    ("cpu", "Ryzen 7 7800X3D tray", "Ryzen 7 7800X3D boxed", "package", "same_product_different_variant"),
+    ("gpu", "Card RTX 4060 Eagle", "Card RTX 4060 Eagle", "", "uncertain"),
+    ("mobile_phones", "ايفون ١٨ برو ٢٥٦ جيجابايت", "iPhone 17 Pro 256GB", "generation", "different_product"),
+)
+_CASE = lambda i: " ".join(f"WHEN {k} THEN '{c[i]}'" for k, c in enumerate(CASES))
+
+
+@query(f'SELECT p_partkey AS "left", p_partkey + 10000000 AS "right", CASE p_size % 6 {_CASE(3)} END AS conflicts, CASE p_size % 6 {_CASE(4)} END AS verdict FROM part')
+def verdict_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Every verdict, from titles in all spellings."""
+    kind = F.col("p_size") % len(CASES)
+    of = lambda i: F.get(F.array(*(F.lit(c[i]) for c in CASES)), kind.cast("int"))
+    empty = F.lit(None).cast("map<string,string>")
+    mpn = F.when(kind == 0, F.col("p_partkey").cast("string"))
+
+    def side(name: str, title: int, shift: int, brand: Column) -> DataFrame:
+        rows = table(spark, sf, "part").select(
+            (F.col("p_partkey") + shift).alias("variant_id"), of(0).alias("category"), brand.alias("brand"), of(title).alias("title"), mpn.alias("mpn"), F.lit(None).cast("string").alias("gtin"),
+            F.lit(None).cast("string").alias("model_number"), empty.alias("options"), empty.alias("specifications"), F.lit(None).cast("array<string>").alias("aliases"),
+        )
+        return rows
+
+    shift = 10_000_000
+    listings = R.with_evidence(side("left", 1, 0, F.lit("b")).union(side("right", 2, shift, F.when(kind != 4, F.lit("B")))))
+    pairs = table(spark, sf, "part").select(F.col("p_partkey").alias("left"), (F.col("p_partkey") + shift).alias("right"))
+    return R.pair_verdicts(pairs, listings.drop("others")).withColumn("conflicts", F.array_join("conflicts", ","))
+
+
+@query("""WITH p AS (SELECT p_partkey AS i FROM part), e AS (SELECT i AS a, i + 1 AS b FROM p WHERE i % 2 = 0 AND i + 1 IN (SELECT i FROM p))
+SELECT a AS "left", b AS "right", 1.0 AS score FROM e UNION ALL SELECT b, a, 1.0 FROM e""")
+def alias_matching(spark: SparkSession, sf: str) -> DataFrame:
+    """Listings from the catalog's tables whose main titles share no word meet by an alias."""
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("i"), F.concat(F.lit("Model gx"), F.floor(F.col("p_partkey") / 2) + 1000).alias("code"))
+    none, empty = F.lit(None).cast("string"), F.lit(None).cast("map<string,string>")
+    products = parts.select(F.col("i").alias("product_id"), F.lit("gpu").alias("category"), F.lit("b").alias("brand"), F.col("code").alias("name"), none.alias("model_number"), empty.alias("specifications"))
+    variants = parts.select(F.col("i").alias("variant_id"), F.col("i").alias("product_id"), none.alias("mpn"), none.alias("gtin"), empty.alias("options"))
+    offer = lambda n, title: parts.select(F.col("i").alias("variant_id"), (F.col("i") * 10 + n).alias("offer_id"), (F.col("i") % 2).alias("provider_id"), title.alias("title"))
+    # Of even ones the first title is Arabic and the name an alias.
+    offers = offer(1, F.when(F.col("i") % 2 == 0, "بطاقة رسومات")).union(offer(2, none))
+    listings = R.listings_of(products, variants, offers)
+    return R.score_pairs(R.candidate_pairs(listings), listings)
 
 
 @query("SELECT l_partkey AS variant_id, min(l_orderkey) AS offer_id FROM lineitem GROUP BY 1")
@@ -244,6 +292,11 @@ def page_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", last.alias("last_page"), W.explicit_empty(F.col("html")).alias("is_empty"))
 
 
+@query("""SELECT CAST(count(*) FILTER (turn > 0 AND role = 'user') * 5 AS BIGINT) AS input_tokens, CAST(count(*) FILTER (turn > 0 AND role = 'user') * 2 AS BIGINT) AS output_tokens, count(*) FILTER (turn > 0 AND role = 'user') AS answers FROM conversations""")
+def answer_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return R.answer_totals(_replayed(spark, sf))
+
+
 @query(r"""SELECT page_id, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) GROUP BY 1""")
 def page_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return W.anchors(table(spark, sf, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
@@ -262,7 +315,11 @@ def reserve_costs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT conv_id || ':' || turn AS pair_key, CASE WHEN turn = 0 THEN 'uncertain' WHEN role = 'user' THEN 'different_product' ELSE 'uncertain' END AS verdict, CASE WHEN turn = 0 THEN 'unanswered' WHEN role = 'user' THEN 'answered' ELSE 'malformed' END AS answer FROM conversations""")
 def verdict_replay(spark: SparkSession, sf: str) -> DataFrame:
+    return _replayed(spark, sf).select("pair_key", "verdict", "answer")
+
+
+def _replayed(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("pair_key"), "turn", "role")
     good = F.lit('{"status":"completed","output":[{"content":[{"type":"output_text","text":"{\\"verdict\\":\\"different_product\\"}"}]}],"input_tokens":5,"output_tokens":2}')
     answers = turns.where("turn > 0").select(F.col("pair_key").alias("custom_id"), F.when(F.col("role") == "user", good).otherwise("{broken").alias("response"))
-    return R.collect_answers(turns.select("pair_key"), answers).select("pair_key", "verdict", "answer")
+    return R.collect_answers(turns.select("pair_key"), answers)

@@ -25,6 +25,8 @@ CATEGORIES = (
     "monitor", "accessories", "laptops", "mobile_phones", "headphones", "headsets",
     "earphones", "true_wireless_earbuds",
 )
+#: Categories whose listings are matched across providers: all of them.
+MATCHED = CATEGORIES
 AUDIO = ("headphones", "headsets", "earphones", "true_wireless_earbuds")
 CONDITIONS = ("new", "used", "refurbished", "unknown")
 #: Trust classes whose offers count: own stock, and own stock beside approved sellers.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import html
 import json
 import re
@@ -261,24 +262,40 @@ def category_tree(nodes: DataFrame) -> DataFrame:
 PUSHED = re.compile(r'push\(\[1,\s*("(?:[^"\\]|\\.)*")\]\)')
 
 
+def _nodes(page: str, key: str) -> Iterator[tuple[str | None, dict]]:
+    """Each node of a page's tree with its parent's id; a piece, tree or node that can't be read is passed over, with what hangs below it."""
+    pieces = []
+    for piece in PUSHED.findall(page):
+        with contextlib.suppress(ValueError):
+            pieces.append(json.loads(piece))
+    text = "".join(pieces)
+    at = text.find(f'"{key}":')
+    if at < 0:
+        return
+    try:
+        tree, _ = json.JSONDecoder().raw_decode(text[at + len(key) + 3 :].lstrip())
+    except ValueError:
+        return
+    level = [(None, node) for node in tree] if isinstance(tree, list) else []
+    while level:
+        level = [(parent, n) for parent, n in level if isinstance(n, dict) and n.get("id") is not None and isinstance(n.get("name"), str)]
+        yield from level
+        level = [(str(n["id"]), child) for _, n in level for child in (n["children"] if isinstance(n.get("children"), list) else [])]
+
+
 def hydrated_tree(pages: DataFrame, key: str) -> DataFrame:
     """(page_id, id, parent, name) of the category tree that a page's scripts push in pieces under a JSON key.
 
     The pieces are string literals; put together they hold nodes with id, name and children.
+    What can't be read gives no row; other pages and nodes are not touched by it.
     """
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found: list[tuple] = []
             for page_id, page in frame.itertuples(index=False):
-                text = "".join(json.loads(p) for p in PUSHED.findall(page or ""))
-                at = text.find(f'"{key}":')
-                if at >= 0:
-                    value, _ = json.JSONDecoder().raw_decode(text[at + len(key) + 3 :].lstrip())
-                    level = [(None, node) for node in value]
-                    while level:
-                        found += [(page_id, str(n["id"]), parent, n["name"]) for parent, n in level]
-                        level = [(str(n["id"]), child) for _, n in level for child in n.get("children") or []]
+                for parent, node in _nodes(page or "", key):
+                    found.append((page_id, str(node["id"]), parent, node["name"]))
             yield pd.DataFrame(found, columns=["page_id", "id", "parent", "name"])
 
     ready(pages.sparkSession)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,31 +10,57 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.sync import SnapshotStore
-
 
 def read_listings(spark: SparkSession, path: str, schema: StructType, files: int = 10) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def stage_stream(listings: DataFrame, stage: SnapshotStore, checkpoint: str, merge: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Merges each micro-batch into the stage; a batch that was merged before a failure is not merged again.
+class StreamStage:
+    """A deduplicated stage that micro-batches add to, as a base and the batches since.
 
-    ``merge`` takes the union of the stage and the batch and leaves one row for each key. The
-    batch's number travels with the rows it wrote, so a replay is recognised.
+    A batch is merged within itself and published as a folder that carries its number, so a
+    replay after a failure is recognised by name. Reading merges the base with the batches
+    after it; every ``every`` batches they become the next base, so what a batch writes
+    doesn't grow with the stage. ``merge`` leaves one row for each key of any union.
     """
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("batch", F.lit(number).cast("long"))
-        if stage.versions():
-            prior = stage.read()
-            last = prior.agg(F.max("last_batch")).first()[0]
-            if last is not None and last >= number:
-                return
-            rows = prior.drop("last_batch").unionByName(rows)
-        stage.write(merge(rows).withColumn("last_batch", F.lit(number).cast("long")))
-
-    return listings.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def __init__(self, spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame], every: int = 20):
+        self.spark, self.path, self.merge, self.every = spark, path, merge, every
+        self._at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def numbers(self, kind: str) -> list[int]:
+        """Numbers of the published folders of a kind: base or batch."""
+        if not self._fs.exists(self._at(self.path)):
+            return []
+        names = (s.getPath().getName() for s in self._fs.listStatus(self._at(self.path)))
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{kind}="))
+
+    def _publish(self, rows: DataFrame, name: str) -> None:
+        staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
+        rows.write.parquet(staged)
+        if not self._fs.rename(self._at(staged), self._at(f"{self.path}/{name}")):
+            raise OSError(f"{name} could not be published")
+
+    def read(self) -> DataFrame:
+        bases = self.numbers("base")
+        last = bases[-1] if bases else -1
+        names = [*(f"base={n}" for n in bases[-1:]), *(f"batch={n}" for n in self.numbers("batch") if n > last)]
+        return self.merge(self.spark.read.parquet(*(f"{self.path}/{n}" for n in names)))
+
+    def add(self, rows: DataFrame, number: int) -> None:
+        """Publishes a batch, but one that was published before."""
+        done = self.numbers("batch")
+        if number in done:
+            return
+        self._publish(self.merge(rows), f"batch={number}")
+        if number - (self.numbers("base") or [-1])[-1] >= self.every:
+            self._publish(self.read(), f"base={number}")
+
+
+def stage_stream(listings: DataFrame, stage: StreamStage, checkpoint: str) -> StreamingQuery:
+    """Adds each micro-batch to the stage once, whatever fails on the way."""
+    return listings.writeStream.foreachBatch(stage.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_by(key: str, *order) -> Callable[[DataFrame], DataFrame]:

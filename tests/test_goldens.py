@@ -1,5 +1,6 @@
 """Known cases of the scalar functions and of the catalog's rules."""
 
+from datetime import datetime
 from decimal import Decimal
 
 import pytest
@@ -209,9 +210,24 @@ def test_merges_fold_in_order(spark):
     assert plan == [("1:3", "group", 3, 1, 30, 10), ("1:2", "merge", 2, 1, 20, 10), ("3:4", "group", 4, 3, 30, 10)]
 
 
+def test_settled_pairs_do_not_fill_the_queue(spark):
+    variants = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (4, 30)], "variant_id long, product_id long")
+    rows = [(f"{i}:99", i, 99, I.EXACT, True, 0) for i in range(1, 4)] + [("3:4", 3, 4, I.EXACT, True, 1), ("1:2", 1, 2, I.EXACT, False, 5)]
+    decisions = spark.createDataFrame(rows * 20, "pair_key string, left long, right long, verdict string, reviewed boolean, created_at int").distinct()
+    plan = {tuple(r)[:2] for r in resolve.merge_plan(decisions, variants, limit=1).collect()}
+    assert plan == {("3:4", "applied"), ("1:2", "merge")}
+
+
+def test_overtaken_runs_fail(spark):
+    day = lambda d: None if d is None else datetime(2026, 1, d)
+    rows = [(1, 1, day(1), "succeeded"), (1, 2, None, "running"), (2, 3, None, "running"), (2, 4, day(2), "succeeded"), (3, 5, None, "running"), (3, 6, None, "running")]
+    runs = spark.createDataFrame(rows, "provider_id int, run_id int, finished_at timestamp, status string")
+    assert {r["provider_id"]: (r["run_id"], r["status"]) for r in sync.latest_runs(runs).collect()} == {1: (1, "succeeded"), 2: (4, "succeeded"), 3: (5, "failed")}
+
+
 def test_filters_are_checked():
     ok = search.Filters.parse({"category_ids": ["1,2", "3"], "min_price": ["5"], "max_price": ["5.50"], "in_stock": ["true"], "page": ["2"]})
-    assert ok.categories == (1, 2, 3) and ok.in_stock is True and ok.page == 2
+    assert ok.category_ids == (1, 2, 3) and ok.in_stock is True and ok.page == 2
     for bad in ({"brand_ids": ["0"]}, {"min_price": [" 5"]}, {"min_price": ["9"], "max_price": ["1"]}, {"sort": ["name"]}, {"limit": ["101"]}, {"in_stock": ["maybe"]}):
         with pytest.raises(search.InvalidFilter):
             search.Filters.parse(bad)
@@ -289,6 +305,8 @@ def test_trees_items_and_completeness(spark):
     page = 'x.push([1,"{\\"tree\\":[{\\"id\\":1,\\"name\\":\\"Storage\\",\\"children\\":"]) y.push([1,"[{\\"id\\":2,\\"name\\":\\"SSD\\"}]}]}"])'
     nodes = pages.hydrated_tree(spark.createDataFrame([(5, page), (6, None)], "page_id long, html string"), "tree")
     assert sorted(map(tuple, nodes.collect())) == [(5, "1", None, "Storage"), (5, "2", "1", "SSD")]
+    broken = [(1, 'push([1,"{\\"tree\\":[{\\"id\\":1"])'), (2, 'push([1,"{\\"tree\\":[{\\"id\\":7},3,{\\"id\\":8,\\"name\\":\\"RAM\\",\\"children\\":5}]}"])'), (3, 'push([1,"\\q"])')]
+    assert [tuple(r) for r in pages.hydrated_tree(spark.createDataFrame(broken, "page_id long, html string"), "tree").collect()] == [(2, "8", None, "RAM")]
     body = '{"items":[{"id":"1","title":"iPhone 17","price":"100","discount_price":"90","options":[{"name":"Color","values":["Red","Blue"]}]},{"id":"2","title":"iPhone case","price":"5"}]}'
     item = pages.api_items(spark.createDataFrame([(body,)], "body string"), "(?i)iphone", "(?i)case").collect()
     assert [(i["price"], i["old_price"], i["variant"]) for i in item] == [("90", "100", {"Color": "Red"})]
@@ -322,6 +340,16 @@ def test_search_facade(spark):
     ids = lambda df: [r["id"] for r in df.collect()]
     assert ids(search.find(docs, "gigabyt rtx", search.Filters())) == [2]
     assert ids(search.find(docs, "rtx 4061", search.Filters())) == [1]
+    # Requests come in any spelling; joined and split words meet.
+    for query in ("RTX4060Ti", "rtx 4060ti", "ＲＴＸ ４٠60 Ti", "rtx4060 ti"):
+        assert ids(search.find(docs, query, search.Filters())) == [1]
+    numbered = docs.withColumns({"category_id": F.col("id") % 2, "brand_id": F.col("id") * 10})
+    assert ids(search.listing(numbered, search.Filters.parse({"category_ids": ["1"], "brand_ids": ["10,20"]}))) == [1]
+    wished = docs.withColumn("semantic_text", F.concat_ws(" ", "name", "category", "brand"))
+    assert ids(search.recommend(wished, "a mouse by msi", search.Filters()))[0] == 3
+    cases = spark.createDataFrame([("rtx", [1, 2]), ("mouse", [3]), ("nothing", [1])], "query string, wanted array<long>")
+    runs = {q: search.find(docs, q, search.Filters()) for q in ("rtx", "mouse")}
+    assert {r["query"]: (r["hits"], r["passed"]) for r in search.acceptance(docs, cases, runs).collect()} == {"rtx": (2, True), "mouse": (1, True), "nothing": (0, False)}
     assert ids(search.listing(docs, search.Filters(sort="price_desc"))) == [1, 3, 2]
     assert ids(search.listing(docs, search.Filters(page=9))) == []
     with pytest.raises(search.InvalidFilter):
