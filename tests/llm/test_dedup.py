@@ -217,3 +217,15 @@ def test_components_of_a_long_chain(spark, small_graph):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)] + [(200, 200 + i) for i in range(1, 40)], "u long, v long")
     got = {r["node"]: r["label"] for r in near_dup.components(links, Stash(spark, "t"), "c", small_graph).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {101: 100} | {200 + i: 200 for i in range(1, 40)}
+
+
+def test_near_duplicates_among_very_long_texts(spark, monkeypatch):
+    draw = random.Random(4)
+    words = [f"w{draw.randrange(10**5)}" for _ in range(60_000)]
+    copy = list(words)
+    for at in draw.sample(range(len(copy)), 1500):
+        copy[at] = "changed"
+    monkeypatch.setattr(near_dup, "BLOCK", 100_000)  # each text is longer than a block
+    docs = spark.createDataFrame([(7, " ".join(words)), (3, " ".join(copy)), (1, " ".join(words[:20_000]))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.find_groups(docs, Stash(spark, "t")).collect()}
+    assert got == {i: (len(shingle_set(" ".join(x))), c) for i, x, c in ((7, words, 3), (3, copy, 3), (1, words[:20_000], 1))}

@@ -92,3 +92,35 @@ def test_pieces_hold_every_id_once(spark):
             assert r["ids"] == part and r["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes())
             assert r["doc_tokens"] == len(want) and 1 << r["bucket"] == r["length"]
     assert packing.pack(docs.limit(0), packing.tokenizer_path()).count() == 0
+
+
+def test_buckets_are_folders_of_one_length(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some words, here. " * 900), (2, "one"), (3, None)], "doc_id long, text string")
+    packing.write_buckets(docs, packing.tokenizer_path(), f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert {p.name for p in (tmp_path / "out").glob("bucket=*")} == {f"bucket={r['bucket']}" for r in rows}
+    assert all(len(r["ids"]) == r["length"] == 1 << r["bucket"] for r in rows) and {r["doc_id"] for r in rows} == {1, 2, 3}
+
+
+def test_memory_is_bounded_by_characters(monkeypatch):
+    from stallkeeper.llm import chunkids
+
+    monkeypatch.setattr(chunkids, "REMEMBERED_CHARS", 100)
+    memory = chunkids.ChunkMemory(lambda chunks: [[len(x)] for x in chunks])
+    for i in range(50):
+        chunks = [f"{i}-{j}-{'x' * 30}" for j in range(5)]
+        assert memory.ids(memory.look_up(pa.array(chunks))).tolist() == [len(x) for x in chunks]
+        assert len(memory.rows) <= 10
+
+
+def test_very_long_texts(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    draw = random.Random(9)
+    text = " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 9))) for _ in range(250_000)) + " " * 5000 + "end"
+    docs = spark.createDataFrame([(1, text), (2, text[:50])], "doc_id long, text string")
+    n = {r["doc_id"]: r["n_tokens"] for r in piece_bpe.encode(docs, piece_bpe.model_path()).collect()}
+    assert n[1] == len(sentencepiece.SentencePieceProcessor(model_file=piece_bpe.model_path()).encode(text))
+    own = Tokenizer.from_file(packing.tokenizer_path()).encode(text, add_special_tokens=False).ids
+    assert sum(r["length"] for r in packing.pack(docs, packing.tokenizer_path()).where("doc_id = 1").collect()) == len(own) + 1

@@ -4,6 +4,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from test_dedup import groups, near_corpus
 
 import corpus_pipeline
@@ -13,7 +15,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def documents(spark, texts):
-    return spark.createDataFrame([(i, t, "en", f"s{i % 7}", None if t is None else len(t)) for i, t in texts], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 7}", None if t is None else len(t)) for i, t in texts], SCHEMA)
 
 
 def test_quality_stage_keeps_all_without_labels(spark, tmp_path):
@@ -60,3 +62,26 @@ def test_packing_stage(spark):
         own = sorted((p for p in pieces if p["doc_id"] == i), key=lambda p: p["start"])
         assert [p["start"] for p in own] == [sum(q["length"] for q in own[:k]) for k in range(len(own))]
         assert sum(p["length"] for p in own) == own[0]["doc_tokens"] and all(p["length"] & (p["length"] - 1) == 0 for p in own)
+
+
+#: Names that columns have inside the operators.
+INNER = [
+    "row", "own_id", "own_hash", "_id", "_hash", "_first", "_again", "held", "bad", "good", "log_ratio", "draw", "kept", "bucket", "node", "label", "component_id", "text_hash", "n_shingles",
+    "d1", "d2", "t1", "t2", "at", "wanted", "whole", "ranges", "left", "n_bytes", "owner", "repository", "rid", "base", "other", "owned", "live", "copied", "new", "_text", "_row", "_bit", "_bits", "a b.c",
+]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_keep_columns_of_any_name(spark, tmp_path, name):
+    text = "some words that stand in each of these rows and no secret at all"
+    rows = [(1, text), (1, text), (None, text), (None, None), (2, ""), (3, "other words here, key Zx9Ab1Ab1Ab1Ab1Ab1Ab1Ab1")]
+    docs = documents(spark, rows).select("*", *(F.lit("z").alias(n) for n in INNER))
+    spark.createDataFrame([(1, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = STAGES[name](spark, docs, str(tmp_path))
+    if name == "packing":
+        assert got.select("doc_id").distinct().count() == 4
+    else:
+        assert got.columns == docs.columns and got.where("`a b.c` = 'z' AND row = 'z' AND base = 'z'").count() == got.count()
+        assert {r["doc_id"] for r in got.collect()} == {1, 2, 3, None}
+        assert got.count() == (5 if name == "minhash near-dedup" else 6)
+    assert STAGES[name](spark, docs.limit(0), str(tmp_path)).count() == 0
