@@ -281,7 +281,8 @@ def keep_first(docs: DataFrame, stash: Stash) -> DataFrame:
     """
     linked = stash.put("linked", find_groups(docs, stash).where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("component_id", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")))
     stash.drop("marks", "nodes", "members", "wanted")
-    first = linked.where("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("least"))
+    # Written, so that the join with a large group is a plain one that Spark can split.
+    first = stash.put("first", linked.where("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("least")))
     # A few ids, one row each: those of equal texts under one id and those that lead a group.
     judged = stash.put("judged", linked.join(first, "component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), ((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("least"))).alias("_first"), (F.col("rows") > 1).alias("_again")))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("_id"), _text_hash().alias("_hash"))

@@ -196,7 +196,7 @@ def test_rules_fire_alike_in_sql(spark, tmp_path):
 
 def test_ownership_alike_in_sql(spark, tmp_path):
     spread, few = "Zx9" + "Ab1" * 9, "Yw8" + "Cd2" * 9
-    rows = [(i, f"é {spread} and {few if i % 64 < 2 else ''} token = {'ab' * (8 + i % 4)}", "en", f"s{i % 2}" if i % 7 else None, None) for i in range(200)]
+    rows = [(i, f"é {spread} and {few if i % 64 < 2 else ''} token = {'ab' * (8 + i % 4)}", "en", f"s{i % 3}" if i % 7 else None, None) for i in range(200)]
     rows += [(1000 + i, f"password: only-{i % 3}-of-this-owner", None, "s9", None) for i in range(20)] + [(None, few + "x", None, None, None), (None, None, None, None, None)]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     got = secret_scan.op7_secret_scan(spark, str(tmp_path)).collect()
