@@ -24,7 +24,7 @@ def best_offer_per_product(spark: SparkSession, sf: str) -> DataFrame:
     return plain(O.best_offers(A.trusted(spark, sf), [F.col("tie")]))
 
 
-@query(f"WITH {A.SQL} SELECT name, category, brand, coalesce(array_to_string(provider_ids, ','), '') AS provider_ids, offer_count, variant_count, {BEST} FROM model")
+@query(f"WITH {A.SQL} SELECT name, category, brand, category_id, brand_id, coalesce(array_to_string(provider_ids, ','), '') AS provider_ids, offer_count, variant_count, {BEST} FROM model")
 def read_model(spark: SparkSession, sf: str) -> DataFrame:
     return plain(A.model(spark, sf))
 
