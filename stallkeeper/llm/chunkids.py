@@ -63,7 +63,8 @@ class ChunkMemory:
 
     def sizes_of(self, chunks: pa.Array) -> np.ndarray:
         """The number of ids of every chunk of a flat string array."""
-        return self.sizes[self.look_up(chunks)]
+        rows = self.look_up(chunks)  # may put a larger array in place of self.sizes
+        return self.sizes[rows]
 
     def ids(self, rows: np.ndarray) -> np.ndarray:
         """The ids of the chunks in ``rows``, end to end."""

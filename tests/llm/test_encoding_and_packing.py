@@ -124,3 +124,11 @@ def test_very_long_texts(spark):
     assert n[1] == len(sentencepiece.SentencePieceProcessor(model_file=piece_bpe.model_path()).encode(text))
     own = Tokenizer.from_file(packing.tokenizer_path()).encode(text, add_special_tokens=False).ids
     assert sum(r["length"] for r in packing.pack(docs, packing.tokenizer_path()).where("doc_id = 1").collect()) == len(own) + 1
+
+
+def test_sizes_of_more_chunks_than_a_memory_begins_with():
+    from stallkeeper.llm import chunkids
+
+    memory = chunkids.ChunkMemory(lambda chunks: [[1] * (len(x) % 5) for x in chunks])
+    chunks = [str(i) for i in range(40_000)]
+    assert memory.sizes_of(pa.array(chunks)).tolist() == [len(x) % 5 for x in chunks]
