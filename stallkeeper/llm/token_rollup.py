@@ -112,6 +112,10 @@ class Rollup:
             return False
         number = max(done, default=0) + 1
         changes = changes.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in CHANGE.split(", "))).withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+        # Written once, as the counts behind them may be costly and both the state and the totals need them.
+        staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
+        changes.write.parquet(f"{staged}/changes")
+        changes = self.spark.read.schema(changes.schema).parquet(f"{staged}/changes")
         found = changes.where("doc_id IS NOT NULL").groupBy("doc_id", "version").agg(F.max(F.struct("seq", "tokens", "op", "source", "lang")).alias("new"))
         old = self.recorded().select("doc_id", "version", F.struct("source", "lang", "tokens").alias("old"))
         both = found.join(old, found["doc_id"].eqNullSafe(old["doc_id"]) & found["version"].eqNullSafe(old["version"]), "left").select(found["doc_id"], found["version"], "new", "old")
@@ -119,7 +123,6 @@ class Rollup:
         state = both.where(sets | F.col("old").isNotNull()).select(
             "doc_id", "version", "new.source", "new.lang", "new.tokens", sets.alias("live"), F.lit(number).cast("long").alias("commit"), "old"
         )
-        staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
         state.write.parquet(f"{staged}/state")
         written = self.spark.read.schema(state.schema).parquet(f"{staged}/state")
         signed = [
@@ -129,6 +132,7 @@ class Rollup:
         ]
         delta = reduce(DataFrame.union, signed).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         delta.where("docs <> 0 OR tokens <> 0").write.parquet(f"{staged}/delta")
+        self._fs.delete(self._path(f"{staged}/changes"), True)
         self._publish(staged, f"batch={number:09d}~{digest}")
         if number - max(self._names("base"), default=0) >= COMPACT:
             self.compact()
