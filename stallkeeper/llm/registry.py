@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bwt_dedup import op2_bwt_dedup
+from .filter_audit import OP12_SQL, op12_filter_audit
 from .multi_index import op8_multi_index
 from .near_dup import op9_circulant_minhash
 from .oracles import OP1_SQL, OP7_SQL, OP9_SQL
@@ -22,10 +23,11 @@ def queries():
         for f in (
             op1_quality_rules, op2_bwt_dedup, op3_importance_resampling, op4_piece_encoding, op5_shuffle_shards,
             op6_token_rollup, op7_secret_scan, op8_multi_index, op9_circulant_minhash, op10_pack_powers_of_two,
+            op12_filter_audit,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for DuckDB that gives the same rows."""
-    return {"op1_quality_rules": OP1_SQL, "op7_secret_scan": OP7_SQL, "op9_circulant_minhash": OP9_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op7_secret_scan": OP7_SQL, "op9_circulant_minhash": OP9_SQL, "op12_filter_audit": OP12_SQL}
