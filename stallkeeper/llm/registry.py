@@ -8,7 +8,9 @@ from .multi_index import op8_multi_index
 from .near_dup import op9_circulant_minhash
 from .oracles import OP1_SQL, OP7_SQL, OP9_SQL
 from .packing import op10_pack_powers_of_two
+from .periodic_runs import op13_periodic_runs
 from .piece_bpe import op4_piece_encoding
+from .ppm import op11_ppm_scores
 from .quality_rules import op1_quality_rules
 from .resampling import op3_importance_resampling
 from .secret_scan import op7_secret_scan
@@ -23,7 +25,7 @@ def queries():
         for f in (
             op1_quality_rules, op2_bwt_dedup, op3_importance_resampling, op4_piece_encoding, op5_shuffle_shards,
             op6_token_rollup, op7_secret_scan, op8_multi_index, op9_circulant_minhash, op10_pack_powers_of_two,
-            op12_filter_audit,
+            op11_ppm_scores, op12_filter_audit, op13_periodic_runs,
         )
     }
 
