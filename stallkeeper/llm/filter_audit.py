@@ -14,7 +14,7 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import load, python_ready
@@ -67,10 +67,10 @@ def failure_histograms(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.min("doc_id").alias("least"), F.coalesce(F.min_by("n", "doc_id"), F.lit(0)).alias("n_least"),
         F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
     )
-    # The least id of a text over all parts; there is one value for each text, good and toxic or not, in a part.
-    least = groups.groupBy("k1", "k2").agg(F.min("least").alias("first"))
+    # The least id of a text over all parts, of which each has four rows at most.
+    first = F.min("least").over(Window.partitionBy("k1", "k2"))
     firsts = F.when(F.col("least") == F.col("first"), F.col("n_least")).otherwise(0)
-    told = groups.join(least, ["k1", "k2"]).withColumn("fresh", firsts + F.col("n_null"))
+    told = groups.withColumn("first", first).withColumn("fresh", firsts + F.col("n_null"))
     count = lambda n: F.struct(*(F.when(c, n).otherwise(0).alias(x) for c, x in ((F.lit(True), "n"), (F.col("good"), "good"), (F.col("toxic"), "toxic"))))
     last = 1 << FILTERS.index("E")
     both = F.array(F.struct("mask", count(F.col("fresh")).alias("c")), F.struct((F.col("mask") + last).alias("mask"), count(F.col("n") - F.col("fresh")).alias("c")))
