@@ -7,9 +7,10 @@ longer one has already ruled out. Escapes are estimated by method D: half a coun
 distinct symbol goes to the escape.
 
 The trie grows with the corpus, so no task holds it. Texts are dealt to chunks; a chunk has
-each of its six-byte windows and words once. Their counts meet by window, the windows that
-end in the same two bytes of context have all their contexts in one place and get their
-probabilities there, and these go back to the chunks that asked.
+each of its six-byte windows and words once, as keys. Keys are dealt to parts by hash, where
+their counts over all chunks meet; the windows that end in the same two bytes of context then
+have all their contexts in one place and get their probabilities there; and parts answer the
+chunks that asked. Between chunks and parts keys go in compressed lists, sorted.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from math import log2
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +33,12 @@ ORDER = 5
 #: A text's end, and what stands before its beginning, as symbols after the bytes.
 END, BEFORE = 256, 257
 SYMBOLS, BITS = 257, 9
-#: Bytes of text that make a chunk, that are looked at together, and windows whose probabilities are made together.
-CHUNK, BLOCK, PART = 32 << 20, 1 << 20, 400_000
-#: Kinds of rows: texts, windows and words. A text's end is a word of its own.
-TEXT, WINDOW, WORD = 0, 1, 2
-END_WORD, SEED = -1, 11
+#: Bytes of text that make a chunk, that are looked at together, and that send their keys to one part; windows whose probabilities are made together.
+CHUNK, BLOCK, PART_BYTES, TOGETHER = 32 << 20, 1 << 20, 64 << 20, 400_000
+#: Kinds of rows: stored texts, keys with their counts, and counts of symbols after single symbols.
+TEXT, KEYS, PAIR = 0, 1, 2
+#: Words' keys lie above those of windows; a text's end is a word of its own, and the number of tokens a pair of its own.
+WORDS, END_WORD, TOKENS, SEED = 1 << 61, 1 << 62, -1, 11
 _held: dict = {}
 
 
@@ -68,7 +69,8 @@ def word_keys(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     rolling = _held.setdefault("rolling", Rolling(SEED))
     starts, ends, of_text = word_bounds(data, bounds)
     words = mix(rolling.between(rolling.sums(data), starts, ends)) if len(starts) else np.zeros(0, np.uint64)
-    return np.insert(words.view(np.int64), of_text[1:], END_WORD), of_text + np.arange(len(of_text))
+    keys = (words & np.uint64(WORDS - 1) | np.uint64(WORDS)).view(np.int64)
+    return np.insert(keys, of_text[1:], END_WORD), of_text + np.arange(len(of_text))
 
 
 def folded(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,31 +82,58 @@ def folded(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return keys[head], np.add.reduceat(counts[order], head) if len(head) else counts
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Eight-byte numbers, compressed byte by byte of the number, as sorted keys hardly differ in their first ones."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).reshape(-1).view(kind)
+
+
+def keys_of(data: bytes, n: int) -> np.ndarray:
+    """Sorted keys from their packed differences."""
+    return np.cumsum(unpacked(data, n, np.int64))
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
 class _Chunk:
-    """Distinct windows and words of the texts so far; those of held-out texts count nothing."""
+    """Distinct keys of the texts so far, with their counts; those of held-out texts count nothing."""
 
     def __init__(self):
-        self.bytes, self.kept, self.loose = 0, {WINDOW: ([], []), WORD: ([], [])}, {WINDOW: 0, WORD: 0}
+        self.bytes, self.tokens, self.loose = 0, 0, 0
+        self.keys, self.counts = [], []
+        self.pairs = np.zeros((SYMBOLS + 1) << BITS, np.int64)
 
-    def add(self, kind: int, keys: np.ndarray, weight: int) -> None:
+    def add(self, keys: np.ndarray, weight: int) -> None:
         keys = np.sort(keys)
         head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        held, counts = self.kept[kind]
-        held.append(keys[head])
-        counts.append(np.diff(np.append(head, len(keys))) * weight)
-        self.loose[kind] += len(head)
-        if len(held) > 1 and self.loose[kind] > max(1 << 21, 2 * len(held[0])):
-            self.kept[kind] = tuple([x] for x in folded(held, counts))
-            self.loose[kind] = 0
-
-    def rows(self, chunk: int) -> Iterator[pa.RecordBatch]:
-        for kind, (held, counts) in self.kept.items():
-            keys, n = folded(held, counts) if held else (np.zeros(0, np.int64),) * 2
-            for at in range(0, len(keys), 1 << 17):
-                yield _batch(kind, chunk, key=keys[at : at + (1 << 17)], n=n[at : at + (1 << 17)])
-
-
-ROWS = [("kind", pa.int8()), ("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("key", pa.int64()), ("n", pa.int64())]
+        self.keys.append(keys[head])
+        self.counts.append(np.diff(np.append(head, len(keys))) * weight)
+        self.loose += len(head)
+        if len(self.keys) > 1 and self.loose > max(1 << 21, 2 * len(self.keys[0])):
+            self.keys, self.counts = ([x] for x in folded(self.keys, self.counts))
+            self.loose = 0
+
+    def rows(self, chunk: int, parts: int) -> Iterator[pa.RecordBatch]:
+        """The chunk's keys for each part, and its share of the counts that all parts need."""
+        keys, n = folded(self.keys, self.counts) if self.keys else (np.zeros(0, np.int64),) * 2
+        part = part_of(keys, parts)
+        order = np.argsort(part, kind="stable")
+        sizes = np.bincount(part, minlength=parts)
+        ends = np.cumsum(sizes)
+        for p in np.flatnonzero(sizes).tolist():
+            own = order[ends[p] - sizes[p] : ends[p]]
+            yield _batch(KEYS, chunk, part=[p], n=[len(own)], a=[packed(np.diff(keys[own], prepend=0))], b=[packed(n[own])])
+        pairs = np.flatnonzero(self.pairs)
+        yield _batch(PAIR, chunk, part=np.append(pairs, TOKENS), n=np.append(self.pairs[pairs], self.tokens))
+
+
+ROWS = [("kind", pa.int8()), ("chunk", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())]
 
 
 def _batch(kind: int, chunk: int, **columns) -> pa.RecordBatch:
@@ -113,27 +142,61 @@ def _batch(kind: int, chunk: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[n], t) if n in columns else pa.nulls(size, t) for n, t in ROWS], [n for n, _ in ROWS])
 
 
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts with their chunk, and each chunk's windows and words with their counts in texts to learn from."""
+def _stored(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The texts with their chunk, and each chunk's keys with their counts in texts to learn from."""
     number, chunk = TaskContext.get().partitionId() << 24, _Chunk()
     for batch in batches:
-        yield _batch(TEXT, number, doc_id=batch.column(0), held_out=batch.column(1), text=batch.column(2))
+        yield _batch(TEXT, number, a=[_stored(batch)])
         held = np.array(batch.column(1).to_numpy(zero_copy_only=False), bool)
         for first, last, data, bounds in blocks(batch.column(2)):
+            sizes = np.diff(bounds)
             for out in (False, True):  # texts to learn from, then the others
                 mine = np.flatnonzero(held[first:last] == out)
                 if not len(mine):
                     continue
-                sizes = np.diff(bounds)
                 own = data[np.repeat(held[first:last] == out, sizes)] if len(mine) < last - first else data
                 at = np.concatenate([[0], np.cumsum(sizes[mine])])
-                chunk.add(WINDOW, windows(own, at), 0 if out else 1)
-                chunk.add(WORD, word_keys(own, at)[0], 0 if out else 1)
+                windows_, words = windows(own, at), word_keys(own, at)[0]
+                if not out:
+                    chunk.pairs += np.bincount(windows_ & (1 << 2 * BITS) - 1, minlength=len(chunk.pairs))
+                    chunk.tokens += len(words)
+                for keys in (windows_, words):
+                    chunk.add(keys, 0 if out else 1)
             chunk.bytes += len(data)
         if chunk.bytes >= CHUNK:
-            yield from chunk.rows(number)
+            yield from chunk.rows(number, parts)
             number, chunk = number + 1, _Chunk()
-    yield from chunk.rows(number)
+    yield from chunk.rows(number, parts)
+
+
+def _counted(asked: pa.Table) -> pa.Table:
+    """A part's keys with their counts over all chunks, folded as chunks come."""
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    loose: tuple[list, list] = ([], [])
+    for n, a, b in zip(*(asked[c].to_pylist() for c in "nab"), strict=True):
+        loose[0].append(keys_of(a, n))
+        loose[1].append(unpacked(b, n, np.int64))
+        if sum(map(len, loose[0])) > max(1 << 20, len(keys)):
+            keys, counts = folded([keys, *loose[0]], [counts, *loose[1]])
+            loose = ([], [])
+    keys, counts = folded([keys, *loose[0]], [counts, *loose[1]])
+    return pa.table({"part": np.full(len(keys), asked["part"][0].as_py()), "key": keys, "n": counts})
+
+
+def _answered(asked: pa.Table, values: pa.Table) -> pa.Table:
+    """What a part's keys are worth, for each chunk in the order in which it asked."""
+    keys, value = values["key"].to_numpy(), values["value"].to_numpy()
+    order = np.argsort(keys)
+    keys, value = keys[order], value[order]
+    found = [packed(value[np.searchsorted(keys, keys_of(a, n))]) for n, a in zip(asked["n"].to_pylist(), asked["a"].to_pylist(), strict=True)]
+    return pa.table({"chunk": asked["chunk"], "n": asked["n"], "a": asked["a"], "b": pa.array(found, pa.binary())})
 
 
 def log_probabilities(keys: np.ndarray, n: np.ndarray, low: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -170,31 +233,25 @@ def log_probabilities(keys: np.ndarray, n: np.ndarray, low: np.ndarray, order: i
         return score - np.where(still, np.log10(SYMBOLS - distinct[0]), 0.0)
 
 
-def low_counts(rows: list) -> np.ndarray:
-    low = np.zeros((SYMBOLS + 1, SYMBOLS), np.int64)
-    for key, n in rows:
-        low[key >> BITS, key & 511] = n
-    return low
-
-
-def _summed(docs: pa.Table, values: pa.Table, tokens: int, distinct: int) -> pa.Table:
+def _summed(texts: pa.Table, answers: pa.Table, tokens: int, distinct: int) -> pa.Table:
     """A chunk's texts with their sums over tokens and windows."""
-    known = {}
-    for kind in (WINDOW, WORD):
-        own = values.filter(pc.equal(values["kind"], kind))
-        known[kind] = pd.Index(own["key"].to_numpy()), own["value"].to_numpy()
-    look = lambda kind, keys: known[kind][1][known[kind][0].get_indexer(keys)]
-    parts: list[tuple] = []
-    for batch in docs.select(["text"]).combine_chunks().to_batches():
-        for _, _, data, bounds in blocks(batch.column(0)):
+    answered = list(zip(*(answers[c].to_pylist() for c in "nab"), strict=True))
+    known = pd.Index(np.concatenate([keys_of(a, n) for n, a, _ in answered]))
+    value = np.concatenate([unpacked(b, n, np.float64) for n, _, b in answered])
+    look = lambda keys: value[known.get_indexer(keys)]
+    out = []
+    for stored in texts["a"]:
+        batch = pa.ipc.open_stream(stored.as_buffer()).read_next_batch()
+        parts: list[tuple] = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2]
+        for _, _, data, bounds in blocks(batch.column(2)):
             words, at = word_keys(data, bounds)
-            c = look(WORD, words)
-            score = look(WINDOW, windows(data, bounds))
+            c, score = look(words), look(windows(data, bounds))
             ends = bounds[:-1] + np.arange(len(bounds) - 1)  # each text has a window for its end
             base = np.log10((c + 1) / (tokens + distinct + 1))
-            parts.append((np.diff(np.append(at[:-1], len(words))), np.add.reduceat((c > 0).astype(np.int64), at[:-1]), np.add.reduceat(base, at[:-1]), np.add.reduceat(score, ends)))
-    n, known_, base, score = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": n, "n_known": known_, "train_tokens": np.full(len(n), tokens), "base_score": base, "score": score})
+            parts.append((np.diff(at), np.add.reduceat((c > 0).astype(np.int64), at[:-1]), np.add.reduceat(base, at[:-1]), np.add.reduceat(score, ends)))
+        n, seen, base, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+        out.append(pa.table({"doc_id": batch.column(0), "held_out": batch.column(1), "n_tokens": n, "n_known": seen, "train_tokens": np.full(len(n), tokens), "base_score": base, "score": score}))
+    return pa.concat_tables(out)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -208,35 +265,39 @@ def score(docs: DataFrame, held_out: Column, stash: Stash) -> DataFrame:
     A null text is empty and scored as such; a null of ``held_out`` counts as false. Rows are
     scored one by one, repeated ones alike; other columns than doc_id and text aren't read.
     Where no text is learned from, all symbols are equally likely; an empty table gives no
-    rows. Words are told apart by a 64-bit hash.
+    rows. Words are told apart by a 61-bit hash.
     """
     spark = stash.spark
     python_ready(spark)
     asked = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    schema = "kind byte, chunk long, doc_id long, held_out boolean, text string, key long, n long"
-    rows = stash.put("rows", asked.mapInArrow(_dealt, schema))
-    texts = rows.where(F.col("kind") == TEXT).select("chunk", "doc_id", "held_out", "text")
-    parts = rows.where(F.col("kind") != TEXT).select("kind", "chunk", "key", "n")
-    counts = stash.put("counts", parts.groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    word = F.col("kind") == WORD
-    total = counts.agg(F.coalesce(F.sum(F.when(word, F.col("n"))), F.lit(0)).alias("tokens"), F.count_if(word & (F.col("n") > 0)).alias("distinct"), F.count_if(~word).alias("windows")).first()
-    grams = counts.where(~word)
-    # Symbols after single symbols: 258 times 257 rows at most, whatever the corpus.
-    pairs = grams.where("n > 0").groupBy(F.col("key").bitwiseAND((1 << 2 * BITS) - 1).alias("pair")).agg(F.sum("n").alias("n"))
-    low = low_counts([(r["pair"], r["n"]) for r in pairs.collect()])
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    parts = size // PART_BYTES + 1
+    rows = stash.put("rows", asked.mapInArrow(lambda batches: _dealt(batches, parts), "kind byte, chunk long, part long, n long, a binary, b binary"))
+    texts, keys = (rows.where(F.col("kind") == kind).select("part", F.col("chunk").alias(name), "n", "a", "b") for kind, name in ((TEXT, "chunk"), (KEYS, "asker")))
+    # Symbols after single symbols, and the number of tokens: 258 times 257 rows at most, whatever the corpus.
+    pairs = {r["part"]: r["n"] for r in rows.where(F.col("kind") == PAIR).groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    tokens, low = pairs.pop(TOKENS, 0), np.zeros((SYMBOLS + 1, SYMBOLS), np.int64)
+    for pair, n in pairs.items():
+        low[pair >> BITS, pair & 511] = n
+
+    counts = stash.put("counts", keys.groupBy("part").applyInArrow(_counted, "part long, key long, n long"))
+    word = F.col("key") >= WORDS
+    total = counts.agg(F.count_if(word & (F.col("n") > 0)).alias("distinct"), F.count_if(~word).alias("windows")).first()
 
     def scored(table: pa.Table) -> pa.Table:
-        keys = table["key"].to_numpy()
-        return pa.table({"kind": np.full(len(keys), WINDOW, np.int8), "key": keys, "value": log_probabilities(keys, table["n"].to_numpy(), low)})
+        own = table["key"].to_numpy()
+        return pa.table({"part": table["part"], "key": own, "value": log_probabilities(own, table["n"].to_numpy(), low)})
 
     # All windows of one pair lie together; an alphabet bounds them, not the corpus.
     pair = F.shiftright("key", BITS).bitwiseAND((1 << 2 * BITS) - 1)
-    part = F.pmod(F.xxhash64(pair), F.lit(total["windows"] // PART + 1)).alias("part")
-    of_windows = grams.select("key", "n", part).groupBy("part").applyInArrow(scored, "kind byte, key long, value double")
-    values = stash.put("values", of_windows.union(counts.where(word).select("kind", "key", F.col("n").cast("double"))))
-    answered = parts.select("kind", "key", F.col("chunk").alias("asker")).join(values, ["kind", "key"]).select("asker", "kind", "key", "value")
-    tokens, distinct = total["tokens"], total["distinct"]
-    return texts.groupBy("chunk").cogroup(answered.groupBy("asker")).applyInArrow(lambda a, b: _summed(a, b, tokens, distinct), SCORES)
+    place = F.pmod(F.xxhash64(pair), F.lit(total["windows"] // TOGETHER + 1)).alias("place")
+    of_windows = counts.where(~word).select("part", "key", "n", place).groupBy("place").applyInArrow(scored, "part long, key long, value double")
+    values = stash.put("values", of_windows.union(counts.where(word).select("part", "key", F.col("n").cast("double"))))
+    asking = keys.withColumnRenamed("part", "asked")
+    answers = asking.groupBy("asked").cogroup(values.groupBy("part")).applyInArrow(lambda a, b: _answered(a.rename_columns(["part", "chunk", *"nab"]), b), "chunk long, n long, a binary, b binary")
+    answers = answers.withColumnRenamed("chunk", "asker")
+    distinct = total["distinct"]
+    return texts.groupBy("chunk").cogroup(answers.groupBy("asker")).applyInArrow(lambda a, b: _summed(a, b, tokens, distinct), SCORES)
 
 
 def adaptive_bits(text: bytes, order: int = ORDER) -> float:

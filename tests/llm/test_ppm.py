@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,29 +81,36 @@ ROWS += [(70, None, None), (71, True, None), (72, True, "never seen ZZZ ~~~"), (
 
 
 def test_scores_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ppm, "PART", 50)
+    monkeypatch.setattr(ppm, "TOGETHER", 50)
+    monkeypatch.setattr(ppm, "PART_BYTES", 1000)
     docs = frame(spark, ROWS).repartition(3)
     same(ppm.score(docs, F.col("out"), Stash(spark, "t")).collect(), brute(ROWS))
 
 
 def test_chunks_end_and_begin_anew(monkeypatch):
-    """What the chunks of a task hold adds up to the whole, and each has its own texts."""
+    """What the chunks of a task ask for adds up to the whole, each asks for what is in its own texts, and parts answer in order."""
     monkeypatch.setattr(ppm, "CHUNK", 200)
     monkeypatch.setattr(ppm, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 3)}))}))
     texts, held = [t or "" for _, _, t in ROWS], [bool(h) for _, h, _ in ROWS]
     table = pa.table({"doc_id": pa.array([d for d, _, _ in ROWS], pa.int64()), "held_out": held, "text": texts})
-    rows = pa.Table.from_batches(list(ppm._dealt(iter(table.to_batches(max_chunksize=4))))).to_pylist()
-    assert len({r["chunk"] for r in rows}) > 5 and [r["text"] for r in rows if r["kind"] == ppm.TEXT] == texts
-    for kind, of in ((ppm.WINDOW, lambda t: ppm.windows(*one(t))), (ppm.WORD, lambda t: ppm.word_keys(*one(t))[0])):
-        want = Counter(x for t, h in zip(texts, held, strict=True) if not h for x in of(t).tolist())
-        got = Counter()
-        for r in rows:
-            if r["kind"] == kind:
-                got[r["key"]] += r["n"]
-        assert +got == want
-        for chunk in {r["chunk"] for r in rows}:
-            own = {x for r in rows if r["kind"] == ppm.TEXT and r["chunk"] == chunk for x in of(r["text"]).tolist()}
-            assert own == {r["key"] for r in rows if r["kind"] == kind and r["chunk"] == chunk}
+    rows = pa.Table.from_batches(list(ppm._dealt(iter(table.to_batches(max_chunksize=4)), 3)))
+    asked = [r for r in rows.to_pylist() if r["kind"] == ppm.KEYS]
+    stored = [(r["chunk"], t) for r in rows.to_pylist() if r["kind"] == ppm.TEXT for t in pa.ipc.open_stream(r["a"]).read_all()["text"].to_pylist()]
+    assert [t for _, t in stored] == texts and len({c for c, _ in stored}) > 5 and {r["part"] for r in asked} == {0, 1, 2}
+    keys = lambda t: [*ppm.windows(*one(t)).tolist(), *ppm.word_keys(*one(t))[0].tolist()]
+    for chunk in {c for c, _ in stored}:
+        own = [ppm.keys_of(r["a"], r["n"]).tolist() for r in asked if r["chunk"] == chunk]
+        assert sorted(sum(own, [])) == sorted({k for c, t in stored if c == chunk for k in keys(t)}) and all(x == sorted(x) for x in own)
+    want = Counter(k for t, h in zip(texts, held, strict=True) if not h for k in keys(t))
+    for part in range(3):
+        mine = rows.filter((pa.compute.field("kind") == ppm.KEYS) & (pa.compute.field("part") == part))
+        counted = ppm._counted(mine)
+        got = dict(zip(counted["key"].to_pylist(), counted["n"].to_pylist(), strict=True))
+        assert all(want[k] == n for k, n in got.items())
+        answers = ppm._answered(mine, pa.table({"key": counted["key"], "value": counted["n"].cast(pa.float64())})).to_pylist()
+        assert all(ppm.unpacked(r["b"], r["n"], np.float64).tolist() == [got[k] for k in ppm.keys_of(r["a"], r["n"]).tolist()] for r in answers)
+    tokens = sum(r["n"] for r in rows.to_pylist() if r["kind"] == ppm.PAIR and r["part"] == ppm.TOKENS)
+    assert tokens == sum(len((t or "").split()) + 1 for _, h, t in ROWS if not h)
 
 
 def one(text):
