@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.identity import conflicts
 from ..schemas import (
     COVERAGE_DROP, COVERAGE_PRIOR, COVERAGE_RELATIVE, COVERAGE_ROWS, DELETE_FRACTION, DIRECT, LEAST_PRODUCTS, WITH_MARKETPLACE,
 )
@@ -125,11 +126,18 @@ def replace_provider(prior: DataFrame, staged: DataFrame, keys: list[str], compa
 
 
 def identifier_candidates(listings: DataFrame, variants: DataFrame) -> DataFrame:
-    """Pairs that agree in gtin, or in mpn and brand: two equal-key joins in place of an OR."""
-    a, b = listings.alias("a"), variants.alias("b")
-    by_gtin = a.join(b, F.col("a.gtin") == F.col("b.gtin")).select("a.listing_id", "b.variant_id")
-    by_mpn = a.join(b, (F.col("a.mpn") == F.col("b.mpn")) & (F.col("a.brand") == F.col("b.brand"))).select("a.listing_id", "b.variant_id")
-    return by_gtin.union(by_mpn).distinct()
+    """Pairs that agree in gtin, or in mpn and brand in any case: two equal-key joins in place of an OR. Blanks agree with nothing."""
+    filled = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    folded = lambda df, id_: df.select(id_, filled("gtin").alias("_gtin"), F.lower(filled("mpn")).alias("_mpn"), F.lower(filled("brand")).alias("_brand"))
+    a, b = folded(listings, "listing_id"), folded(variants, "variant_id")
+    pairs = [a.join(b, keys).select("listing_id", "variant_id") for keys in (["_gtin"], ["_mpn", "_brand"])]
+    return pairs[0].union(pairs[1]).distinct()
+
+
+def compatible(pairs: DataFrame, listings: DataFrame, variants: DataFrame) -> DataFrame:
+    """Pairs whose evidence ``e`` doesn't conflict; an identifier only narrows the choice."""
+    sides = pairs.join(listings.select("listing_id", F.col("e").alias("_a")), "listing_id").join(variants.select("variant_id", F.col("e").alias("_b")), "variant_id")
+    return sides.where(F.size(conflicts(F.col("_a"), F.col("_b"))) == 0).select(*pairs.columns)
 
 
 def single_candidate(pairs: DataFrame) -> DataFrame:
@@ -193,13 +201,23 @@ def new_brands(staged: DataFrame, brands: DataFrame) -> DataFrame:
 
 def split_conflicts(matched: DataFrame, conflict: Column, alone: DataFrame, taken: DataFrame) -> DataFrame:
     """Matched offers whose evidence conflicts with their variant: rewritten in place if the variant is isolated and
-    theirs, else given a variant of their own, whose key gets a suffix if it is taken."""
-    marked = matched.join(alone.select("variant_id", F.lit(True).alias("_alone")), "variant_id", "left").join(taken.select("identity_key", F.lit(True).alias("_taken")), "identity_key", "left")
+    theirs, else given a variant of their own, whose key names the variant they left if it is taken.
+
+    ``identity_key`` may be an alias of the variant that is left; see ``released_aliases``.
+    """
+    marked = matched.join(alone.select("variant_id", F.lit(True).alias("_alone")), "variant_id", "left").join(taken.select("identity_key", F.lit(True).alias("_taken")).distinct(), "identity_key", "left")
     mine = F.coalesce(F.col("_alone"), F.lit(False)) & (F.col("decided_by") == "source")
     action = F.when(~F.coalesce(conflict, F.lit(False)), "keep").when(mine, "rewrite").otherwise("split")
-    key = F.when((action == "split") & F.col("_taken"), F.concat_ws(":", "identity_key", F.lit("split"), "source_key")).otherwise(F.col("identity_key"))
+    key = F.when((action == "split") & F.col("_taken"), F.concat_ws(":", "identity_key", F.lit("split"), F.col("variant_id").cast("string"))).otherwise(F.col("identity_key"))
     moved = F.when(action != "split", F.col("variant_id"))
-    return marked.withColumn("action", action).withColumn("identity_key", key).withColumn("variant_id", moved).drop("_alone", "_taken")
+    return marked.withColumn("action", action).withColumn("_key", key).withColumn("left_variant_id", F.when(action == "split", F.col("variant_id"))).withColumn("variant_id", moved).drop("_alone", "_taken", "identity_key").withColumnRenamed("_key", "identity_key")
+
+
+def released_aliases(matched: DataFrame, split: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The aliases that stay: an offer that splits off takes its key away from the variant it leaves."""
+    left = split.where("action = 'split'").select("source_key", F.col("left_variant_id").alias("variant_id"))
+    gone = matched.select("source_key", "identity_key").join(left, "source_key").select("identity_key", "variant_id")
+    return aliases.join(gone, ["identity_key", "variant_id"], "left_anti")
 
 
 def run_summary(runs: DataFrame) -> DataFrame:

@@ -324,10 +324,73 @@ def identifier_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return Y.identifier_candidates(_identifiers(spark, sf, "listing_id"), _identifiers(spark, sf, "variant_id"))
 
 
-@query(f"WITH {PAIRS} SELECT listing_id, min(variant_id) AS variant_id FROM pairs WHERE variant_id % 7 = 0 GROUP BY 1 HAVING count(*) = 1")
+# Listings of four shops over the parts: identifiers in any case, blank ones and missing ones, models in the titles.
+LISTINGS = """l AS (
+  SELECT p_partkey AS rank, 's' || p_partkey AS source_key, CASE WHEN p_size % 5 = 0 THEN 'k' || p_partkey % 97 ELSE 'u' || p_partkey END AS identity_key, 'p' || p_partkey % 50 AS parent_key,
+    CASE p_partkey % 3 WHEN 0 THEN 'cpu' WHEN 1 THEN 'mobile_phones' ELSE 'gpu' END AS category, CASE WHEN p_size % 11 > 0 THEN CASE p_size % 2 WHEN 0 THEN 'Acme' ELSE 'ACME' END END AS brand,
+    CASE p_partkey % 3 WHEN 0 THEN 'Ryzen 7 700' || p_partkey % 7 || 'X' WHEN 1 THEN 'iPhone 1' || p_partkey % 7 || ' 256GB' ELSE 'RTX 40' || p_partkey % 7 || '0' END AS title,
+    CASE p_size % 4 WHEN 0 THEN '' WHEN 2 THEN 'M' || p_partkey % 23 WHEN 3 THEN 'm' || p_partkey % 23 END AS mpn, CASE p_size % 6 WHEN 0 THEN 'G' || p_partkey % 31 WHEN 1 THEN '' END AS gtin,
+    p_partkey % 3 AS kind, p_partkey % 7 AS code FROM part)"""
+
+
+def _batch(spark: SparkSession, sf: str) -> DataFrame:
+    n, size = F.col("p_partkey"), F.col("p_size")
+    mod = lambda m: (n % m).cast("string")
+    kind = lambda *a: F.when(n % 3 == 0, a[0]).when(n % 3 == 1, a[1]).otherwise(a[2])
+    empty = F.lit(None).cast("map<string,string>")
+    return table(spark, sf, "part").select(
+        n.alias("rank"), F.concat(F.lit("s"), n).alias("source_key"), F.when(size % 5 == 0, F.concat(F.lit("k"), mod(97))).otherwise(F.concat(F.lit("u"), n)).alias("identity_key"), F.concat(F.lit("p"), mod(50)).alias("parent_key"),
+        kind(F.lit("cpu"), F.lit("mobile_phones"), F.lit("gpu")).alias("category"), F.when(size % 11 > 0, F.when(size % 2 == 0, "Acme").otherwise("ACME")).alias("brand"),
+        kind(F.concat(F.lit("Ryzen 7 700"), mod(7), F.lit("X")), F.concat(F.lit("iPhone 1"), mod(7), F.lit(" 256GB")), F.concat(F.lit("RTX 40"), mod(7), F.lit("0"))).alias("title"),
+        F.when(size % 4 == 0, "").when(size % 4 == 2, F.concat(F.lit("M"), mod(23))).when(size % 4 == 3, F.concat(F.lit("m"), mod(23))).alias("mpn"), F.when(size % 6 == 0, F.concat(F.lit("G"), mod(31))).when(size % 6 == 1, "").alias("gtin"),
+        F.lit(None).cast("string").alias("model_number"), empty.alias("options"), empty.alias("specifications"),
+    )
+
+
+def _clash(a: str, b: str, brand: str = "brand") -> str:
+    return f"({a}.kind <> {b}.kind OR coalesce(lower({a}.{brand}) <> lower({b}.brand), false) OR coalesce(lower(nullif({a}.mpn, '')) <> lower(nullif({b}.mpn, '')), false) OR coalesce(nullif({a}.gtin, '') <> nullif({b}.gtin, ''), false) OR {a}.code <> {b}.code)"
+
+
+def _meets(a: str, b: str, brand: str = "brand") -> str:
+    return f"coalesce(nullif({a}.gtin, '') = {b}.gtin OR (lower(nullif({a}.mpn, '')) = lower({b}.mpn) AND lower({a}.{brand}) = lower({b}.brand)), false)"
+
+
+@query(f"""WITH {LISTINGS} SELECT a.rank AS listing_id, min(b.rank) AS variant_id FROM l a JOIN l b ON b.rank % 7 < 2 AND {_meets('b', 'a')} AND NOT {_clash('b', 'a')} GROUP BY 1 HAVING count(*) = 1""")
 def single_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    variants = _identifiers(spark, sf, "variant_id").where("variant_id % 7 = 0")
-    return Y.single_candidate(Y.identifier_candidates(_identifiers(spark, sf, "listing_id"), variants))
+    """Listings whose identifiers leave one stored variant that nothing speaks against."""
+    from ..operators.resolve import with_evidence
+
+    listings = with_evidence(_batch(spark, sf).withColumn("aliases", F.lit(None).cast("array<string>"))).withColumnRenamed("rank", "listing_id")
+    variants = listings.withColumnRenamed("listing_id", "variant_id").where("variant_id % 7 < 2")
+    return Y.single_candidate(Y.compatible(Y.identifier_candidates(listings, variants), listings, variants))
+
+
+FIRST_NEW = 1_000_000_000
+
+
+@query(f"""WITH RECURSIVE {LISTINGS}, n AS (SELECT *, CASE WHEN kind = 2 THEN source_key ELSE concat_ws('|', parent_key, kind, coalesce(lower(brand), ''), code) END AS gk FROM l),
+fold(rank, leads, variant, product, k, kind, pb, mpn, gtin, code, gk) USING KEY (rank) AS (
+  SELECT CAST(-1 AS BIGINT), false, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), '', CAST(-1 AS BIGINT), '', '', '', CAST(-1 AS BIGINT), ''
+  UNION
+  SELECT rank, leads, CASE WHEN leads THEN rank ELSE chosen END, CASE WHEN NOT leads THEN has.product WHEN lent IS NOT NULL THEN lent.product ELSE rank END,
+    CASE WHEN leads AND has IS NOT NULL THEN identity_key || ':split:' || ({FIRST_NEW} + chosen) ELSE identity_key END, kind, CASE WHEN NOT leads THEN has.pb WHEN lent IS NOT NULL THEN lent.pb ELSE brand END, mpn, gtin, code, gk
+  FROM (
+    SELECT *, has IS NULL OR has.clash AS leads FROM (
+      SELECT s.*, coalesce(min(f.rank) FILTER (f.leads AND f.k = s.identity_key), CASE WHEN count(*) FILTER (f.leads AND {_meets('f', 's', 'pb')} AND NOT {_clash('f', 's', 'pb')}) = 1 THEN min(f.rank) FILTER (f.leads AND {_meets('f', 's', 'pb')} AND NOT {_clash('f', 's', 'pb')}) END) AS chosen,
+        coalesce(arg_min({{'product': f.product, 'pb': f.pb, 'clash': {_clash('f', 's', 'pb')}}}, f.rank) FILTER (f.leads AND f.k = s.identity_key),
+          CASE WHEN count(*) FILTER (f.leads AND {_meets('f', 's', 'pb')} AND NOT {_clash('f', 's', 'pb')}) = 1 THEN arg_min({{'product': f.product, 'pb': f.pb, 'clash': false}}, f.rank) FILTER (f.leads AND {_meets('f', 's', 'pb')} AND NOT {_clash('f', 's', 'pb')}) END) AS has,
+        arg_min({{'product': f.product, 'pb': f.pb}}, f.rank) FILTER (f.gk = s.gk) AS lent
+      FROM (SELECT n.* FROM n JOIN fold w ON n.rank = w.rank + 1) s, recurring.fold f GROUP BY ALL)))
+SELECT rank, leads, variant + {FIRST_NEW} AS variant_id, product + {FIRST_NEW} AS product_id, k AS identity_key FROM fold WHERE rank >= 0""")
+def batch_identities(spark: SparkSession, sf: str) -> DataFrame:
+    """A first batch: all its variants and products are its own."""
+    from ..operators.identities import assign_batch
+    from ..scratch import Scratch
+
+    staged = _batch(spark, sf)
+    stored = staged.limit(0).select(F.col("rank").alias("variant_id"), F.col("rank").alias("product_id"), "identity_key", "category", "brand", "title", "mpn", "gtin", "model_number", "options", "specifications")
+    found = assign_batch(staged, stored, stored.select("identity_key", "variant_id"), stored.select(F.col("identity_key").alias("source_key"), "variant_id"), stored.select("variant_id"), FIRST_NEW, Scratch(spark, "batch"))
+    return found.select("rank", F.col("action").isin("create", "split").alias("leads"), "variant_id", "product_id", "identity_key")
 
 
 @query("SELECT DISTINCT p_brand AS brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 7)")

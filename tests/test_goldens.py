@@ -319,7 +319,10 @@ def test_conflicts_split_or_rewrite(spark):
     matched = spark.createDataFrame(rows, "variant_id int, identity_key string, source_key string, decided_by string, clash boolean")
     alone, taken = spark.createDataFrame([(2,), (4,)], "variant_id int"), spark.createDataFrame([("k3",)], "identity_key string")
     got = {r["source_key"]: (r["action"], r["variant_id"], r["identity_key"]) for r in sync.split_conflicts(matched, F.col("clash"), alone, taken).collect()}
-    assert got == {"s1": ("keep", 1, "k1"), "s2": ("rewrite", 2, "k2"), "s3": ("split", None, "k3:split:s3"), "s4": ("split", None, "k4")}
+    assert got == {"s1": ("keep", 1, "k1"), "s2": ("rewrite", 2, "k2"), "s3": ("split", None, "k3:split:3"), "s4": ("split", None, "k4")}
+    aliases = spark.createDataFrame([("k3", 3), ("k4", 4), ("k3", 9), ("other", 3)], "identity_key string, variant_id int")
+    left = sync.released_aliases(matched, sync.split_conflicts(matched, F.col("clash"), alone, taken), aliases).collect()
+    assert sorted(map(tuple, left)) == [("k3", 9), ("other", 3)]
     runs = spark.createDataFrame([("a", "succeeded"), ("b", "failed")], "provider string, status string")
     assert tuple(sync.run_summary(runs).first()) == (1, {"a": "succeeded", "b": "failed"})
 
