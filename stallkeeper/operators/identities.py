@@ -31,19 +31,19 @@ def _keys() -> list[Column]:
     return [F.concat(F.lit("g"), _filled("gtin")), F.when(mpn.isNotNull() & brand.isNotNull(), F.concat(F.lit("m"), mpn, F.lit("\u0001"), brand))]
 
 
-def _with_evidence(rows: DataFrame, key: str) -> DataFrame:
-    """Adds the evidence ``e``, the attributes of title and options alone and those of the specifications alone."""
+def _evidence(rows: DataFrame) -> DataFrame:
+    """For each (side, id) the evidence ``e``, the attributes of title and options alone (_said) and those of the specifications alone (_given)."""
     none, empty = F.lit(None).cast("array<string>"), F.lit(None).cast("map<string,string>")
-    each = rows.select(key, *EVIDENCE, F.explode(F.array(*map(F.lit, ("whole", "said", "given")))).alias("_of"), none.alias("aliases"))
+    each = rows.select("side", "id", *EVIDENCE, F.explode(F.array(*map(F.lit, ("whole", "said", "given")))).alias("_of"), none.alias("aliases"))
     each = each.withColumns({
         "specifications": F.when(F.col("_of") != "said", F.col("specifications")).otherwise(empty), "options": F.when(F.col("_of") != "given", F.col("options")).otherwise(empty),
         "title": F.when(F.col("_of") != "given", F.col("title")),
     })
-    of = lambda name, c: F.max_by(c, F.col("_of") == name).alias({"whole": "e"}.get(name, f"_{name}"))
-    found = with_evidence(each).groupBy(key).agg(of("whole", F.struct("e.category", "e.brand", "e.mpn", "e.gtin", "e.model_number", F.map_entries("e.attrs").alias("attrs"))), of("said", F.map_entries("e.attrs")), of("given", F.map_entries("e.attrs")))
-    maps = [F.map_from_entries(c).alias(c) for c in ("_said", "_given")]
-    e = F.struct(*(F.col(f"e.{c}").alias(c) for c in ("category", "brand", "mpn", "gtin", "model_number")), F.map_from_entries("e.attrs").alias("attrs")).alias("e")
-    return rows.join(found.select(key, e, *maps), key)
+    of = lambda name, c: F.max_by(c, F.col("_of") == name).alias(name)
+    attrs = F.map_entries("e.attrs")
+    found = with_evidence(each).groupBy("side", "id").agg(of("whole", F.struct("e.category", "e.brand", "e.mpn", "e.gtin", "e.model_number", attrs.alias("attrs"))), of("said", attrs), of("given", attrs))
+    e = F.struct(*(F.col(f"whole.{c}").alias(c) for c in ("category", "brand", "mpn", "gtin", "model_number")), F.map_from_entries("whole.attrs").alias("attrs"))
+    return found.select("side", "id", e.alias("e"), *(F.map_from_entries(c).alias(f"_{c}") for c in ("said", "given")))
 
 
 def _class(e: Column) -> Column:
@@ -61,7 +61,7 @@ def family_group() -> Column:
 
 
 def assign_batch(staged: DataFrame, stored: DataFrame, aliases: DataFrame, on_record: DataFrame, alone: DataFrame, first_new: int, scratch: Scratch, rounds: int = 1000) -> DataFrame:
-    """Each staged offer with variant_id, product_id, identity_key, action and decided_by.
+    """Each staged offer with variant_id, product_id, identity_key, action, decided_by and, if it split off, left_variant_id.
 
     ``staged``: rank (distinct; the order of reading), source_key, identity_key, parent_key and
     the evidence columns. ``stored``: variant_id, product_id, identity_key and the evidence
@@ -85,11 +85,14 @@ def assign_batch(staged: DataFrame, stored: DataFrame, aliases: DataFrame, on_re
     rows = staged.join(on_record.select("source_key", F.col("variant_id").alias("_source")), "source_key", "left")
     rows = rows.join(aliases.groupBy("identity_key").agg(F.min("variant_id").alias("_alias")), "identity_key", "left")
     rows = rows.join(alone.select(F.col("variant_id").alias("_source"), F.lit(True).alias("_alone")).distinct(), "_source", "left")
-    rows = _with_evidence(rows, "rank").withColumn("_group", family_group()).withColumn("_keys", F.array_compact(F.array(*_keys()))).withColumn("_class", _class(F.col("e")))
+    side = lambda df, name, key: df.select(F.lit(name).alias("side"), F.col(key).alias("id"), *EVIDENCE)
+    told = scratch.put("evidence", _evidence(side(rows, "new", "rank").unionByName(side(stored, "old", "variant_id"))))
+    of = lambda name, key: told.where(F.col("side") == name).drop("side").withColumnRenamed("id", key)
+    rows = rows.join(of("new", "rank"), "rank").withColumn("_group", family_group()).withColumn("_keys", F.array_compact(F.array(*_keys()))).withColumn("_class", _class(F.col("e")))
     rows = scratch.put("rows", rows)
     groups = rows.groupBy("_group").agg(F.min("rank").alias("_first"))
     rows = scratch.put("grouped", rows.join(groups, "_group"))
-    old = scratch.put("stored", _with_evidence(stored, "variant_id").withColumn("_keys", F.array_compact(F.array(*_keys()))).select("variant_id", "product_id", "identity_key", "brand", "e", "_given", "_keys", F.lit(-1).cast("long").alias("since")))
+    old = scratch.put("stored", stored.join(of("old", "variant_id"), "variant_id").withColumn("_keys", F.array_compact(F.array(*_keys()))).select("variant_id", "product_id", "identity_key", "brand", "e", "_given", "_keys", F.lit(-1).cast("long").alias("since")))
 
     # The first guess: who is the least of all that share a key with it creates its variant.
     shared = rows.select("rank", F.explode(F.concat(F.array(F.concat(F.lit("i"), F.col("identity_key"))), F.col("_keys"))).alias("k"))
@@ -99,7 +102,7 @@ def assign_batch(staged: DataFrame, stored: DataFrame, aliases: DataFrame, on_re
     creates = F.col("_later").isNull() & F.col("_source").isNull()
     state = guess.select(
         "rank", F.when(creates, new("rank")).otherwise(F.coalesce("_source", F.lit(first_new - 1))).alias("variant_id"), new("_first").alias("product_id"),
-        creates.alias("leads"), F.lit(False).alias("rewrites"), F.col("identity_key").alias("key"), F.lit("new").alias("decided_by"),
+        creates.alias("leads"), F.lit(False).alias("rewrites"), F.col("identity_key").alias("key"), F.lit("new").alias("decided_by"), F.lit(None).cast("long").alias("leaves"),
     )
     state, seen = scratch.put("state-0", state), None
     for n in range(1, rounds + 1):
@@ -114,7 +117,7 @@ def assign_batch(staged: DataFrame, stored: DataFrame, aliases: DataFrame, on_re
     else:
         raise RuntimeError(f"answers still change after {rounds} rounds")
     action = F.when(F.col("rewrites"), "rewrite").when(~F.col("leads"), "keep").when(F.col("decided_by") == "new", "create").otherwise("split")
-    found = state.select("rank", "variant_id", "product_id", F.col("key").alias("identity_key"), action.alias("action"), "decided_by")
+    found = state.select("rank", "variant_id", "product_id", F.col("key").alias("identity_key"), action.alias("action"), "decided_by", F.col("leaves").alias("left_variant_id"))
     return staged.drop("identity_key").join(found, "rank")
 
 
@@ -125,7 +128,7 @@ def _versions(rows: DataFrame, old: DataFrame, state: DataFrame, first_new: int)
     columns = ["variant_id", "product_id", "identity_key", "e", "_keys", "since"]
     stored = joined.select(*columns, F.coalesce("_at", F.lit(NEVER)).alias("until"))
     of = ["rank", "brand", "e", "mpn", "gtin", "_keys", "_said", "_given"]
-    mine = rows.select(*of).join(state.where("leads OR rewrites").drop("decided_by"), "rank")
+    mine = rows.select(*of).join(state.where("leads OR rewrites").drop("decided_by", "leaves"), "rank")
     anew = mine.where("rewrites").select("variant_id", "product_id", F.col("key").alias("identity_key"), "e", "_keys", F.col("rank").alias("since"), F.lit(NEVER).alias("until"))
     # A variant that shares an earlier product is seen under that product's category, brand, model and specifications.
     fields = [F.col("brand").alias("_brand"), F.col("e").alias("_p"), F.col("_given").alias("_specs")]
@@ -184,4 +187,4 @@ def _round(rows: DataFrame, versions: DataFrame, state: DataFrame, first_new: in
     told = told.join(firsts, "_first", "left")
     mine = F.lit(first_new) + F.col("rank")
     product = F.when(~leads, F.col("_product")).when(F.col("_first") < F.col("rank"), F.col("_lent")).otherwise(mine)
-    return told.select("rank", F.when(leads, mine).otherwise(F.col("_chosen")).alias("variant_id"), product.alias("product_id"), leads.alias("leads"), rewrites.alias("rewrites"), key.alias("key"), F.when(missing, "new").otherwise(F.col("_how")).alias("decided_by"))
+    return told.select("rank", F.when(leads, mine).otherwise(F.col("_chosen")).alias("variant_id"), product.alias("product_id"), leads.alias("leads"), rewrites.alias("rewrites"), key.alias("key"), F.when(missing, "new").otherwise(F.col("_how")).alias("decided_by"), F.when(leads & ~missing, F.col("_chosen")).alias("leaves"))

@@ -9,6 +9,7 @@ from ..operators import offers as O
 from ..operators import search as S
 from ..operators import staging as G
 from ..operators import sync as Y
+from ..schemas import DIRECT
 from . import adapter as A
 from .common import plain, query, table
 
@@ -368,7 +369,7 @@ def single_candidates(spark: SparkSession, sf: str) -> DataFrame:
 FIRST_NEW = 1_000_000_000
 
 
-@query(f"""WITH RECURSIVE {LISTINGS}, n AS (SELECT *, CASE WHEN kind = 2 THEN source_key ELSE concat_ws('|', parent_key, kind, coalesce(lower(brand), ''), code) END AS gk FROM l),
+FOLD = f"""WITH RECURSIVE {LISTINGS}, n AS (SELECT *, CASE WHEN kind = 2 THEN source_key ELSE concat_ws('|', parent_key, kind, coalesce(lower(brand), ''), code) END AS gk FROM l),
 fold(rank, leads, variant, product, k, kind, pb, mpn, gtin, code, gk) USING KEY (rank) AS (
   SELECT CAST(-1 AS BIGINT), false, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), '', CAST(-1 AS BIGINT), '', '', '', CAST(-1 AS BIGINT), ''
   UNION
@@ -381,7 +382,10 @@ fold(rank, leads, variant, product, k, kind, pb, mpn, gtin, code, gk) USING KEY
           CASE WHEN count(*) FILTER (f.leads AND {_meets('f', 's', 'pb')} AND NOT {_clash('f', 's', 'pb')}) = 1 THEN arg_min({{'product': f.product, 'pb': f.pb, 'clash': false}}, f.rank) FILTER (f.leads AND {_meets('f', 's', 'pb')} AND NOT {_clash('f', 's', 'pb')}) END) AS has,
         arg_min({{'product': f.product, 'pb': f.pb}}, f.rank) FILTER (f.gk = s.gk) AS lent
       FROM (SELECT n.* FROM n JOIN fold w ON n.rank = w.rank + 1) s, recurring.fold f GROUP BY ALL)))
-SELECT rank, leads, variant + {FIRST_NEW} AS variant_id, product + {FIRST_NEW} AS product_id, k AS identity_key FROM fold WHERE rank >= 0""")
+SELECT rank, leads, variant + {FIRST_NEW} AS variant_id, product + {FIRST_NEW} AS product_id, k AS identity_key FROM fold WHERE rank >= 0"""
+
+
+@query(FOLD)
 def batch_identities(spark: SparkSession, sf: str) -> DataFrame:
     """A first batch: all its variants and products are its own."""
     from ..operators.identities import assign_batch
@@ -393,6 +397,27 @@ def batch_identities(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("rank", F.col("action").isin("create", "split").alias("leads"), "variant_id", "product_id", "identity_key")
 
 
+@query(f"""SELECT product_id - {FIRST_NEW} + 1 AS product_id, min(p_type) AS kind, count(DISTINCT variant_id) AS variants, count(*) AS offers, count(*) FILTER (known) AS known
+FROM (SELECT f.*, 'cat' || rank % 3 AS p_type, rank % 4 > 0 AS known FROM ({FOLD}) f) GROUP BY 1""")
+def catalog_sync(spark: SparkSession, sf: str) -> DataFrame:
+    """The products of a catalog after one provider's first sync, counted from the version it published."""
+    from ..operators import catalog as C
+    from ..scratch import Scratch
+
+    scratch = Scratch(spark, "sync")
+    store, none = C.CatalogStore(spark, f"{scratch.root}/catalog"), F.lit(None).cast("string")
+    store.commit(C.empty_catalog(spark) | {"providers": spark.createDataFrame([(1, DIRECT, [])], C.PROVIDERS)})
+    known = F.col("rank") % 4 > 0
+    staged = _batch(spark, sf).select(
+        "*", F.concat(F.lit("https://shop.example/"), "rank").alias("url"), none.alias("seller_id"), F.when(known, F.col("rank") + 1).cast("decimal(12,2)").alias("price"), F.when(known, "known").otherwise("placeholder").alias("price_status"),
+        F.lit(True).alias("in_stock"), F.lit("new").alias("condition"), F.lit("EGP").alias("currency"), none.alias("image_url"),
+    )
+    C.synchronize(store, 1, staged, F.lit("2024-01-01 00:00:00").cast("timestamp"), scratch)
+    offers = store.read("offers").join(store.read("variants").select("variant_id", "product_id"), "variant_id").join(store.read("products"), "product_id")
+    kind = F.concat(F.lit("cat"), F.when(F.col("category") == "cpu", "0").when(F.col("category") == "mobile_phones", "1").otherwise("2"))
+    return offers.groupBy("product_id").agg(F.min(kind).alias("kind"), F.count_distinct("variant_id").alias("variants"), F.count(F.lit(1)).alias("offers"), F.count_if(F.col("price_status") == "known").alias("known"))
+
+
 @query("SELECT DISTINCT p_brand AS brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 7)")
 def new_brands(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part").select(F.col("p_brand").alias("brand"), "p_size")
