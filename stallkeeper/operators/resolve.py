@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -176,52 +175,6 @@ def upsert_decisions(stored: DataFrame, new: DataFrame) -> DataFrame:
     return rest.unionByName(changed.withColumn("reviewed", F.lit(False)).withColumn("applied_at", F.lit(None).cast("timestamp")))
 
 
-def merge_plan(decisions: DataFrame, variants: DataFrame, limit: int = 1000) -> DataFrame:
-    """What merging in order does: pair_key, action, and the variant and product that go into others.
-
-    ``decisions`` are those that may be applied (see ``safe_to_apply``): pair_key, left,
-    right, verdict, reviewed, created_at. Pairs of one product that no queued merge touches are
-    applied as they are. Each other one may depend on those before it, so they are folded in order on the driver: at
-    most ``limit`` merges of a queue cut to ten times that.
-    """
-    # Reviewed decisions first, then the oldest.
-    order = [F.desc("reviewed"), F.asc("created_at"), F.asc("pair_key")]
-    # Decisions on variants that are gone, or in one product that no merge touches, would only fill the queue: Spark tells them apart.
-    known = lambda n: variants.select(F.col("variant_id").alias(n), F.col("product_id").alias(f"{n}_product"))
-    usable = decisions.where(F.col("verdict").isin(EXACT, VARIANT)).join(known("left"), "left").join(known("right"), "right")
-    apart = usable.where("left_product <> right_product").orderBy(*order).limit(10 * limit)
-    touched = apart.select(F.explode(F.array("left", "right")).alias("variant_id")).distinct()
-    together = usable.where("left_product = right_product")
-    near = reduce(DataFrame.union, (together.join(touched.select(F.col("variant_id").alias(n)), n, "left_semi").select(*usable.columns) for n in ("left", "right"))).distinct()
-    queue = apart.select(*usable.columns).union(near).orderBy(*order).limit(10 * limit)
-    settled = together.join(near.select("pair_key"), "pair_key", "left_anti").select("pair_key", F.lit("applied").alias("action"), *(F.lit(None).cast("long").alias(c) for c in ("variant_id", "into_variant", "product_id", "into_product")))
-    product: dict[int, int] = {}
-    rows = queue.collect()
-    for row in rows:
-        product[row["left"]], product[row["right"]] = row["left_product"], row["right_product"]
-    steps: list[tuple] = []
-    merges = 0
-    for key, left, right, what in ((r["pair_key"], r["left"], r["right"], r["verdict"]) for r in rows):
-        if merges >= limit:
-            break
-        if left not in product or right not in product:
-            continue
-        if product[left] == product[right]:
-            steps.append((key, "applied", None, None, None, None))
-            continue
-        target = min(product[left], product[right])
-        keeps = left if product[left] == target else right
-        goes = right if keeps == left else left
-        steps.append((key, "merge" if what == EXACT else "group", goes, keeps, product[goes], target))
-        merges += 1
-        if what == EXACT:
-            del product[goes]
-        else:
-            product[goes] = target
-    schema = "pair_key string, action string, variant_id long, into_variant long, product_id long, into_product long"
-    return settled.union(decisions.sparkSession.createDataFrame(steps, schema))
-
-
 def budget_spent(batches: DataFrame, as_of: Column) -> DataFrame:
     """What this month's batches hold of the budget: measured ones at twice their cost within bounds, others in full."""
     reserved, actual = F.col("reserved_usd"), F.col("actual_usd")

@@ -144,6 +144,38 @@ def _decisions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+MERGE_LIMIT = 300
+QUEUE = """q AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS pair_key, p_partkey % 997 AS l, (p_partkey * 31 + 7) % 983 AS r, CASE p_size % 3 WHEN 0 THEN 'group' WHEN 1 THEN 'merge' END AS kind, p_size % 7 = 0 AS reviewed, p_partkey % 50 AS created_at FROM part),
+d AS (SELECT *, row_number() OVER (ORDER BY reviewed DESC, created_at, pair_key) AS rn FROM q WHERE kind IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {QUEUE}, fold(k, n, product, alive, pair_key, action, goes, keeps, from_product, to_product) USING KEY (k) AS (
+  SELECT 'c', CAST(0 AS BIGINT), CAST(0 AS BIGINT), true, '', '', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+  UNION
+  SELECT x.k, x.n, x.product, x.alive, x.pair_key, x.action, x.goes, x.keeps, x.from_product, x.to_product FROM (
+    SELECT unnest(list_filter([
+        {{'k': 'c', 'n': rn, 'product': made + CASE WHEN action IN ('merge', 'group') THEN 1 ELSE 0 END, 'alive': true, 'pair_key': '', 'action': '', 'goes': NULL::BIGINT, 'keeps': NULL::BIGINT, 'from_product': NULL::BIGINT, 'to_product': NULL::BIGINT}},
+        CASE WHEN action <> '' THEN {{'k': 's' || rn, 'n': rn, 'product': 0::BIGINT, 'alive': true, 'pair_key': pair_key, 'action': action, 'goes': CASE WHEN action <> 'applied' THEN goes END, 'keeps': CASE WHEN action <> 'applied' THEN l + r - goes END, 'from_product': CASE WHEN action <> 'applied' THEN greatest(a, b) END, 'to_product': CASE WHEN action <> 'applied' THEN least(a, b) END}} END,
+        CASE WHEN action IN ('merge', 'group') THEN {{'k': 'v' || goes, 'n': rn, 'product': least(a, b), 'alive': action = 'group', 'pair_key': '', 'action': '', 'goes': NULL::BIGINT, 'keeps': NULL::BIGINT, 'from_product': NULL::BIGINT, 'to_product': NULL::BIGINT}} END], lambda z: z IS NOT NULL)) AS x
+    FROM (SELECT *, CASE WHEN NOT live THEN '' WHEN a = b THEN 'applied' ELSE kind END AS action, CASE WHEN a < b THEN r ELSE l END AS goes FROM (
+      SELECT d.*, c.product AS made, coalesce(va.product, d.l // 3) AS a, coalesce(vb.product, d.r // 3) AS b, coalesce(va.alive, true) AND coalesce(vb.alive, true) AS live
+      FROM d JOIN fold c ON c.k = 'c' AND d.rn = c.n + 1 AND c.product < {MERGE_LIMIT} LEFT JOIN recurring.fold va ON va.k = 'v' || d.l LEFT JOIN recurring.fold vb ON vb.k = 'v' || d.r))))
+SELECT pair_key, action, goes AS variant_id, keeps AS into_variant, from_product AS product_id, to_product AS into_product FROM fold WHERE k LIKE 's%'""")
+def merge_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """The first merges of a queue whose decisions build on one another."""
+    from ..operators import merges as M
+    from ..scratch import Scratch
+
+    n = F.col("p_partkey")
+    kind = F.when(F.col("p_size") % 3 == 0, I.VARIANT).when(F.col("p_size") % 3 == 1, I.EXACT).otherwise(I.DIFFERENT)
+    decisions = table(spark, sf, "part").select(
+        F.lpad(n.cast("string"), 8, "0").alias("pair_key"), (n % 997).alias("left"), ((n * 31 + 7) % 983).alias("right"), kind.alias("verdict"), (F.col("p_size") % 7 == 0).alias("reviewed"), (n % 50).alias("created_at")
+    )
+    ids = decisions.select(F.explode(F.array("left", "right")).alias("variant_id")).distinct()
+    variants = ids.select("variant_id", F.floor(F.col("variant_id") / 3).alias("product_id"))
+    return M.merge_steps(decisions, variants, Scratch(spark, "merges"), MERGE_LIMIT).drop("place")
+
+
 @query(f"""WITH {DECIDED}, stored AS (SELECT * FROM d WHERE created_at < 3), latest AS (
   SELECT least(left_signature, right_signature) AS s, greatest(left_signature, right_signature) AS g, arg_max(verdict, created_at || '|' || lpad(pair_key, 20, ' ')) AS v FROM stored GROUP BY 1, 2)
 SELECT d.pair_key, coalesce(o.verdict, CASE WHEN v IS NOT NULL THEN 'shared' END) AS verdict, CASE WHEN o.pair_key IS NOT NULL THEN 'exact' WHEN v IS NOT NULL THEN 'signature' ELSE 'none' END AS reused

@@ -201,23 +201,6 @@ def test_budget(spark):
     assert resolve.may_reserve(table, as_of, F.lit(Decimal("6.95"))).first()["allowed"] is False
 
 
-def test_merges_fold_in_order(spark):
-    variants = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (4, 30)], "variant_id long, product_id long")
-    rows = [("1:2", 1, 2, I.EXACT, False, 1), ("2:3", 2, 3, I.EXACT, False, 2), ("1:3", 1, 3, I.VARIANT, True, 9), ("3:4", 3, 4, I.VARIANT, False, 3)]
-    decisions = spark.createDataFrame(rows, "pair_key string, left long, right long, verdict string, reviewed boolean, created_at int")
-    plan = [tuple(r) for r in resolve.merge_plan(decisions, variants).collect()]
-    # The reviewed grouping comes first; 2:3 names a variant that is gone by then.
-    assert plan == [("1:3", "group", 3, 1, 30, 10), ("1:2", "merge", 2, 1, 20, 10), ("3:4", "group", 4, 3, 30, 10)]
-
-
-def test_settled_pairs_do_not_fill_the_queue(spark):
-    variants = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (4, 30)], "variant_id long, product_id long")
-    rows = [(f"{i}:99", i, 99, I.EXACT, True, 0) for i in range(1, 4)] + [("3:4", 3, 4, I.EXACT, True, 1), ("1:2", 1, 2, I.EXACT, False, 5)]
-    decisions = spark.createDataFrame(rows * 20, "pair_key string, left long, right long, verdict string, reviewed boolean, created_at int").distinct()
-    plan = {tuple(r)[:2] for r in resolve.merge_plan(decisions, variants, limit=1).collect()}
-    assert plan == {("3:4", "applied"), ("1:2", "merge")}
-
-
 def test_overtaken_runs_fail(spark):
     day = lambda d: None if d is None else datetime(2026, 1, d)
     rows = [(1, 1, day(1), "succeeded"), (1, 2, None, "running"), (2, 3, None, "running"), (2, 4, day(2), "succeeded"), (3, 5, None, "running"), (3, 6, None, "running")]
