@@ -71,6 +71,11 @@ def normalized(folded: Column) -> Column:
     return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
 
 
+def search_words(folded: Column) -> Column:
+    """The words of a text as search knows them: runs of letters, marks and digits of any script."""
+    return F.filter(F.split(F.regexp_replace(folded, r"[^\p{L}\p{M}\p{N}]+", " "), " "), lambda w: w != "")
+
+
 def identifier(folded: Column) -> Column:
     """An identifier without marks; null if nothing is left."""
     return F.nullif(F.regexp_replace(folded, "[^a-z0-9]+", ""), F.lit(""))
@@ -111,10 +116,10 @@ def search_query(query: Column) -> Column:
 
 
 def request_words(query: str) -> str:
-    """The words of one request as they are searched for, in normal form; made where the request comes in."""
+    """The words of one request as they are searched for, in any script; made where the request comes in."""
     query = _compatible(query.strip())
     for arabic, latin in ARABIC:
         query = query.replace(arabic, latin)
     for pattern, by in QUERY_RULES:
         query = re.sub(pattern, by.replace("$", "\\"), query, flags=re.ASCII)
-    return re.sub("[^a-z0-9]+", " ", query).strip()
+    return " ".join("".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in query).split())

@@ -60,7 +60,7 @@ def best_offers(trusted: DataFrame, tie_break: list[Column] = ()) -> DataFrame:
         F.when(current, F.col("price_status")).when(is_known(), "stale").otherwise("not_found").alias("price_status"),
         F.when(~current & is_known(), F.col("price")).alias("last_seen_price"),
         (current & F.coalesce("in_stock", F.lit(False))).alias("in_stock"),
-        (current & F.col("in_stock").isNotNull()).alias("stock_known"),
+        (current & F.col("in_stock").isNotNull()).alias("stock_known"), *(c for c in ("url", "image_url") if c in trusted.columns),
     )
 
 
@@ -96,14 +96,23 @@ def facet_providers(providers: DataFrame) -> DataFrame:
     return providers.where(F.col("trust").isin(DIRECT, WITH_MARKETPLACE)).select("provider_id", "provider_name").orderBy("provider_name")
 
 
+def semantic_text() -> Column:
+    """What a product is, in words: its name, category and, if it has one, its brand."""
+    brand = F.nullif(F.trim("brand"), F.lit(""))
+    return F.concat_ws("\n", F.trim("name"), F.concat(F.lit("Category: "), F.trim("category")), F.concat(F.lit("Brand: "), brand))
+
+
 def search_document(model: DataFrame) -> DataFrame:
-    """The read model as documents for search: prices as numbers, unknown stock as null, times in seconds."""
-    text = F.concat_ws("\n", "name", "category", "brand")
-    ids = [c for c in ("category_id", "brand_id") if c in model.columns]
+    """The read model as documents for search: prices as numbers, unknown stock as null, times in seconds.
+
+    Links, images and times of making are there if the model has them.
+    """
+    has = lambda *names: [c for c in names if c in model.columns]
     return model.select(
-        F.col("product_id").alias("id"), "name", "category", "brand", *ids, "provider_id", "provider_name", "provider_ids", "variant_count", "offer_count",
-        F.round(F.col("price").cast("double"), 2).alias("price"), F.round(F.col("last_seen_price").cast("double"), 2).alias("last_seen_price"), "price_status",
-        F.when(F.col("stock_known"), F.col("in_stock")).alias("in_stock"), "condition", F.unix_timestamp("last_seen_at").alias("last_seen_at"), text.alias("semantic_text"),
+        F.col("product_id").alias("id"), "name", "category", "brand", *has("category_id", "brand_id"), "provider_id", "provider_name", "provider_ids", "variant_count", "offer_count",
+        F.round(F.col("price").cast("double"), 2).alias("price"), F.round(F.col("last_seen_price").cast("double"), 2).alias("last_seen_price"), "price_status", "currency", F.col("variant_id").alias("product_variant_id"),
+        F.when(F.col("stock_known"), F.col("in_stock")).alias("in_stock"), "condition", F.unix_timestamp("last_seen_at").alias("last_seen_at"), semantic_text().alias("semantic_text"),
+        *(F.col(c).alias({"url": "canonical_product_url"}.get(c, c)) for c in has("url", "image_url")), *(F.unix_timestamp(c).alias(c) for c in has("created_at", "updated_at")),
     )
 
 
@@ -111,9 +120,12 @@ def api_product(documents: DataFrame) -> DataFrame:
     """Documents as readers of the API get them: nested names, prices as text, times as timestamps."""
     money = lambda c: F.format_string("%.2f", c)
     status = F.coalesce("price_status", F.when(F.col("price").isNotNull(), "known").otherwise("not_found"))
+    has = lambda *names: [c for c in names if c in documents.columns]
+    known = lambda name, *parts: F.struct(*(F.col(c).alias(a) for c, a in parts if c in documents.columns)).alias(name)
     return documents.select(
-        "id", "name", F.struct(F.col("category").alias("slug")).alias("category"), F.when(F.col("brand").isNotNull(), F.struct(F.col("brand").alias("name"))).alias("brand"),
+        "id", "name", known("category", ("category_id", "id"), ("category", "slug")), F.when(F.col("brand").isNotNull(), known("brand", ("brand_id", "id"), ("brand", "name"))).alias("brand"),
         F.struct(F.col("provider_id").alias("id"), F.col("provider_name").alias("name")).alias("provider"), F.size("provider_ids").alias("provider_count"), "variant_count", "offer_count",
         money(F.col("price")).alias("price"), money(F.col("last_seen_price")).alias("last_seen_price"), status.alias("price_status"), "in_stock", "condition",
-        F.when(F.col("last_seen_at") > 0, F.timestamp_seconds("last_seen_at")).alias("last_seen_at"),
+        F.when(F.col("last_seen_at") > 0, F.timestamp_seconds("last_seen_at")).alias("last_seen_at"), *has("currency", "product_variant_id", "image_url", "canonical_product_url"),
+        *(F.timestamp_seconds(c).alias(c) for c in has("created_at", "updated_at")),
     )

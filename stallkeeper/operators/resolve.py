@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import EXACT, REVIEWER, VARIANT, attributes, candidate_score, conflicts, evidence, pair_key, retitled, verdict
 from ..functions.text import fold_all, normalized, title_tokens
 from ..schemas import ALIAS_TITLES, BLOCK_CAP, MATCHED, RULE_VERSION, SCORE_FLOOR, TOP_CANDIDATES
+from ..scratch import Scratch
 from ..workers import ready
 
 # The budget rule for adjudication costs.
@@ -206,6 +207,25 @@ def fill_budget(pairs: DataFrame, limit: int) -> DataFrame:
     return pairs.orderBy(F.desc("score"), "pair_key").limit(limit)
 
 
+def fill_by_cost(pairs: DataFrame, left: Column, scratch: Scratch) -> DataFrame:
+    """The pairs, best first, whose costs together stay within what is left of the budget, with their running sum ``spent``.
+
+    ``pairs`` has pair_key, score and a decimal ``cost`` that is not negative; a null cost
+    counts as none. The first pair that doesn't fit ends the list. Pairs are sorted into
+    ranges; sums of whole ranges give each range its start, so no task sees all pairs.
+    """
+    best_first = [F.desc("score"), F.asc("pair_key")]
+    cost = F.coalesce(F.col("cost"), F.lit(0)).cast("decimal(38,10)")
+    ranged = scratch.put("ranged", pairs.withColumn("_cost", cost).repartitionByRange(*best_first).withColumn("_range", F.spark_partition_id()))
+    whole = ranged.groupBy("_range").agg(F.sum("_cost").cast("decimal(38,10)").alias("sum"))
+    # As many rows as there are ranges.
+    starts = whole.select("_range", F.coalesce(F.sum("sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("decimal(38,10)").alias("_start"))
+    open_ = ranged.join(F.broadcast(starts.where(F.col("_start") <= left)), "_range")
+    within = Window.partitionBy("_range").orderBy(*best_first).rowsBetween(Window.unboundedPreceding, 0)
+    summed = open_.withColumn("spent", (F.col("_start") + F.sum("_cost").over(within)).cast("decimal(38,10)"))
+    return summed.where(F.col("spent") <= left).select(*pairs.columns, "spent")
+
+
 def request_lines(pairs: DataFrame, body: Column) -> DataFrame:
     """One JSON line for each pair."""
     return pairs.select(F.to_json(F.struct(F.col("pair_key").alias("custom_id"), body.alias("body"))).alias("value"))
@@ -236,6 +256,20 @@ def answer_totals(collected: DataFrame) -> DataFrame:
     return collected.agg(total("input_tokens"), total("output_tokens"), F.count_if(F.col("answer") == "answered").alias("answers"))
 
 
+def answer_cost(collected: DataFrame, input_rate: str, output_rate: str, share: str = "0.5") -> DataFrame:
+    """What the answers cost: input_tokens, output_tokens, ``cost_usd`` and ``actual_usd``, which is null unless all were answered.
+
+    A batch costs ``share`` of the plain rates. With an answer missing its tokens may be
+    missing too, so the batch keeps its whole reservation.
+    """
+    rate = lambda r: F.lit(r).cast("decimal(12,10)")
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("answer") == "answered", F.coalesce(F.col(c), F.lit(0)))), F.lit(0)).alias(c)
+    sums = collected.agg(total("input_tokens"), total("output_tokens"), F.coalesce(F.every(F.col("answer") == "answered"), F.lit(False)).alias("_all"))
+    tokens = lambda c: F.col(c).cast("decimal(20,0)")
+    cost = ((tokens("input_tokens") * rate(input_rate) + tokens("output_tokens") * rate(output_rate)) * F.lit(share).cast("decimal(4,2)")).cast("decimal(30,10)")
+    return sums.select("input_tokens", "output_tokens", cost.alias("cost_usd"), F.when(F.col("_all") & (cost > 0), cost).alias("actual_usd"))
+
+
 def stale_requests(requests: DataFrame, current: DataFrame) -> DataFrame:
     """Submitted requests that no longer equal what the current evidence would ask (both: pair_key, body)."""
     now = current.select("pair_key", F.col("body").alias("_now"))

@@ -13,11 +13,11 @@ from ..schemas import DIRECT
 from . import adapter as A
 from .common import plain, query, table
 
-BEST = "product_id, offer_id, variant_id, provider_id, provider_name, condition, currency, epoch(last_seen_at)::BIGINT AS last_seen_at, price::DOUBLE AS price, price_status, last_seen_price::DOUBLE AS last_seen_price, in_stock, stock_known"
+BEST = "product_id, offer_id, variant_id, provider_id, provider_name, condition, currency, epoch(last_seen_at)::BIGINT AS last_seen_at, price::DOUBLE AS price, price_status, last_seen_price::DOUBLE AS last_seen_price, in_stock, stock_known, url, image_url"
 DOCS = f"""WITH {A.SQL}, docs AS (
   SELECT product_id AS id, name, category, brand, provider_id, provider_name, provider_ids, variant_count, offer_count, price::DOUBLE AS price,
     last_seen_price::DOUBLE AS last_seen_price, price_status, CASE WHEN stock_known THEN in_stock END AS in_stock, condition, epoch(last_seen_at)::BIGINT AS last_seen_at,
-    concat_ws(chr(10), name, category, brand) AS semantic_text, category_id, brand_id FROM model)"""
+    concat_ws(chr(10), name, 'Category: ' || category, 'Brand: ' || brand) AS semantic_text, category_id, brand_id, currency, variant_id AS product_variant_id, url AS canonical_product_url, image_url, epoch(created_at)::BIGINT AS created_at, epoch(updated_at)::BIGINT AS updated_at FROM model)"""
 
 
 @query(f"WITH {A.SQL} SELECT {BEST} FROM best")
@@ -25,7 +25,7 @@ def best_offer_per_product(spark: SparkSession, sf: str) -> DataFrame:
     return plain(O.best_offers(A.trusted(spark, sf), [F.col("tie")]))
 
 
-@query(f"WITH {A.SQL} SELECT name, category, brand, category_id, brand_id, coalesce(array_to_string(provider_ids, ','), '') AS provider_ids, offer_count, variant_count, {BEST} FROM model")
+@query(f"WITH {A.SQL} SELECT name, category, brand, category_id, brand_id, coalesce(array_to_string(provider_ids, ','), '') AS provider_ids, offer_count, variant_count, epoch(created_at)::BIGINT AS created_at, epoch(updated_at)::BIGINT AS updated_at, {BEST} FROM model")
 def read_model(spark: SparkSession, sf: str) -> DataFrame:
     return plain(A.model(spark, sf))
 
@@ -161,6 +161,58 @@ def digit_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return S.with_digit_fallback(docs, "brand 77").select("id", "name", "score")
 
 
+FOUND = {"name": 8, "category": 4, "brand": 2}
+ASKED = ("thintion en", "ciónad es", "worthlss pathetic", "onbl eea", "licensetext", "src7 tionton")
+
+
+def _request_sql(request: str) -> str:
+    parts = request.split()
+    joined = lambda i: [a + b for a, b in zip(parts, parts[1:], strict=False)][max(i - 1, 0) : i + 1]
+
+    def hit(f: str, i: int) -> str:
+        typos = S._typos(parts[i], False)
+        near = f" OR levenshtein(w, '{parts[i]}') <= {typos}" if typos else ""
+        along = "".join(f" OR list_contains(w_{f}, '{j}')" for j in joined(i))
+        return f"(len(list_filter(w_{f}, lambda w: starts_with(w, '{parts[i]}'){near})) > 0 OR list_contains(list_transform(range(1, len(w_{f})), lambda k: w_{f}[k] || w_{f}[k + 1]), '{parts[i]}'){along})"
+
+    score = ", ".join("(" + " + ".join(f"{hit(f, i)}::INT" for i in range(len(parts))) + f") * {w}" for f, w in FOUND.items())
+    test = " AND ".join("(" + " OR ".join(hit(f, i) for f in FOUND) + ")" for i in range(len(parts)))
+    return f"SELECT '{request}' AS request, id, greatest({score}) AS score FROM w WHERE {test}"
+
+
+ANY_WORDS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{M}}\p{{N}}]+')"
+
+
+@query(f"WITH w AS (SELECT doc_id AS id, {ANY_WORDS.format('text')} AS w_name, {ANY_WORDS.format('lang')} AS w_category, {ANY_WORDS.format('source')} AS w_brand FROM documents) " + " UNION ALL ".join(_request_sql(r) for r in ASKED))
+def lexical_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests with typos, beginnings and joined words, answered from the published index of all texts."""
+    from functools import reduce
+
+    from ..operators import lexicon as N
+    from ..operators.catalog import CatalogStore
+    from ..scratch import Scratch
+
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"), F.col("lang").alias("category"), F.col("source").alias("brand"))
+    store = CatalogStore(spark, f"{Scratch(spark, 'lexicon').root}/index")
+    N.publish(docs, store, list(FOUND))
+    postings, pieces = store.read("postings"), store.read("pieces")
+    return reduce(DataFrame.union, (N.search(postings, pieces, r, FOUND).select(F.lit(r).alias("request"), "id", "score") for r in ASKED))
+
+
+SCRIPTS = ("بطاقة رسومات ٤٠٦٠", "Видеокарта {} Ноутбук", "café {} naïve", "显卡 {}")
+
+
+@query("SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'بطاقة رسومات' WHEN 1 THEN 'ноутбуки' ELSE 'naive' END AS request FROM part WHERE p_size % 4 < 3")
+def search_arabic(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests in Arabic, Cyrillic and accented Latin find their titles, with a typo where words are long enough."""
+    kind, none = F.col("p_size") % 4, F.lit("")
+    title = F.element_at(F.array(*(F.concat(F.lit(t.split("{}")[0]), "p_partkey", F.lit(t.split("{}")[-1] if "{}" in t else "")) for t in SCRIPTS)), (kind + 1).cast("int"))
+    docs = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), title.alias("name"), none.alias("category"), none.alias("brand"), none.alias("provider"))
+    asked = ("بطاقة رسومات", "ноутбуки", "naive")
+    found = [S.find_all(docs, r, S.Filters()).select("id", F.lit(r).alias("request")) for r in asked]
+    return found[0].union(found[1]).union(found[2])
+
+
 COSINE = "list_sum(list_transform(list_zip(a, b), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 
 

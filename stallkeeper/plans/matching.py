@@ -329,9 +329,10 @@ def answer_totals(spark: SparkSession, sf: str) -> DataFrame:
     return R.answer_totals(_replayed(spark, sf))
 
 
-@query(r"""SELECT page_id, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) GROUP BY 1""")
+@query(r"""WITH a AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+') AS host, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS ls FROM pages)
+SELECT page_id, CAST(i - 1 AS INTEGER) AS position, host || hs[i] AS url, trim(ls[i]) AS label FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM a)""")
 def page_anchors(spark: SparkSession, sf: str) -> DataFrame:
-    return W.anchors(table(spark, sf, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+    return W.anchors(table(spark, sf, "pages"))
 
 
 @query("SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) / pow(10, o_orderkey % 3) AS price FROM orders")
@@ -345,6 +346,37 @@ def reserve_costs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.round(cost.cast("double"), 9).alias("cost"))
 
 
+@query("""WITH p AS (SELECT conv_id || ':' || turn AS pair_key, length(text) % 50 AS score, CAST((strlen(text) + 1000) * 0.0000005 AS DECIMAL(38,10)) AS cost FROM conversations),
+s AS (SELECT *, sum(cost) OVER (ORDER BY score DESC, pair_key ROWS UNBOUNDED PRECEDING) AS spent FROM p) SELECT pair_key, score, CAST(cost AS DOUBLE) AS cost, CAST(spent AS DOUBLE) AS spent FROM s WHERE spent <= 0.5""")
+def budget_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """The requests, best first, that half a dollar pays for."""
+    from ..scratch import Scratch
+
+    cost = R.reserve_cost(F.col("text"), 0, "0.0000005", "0").cast("decimal(38,10)")
+    pairs = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("pair_key"), (F.length("text") % 50).alias("score"), cost.alias("cost"))
+    found = R.fill_by_cost(pairs, F.lit("0.5").cast("decimal(12,4)"), Scratch(spark, "fill"))
+    return found.withColumns({c: F.col(c).cast("double") for c in ("cost", "spent")})
+
+
+@query("""SELECT CAST(sum(strlen(text)) AS BIGINT) AS input_tokens, CAST(sum(turn) AS BIGINT) AS output_tokens, round(CAST((sum(strlen(text)) * 0.0000001 + sum(turn) * 0.0000005) / 2 AS DOUBLE), 9) AS cost_usd, CAST(NULL AS DOUBLE) AS actual_usd FROM conversations WHERE role = 'user'""")
+def answer_cost(spark: SparkSession, sf: str) -> DataFrame:
+    """What answers of these sizes cost; some are missing, so nothing replaces the reservation."""
+    turns = table(spark, sf, "conversations").select(F.when(F.col("role") == "user", "answered").otherwise("malformed").alias("answer"), F.octet_length("text").cast("long").alias("input_tokens"), F.col("turn").cast("long").alias("output_tokens"))
+    found = R.answer_cost(turns, "0.0000001", "0.0000005")
+    return found.withColumns({c: F.round(F.col(c).cast("double"), 9) for c in ("cost_usd", "actual_usd")})
+
+
+TREE = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 40 > 0 THEN o_orderkey - 1 - o_orderkey % 3 END AS parent, o_orderstatus AS name FROM orders"
+
+
+@query(f"""WITH RECURSIVE n AS ({TREE}), t(id, path) AS (SELECT id, [name] FROM n WHERE parent IS NULL UNION ALL SELECT n.id, list_append(t.path, n.name) FROM t JOIN n ON n.parent = t.id)
+SELECT id, array_to_string(path, '/') AS path, len(path) AS depth FROM t""")
+def category_paths(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    nodes = table(spark, sf, "orders").select(key.alias("id"), F.when(key % 40 > 0, key - 1 - key % 3).alias("parent"), F.col("o_orderstatus").alias("name"))
+    return W.category_tree(nodes).select("id", F.array_join("path", "/").alias("path"), F.size("path").cast("long").alias("depth"))
+
+
 @query("""SELECT conv_id || ':' || turn AS pair_key, CASE WHEN turn = 0 THEN 'uncertain' WHEN role = 'user' THEN 'different_product' ELSE 'uncertain' END AS verdict, CASE WHEN turn = 0 THEN 'unanswered' WHEN role = 'user' THEN 'answered' ELSE 'malformed' END AS answer FROM conversations""")
 def verdict_replay(spark: SparkSession, sf: str) -> DataFrame:
     return _replayed(spark, sf).select("pair_key", "verdict", "answer")

@@ -248,14 +248,20 @@ def unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else html.unescape(x))
 
 
-def category_tree(nodes: DataFrame) -> DataFrame:
-    """Paths of a category tree (id, parent, name): walks down from the roots level by level, as deep as the tree is."""
-    found = nodes.where("parent IS NULL").select("id", F.array("name").alias("path"))
-    level, out = found, found
-    while not level.isEmpty():
-        level = nodes.join(level.select(F.col("id").alias("parent"), "path"), "parent").select("id", F.concat("path", F.array("name")).alias("path"))
-        out = out.union(level)
-    return out
+def category_tree(nodes: DataFrame, depth: int = 1000) -> DataFrame:
+    """(id, path) of a category tree (id, parent, name) by one recursive query from the roots, whose parent is null.
+
+    A node under several parents has a path for each. A node that is its own ancestor is not
+    entered again, so a cycle below a root ends, and one that no root leads to is not seen. A
+    null name is an empty one. ``depth`` is a bound on levels beyond which the query fails.
+    """
+    walk = f"""
+    WITH RECURSIVE tree(id, path, seen) MAX RECURSION LEVEL {depth} AS (
+      SELECT id, array(coalesce(name, '')), array(id) FROM {{nodes}} WHERE parent IS NULL
+      UNION ALL
+      SELECT n.id, concat(t.path, array(coalesce(n.name, ''))), concat(t.seen, array(n.id)) FROM tree t JOIN {{nodes}} n ON n.parent = t.id WHERE NOT array_contains(t.seen, n.id)
+    ) SELECT id, path FROM tree"""
+    return nodes.sparkSession.sql(walk, nodes=nodes.select("id", "parent", "name"))
 
 
 #: A script's push of one piece: a string literal.
