@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import packing, piece_bpe
-from .tables import load, python_ready, shared_dir
+from .tables import Stash, load, python_ready
 
 KEYS = ["source", "lang", "version"]
 CHANGE = "op string, doc_id long, source string, lang string, version string, tokens long, seq long"
@@ -173,7 +173,7 @@ def roll_up(docs: DataFrame, counters: Mapping[str, Counter], rollup: Rollup) ->
     characters leave all versions; those with a repeated line have their counts revised to
     what is left without the repeats. The last two batches are committed twice.
     """
-    docs = docs.select("doc_id", "source", "lang", "text")
+    docs = docs.select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))  # a null text has no line
     for version, count in counters.items():
         rollup.commit(f"load {version}", changes_of(count(docs), "insert", version))
     lines = F.split("text", "\n")
@@ -188,7 +188,7 @@ def roll_up(docs: DataFrame, counters: Mapping[str, Counter], rollup: Rollup) ->
 
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals by source, language and tokenizer version after the batches of ``roll_up`` over all documents."""
-    rollup = Rollup(spark, f"{shared_dir(spark)}/op6-{uuid.uuid4().hex[:12]}/rollup")
+    rollup = Rollup(spark, f"{Stash(spark, 'op6').root}/rollup")
     return roll_up(load(spark, sf_dir, "documents"), versions(), rollup)
 
 

@@ -265,8 +265,8 @@ def rolled_up(rows, count):
     out = {}
     for _, text, lang, source, _ in rows:
         lines = (text or "").split("\n")
-        if text is None or any(len(x) >= 10 for x in lines):
-            for version, n in count("" if text is None else "\n".join(dict.fromkeys(lines))).items():
+        if any(len(x) >= 10 for x in lines):
+            for version, n in count("\n".join(dict.fromkeys(lines))).items():
                 docs, tokens = out.get((source, lang, version), (0, 0))
                 out[source, lang, version] = docs + 1, tokens + n
     return out
@@ -297,6 +297,19 @@ def test_rollup_of_whole_tables_is_that_of_sql(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) > 50
 
 
+def test_rollup_and_sql_agree_on_nulls(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "a text that is long enough", "en", "s"), (2, None, "en", "s"), (3, "short", "en", "s"), (4, "", None, None), (5, "no source, a long line\nno source, a long line", None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    counters = {v: token_rollup.by_pattern(p) for v, p in token_rollup.PATTERNS.items()}
+    got = token_rollup.roll_up(spark.read.parquet(f"{tmp_path}/documents.parquet"), counters, token_rollup.Rollup(spark, f"{tmp_path}/r"))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = db.execute(token_rollup.PATTERNS_SQL).fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and {r[:4] for r in want} >= {("s", "en", "words-1", 1), (None, None, "words-1", 1)}
+
+
 SMALL = "/root/testdata/sf0.001"
 
 
