@@ -22,18 +22,19 @@ SEGMENTS = {
         "cases": "case", "power-supply": "power_supply", "fans-pc-cooling": "cooling",
     },
 }
-#: (pattern of the whole path, category); earlier rules hold first, before segments.
+# Fixed values: (pattern of the whole path, category); earlier rules hold first, before segments.
 PATHS = {
     "elnekhely": (("^/monitors$", "monitor"), ("^/accessories$", "accessories"), ("^/laptop$", "laptops")),
     "elbadr": (("^(/accessories)?/headphones$", "headphones"), ("^/laptop$", "laptops"), ("^/monitors(/|$)", "monitor"), ("^/accessories(/|$)", "accessories")),
     "maximum": (("^/monitors(/|$)", "monitor"), ("^/accessories-1(/|$)|/(keyboard-mouse|headphones-speakers)$", "accessories")),
 }
+# The leaves of category trees.
 LEAVES = {
     "Intel CPU": "cpu", "AMD CPU": "cpu", "Intel Motherboard": "motherboard", "AMD Motherboard": "motherboard", "PC Memory": "ram", "Laptop Memory": "ram",
     "Nvidia GeForce": "gpu", "AMD RADEON": "gpu", "AIR Cooler": "cooling", "Liquid Cooler": "cooling", "Fans": "cooling", "Mini Tower": "case", "Mid Tower": "case",
     "Full Tower": "case", "Non modular": "power_supply", "Sime modular": "power_supply", "Full modular": "power_supply", "Internal SSD": "ssd", "Internal HDD": "hdd",
 }
-#: Roots that are a category by themselves, and roots whose leaves are.
+# Roots that are a category by themselves, and roots whose leaves are.
 ROOTS, PART_ROOTS = {"Laptops": "laptops", "Monitor": "monitor", "Accessories": "accessories"}, ("Hardware Components", "Storage")
 
 

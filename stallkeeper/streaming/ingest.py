@@ -39,7 +39,9 @@ class StreamStage:
     def _publish(self, rows: DataFrame, name: str) -> None:
         staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
         rows.write.parquet(staged)
-        if not self._fs.rename(self._at(staged), self._at(f"{self.path}/{name}")):
+        # A rename onto a folder that is there would move into it.
+        if self._fs.exists(self._at(f"{self.path}/{name}")) or not self._fs.rename(self._at(staged), self._at(f"{self.path}/{name}")):
+            self._fs.delete(self._at(staged), True)
             raise OSError(f"{name} could not be published")
 
     def read(self) -> DataFrame:
@@ -50,12 +52,23 @@ class StreamStage:
 
     def add(self, rows: DataFrame, number: int) -> None:
         """Publishes a batch, but one that was published before."""
-        done = self.numbers("batch")
-        if number in done:
+        if number in self.numbers("batch") or number <= (self.numbers("base") or [-1])[-1]:
             return
         self._publish(self.merge(rows), f"batch={number}")
         if number - (self.numbers("base") or [-1])[-1] >= self.every:
             self._publish(self.read(), f"base={number}")
+            self._sweep()
+
+    def _sweep(self) -> None:
+        """Removes what the base before the last held; a reader of the last two bases still has all that they need.
+
+        The newest batch stays in any case, as the mark that it was added.
+        """
+        bases = self.numbers("base")
+        if len(bases) > 1:
+            gone = [f"base={n}" for n in bases[:-2]] + [f"batch={n}" for n in self.numbers("batch")[:-1] if n <= bases[-2]]
+            for name in gone:
+                self._fs.delete(self._at(f"{self.path}/{name}"), True)
 
 
 def stage_stream(listings: DataFrame, stage: StreamStage, checkpoint: str) -> StreamingQuery:

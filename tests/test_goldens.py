@@ -340,3 +340,11 @@ def test_search_facade(spark):
     assert ids(search.listing(docs, search.Filters(page=9))) == []
     with pytest.raises(search.InvalidFilter):
         search.find(docs, "*", search.Filters())
+
+
+def test_preview_shows_every_category(spark):
+    rows = [("gpu", 3, "c"), ("gpu", 1, "a"), ("gpu", 2, None), ("cpu", 9, "x"), (None, 4, "lost"), ("gpu", 1, "a")]
+    got = {r["category"]: (r["rows"], r["samples"]) for r in staging.preview(spark.createDataFrame(rows, "category string, product_id long, name string"), "product_id", 2).collect()}
+    assert got["gpu"] == (4, '[{"position":1,"product_id":1,"name":"a"},{"position":2,"product_id":1,"name":"a"}]') and got["cpu"][0] == 1
+    assert len(got) == 17 and got["ram"] == (0, None) and None not in got
+    assert staging.preview(spark.createDataFrame([], "category string, product_id long, name string"), "product_id").where("rows > 0").count() == 0

@@ -23,6 +23,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert found() == want
 
 
+def test_old_bases_are_swept(spark, tmp_path):
+    stage = ingest.StreamStage(spark, f"{tmp_path}/stage", ingest.latest_by("key", F.desc("seq")), every=2)
+    for n in range(8):
+        stage.add(spark.createDataFrame([(n % 3, n)], "key int, seq int"), n)
+    assert {tuple(r) for r in stage.read().collect()} == {(0, 6), (1, 7), (2, 5)}
+    # The last two bases are there, with what came after the first of them.
+    assert stage.numbers("base") == [5, 7] and stage.numbers("batch") == [6, 7]
+    stage.add(spark.createDataFrame([(0, 99)], "key int, seq int"), 3)  # a replay of a swept batch
+    assert {tuple(r) for r in stage.read().collect()} == {(0, 6), (1, 7), (2, 5)}
+
+
 def run(rows, name):
     """All rows of an append-only stream."""
     query = rows.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
