@@ -162,7 +162,7 @@ def digit_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 
 FOUND = {"name": 8, "category": 4, "brand": 2}
-ASKED = ("thintion en", "ciónad es", "worthlss pathetic", "onbl eea", "licensetext", "src7 tionton")
+ASKED = ("thintion en", "ciónad es", "worthlss pathetic", "onbl eea", "licensetext", "src7 pathetc")
 
 
 def _request_sql(request: str) -> str:
