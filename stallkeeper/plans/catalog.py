@@ -470,6 +470,22 @@ def catalog_sync(spark: SparkSession, sf: str) -> DataFrame:
     return offers.groupBy("product_id").agg(F.min(kind).alias("kind"), F.count_distinct("variant_id").alias("variants"), F.count(F.lit(1)).alias("offers"), F.count_if(F.col("price_status") == "known").alias("known"))
 
 
+@query("""SELECT p_partkey AS offer_id, 'legacy:' || p_partkey % 5 || ':https://s/' || p_partkey AS identity_key, p_name AS title, CASE WHEN p_size > 9 THEN CAST(p_retailprice AS DECIMAL(12,2))::DOUBLE END AS price,
+CASE WHEN p_size > 9 THEN 'known' ELSE 'not_found' END AS price_status, p_type AS category FROM part""")
+def backfilled_offers(spark: SparkSession, sf: str) -> DataFrame:
+    """Flat products as a catalog: each one's offer with its variant and product."""
+    from ..operators.catalog import backfill
+
+    n, time = F.col("p_partkey"), F.lit("2024-01-01 00:00:00").cast("timestamp")
+    flat = table(spark, sf, "part").select(
+        n.alias("product_id"), (n % 5).alias("provider_id"), F.col("p_type").alias("category"), F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.when(F.col("p_size") > 9, F.col("p_retailprice")).otherwise(0.0).alias("price"),
+        F.lit("EGP").alias("currency"), F.lit(True).alias("in_stock"), F.concat(F.lit("https://s/"), n).alias("url"), F.lit(None).cast("string").alias("image_url"), time.alias("created_at"), time.alias("updated_at"),
+    )
+    made = backfill(flat)
+    joined = made["offers"].join(made["variants"], "variant_id").join(made["products"], "product_id")
+    return joined.select("offer_id", "identity_key", "title", F.col("price").cast("double").alias("price"), "price_status", "category")
+
+
 @query("SELECT DISTINCT p_brand AS brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 7)")
 def new_brands(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part").select(F.col("p_brand").alias("brand"), "p_size")
