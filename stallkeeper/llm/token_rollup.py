@@ -9,6 +9,9 @@ published deltas; nothing is ever recounted.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator, Mapping
@@ -30,9 +33,26 @@ COMPACT = 16
 Counter = Callable[[DataFrame], DataFrame]
 
 
-def _counter(memory: Callable[[], object], count: Callable[[pa.Array, object], np.ndarray]) -> Counter:
+#: What a worker's tasks of one version hand on to one another; only one version's is there at a time.
+_kept: dict[str, object] = {}
+
+
+def _only(version: str, memory: Callable[[], object]) -> object:
+    """The version's chunk memory; those of other versions and their models go first, back to the system."""
+    if version not in _kept:
+        for held in (_kept, piece_bpe._models, packing._tokenizers):
+            held.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+        _kept[version] = memory()
+        gc.freeze()  # the models' many small objects needn't be looked through again
+    return _kept[version]
+
+
+def _counter(version: str, memory: Callable[[], object], count: Callable[[pa.Array, object], np.ndarray]) -> Counter:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = memory()
+        held = _only(version, memory)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(count(batch.column(3), held).astype(np.int64))], ["doc_id", "source", "lang", "tokens"])
 
@@ -47,8 +67,8 @@ def versions() -> dict[str, Counter]:
     """The tokenizer versions of the query: the vocabularies that the encoding and packing operators use."""
     pieces, words = piece_bpe.model_path(), packing.tokenizer_path()
     return {
-        "piece_bpe_32k": _counter(lambda: piece_bpe.memory_of(pieces, notes=False), piece_bpe.count_of),
-        "word_bpe_49k": _counter(lambda: packing.word_memory(words), packing.count_of),
+        "piece_bpe_32k": _counter("piece_bpe_32k", lambda: piece_bpe.memory_of(pieces, notes=False), piece_bpe.count_of),
+        "word_bpe_49k": _counter("word_bpe_49k", lambda: packing.word_memory(words), packing.count_of),
     }
 
 
@@ -167,22 +187,24 @@ def changes_of(counted: DataFrame, op: str, version: str) -> DataFrame:
 
 
 def roll_up(docs: DataFrame, counters: Mapping[str, Counter], rollup: Rollup) -> DataFrame:
-    """Totals after a batch for each version and two more.
+    """Totals after two batches for each version and one more.
 
-    All documents come in under one version after the other; documents without a line of ten
-    characters leave all versions; those with a repeated line have their counts revised to
-    what is left without the repeats. The last two batches are committed twice.
+    All documents come in under one version after the other, and those with a repeated line
+    have their counts revised at once to what is left without the repeats, while the workers
+    still hold the version's model; at last documents without a line of ten characters leave
+    all versions. The revisions and the last batch are committed twice.
     """
     docs = docs.select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))  # a null text has no line
-    for version, count in counters.items():
-        rollup.commit(f"load {version}", changes_of(count(docs), "insert", version))
     lines = F.split("text", "\n")
     small = docs.where(~F.exists(lines, lambda x: F.length(x) >= 10))
     repeated = docs.where((F.size(F.array_distinct(lines)) < F.size(lines)) & F.exists(lines, lambda x: F.length(x) >= 10))
     once = repeated.withColumn("text", F.array_join(F.array_distinct(lines), "\n"))
+    for version, count in counters.items():
+        rollup.commit(f"load {version}", changes_of(count(docs), "insert", version))
+        for _ in range(2):
+            rollup.commit(f"drop repeated lines {version}", changes_of(count(once), "revise", version))
     for _ in range(2):
         rollup.commit("drop small", reduce(DataFrame.union, [changes_of(small, "delete", v) for v in counters]))
-        rollup.commit("drop repeated lines", reduce(DataFrame.union, [changes_of(count(once), "revise", v) for v, count in counters.items()]))
     return rollup.totals()
 
 
