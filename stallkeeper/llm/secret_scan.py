@@ -8,6 +8,8 @@ though no pattern names them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,28 +28,62 @@ COPIED_OWNERS, LIVE_REPOSITORIES = 3, 4
 #: The tables name no repositories, so an owner's documents are dealt to this many (a power of two) by the low bits of their ids.
 REPOSITORIES = 64
 
+#: Characters of the pieces that a text is cut into before spans are masked.
+PIECE = 256
+
 SPAN = "struct<start:int,end:int,ord:int,kind:string,secret:string>"
 
 
+def scanned(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running results of an associative ``op`` over an array, in as many rounds as its size has binary digits.
+
+    Each round takes in what lies 1, 2, 4, ... places before, so no array grows entry by entry. ``op`` gets null for what lies before the first.
+    """
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int"))
+    return F.aggregate(rounds, values, lambda done, k: F.transform(done, lambda x, i: op(x, F.get(done, i - F.pow(F.lit(2), k).cast("int")))))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def spans_of(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
     """Matches of one kind with code-point offsets.
 
-    Splitting by the pattern gives the text between its matches, so lengths added up in turn
-    give where each match starts. Texts without a match skip the work.
+    Splitting by the pattern gives the text between its matches, so running sums of lengths
+    give where each match ends. Texts without a match skip the work.
     """
-    between, matches, secrets = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    parts = F.arrays_zip(F.slice(between, 1, F.size(matches)).alias("gap"), matches.alias("whole"), secrets.alias("secret"))
+    whole, secret = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
+    sizes = F.zip_with(F.split(text, pattern), whole, lambda gap, one: F.struct(F.length(gap) + F.coalesce(F.length(one), F.lit(0)), F.length(one)))
+    sizes = F.transform(F.filter(sizes, lambda s: s["col2"].isNotNull()), lambda s: F.struct(s["col1"].alias("step"), s["col2"].alias("length")))
+
+    def of(parts: Column) -> Column:
+        ends = scanned(F.transform(parts["sizes"], lambda s: s["step"]), lambda x, before: x + F.coalesce(before, F.lit(0)))
+        found = F.transform(
+            F.arrays_zip(ends.alias("end"), parts["sizes"].alias("size"), parts["secret"].alias("secret")),
+            lambda m: F.struct((m["end"] - m["size"]["length"]).alias("start"), m["end"].alias("end"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), m["secret"].alias("secret")),
+        )
+        return F.filter(found, lambda s: F.length(s["secret"]) >= least)
 
-    def step(state: Column, one: Column) -> Column:
-        start = state["at"] + F.length(one["gap"])
-        end = start + F.length(one["whole"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), one["secret"].alias("secret"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
+    none = F.array().cast(f"array<{SPAN}>")
+    return F.when(text.rlike(pattern), bound(F.struct(sizes.alias("sizes"), secret.alias("secret")), of)).otherwise(none)
+
+
+def free_of(spans: Column, base: Column) -> Column:
+    """The spans that no base span meets: in one order by start, none before reaches them and the next one starts behind them."""
+    def marks(own: bool) -> Callable[[Column], Column]:
+        return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(own).alias("base"), s.alias("span"))
+
+    marked = F.array_sort(F.concat(F.transform(base, marks(True)), F.transform(spans, marks(False))))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
-    found = F.aggregate(parts, begin, step, lambda s: s["found"])
-    found = F.filter(found, lambda s: F.length(s["secret"]) >= least)
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    def apart(row: Column) -> Column:
+        reach = scanned(F.transform(row, lambda s: F.when(s["base"], s["end"]).otherwise(0)), F.greatest)
+        ahead = F.reverse(scanned(F.reverse(F.transform(row, lambda s: F.when(s["base"], s["start"]).otherwise(2**31 - 1))), F.least))
+        lone = F.filter(F.arrays_zip(row.alias("one"), reach.alias("reach"), ahead.alias("ahead")), lambda z: ~z["one"]["base"] & (z["reach"] <= z["one"]["start"]) & (z["ahead"] >= z["one"]["end"]))
+        return F.transform(lone, lambda z: z["one"]["span"])
+
+    return F.when((F.size(spans) > 0) & (F.size(base) > 0), bound(marked, apart)).otherwise(spans)
 
 
 def digest(spans: Column) -> Column:
@@ -69,8 +105,7 @@ def find(docs: DataFrame, keep: list[str], stash: Stash, owner: Column, reposito
     base = F.array_sort(F.concat(*(f"_{kind}" for kind in KINDS)))
     made = made.select("row", "owner", "repository", "rid", base.alias("base"), "_owned")
     # A token inside a base span is that span's.
-    free = F.filter("_owned", lambda o: ~F.exists("base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
-    return stash.put("found", made.select("row", "owner", "repository", "rid", "base", free.alias("other")))
+    return stash.put("found", made.select("row", "owner", "repository", "rid", "base", free_of(F.col("_owned"), F.col("base")).alias("other")))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -87,14 +122,16 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, keep: list[str], stash: Stash, owner: Column | None = None, repository: Column | None = None) -> DataFrame:
-    """``row`` (the kept columns), ``base`` (all pattern spans), ``owned`` (spans that the method adds), ``copied`` and ``live``.
+    """``row`` (the kept columns), ``base`` (all pattern spans), ``owned`` (spans that the method adds), ``copied``, ``live`` and ``hidden``.
 
     Spans are arrays of (start, end, ord, kind, secret) by start, in code points. ``copied``
     holds base spans whose secret at least COPIED_OWNERS owners have; ``live`` holds those
-    that one owner has in LIVE_REPOSITORIES repositories at most, with all owned spans.
+    that one owner has in LIVE_REPOSITORIES repositories at most, with all owned spans;
+    ``hidden`` holds all spans but the copied ones. Work grows with a text's length and, but
+    for sorting, with its spans.
 
     A null text is empty; a null owner or repository counts as one more. Rows with equal or
-    null ids are scanned one by one. A document without candidates has four empty arrays.
+    null ids are scanned one by one. A document without candidates has five empty arrays.
     By default the owner is the source, and a repository one of REPOSITORIES shares of its
     documents. Other columns may have any names.
     """
@@ -110,10 +147,11 @@ def scan(docs: DataFrame, keep: list[str], stash: Stash, owner: Column | None =
     own = (F.col("owners") == 1) & (F.col("repositories") <= LIVE_REPOSITORIES)
     picked = lambda when: F.array_sort(F.collect_list(F.when(when, F.col("span"))))
     by_row = weighed.groupBy("rid").agg(
-        picked(~F.col("base") & own).alias("owned"), picked(F.col("base") & (F.col("owners") >= COPIED_OWNERS)).alias("copied"), picked(own).alias("live")
+        picked(~F.col("base") & own).alias("owned"), picked(F.col("base") & (F.col("owners") >= COPIED_OWNERS)).alias("copied"), picked(own).alias("live"),
+        picked(F.when(F.col("base"), F.col("owners") < COPIED_OWNERS).otherwise(own)).alias("hidden"),
     )
     none = F.array().cast(f"array<{SPAN}>")
-    return found.join(by_row, "rid", "left").select("row", "base", *(F.coalesce(c, none).alias(c) for c in ("owned", "copied", "live")))
+    return found.join(by_row, "rid", "left").select("row", "base", *(F.coalesce(c, none).alias(c) for c in ("owned", "copied", "live", "hidden")))
 
 
 def redact(docs: DataFrame, stash: Stash, mark: str = "[secret]") -> DataFrame:
@@ -122,16 +160,27 @@ def redact(docs: DataFrame, stash: Stash, mark: str = "[secret]") -> DataFrame:
     Takes and returns the columns of docs, whatever their names; a null text stays null.
     Overlapping spans are covered once.
     """
-    scanned = scan(docs, docs.columns, stash)
-    hide, text = F.array_sort(F.concat(F.array_except("base", "copied"), "owned")), F.col("row.text")
+    found = scan(docs, docs.columns, stash)
+    text = F.col("row.text")
+
+    def masked(parts: Column) -> Column:
+        at = lambda place: F.floor(place / PIECE).cast("int")
+
+        def between(start: Column, end: Column) -> Column:
+            near = F.array_join(F.slice(parts["pieces"], at(start) + 1, at(end) - at(start) + 1), "")
+            return F.substring(near, start - at(start) * PIECE + 1, end - start)
+
+        def shown(span: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(parts["reach"], i - 1), F.lit(0))
+            return F.when(span["start"] >= before, F.concat(between(before, span["start"]), F.lit(mark))).otherwise(F.lit(""))
 
-    def step(state: Column, span: Column) -> Column:
-        gap = F.when(span["start"] >= state["at"], F.concat(F.substring(text, state["at"] + 1, span["start"] - state["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.concat(state["text"], gap).alias("text"))
+        return F.concat(F.array_join(F.transform(parts["hide"], shown), ""), between(F.element_at(parts["reach"], -1), F.length(text)))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    whole = F.aggregate(hide, begin, step, lambda s: F.concat(s["text"], F.substring(text, s["at"] + 1, F.length(text))))
-    made = scanned.select("row", F.when(F.size(hide) > 0, whole).alias("new"))
+    # Finding a place in a string reads all before it, so spans are cut from short pieces.
+    reach = scanned(F.transform("hidden", lambda s: s["end"]), F.greatest)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    whole = bound(F.struct(F.col("hidden").alias("hide"), reach.alias("reach"), pieces.alias("pieces")), masked)
+    made = found.select("row", F.when(F.size("hidden") > 0, whole).alias("new"))
     changed = {"text": F.coalesce("new", "row.text"), "n_chars": F.when(F.col("new").isNotNull(), F.length("new").cast("long")).otherwise(F.col("row.n_chars"))}
     return made.select(*(changed[c].alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
