@@ -9,7 +9,9 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from stallkeeper.llm import quality_rules, secret_scan, sharding
@@ -91,6 +93,69 @@ def test_shards_are_level_gapless_and_repeatable(spark, docs):
     assert sharding.shuffle_into_shards(docs.select("doc_id").limit(0), F.lit(1), Stash(spark, "t")).count() == 0
 
 
+def dealt_by_hand(rows, shards, seed, buckets, tasks, task_of):
+    """(doc_id, text, shard, slot) of every row in plain Python: scatter by hash, order by it, Fisher-Yates bucket by bucket, deal round robin."""
+
+    def spark_hash(*values):
+        state = 42
+        for v in values:
+            if v is not None:
+                state = xxhash.xxh64(v.encode() if isinstance(v, str) else v.to_bytes(8 if v != seed else 4, "little", signed=True), seed=state).intdigest()
+        return state - (1 << 64) if state >> 63 else state
+
+    held, copies = [[] for _ in range(buckets)], Counter()
+    for row in rows:
+        own = spark_hash(*row)
+        copies[own] += 1
+        draw = spark_hash(seed, own, copies[own])
+        held[(draw % (1 << 64) >> 16) % buckets].append((draw, copies[own], row))
+    order = [None] * buckets
+    for task in range(tasks):
+        source = np.random.RandomState([(seed + task) >> 32, (seed + task) & 0xFFFFFFFF])._bit_generator
+
+        def below(n, source=source):
+            while True:
+                bits = int(source.random_raw()) >> 1
+                if n & -n == n:
+                    return n * bits >> 31
+                if bits - bits % n + n - 1 < 1 << 31:
+                    return bits % n
+
+        for b in (b for b in range(buckets) if task_of[b] == task and held[b]):
+            places = []
+            for i in range(len(held[b])):
+                j = below(i + 1)
+                places.append(places[j] if j < i else i)
+                places[j] = i
+            ordered = sorted(held[b])
+            order[b] = [ordered[i][2] for i in places]
+    return [(*row, i % shards, i // shards) for i, row in enumerate(r for b in order for r in b or [])]
+
+
+def test_shards_match_a_shuffle_by_hand(spark):
+    rows = [(i, f"text {i % 50}" * (i % 7)) for i in range(500)] + [(3, "copy")] * 40 + [(None, None), (None, ""), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shuffle_into_shards(docs, sharding.record_size(F.col("text")), Stash(spark, "t"), shards=6, bucket_rows=30).collect()
+    buckets = -(-len(rows) // 30)
+    tasks = -(-buckets // sharding.BUCKETS_A_TASK)
+    task_of = [r[0] for r in spark.range(buckets).orderBy("id").select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(tasks))).collect()]
+    assert buckets > 15 and tasks > 3
+    want = dealt_by_hand(rows, 6, sharding.SEED, buckets, tasks, task_of)
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_slots_are_uniform(spark):
+    """Over many seeds a record lands in every shard and in each half of the order alike often, wherever it was in the table."""
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(200)], "doc_id long, text string")
+    halves, spots = Counter(), Counter()
+    for seed in range(12):
+        for r in sharding.shuffle_into_shards(docs, F.lit(1), Stash(spark, "t"), shards=4, seed=seed, bucket_rows=50).collect():
+            halves[r["doc_id"] < 100, r["slot"] < 25] += 1
+            spots[r["doc_id"] % 4, r["shard"]] += 1
+    assert max(abs(n - 600) for n in halves.values()) < 100  # 5.8 deviations of 17
+    assert len(spots) == 16 and max(abs(n - 150) for n in spots.values()) < 60
+
+
 def test_op5_digests(spark, tmp_path, docs):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     rows = sharding.op5_shuffle_shards(spark, str(tmp_path)).collect()
