@@ -7,6 +7,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.listing import join_url, minor_units, parse_number
+from ..scratch import Scratch
 from ..workers import ready
 
 
@@ -248,20 +250,59 @@ def unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else html.unescape(x))
 
 
-def category_tree(nodes: DataFrame, depth: int = 1000) -> DataFrame:
-    """(id, path) of a category tree (id, parent, name) by one recursive query from the roots, whose parent is null.
+def category_tree(nodes: DataFrame, depth: int = 1000, scratch: Scratch | None = None) -> DataFrame:
+    """(id, path) of a category tree (id, parent, name) from the roots, whose parent is null.
 
     A node under several parents has a path for each. A node that is its own ancestor is not
     entered again, so a cycle below a root ends, and one that no root leads to is not seen. A
     null name is an empty one. ``depth`` is a bound on levels beyond which the query fails.
+
+    Where no id is repeated, each node holds the end of its path, and ends double in length
+    until they begin at a root; otherwise levels are read one after the other.
     """
-    walk = f"""
-    WITH RECURSIVE tree(id, path, seen) MAX RECURSION LEVEL {depth} AS (
-      SELECT id, array(coalesce(name, '')), array(id) FROM {{nodes}} WHERE parent IS NULL
-      UNION ALL
-      SELECT n.id, concat(t.path, array(coalesce(n.name, ''))), concat(t.seen, array(n.id)) FROM tree t JOIN {{nodes}} n ON n.parent = t.id WHERE NOT array_contains(t.seen, n.id)
-    ) SELECT id, path FROM tree"""
-    return nodes.sparkSession.sql(walk, nodes=nodes.select("id", "parent", "name"))
+    scratch = scratch or Scratch(nodes.sparkSession, "tree")
+    # A node without an id can be a root, but nobody's child.
+    named = scratch.put("nodes", nodes.where("id IS NOT NULL OR parent IS NULL").select("id", "parent", F.coalesce("name", F.lit("")).alias("name")))
+    repeated = named.where("id IS NOT NULL").groupBy("id").count().where("count > 1")
+    return _by_levels(named, depth, scratch) if not repeated.isEmpty() else _by_doubling(named, depth, scratch)
+
+
+def _by_doubling(nodes: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
+    """Paths where each id is one node: an end that hasn't begun at a root gets that of the node above it in front."""
+    ends, whole, size = nodes.select("id", F.col("parent").alias("top"), F.array("name").alias("path")), [], 1
+    while True:
+        whole.append(ends.where("top IS NULL"))
+        rest, done = ends.where("top IS NOT NULL"), reduce(DataFrame.union, whole)
+        # Ends of the full depth that hang on a path are too long; what hangs on none never comes to a root.
+        above = (done if size >= depth else done.union(rest)).select(F.col("id").alias("_id"), F.col("top").alias("_top"), F.col("path").alias("_path"))
+        # The tables are small as files and large as rows, so they aren't to be broadcast.
+        longer = rest.join(above.hint("merge"), F.col("top") == F.col("_id")).select("id", F.col("_top").alias("top"), F.concat("_path", "path").alias("path"))
+        if size >= depth:
+            if not longer.isEmpty():
+                raise ValueError(f"a category tree of more than {depth} levels")
+            break
+        ends, size = scratch.put(f"ends-{size}", longer), 2 * size
+        if ends.isEmpty():
+            break
+    if size > depth and not done.where(F.size("path") > depth).isEmpty():
+        raise ValueError(f"a category tree of more than {depth} levels")
+    return done.select("id", "path")
+
+
+def _by_levels(nodes: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
+    """Paths where a node may have several parents, each level from the one above."""
+    level, levels = nodes.where("parent IS NULL").select("id", F.array("name").alias("path"), F.array("id").alias("seen")), []
+    while True:
+        level = scratch.put(f"level-{len(levels)}", level)
+        if level.isEmpty():
+            break
+        if len(levels) == depth:
+            raise ValueError(f"a category tree of more than {depth} levels")
+        levels.append(level)
+        below = level.select(F.col("id").alias("parent"), F.col("path").alias("_path"), F.col("seen").alias("_seen"))
+        below = nodes.join(below.hint("merge"), "parent").where(~F.array_contains("_seen", F.col("id")))
+        level = below.select("id", F.concat("_path", F.array("name")).alias("path"), F.concat("_seen", F.array("id")).alias("seen"))
+    return reduce(DataFrame.union, levels or [level]).select("id", "path")
 
 
 #: A script's push of one piece: a string literal.

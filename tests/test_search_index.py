@@ -189,3 +189,28 @@ def test_trees_end(spark):
     # Two ways lead to 61 and from each of them on to 60; what only a cycle leads to is not seen.
     assert sorted(got) == sorted([(i, i + 1) for i in range(51)] + [(60, 52), (61, 53), (61, 7), (60, 8)])
     assert pages.category_tree(spark.createDataFrame([], "id long, parent long, name string")).count() == 0
+
+
+def test_trees_of_many_rows(spark):
+    """More rows than a recursive query may make, paths of many lengths, a cycle, and trees that are too deep for their bound."""
+    make = lambda rows: spark.createDataFrame(rows, "id long, parent long, name string")
+    rows = [(i, i - 1 - i % 3 if i % 40 else None, f"n{i}") for i in range(3, 900)] + [(1000, 1001, "x"), (1001, 1000, "y"), (1002, 1001, "z"), (None, None, "r"), (None, 40, "s")]
+    parents, want = {i: (p, n) for i, p, n in rows if i is not None and i < 1000}, {}
+    for i in sorted(parents):
+        p, n = parents[i]
+        if p is None or p in want:
+            want[i] = ([] if p is None else want[p]) + [n]
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "100")
+    try:
+        got = [(r["id"], r["path"]) for r in pages.category_tree(make(rows)).collect()]
+    finally:
+        spark.conf.set(limit, before)
+    assert len(got) == len(want) + 1 and dict(got) == want | {None: ["r"]}
+    deepest = max(map(len, want.values()))
+    assert pages.category_tree(make(rows), deepest).count() == len(got)
+    for depth in (deepest - 1, 8, 5):
+        with pytest.raises(ValueError, match="levels"):
+            pages.category_tree(make(rows), depth)
+    assert pages.category_tree(make([(1000, 1001, "x"), (1001, 1000, "y")]), 5).count() == 0
