@@ -147,6 +147,12 @@ def conflicts(a: Column, b: Column) -> Column:
     return F.when(~a["category"].eqNullSafe(b["category"]), F.array(F.lit("category"))).when(_differ(a["brand"], b["brand"]), F.array(F.lit("brand"))).otherwise(rest)
 
 
+def evidence_class(e: Column) -> Column:
+    """A number that two pieces of evidence share if nothing tells them apart."""
+    attrs = F.array_join(F.transform(F.array_sort(F.map_entries(e["attrs"])), lambda x: F.concat_ws("\u0002", x["key"], x["value"])), "\u0001")
+    return F.xxhash64(*(e[c] for c in ("category", "brand", "mpn", "gtin", "model_number")), attrs)
+
+
 def retitled(e: Column, title: Column) -> Column:
     """The same evidence under another title, whose attributes and tokens come as a struct."""
     return F.struct(*(e[f].alias(f) for f in ("category", "brand", "mpn", "gtin", "model_number")), title["attrs"].alias("attrs"), title["tokens"].alias("tokens"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.identity import conflicts
+from ..functions.identity import conflicts, evidence_class
 from ..scratch import Scratch
 from .resolve import with_evidence
 
@@ -46,12 +46,6 @@ def _evidence(rows: DataFrame) -> DataFrame:
     return found.select("side", "id", e.alias("e"), *(F.map_from_entries(c).alias(f"_{c}") for c in ("said", "given")))
 
 
-def _class(e: Column) -> Column:
-    """A number that two pieces of evidence share if nothing tells them apart."""
-    attrs = F.array_join(F.transform(F.array_sort(F.map_entries(e["attrs"])), lambda x: F.concat_ws("\u0002", x["key"], x["value"])), "\u0001")
-    return F.xxhash64(*(e[c] for c in ("category", "brand", "mpn", "gtin", "model_number")), attrs)
-
-
 def family_group() -> Column:
     """What new variants share a product by: a phone's or processor's family under one parent id, else the offer alone."""
     family = F.nullif(F.when(F.col("category") == "mobile_phones", F.element_at("e.attrs", "generation")).when(F.col("category") == "cpu", F.element_at("e.attrs", "cpu_model")), F.lit(""))
@@ -88,7 +82,7 @@ def assign_batch(staged: DataFrame, stored: DataFrame, aliases: DataFrame, on_re
     side = lambda df, name, key: df.select(F.lit(name).alias("side"), F.col(key).alias("id"), *EVIDENCE)
     told = scratch.put("evidence", _evidence(side(rows, "new", "rank").unionByName(side(stored, "old", "variant_id"))))
     of = lambda name, key: told.where(F.col("side") == name).drop("side").withColumnRenamed("id", key)
-    rows = rows.join(of("new", "rank"), "rank").withColumn("_group", family_group()).withColumn("_keys", F.array_compact(F.array(*_keys()))).withColumn("_class", _class(F.col("e")))
+    rows = rows.join(of("new", "rank"), "rank").withColumn("_group", family_group()).withColumn("_keys", F.array_compact(F.array(*_keys()))).withColumn("_class", evidence_class(F.col("e")))
     rows = scratch.put("rows", rows)
     groups = rows.groupBy("_group").agg(F.min("rank").alias("_first"))
     rows = scratch.put("grouped", rows.join(groups, "_group"))
@@ -153,7 +147,7 @@ def _round(rows: DataFrame, versions: DataFrame, state: DataFrame, first_new: in
     # Identifiers: distinct classes meet, in one category, as a different one conflicts in any case.
     asked = known.where("_source IS NULL AND _key IS NULL AND _alias IS NULL").select("rank", "_class", "e", F.explode("_keys").alias("k"))
     kinds = asked.groupBy("k", "_class").agg(F.any_value("e").alias("a"))
-    offered = versions.select("variant_id", "since", "until", "e", _class(F.col("e")).alias("_theirs"), F.explode("_keys").alias("k"))
+    offered = versions.select("variant_id", "since", "until", "e", evidence_class(F.col("e")).alias("_theirs"), F.explode("_keys").alias("k"))
     lasting = Window.partitionBy("k", "_theirs", F.col("until") == NEVER).orderBy("since", "variant_id")
     # Two lasting variants of a class tell that there are several; those that end are kept, as they may have ended.
     offered = offered.withColumn("_place", F.row_number().over(lasting)).where(f"_place <= 2 OR until < {NEVER}")

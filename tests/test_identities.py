@@ -128,3 +128,33 @@ def test_blank_identifiers_match_nothing(spark):
     side = lambda k: spark.createDataFrame(rows, f"{k} long, gtin string, mpn string, brand string")
     got = {tuple(r) for r in sync.identifier_candidates(side("listing_id"), side("variant_id")).collect()}
     assert got == {(3, 3), (4, 4), (3, 4), (4, 3), (5, 5), (3, 5), (5, 3)}
+
+
+def test_pairs_of_repeated_ids_come_once_and_in_several_tasks(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(40), rng.choice(["g1", "g2", " ", None]), rng.choice(["m", "M", "n", None]), rng.choice(["b", "B", "c"])) for _ in range(90)]
+    keys = lambda r: ({("g", r[1])} if (r[1] or "").strip() else set()) | ({("m", r[2].lower(), r[3].lower())} if r[2] else set())
+    want = {(a[0], b[0]) for a in rows[:60] for b in rows[30:] if keys(a) & keys(b)}
+    side = lambda k, some: spark.createDataFrame(some, f"{k} long, gtin string, mpn string, brand string")
+    found = sync.identifier_candidates(side("listing_id", rows[:60]), side("variant_id", rows[30:]))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert found.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_single_candidates_by_class_meet_no_more_than_classes(spark):
+    """4,000 equal listings against 4,000 equal variants, which as pairs are 16 million rows; beside them, any mix by brute force."""
+    rng = random.Random(6)
+    some = lambda n, at: [(at + i, rng.choice(["g1", "g2", "g3", "", None]), rng.choice(["m1", "M1", "m2", None]), rng.choice(["b", "B", "c"]), "gpu", f"RTX 40{rng.randrange(3)}0") for i in range(n)]
+    schema = "long, gtin string, mpn string, brand string, category string, title string"
+    none, empty = F.lit(None), F.lit(None).cast("map<string,string>")
+    more = {"model_number": none.cast("string"), "options": empty, "specifications": empty, "aliases": none.cast("array<string>")}
+    told = lambda rows, key: resolve.with_evidence(spark.createDataFrame(rows, f"{key} {schema}").withColumns(more))
+    a, b = told(some(80, 0), "listing_id").cache(), told(some(20, 500), "variant_id").cache()
+    want = sync.single_candidate(sync.compatible(sync.identifier_candidates(a, b), a, b))
+    got = sync.single_compatible(a, b)
+    assert want.count() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    many = told([(i, "g9", None, "b", "gpu", "RTX 4090") for i in range(4000)], "listing_id").cache()
+    assert sync.single_compatible(many, many.withColumnRenamed("listing_id", "variant_id")).count() == 0
+    one = many.withColumnRenamed("listing_id", "variant_id").where("variant_id = 7")
+    assert sync.single_compatible(many, one).where("variant_id = 7").count() == 4000
