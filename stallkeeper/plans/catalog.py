@@ -412,10 +412,12 @@ def _meets(a: str, b: str, brand: str = "brand") -> str:
 def single_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Listings whose identifiers leave one stored variant that nothing speaks against."""
     from ..operators.resolve import with_evidence
+    from ..scratch import Scratch
 
-    listings = with_evidence(_batch(spark, sf).withColumn("aliases", F.lit(None).cast("array<string>"))).withColumnRenamed("rank", "listing_id")
+    told = with_evidence(_batch(spark, sf).withColumn("aliases", F.lit(None).cast("array<string>"))).select(F.col("rank").alias("listing_id"), "gtin", "mpn", "brand", "e")
+    listings = Scratch(spark, "single").put("listings", told)
     variants = listings.withColumnRenamed("listing_id", "variant_id").where("variant_id % 7 < 2")
-    return Y.single_candidate(Y.compatible(Y.identifier_candidates(listings, variants), listings, variants))
+    return Y.single_compatible(listings, variants)
 
 
 FIRST_NEW = 1_000_000_000
