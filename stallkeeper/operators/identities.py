@@ -76,32 +76,36 @@ def assign_batch(staged: DataFrame, stored: DataFrame, aliases: DataFrame, on_re
     category that all conflict costs the pairs of their classes. Ranks must be neither null
     nor repeated; an empty batch gives no rows.
     """
-    rows = staged.join(on_record.select("source_key", F.col("variant_id").alias("_source")), "source_key", "left")
-    rows = rows.join(aliases.groupBy("identity_key").agg(F.min("variant_id").alias("_alias")), "identity_key", "left")
-    rows = rows.join(alone.select(F.col("variant_id").alias("_source"), F.lit(True).alias("_alone")).distinct(), "_source", "left")
+    # These tables are small as files and large as rows, so none is broadcast; small files are dealt to many tasks before patterns are looked for.
+    tasks = int(staged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    put = lambda name, df: scratch.put(name, df).hint("merge")
+    staged, stored = staged.hint("merge"), stored.hint("merge")
+    rows = staged.join(on_record.select("source_key", F.col("variant_id").alias("_source")).hint("merge"), "source_key", "left")
+    rows = rows.join(aliases.groupBy("identity_key").agg(F.min("variant_id").alias("_alias")).hint("merge"), "identity_key", "left")
+    rows = rows.join(alone.select(F.col("variant_id").alias("_source"), F.lit(True).alias("_alone")).distinct().hint("merge"), "_source", "left")
     side = lambda df, name, key: df.select(F.lit(name).alias("side"), F.col(key).alias("id"), *EVIDENCE)
-    told = scratch.put("evidence", _evidence(side(rows, "new", "rank").unionByName(side(stored, "old", "variant_id"))))
+    told = put("evidence", _evidence(side(rows, "new", "rank").unionByName(side(stored, "old", "variant_id")).repartition(tasks, "side", "id")))
     of = lambda name, key: told.where(F.col("side") == name).drop("side").withColumnRenamed("id", key)
-    rows = rows.join(of("new", "rank"), "rank").withColumn("_group", family_group()).withColumn("_keys", F.array_compact(F.array(*_keys()))).withColumn("_class", evidence_class(F.col("e")))
-    rows = scratch.put("rows", rows)
+    rows = rows.join(of("new", "rank").hint("merge"), "rank").withColumn("_group", family_group()).withColumn("_keys", F.array_compact(F.array(*_keys()))).withColumn("_class", evidence_class(F.col("e")))
+    rows = put("rows", rows)
     groups = rows.groupBy("_group").agg(F.min("rank").alias("_first"))
-    rows = scratch.put("grouped", rows.join(groups, "_group"))
-    old = scratch.put("stored", stored.join(of("old", "variant_id"), "variant_id").withColumn("_keys", F.array_compact(F.array(*_keys()))).select("variant_id", "product_id", "identity_key", "brand", "e", "_given", "_keys", F.lit(-1).cast("long").alias("since")))
+    rows = put("grouped", rows.join(groups.hint("merge"), "_group"))
+    old = put("stored", stored.join(of("old", "variant_id").hint("merge"), "variant_id").withColumn("_keys", F.array_compact(F.array(*_keys()))).select("variant_id", "product_id", "identity_key", "brand", "e", "_given", "_keys", F.lit(-1).cast("long").alias("since")))
 
     # The first guess: who is the least of all that share a key with it creates its variant.
     shared = rows.select("rank", F.explode(F.concat(F.array(F.concat(F.lit("i"), F.col("identity_key"))), F.col("_keys"))).alias("k"))
-    later = shared.join(shared.groupBy("k").agg(F.min("rank").alias("least")), "k").where("least < rank").select("rank").distinct()
-    guess = rows.join(later.withColumn("_later", F.lit(True)), "rank", "left")
+    later = shared.join(shared.groupBy("k").agg(F.min("rank").alias("least")).hint("merge"), "k").where("least < rank").select("rank").distinct().hint("merge")
+    guess = rows.join(later.withColumn("_later", F.lit(True)).hint("merge"), "rank", "left")
     new = lambda r: F.lit(first_new) + F.col(r)
     creates = F.col("_later").isNull() & F.col("_source").isNull()
     state = guess.select(
         "rank", F.when(creates, new("rank")).otherwise(F.coalesce("_source", F.lit(first_new - 1))).alias("variant_id"), new("_first").alias("product_id"),
         creates.alias("leads"), F.lit(False).alias("rewrites"), F.col("identity_key").alias("key"), F.lit("new").alias("decided_by"), F.lit(None).cast("long").alias("leaves"),
     )
-    state, seen = scratch.put("state-0", state), None
+    state, seen = put("state-0", state), None
     for n in range(1, rounds + 1):
-        versions = scratch.put(f"versions-{n}", _versions(rows, old, state, first_new))
-        state = scratch.put(f"state-{n}", _round(rows, versions, state, first_new))
+        versions = put(f"versions-{n}", _versions(rows, old, state, first_new))
+        state = put(f"state-{n}", _round(rows, versions, state, first_new))
         scratch.drop(f"state-{n - 1}")
         scratch.drop(f"versions-{n}")
         now = state.agg(F.bit_xor(F.xxhash64("rank", "variant_id", "product_id", "leads", "rewrites", "key")).alias("x")).first()["x"]
@@ -112,23 +116,23 @@ def assign_batch(staged: DataFrame, stored: DataFrame, aliases: DataFrame, on_re
         raise RuntimeError(f"answers still change after {rounds} rounds")
     action = F.when(F.col("rewrites"), "rewrite").when(~F.col("leads"), "keep").when(F.col("decided_by") == "new", "create").otherwise("split")
     found = state.select("rank", "variant_id", "product_id", F.col("key").alias("identity_key"), action.alias("action"), "decided_by", F.col("leaves").alias("left_variant_id"))
-    return staged.drop("identity_key").join(found, "rank")
+    return staged.drop("identity_key").join(found.hint("merge"), "rank")
 
 
 def _versions(rows: DataFrame, old: DataFrame, state: DataFrame, first_new: int) -> DataFrame:
     """All variants with the ranks between which their evidence holds: stored, rewritten and created ones."""
     rewritten = state.where("rewrites").select(F.col("variant_id").alias("_v"), F.col("rank").alias("_at"))
-    joined = old.join(rewritten, F.col("variant_id") == F.col("_v"), "left")
+    joined = old.join(rewritten.hint("merge"), F.col("variant_id") == F.col("_v"), "left")
     columns = ["variant_id", "product_id", "identity_key", "e", "_keys", "since"]
     stored = joined.select(*columns, F.coalesce("_at", F.lit(NEVER)).alias("until"))
     of = ["rank", "brand", "e", "mpn", "gtin", "_keys", "_said", "_given"]
-    mine = rows.select(*of).join(state.where("leads OR rewrites").drop("decided_by", "leaves"), "rank")
+    mine = rows.select(*of).join(state.where("leads OR rewrites").drop("decided_by", "leaves").hint("merge"), "rank")
     anew = mine.where("rewrites").select("variant_id", "product_id", F.col("key").alias("identity_key"), "e", "_keys", F.col("rank").alias("since"), F.lit(NEVER).alias("until"))
     # A variant that shares an earlier product is seen under that product's category, brand, model and specifications.
     fields = [F.col("brand").alias("_brand"), F.col("e").alias("_p"), F.col("_given").alias("_specs")]
     remade = mine.where("rewrites").select(F.col("product_id").alias("_product"), F.col("rank").alias("_creator"), *fields)
     kept = old.groupBy(F.col("product_id").alias("_product")).agg(F.min_by(F.struct(*fields), "variant_id").alias("x")).select("_product", F.lit(-1).cast("long").alias("_creator"), "x.*")
-    products = rows.select((F.col("rank") + first_new).alias("_product"), F.col("rank").alias("_creator"), *fields).union(remade).union(kept.join(remade, "_product", "left_anti"))
+    products = rows.select((F.col("rank") + first_new).alias("_product"), F.col("rank").alias("_creator"), *fields).union(remade).union(kept.join(remade.hint("merge"), "_product", "left_anti")).hint("merge")
     created = mine.where("leads").join(products, F.col("product_id") == F.col("_product"), "left").withColumn("_lent", F.coalesce(F.col("_creator") != F.col("rank"), F.lit(False)))
     said = F.map_filter("_said", lambda k, _: ~F.array_contains(F.map_keys("_specs"), k))
     lent = F.struct(*(F.col(f"{'_p' if c in ('category', 'brand', 'model_number') else 'e'}.{c}").alias(c) for c in ("category", "brand", "mpn", "gtin", "model_number")), F.map_concat(said, "_specs").alias("attrs"))
@@ -140,33 +144,38 @@ def _round(rows: DataFrame, versions: DataFrame, state: DataFrame, first_new: in
     """Every offer's answer, given the answers of those before it."""
     valid = (F.col("since") < F.col("rank")) & (F.col("rank") <= F.col("until"))
     plain = rows.select("rank", "identity_key", "_source", "_alias", "_alone", "_first", "_class", "_keys", "e")
-    by_key = plain.select("rank", "identity_key").join(versions.select("identity_key", F.col("variant_id").alias("_v"), "since", "until"), "identity_key").where(valid)
+    by_key = plain.select("rank", "identity_key").join(versions.select("identity_key", F.col("variant_id").alias("_v"), "since", "until").hint("merge"), "identity_key").where(valid)
     by_key = by_key.groupBy("rank").agg(F.min_by("_v", F.struct("since", "_v")).alias("_key"))
-    known = plain.join(by_key, "rank", "left")
+    known = plain.join(by_key.hint("merge"), "rank", "left")
 
     # Identifiers: distinct classes meet, in one category, as a different one conflicts in any case.
     asked = known.where("_source IS NULL AND _key IS NULL AND _alias IS NULL").select("rank", "_class", "e", F.explode("_keys").alias("k"))
     kinds = asked.groupBy("k", "_class").agg(F.any_value("e").alias("a"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_category = lambda df, e: df.withColumn("_in", F.coalesce(F.concat(F.lit("c"), f"{e}.category"), F.lit(""))).repartition(tasks, "k", "_in")
     offered = versions.select("variant_id", "since", "until", "e", evidence_class(F.col("e")).alias("_theirs"), F.explode("_keys").alias("k"))
     lasting = Window.partitionBy("k", "_theirs", F.col("until") == NEVER).orderBy("since", "variant_id")
     # Two lasting variants of a class tell that there are several; those that end are kept, as they may have ended.
     offered = offered.withColumn("_place", F.row_number().over(lasting)).where(f"_place <= 2 OR until < {NEVER}")
     theirs = offered.groupBy("k", "_theirs").agg(F.any_value("e").alias("b"))
-    same_category = F.col("a.category").eqNullSafe(F.col("b.category"))
-    agree = kinds.alias("x").join(theirs.alias("y"), F.col("x.k").eqNullSafe(F.col("y.k")) & same_category).where(F.size(conflicts(F.col("a"), F.col("b"))) == 0).select(F.col("x.k").alias("k"), "_class", "_theirs")
-    hits = asked.select("rank", "k", "_class").join(agree, ["k", "_class"]).join(offered.select("k", "_theirs", "variant_id", "since", "until"), ["k", "_theirs"]).where(valid)
+    meet = in_category(kinds, "a").join(in_category(theirs, "b").hint("merge"), ["k", "_in"])
+    agree = meet.where(F.size(conflicts(F.col("a"), F.col("b"))) == 0).select("k", "_class", "_theirs")
+    # Of what a class may be, too, the first two that last tell for each later offer whether there are several.
+    first = Window.partitionBy("k", "_class", F.col("until") == NEVER).orderBy("since", "variant_id")
+    may = agree.join(offered.select("k", "_theirs", "variant_id", "since", "until").hint("merge"), ["k", "_theirs"]).withColumn("_place", F.row_number().over(first)).where(f"_place <= 2 OR until < {NEVER}")
+    hits = asked.select("rank", "k", "_class").join(may.select("k", "_class", "variant_id", "since", "until").hint("merge"), ["k", "_class"]).where(valid)
     single = hits.groupBy("rank").agg(F.min("variant_id").alias("_match"), F.max("variant_id").alias("_most")).where("_match = _most").drop("_most")
 
     chosen = F.coalesce("_source", "_key", "_alias", "_match")
     how = F.when(F.col("_source").isNotNull(), "source").when(F.col("_key").isNotNull(), "key").when(F.col("_alias").isNotNull(), "alias").when(F.col("_match").isNotNull(), "identifier").otherwise("new")
-    told = known.join(single, "rank", "left").withColumn("_chosen", chosen).withColumn("_how", how)
+    told = known.join(single.hint("merge"), "rank", "left").withColumn("_chosen", chosen).withColumn("_how", how)
     their = versions.select(F.col("variant_id").alias("_chosen"), F.col("product_id").alias("_product"), F.col("e").alias("_theirs"), "since", "until", F.col("identity_key").alias("_current"))
-    met = told.where("_chosen IS NOT NULL").select("rank", "_chosen", "e").join(their, "_chosen").where(valid)
+    met = told.where("_chosen IS NOT NULL").select("rank", "_chosen", "e").join(their.hint("merge"), "_chosen").where(valid)
     met = met.select("rank", "_product", "_current", (F.size(conflicts(F.col("_theirs"), F.col("e"))) > 0).alias("_conflict"))
     # A variant is alone no more if an earlier offer joined it or made a sibling of it.
     joined = state.where("NOT leads").groupBy("variant_id").agg(F.min("rank").alias("_joined")).withColumnRenamed("variant_id", "_chosen")
     siblings = state.where("leads").groupBy("product_id").agg(F.min("rank").alias("_sibling")).withColumnRenamed("product_id", "_product")
-    told = told.join(met, "rank", "left").join(joined, "_chosen", "left").join(siblings, "_product", "left")
+    told = told.join(met.hint("merge"), "rank", "left").join(joined.hint("merge"), "_chosen", "left").join(siblings.hint("merge"), "_product", "left")
     undisturbed = (F.coalesce("_joined", F.lit(NEVER)) >= F.col("rank")) & (F.coalesce("_sibling", F.lit(NEVER)) >= F.col("rank"))
     conflict = F.coalesce("_conflict", F.lit(False))
     rewrites = conflict & F.col("_source").isNotNull() & F.coalesce("_alone", F.lit(False)) & undisturbed
@@ -178,7 +187,7 @@ def _round(rows: DataFrame, versions: DataFrame, state: DataFrame, first_new: in
     key = F.when(leads, F.coalesce(split, F.col("identity_key"))).when(rewrites & taken & (F.col("_key") != F.col("_chosen")), F.col("_current")).otherwise(F.col("identity_key"))
     # The family's first offer has the product of all that its family creates.
     firsts = state.select(F.col("rank").alias("_first"), F.col("product_id").alias("_lent"))
-    told = told.join(firsts, "_first", "left")
+    told = told.join(firsts.hint("merge"), "_first", "left")
     mine = F.lit(first_new) + F.col("rank")
     product = F.when(~leads, F.col("_product")).when(F.col("_first") < F.col("rank"), F.col("_lent")).otherwise(mine)
     return told.select("rank", F.when(leads, mine).otherwise(F.col("_chosen")).alias("variant_id"), product.alias("product_id"), leads.alias("leads"), rewrites.alias("rewrites"), key.alias("key"), F.when(missing, "new").otherwise(F.col("_how")).alias("decided_by"), F.when(leads & ~missing, F.col("_chosen")).alias("leaves"))

@@ -158,3 +158,22 @@ def test_single_candidates_by_class_meet_no_more_than_classes(spark):
     assert sync.single_compatible(many, many.withColumnRenamed("listing_id", "variant_id")).count() == 0
     one = many.withColumnRenamed("listing_id", "variant_id").where("variant_id = 7")
     assert sync.single_compatible(many, one).where("variant_id = 7").count() == 4000
+
+
+def test_batches_are_never_broadcast(spark, tmp_path):
+    """Tables that are small as files may be large as rows, which the driver would have to hold."""
+    plans = []
+
+    class Seen(Scratch):
+        def put(self, name, rows):
+            plans.append((name, rows._jdf.queryExecution().executedPlan().toString()))
+            return super().put(name, rows)
+
+    rows = spark.createDataFrame([(i, f"s{i}", f"k{i % 2}", None, "gpu", "B", f"RTX 40{i}0", None, None, None, None, None) for i in range(4)], SCHEMA)
+    stored = rows.limit(0).select(F.col("rank").alias("variant_id"), F.col("rank").alias("product_id"), "identity_key", *identities.EVIDENCE)
+    none = stored.select("identity_key", "variant_id")
+    scratch = Seen(spark, "seen")
+    found = identities.assign_batch(rows, stored, none, none.withColumnRenamed("identity_key", "source_key"), none.select("variant_id"), NEW, scratch)
+    plans.append(("found", found._jdf.queryExecution().executedPlan().toString()))
+    assert len(plans) > 6 and not [name for name, plan in plans if "Broadcast" in plan]
+    scratch.close()
