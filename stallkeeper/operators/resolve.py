@@ -113,7 +113,10 @@ def candidate_pairs(listings: DataFrame, cap: int = BLOCK_CAP, categories: tuple
     left, right = (blocks.select("block", F.col("variant_id").alias(n)) for n in ("a", "b"))
     # Product and providers come along with the block, so pairs that can't be are never made.
     apart = (F.col("a.product_id") != F.col("b.product_id")) & ~F.arrays_overlap("a.provider_ids", "b.provider_ids")
-    return left.join(right, "block").where(apart).select(F.col("a.variant_id").alias("left"), F.col("b.variant_id").alias("right")).distinct()
+    # Few bytes of blocks make many pairs: both sides are dealt to a fixed number of tasks, and so are the pairs, which are told apart there and not before.
+    n = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = left.repartition(n, "block").join(right.repartition(n, "block").hint("merge"), "block").where(apart)
+    return made.select(F.col("a.variant_id").alias("left"), F.col("b.variant_id").alias("right")).repartition(n, "left", "right").distinct()
 
 
 def top_candidates(scored: DataFrame, k: int = TOP_CANDIDATES, floor: float = SCORE_FLOOR) -> DataFrame:
@@ -127,7 +130,10 @@ def top_candidates(scored: DataFrame, k: int = TOP_CANDIDATES, floor: float = SC
 def _with_evidence(pairs: DataFrame, listings: DataFrame) -> DataFrame:
     """Pairs with both sides' evidence (a, b) and that under each of their titles (every_a, every_b)."""
     side = lambda n, e: listings.select(F.col("variant_id").alias(n), F.col("e").alias(e), _titles(listings).alias(f"every_{e}"))
-    return pairs.join(side("left", "a"), "left").join(side("right", "b"), "right")
+    # Evidence is wide, and pairs are many: neither is to be broadcast or gathered in a few tasks.
+    n = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = pairs.repartition(n, "left").join(side("left", "a").repartition(n, "left").hint("merge"), "left")
+    return told.repartition(n, "right").join(side("right", "b").repartition(n, "right").hint("merge"), "right")
 
 
 def _over_titles(of: Callable[[Column, Column], Column]) -> Column:

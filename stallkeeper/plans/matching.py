@@ -10,6 +10,7 @@ from ..functions import listing as L
 from ..functions import text as T
 from ..operators import repair as P
 from ..operators import resolve as R
+from ..scratch import Scratch
 from ..sources import pages as W
 from .common import query, table
 
@@ -30,7 +31,9 @@ def _listings(spark: SparkSession, sf: str) -> DataFrame:
     none, empty = F.lit(None).cast("string"), F.lit(None).cast("map<string,string>")
     mpn = (F.col("p_partkey") % 400).cast("string")
     e = I.evidence(F.col("p_type"), F.col("p_brand"), title, mpn, none, none, empty, empty)
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("variant_id"), F.col("p_partkey").alias("product_id"), F.array("p_size").alias("provider_ids"), e.alias("e"))
+    # Patterns are looked for once a row, in more tasks than there are files.
+    parts = table(spark, sf, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return Scratch(spark, "listings").put("listings", parts.select(F.col("p_partkey").alias("variant_id"), F.col("p_partkey").alias("product_id"), F.array("p_size").alias("provider_ids"), e.alias("e")))
 
 
 @query(f'WITH {PAIRED} SELECT "left", "right" FROM pairs')
