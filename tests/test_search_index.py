@@ -214,3 +214,30 @@ def test_trees_of_many_rows(spark):
         with pytest.raises(ValueError, match="levels"):
             pages.category_tree(make(rows), depth)
     assert pages.category_tree(make([(1000, 1001, "x"), (1001, 1000, "y")]), 5).count() == 0
+
+
+def test_candidate_pairs_are_made_in_several_tasks(spark):
+    from stallkeeper.plans.matching import _listings
+
+    pairs = resolve.candidate_pairs(_listings(spark, "/root/testdata/sf0.001"), categories=None)
+    assert pairs.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_postings_move_once(spark, tmp_path):
+    """Repeated words, neighbours and ids give one posting each, and a version's postings come from one exchange."""
+    written = {}
+
+    class Seen(CatalogStore):
+        def commit(self, tables, *rest):
+            written.update({n: t._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0] for n, t in tables.items()})
+            return super().commit(tables, *rest)
+
+    docs = spark.createDataFrame([(1, "a b a b c"), (1, "b a"), (2, "a b"), (3, None)], "id long, name string")
+    store = Seen(spark, f"{tmp_path}/index")
+    lexicon.publish(docs, store, ["name"])
+    built = lexicon.build(docs, ["name"])
+    for name in ("postings", "pieces"):
+        got = sorted(map(tuple, store.read(name).collect()))
+        assert got == sorted(map(tuple, built[name].collect())) and len(got) == len(set(got))
+    assert store.read("postings").where("NOT joined").count() == 5
+    assert written["postings"].count("Exchange ") == 1
