@@ -13,7 +13,7 @@ from stallkeeper.llm.tables import Stash, load
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what importance resampling rejects."""
+    """Drops what has words or repetitions that good documents lack (``resampling.keep_good``; not op3's importance sample)."""
     return resampling.keep_good(docs, load(spark, sf_dir, "labels"), Stash(spark, "pipeline-quality"))
 
 

@@ -213,6 +213,71 @@ def test_resampling_drops_unseen_toxic_documents_of_small_inputs(spark, table, t
     assert share(kept.where("quality = 1 AND toxic = 0")) >= good_kept
 
 
+def weights_by_hand(rows, good):
+    """Log importance weights in plain Python: multinomial models over words and pairs of neighbouring words, the target mixed with the raw one."""
+
+    def grams(text):
+        words = [m.group().lower() for m in re.finditer(r"[a-zA-Z0-9]+|[^a-zA-Z0-9\s]+", text or "")]
+        return Counter([(w,) for w in words] + list(zip(words, words[1:], strict=False)))
+
+    raw, target = Counter(), Counter()
+    for i, text in rows:
+        raw += grams(text)
+        target += grams(text) if i in good else Counter()
+    of = lambda g: math.log(0.1 * target[g] / target.total() + 0.9 * raw[g] / raw.total()) - math.log(raw[g] / raw.total())
+    return [(i, grams(text).total(), sum(n * of(g) for g, n in grams(text).items())) for i, text in rows]
+
+
+@pytest.mark.parametrize("wanted", [None, 60])
+def test_importance_weights_match_brute_force(spark, wanted):
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(9)]
+    rows = [(i, prose(draw, draw.randint(0, 40), words) + (" ## %" if i % 5 == 3 else "")) for i in range(300)]
+    labels = [(i, int(i % 5 != 3), 0) for i, _ in rows if i % 2] + [(1, 1, None), (5, 0, 0), (7, 1, 1), (None, 1, 0), (9000, 1, 0)]
+    rows += [(None, None), (None, ""), (1, rows[1][1])]
+    good = {i for i, quality, _ in labels if i is not None and quality} - {5, 7}
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = resampling.importance(docs, marks, Stash(spark, "t"), wanted).collect()
+    order = lambda x: (x[0] or -1, x[1], x[2])
+    found = sorted(((r["doc_id"], r["n_features"], r["log_ratio"]) for r in got), key=order)
+    for g, w in zip(found, sorted(weights_by_hand(rows, good), key=order), strict=True):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=1e-4)
+    assert min(g[2] for g in found) < 0 < max(g[2] for g in found)
+    # 151 labelled ids, of which 119 are good.
+    size = round(len(rows) * 119 / 151) if wanted is None else wanted
+    least = sorted((r["draw"] for r in got), reverse=True)[size - 1]
+    assert all(r["kept"] == (r["draw"] >= least) for r in got)
+    cut = sorted((r["log_ratio"] for r in got), reverse=True)[size - 1]
+    assert any(r["kept"] and r["log_ratio"] < cut for r in got)
+    nothing = resampling.importance(docs, marks.limit(0), Stash(spark, "t"), wanted).collect()
+    assert len(nothing) == len(rows) and all(r["kept"] and r["log_ratio"] == 0 for r in nothing)
+    assert all(r["kept"] for r in resampling.importance(docs, marks, Stash(spark, "t"), 1000).collect())
+    assert resampling.importance(docs.limit(0), marks, Stash(spark, "t"), wanted).count() == 0
+
+
+def test_op3_weighs_pairs_of_neighbouring_words(spark, tmp_path):
+    # Every text has the same words as often, so only their order tells good ones from others.
+    good, other = "red cat sat on blue mat", "mat blue on sat cat red"
+    rows = [(i, good if i % 2 else other) for i in range(40)] + [(40, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in resampling.op3_importance_resampling(spark, str(tmp_path)).collect()}
+    # Words have a ratio of 0; the five pairs of good texts are twice as frequent in the target, the others aren't there.
+    for i, text in rows:
+        assert got[i]["log_ratio"] == pytest.approx(0 if text is None else 5 * math.log(1.1 if i % 2 else 0.9), abs=1e-5)
+        assert got[i]["n_features"] == (0 if text is None else 11)
+    assert sum(r["kept"] for r in got.values()) == round(41 / 2)
+
+
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])
+def test_importance_sample_of_unseen_labels(spark, table):
+    docs, labels = (load(spark, f"/root/testdata/{table}", name) for name in ("documents", "labels"))
+    unseen = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    kept = resampling.importance(docs, labels.where(~unseen), Stash(spark, "t")).select("doc_id", "kept").join(labels.where(unseen), "doc_id")
+    share = lambda which: kept.where(which).agg(F.avg(F.col("kept").cast("int"))).first()[0]
+    assert share("quality = 0") <= 0.25 and share("quality = 1 AND toxic = 0") >= 0.75
+
+
 def test_kth_largest(spark):
     draw = random.Random(1)
     values = [round(draw.gauss(0, 1), 2) for _ in range(3000)] + [-500.0, 12.5, 12.5]
