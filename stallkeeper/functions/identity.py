@@ -150,7 +150,9 @@ def conflicts(a: Column, b: Column) -> Column:
 def evidence_class(e: Column) -> Column:
     """A number that two pieces of evidence share if nothing tells them apart."""
     attrs = F.array_join(F.transform(F.array_sort(F.map_entries(e["attrs"])), lambda x: F.concat_ws("\u0002", x["key"], x["value"])), "\u0001")
-    return F.xxhash64(*(e[c] for c in ("category", "brand", "mpn", "gtin", "model_number")), attrs)
+    # A hash passes over nulls, so it must not be told apart by place alone which field is null.
+    filled = [F.coalesce(F.concat(F.lit("="), e[c]), F.lit("")) for c in ("category", "brand", "mpn", "gtin", "model_number")]
+    return F.xxhash64(*filled, attrs)
 
 
 def retitled(e: Column, title: Column) -> Column:

@@ -177,3 +177,29 @@ def test_batches_are_never_broadcast(spark, tmp_path):
     plans.append(("found", found._jdf.queryExecution().executedPlan().toString()))
     assert len(plans) > 6 and not [name for name, plan in plans if "Broadcast" in plan]
     scratch.close()
+
+
+def batch(spark, rows, rounds):
+    """A first batch of gpu offers (gtin, brand, title, mpn) in order, within so many rounds."""
+    staged = spark.createDataFrame([(i, f"s{i}", f"k{i}", None, "gpu", brand, title, mpn, gtin, None, None, None) for i, (gtin, brand, title, mpn) in enumerate(rows)], SCHEMA)
+    stored = staged.limit(0).select(F.col("rank").alias("variant_id"), F.col("rank").alias("product_id"), "identity_key", *identities.EVIDENCE)
+    none = stored.select("identity_key", "variant_id")
+    scratch = Scratch(spark, "rounds")
+    found = identities.assign_batch(staged, stored, none, none.withColumnRenamed("identity_key", "source_key"), none.select("variant_id"), NEW, scratch, rounds)
+    got = [r["variant_id"] - NEW for r in found.orderBy("rank").collect()]
+    scratch.close()
+    return got
+
+
+def test_rounds_do_not_grow_with_equal_offers(spark):
+    """Many offers of two chips under one gtin: each chip's first creates its variant, and a round is not spent on each of the others."""
+    assert batch(spark, [("G1", "B", f"RTX 40{6 + i % 2}0", None) for i in range(40)], 6) == [i % 2 for i in range(40)]
+
+
+def test_classes_of_evidence_tell_which_field_is_missing(spark):
+    from stallkeeper.functions.identity import evidence_class
+
+    rows = spark.createDataFrame([("x1", None), (None, "x1")], "mpn string, gtin string")
+    none = F.lit(None).cast("string")
+    e = F.struct(F.lit("gpu").alias("category"), none.alias("brand"), "mpn", "gtin", none.alias("model_number"), F.create_map(F.lit("a"), F.lit("b")).alias("attrs"))
+    assert rows.select(evidence_class(e).alias("n")).distinct().count() == 2
