@@ -241,3 +241,25 @@ def test_postings_move_once(spark, tmp_path):
         assert got == sorted(map(tuple, built[name].collect())) and len(got) == len(set(got))
     assert store.read("postings").where("NOT joined").count() == 5
     assert written["postings"].count("Exchange ") == 1
+
+
+def test_texts_are_read_for_their_words_once(spark, tmp_path):
+    """What is sorted into ranges, and read for their bounds before, is words as written; distinct ids need no telling apart."""
+    from stallkeeper.functions.text import fold, search_words
+
+    written = {}
+
+    class Seen(CatalogStore):
+        def commit(self, tables, *rest):
+            written.update({n: t._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0] for n, t in tables.items()})
+            return super().commit(tables, *rest)
+
+    texts = ["RTX ٤٠٦٠ برو ماكس", "Ünïcode ۴۰ a a b", None, "", "plain words, plain-words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, name string")
+    store = Seen(spark, f"{tmp_path}/index")
+    lexicon.publish(docs, store, ["name"])
+    assert not [n for n, plan in written.items() if "regexp_replace" in plan or "lower(" in plan]
+    assert "Aggregate" not in written["postings"]
+    want = {(r["id"], w) for r in docs.select("id", search_words(fold(F.col("name"))).alias("ws")).collect() for w in r["ws"]}
+    assert {(r["id"], r["word"]) for r in store.read("postings").where("NOT joined").collect()} == want
+    assert not [p for p in tmp_path.glob("index/_aside*")]
