@@ -6,8 +6,11 @@ worked out from the guesses of earlier ones, until nothing changes. Since answer
 earlier offers alone, what stays unchanged is what reading in order gives, whatever the first
 guess. Offers of equal evidence and identifiers (a profile) are answered together in each
 round, as what they create for one another needs no guess: the first that finds other than
-one variant creates one, and so does every offer from the next that finds a second. So rounds
-follow chains of different profiles, not of offers.
+one variant creates one, and so does every offer from the next that finds a second. After
+some rounds, what a profile creates after an answer changed in another that it may find is
+held back from the next guess, as it may follow from what was wrong; else two such profiles
+could answer each other's wrong guesses, one offer a round. So rounds follow chains of
+different profiles, not of offers.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from .resolve import with_evidence
 EVIDENCE = ("category", "brand", "title", "mpn", "gtin", "model_number", "options", "specifications")
 MAPS = ("options", "specifications")
 NEVER = (1 << 63) - 1
+#: Rounds before what may follow from a wrong guess is held back; most batches end before.
+PATIENCE = 8
 
 
 def _filled(c: str) -> Column:
@@ -126,21 +131,22 @@ def assign_batch(staged: DataFrame, stored: DataFrame, aliases: DataFrame, on_re
     mine = lambda r: F.lit(first_new) + F.col(r)
     state = put("state-0", rows.select(
         *FIXED[:-1], (~alone_here | F.col("_many")).alias("_open"), F.when(leads, mine("rank")).otherwise(F.coalesce("_source", F.lit(first_new - 1))).alias("variant_id"), mine("_first").alias("product_id"), F.col("_in").alias("_pin"), F.col("_lend").alias("_plend"),
-        leads.alias("leads"), F.lit(False).alias("rewrites"), F.lit(False).alias("asked"), F.col("identity_key").alias("key"), F.lit("new").alias("decided_by"), F.lit(None).cast("long").alias("leaves"),
+        leads.alias("leads"), F.lit(False).alias("rewrites"), F.lit(False).alias("asked"), F.lit(False).alias("_moved"), F.col("identity_key").alias("key"), F.lit("new").alias("decided_by"), F.lit(None).cast("long").alias("leaves"),
     ))
     profiles = put("profiles", told.where("_keyed").groupBy("_profile").agg(F.any_value(F.struct("_keys", "e")).alias("x")).select("_profile", "x.*"))
     askers = put("askers", profiles.join(state.where("_source IS NULL AND _alias IS NULL AND _keyed").select("_profile").distinct().hint("merge"), "_profile", "left_semi"))
     agree = put("agree", _agree(askers, profiles))
-    seen = None
+    seen, moved = None, False
     for n in range(1, rounds + 1):
         versions = put(f"versions-{n}", _versions(state, old, told, first_new))
-        state = put(f"state-{n}", _round(state, versions, old, profiles, askers, agree, first_new))
+        state = put(f"state-{n}", _round(state, versions, old, profiles, askers, agree, first_new, n > PATIENCE))
         scratch.drop(f"state-{n - 1}")
         scratch.drop(f"versions-{n}")
-        now = state.agg(F.bit_xor(F.xxhash64("rank", "variant_id", "product_id", "_pin", "leads", "rewrites", "asked", "key")).alias("x")).first()["x"]
-        if now == seen:
+        now = state.agg(F.bit_xor(F.xxhash64("rank", "variant_id", "product_id", "_pin", "leads", "rewrites", "asked", "key")).alias("x"), F.coalesce(F.max("_moved"), F.lit(False)).alias("moved")).first()
+        # What a round with nothing held back leaves as it was is right.
+        if now["x"] == seen and not (moved and n > PATIENCE):
             break
-        seen = now
+        seen, moved = now["x"], now["moved"]
     else:
         raise RuntimeError(f"answers still change after {rounds} rounds")
     action = F.when(F.col("rewrites"), "rewrite").when(~F.col("leads"), "keep").when(F.col("decided_by") == "new", "create").otherwise("split")
@@ -188,22 +194,27 @@ def _versions(state: DataFrame, old: DataFrame, told: DataFrame, first_new: int)
     return stored.select(*columns).unionByName(anew.select(*columns)).unionByName(own.select(*columns)).unionByName(lent.select(*columns))
 
 
-def _candidates(versions: DataFrame, profiles: DataFrame, askers: DataFrame, agree: DataFrame) -> DataFrame:
+def _candidates(versions: DataFrame, state: DataFrame, profiles: DataFrame, askers: DataFrame, agree: DataFrame, hold: bool) -> DataFrame:
     """For each profile (_at) the variants that its offers find (_out): of lasting ones the first two, which tell one from several, and all that end; but for those that its own offers create."""
     extra = versions.where("_lent IS NOT NULL AND _keyed").groupBy("_profile").agg(F.any_value(F.struct(F.col("_lent").alias("_keys"), "e")).alias("x")).select("_profile", "x.*")
     agree = agree.union(_agree(askers, extra.join(profiles.select("_profile").hint("merge"), "_profile", "left_anti")))
     offered = versions.where("_keyed").select(F.col("_profile").alias("_theirs"), "_by", "variant_id", "since", "until")
     first = lambda rows, *by: rows.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy("since", "variant_id"))).where("_place <= 2").drop("_place")
     meet = lambda rows: agree.join(rows.hint("merge"), "_theirs").where("NOT _by <=> _profile").select(F.col("_profile").alias("_at"), "variant_id", "since", "until")
-    lasting = first(meet(first(offered.where(f"until = {NEVER}"), "_theirs", "_by")), "_at")
+    two = first(offered.where(f"until = {NEVER}"), "_theirs", "_by")
+    if hold:
+        moved = state.where("_moved").groupBy(F.col("_profile").alias("_theirs")).agg(F.min("rank").alias("_sure"))
+        sure = agree.where("_profile <> _theirs").join(moved.hint("merge"), "_theirs").groupBy(F.col("_profile").alias("_theirs")).agg(F.min("_sure").alias("_sure"))
+        two = two.join(sure.hint("merge"), "_theirs", "left").where("_by IS NULL OR _sure IS NULL OR since <= _sure").drop("_sure")
+    lasting = first(meet(two), "_at")
     return lasting.union(meet(offered.where(f"until < {NEVER}"))).groupBy("_at").agg(F.collect_list(F.struct("variant_id", "since", "until")).alias("_out"))
 
 
-def _round(state: DataFrame, versions: DataFrame, old: DataFrame, profiles: DataFrame, askers: DataFrame, agree: DataFrame, first_new: int) -> DataFrame:
+def _round(state: DataFrame, versions: DataFrame, old: DataFrame, profiles: DataFrame, askers: DataFrame, agree: DataFrame, first_new: int, hold: bool) -> DataFrame:
     """Every offer's answer, given the answers of those before it."""
     rank, new = F.col("rank"), lambda r: F.lit(first_new) + F.col(r)
     holds = lambda v: (v["since"] < rank) & (rank <= v["until"])
-    of_guess = [F.col(c).alias(f"_{c}") for c in ("leads",)] + ["_plend"]
+    of_guess = [F.col("leads").alias("_leads"), (F.col("leads") & F.col("asked")).alias("_created"), "_plend"]
 
     # Of the lasting variants of a key the first tells which comes first for each later offer.
     v = F.struct("since", "variant_id", "until")
@@ -215,7 +226,7 @@ def _round(state: DataFrame, versions: DataFrame, old: DataFrame, profiles: Data
     # Identifiers: offers of a profile in order, with what others create and what they create themselves.
     asked = F.col("_source").isNull() & F.col("_key").isNull() & F.col("_alias").isNull() & F.col("_keyed")
     known = known.withColumn("asked", asked).withColumn("_at", F.when(F.col("asked"), F.col("_profile")).otherwise(rank))
-    known = known.join(_candidates(versions, profiles, askers, agree).hint("merge"), "_at", "left")
+    known = known.join(_candidates(versions, state, profiles, askers, agree, hold).hint("merge"), "_at", "left")
     known = known.withColumn("_out", F.filter(F.coalesce("_out", F.array().cast("array<struct<variant_id:bigint,since:bigint,until:bigint>>")), holds)).withColumn("_c", F.size("_out"))
     # Whether a variant that it creates is found by its profile: yes, unless an earlier product lends other evidence.
     plain = F.col("asked") & ~(F.col("_leads") & (F.col("_plend") != F.col("_lend")))
@@ -247,16 +258,16 @@ def _round(state: DataFrame, versions: DataFrame, old: DataFrame, profiles: Data
     key = F.when(F.col("leads"), F.coalesce(split, F.col("identity_key"))).when(F.col("rewrites") & taken & (F.col("_key") != F.col("_chosen")), F.col("_current")).otherwise(F.col("identity_key"))
     remade = lambda c, own: F.when(F.col("rewrites"), F.col(own)).otherwise(F.coalesce(c, own))
     answer = told.select(
-        *FIXED, "_chosen", F.coalesce("_product", "_chosen").alias("_product"), remade("_vpin", "_in").alias("_vpin"), remade("_vplend", "_lend").alias("_vplend"), "leads", "rewrites", "asked", key.alias("key"),
+        *FIXED, "_chosen", F.coalesce("_product", "_chosen").alias("_product"), remade("_vpin", "_in").alias("_vpin"), remade("_vplend", "_lend").alias("_vplend"), "leads", "rewrites", "asked", ((F.col("leads") & F.col("asked")) != F.col("_created")).alias("_moved"), key.alias("key"),
         F.when(F.col("_missing"), "new").otherwise(F.col("_how")).alias("decided_by"), F.when(F.col("leads") & ~F.col("_missing"), F.col("_chosen")).alias("leaves"),
     )
     none = F.lit(None).cast("long")
-    settled = state.where("NOT _open").select(*FIXED, none.alias("_chosen"), none.alias("_product"), none.alias("_vpin"), none.alias("_vplend"), "leads", "rewrites", "asked", "key", "decided_by", "leaves")
+    settled = state.where("NOT _open").select(*FIXED, none.alias("_chosen"), none.alias("_product"), none.alias("_vpin"), none.alias("_vplend"), "leads", "rewrites", "asked", F.lit(False).alias("_moved"), "key", "decided_by", "leaves")
     # The family's first offer has the product of all that its family creates.
     firsts = state.where("rank = _first").select("_first", F.col("product_id").alias("_fproduct"), F.col("_pin").alias("_fpin"), F.col("_plend").alias("_fplend"))
     told = answer.union(settled).join(firsts.hint("merge"), "_first", "left")
     mine = lambda theirs, lent, own: F.when(~F.col("leads"), F.col(theirs)).when(F.col("_first") < rank, F.col(lent)).otherwise(own)
     return told.select(
         *FIXED, F.when(F.col("leads"), new("rank")).otherwise(F.col("_chosen")).alias("variant_id"), mine("_product", "_fproduct", new("rank")).alias("product_id"), mine("_vpin", "_fpin", F.col("_in")).alias("_pin"),
-        mine("_vplend", "_fplend", F.col("_lend")).alias("_plend"), "leads", "rewrites", "asked", "key", "decided_by", "leaves",
+        mine("_vplend", "_fplend", F.col("_lend")).alias("_plend"), "leads", "rewrites", "asked", "_moved", "key", "decided_by", "leaves",
     )

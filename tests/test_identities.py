@@ -196,6 +196,12 @@ def test_rounds_do_not_grow_with_equal_offers(spark):
     assert batch(spark, [("G1", "B", f"RTX 40{6 + i % 2}0", None) for i in range(40)], 6) == [i % 2 for i in range(40)]
 
 
+def test_rounds_do_not_grow_with_profiles_that_find_each_other(spark, monkeypatch):
+    """Offers with and without a gtin in turns, all of one variant: neither is led by the other's wrong guesses for long."""
+    monkeypatch.setattr(identities, "PATIENCE", 2)
+    assert batch(spark, [(None if i % 2 == 0 else "G1", "B", "RTX 4060", "M1") for i in range(24)], 9) == [0] * 24
+
+
 def test_classes_of_evidence_tell_which_field_is_missing(spark):
     from stallkeeper.functions.identity import evidence_class
 
